@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """(source, source_size) to (source, source_size, target): shares by weight, none above most times its size.
 
     A source is at its limit exactly if limit / weight lies below the level that the others share, so one pass over
-    the sources in the order of that ratio finds the level. One row per source, so one task is enough here.
+    the sources in the order of that ratio finds the level: that of the first source at or above it. One row per source, so one task is enough here.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     place = (F.row_number().over(by_name) - 1) % len(weights)
@@ -48,7 +48,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
         .withColumn("left_words", F.sum("source_size").over(every) - (F.sum("limit").over(up) - F.col("limit")))
         .withColumn("left_weight", F.sum("weight").over(every) - (F.sum("weight").over(up) - F.col("weight")))
         .withColumn("level", F.col("left_words").cast("double") / F.col("left_weight"))
-        .withColumn("shared", F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every))
+        .withColumn("nth", F.row_number().over(Window.orderBy(ratio.asc(), F.col("source").asc_nulls_last())))
+        .withColumn("shared", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("nth", "level"))).over(every)["level"])
     )
     target = F.when(F.col("shared").isNull() | (F.col("ratio") < F.col("shared")), F.col("limit").cast("double")).otherwise(F.col("weight") * F.col("shared"))
     return rows.select("source", "source_size", target.alias("target"))

@@ -53,10 +53,15 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     return int.from_bytes(np.packbits(counts * 2 > len(shingles)).tobytes(), "big")
 
 
-@F.pandas_udf("long")
-def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(np.array([fingerprint_of(x) for x in texts], dtype="u8").view("i8"))
+def fingerprints(text: Column) -> Column:
+    """The fingerprint of each text as a signed long."""
+
+    @F.pandas_udf("long")
+    def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint_of(x) for x in texts], dtype="u8").view("i8"))
+
+    return of_batches(text)
 
 
 def hex_of(fingerprint: Column) -> Column:

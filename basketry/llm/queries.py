@@ -61,3 +61,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op3_token_counts, op6_order_minhash, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
+
+ORACLE_SQL: dict[str, str] = {}
