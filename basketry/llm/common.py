@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Store df in the shared folder and go on from there, so that a lost executor costs no recomputation of it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write df as a table in the shared folder and go on from there, so that a lost executor costs no recomputation of it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(text: Column | str) -> Column:

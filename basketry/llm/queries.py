@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, order_minhash, quality, token_counts
+from . import mixing, near_dup, order_minhash, quality, token_counts, word_table
 from .common import table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
@@ -43,6 +43,17 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = word_table.encode(docs, vocabulary_path(), keep=["doc_id"])
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2("ids_le", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = quality.judged(quality.cut_statistics(docs, ["doc_id"]))
@@ -60,6 +71,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op6_order_minhash, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -118,6 +118,21 @@ class Vocabulary:
         total = np.r_[0, np.cumsum(counts)]
         return (total[ends[1:]] - total[ends[:-1]]).tolist()
 
+    def encode_chunks(self, fresh: list[str]) -> list[np.ndarray]:
+        """The ids of each chunk, in order, special strings included."""
+        split = [[(self.words(part), special) for part, special in self.parts(x)] for x in fresh]
+        flat, counts = self.merge([w.encode() for x in split for ws, _ in x for w in ws])
+        ends, at, out = np.r_[0, np.cumsum(counts)], 0, []
+        for x in split:
+            ids = []
+            for ws, special in x:
+                ids.append(flat[ends[at] : ends[at + len(ws)]])
+                at += len(ws)
+                if special is not None:
+                    ids.append(np.array([special], np.int64))
+            out.append(np.concatenate(ids))
+        return out
+
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
