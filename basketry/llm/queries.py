@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, order_minhash, quality, token_counts, word_table
+from . import mixing, near_dup, order_minhash, page_wrappers, quality, token_counts, word_table
 from .common import table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,11 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path(VOCABULARY))
 
 
+def op1_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_wrappers.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, vocabulary_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -71,6 +76,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_page_wrappers, op3_token_counts, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
