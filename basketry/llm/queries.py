@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, order_minhash, page_wrappers, quality, token_counts, word_table
+from . import archives, mixing, near_dup, order_minhash, page_wrappers, quality, token_counts, word_table
 from .common import table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
     rows = order_minhash.with_next(docs, ["text", "own"], lambda df: order_minhash.fingerprint(df, "text", "own"))
@@ -76,6 +80,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_wrappers, op3_token_counts, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_page_wrappers, op3_token_counts, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
