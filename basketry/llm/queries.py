@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, mixing, near_dup, order_minhash, page_wrappers, quality, token_counts, word_table
+from . import archives, languages, mixing, near_dup, order_minhash, page_wrappers, quality, token_counts, word_table
 from .common import table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,6 +27,13 @@ def op1_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_wrappers.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = languages.learn(docs.where(~languages.held_out(F.col("doc_id"))))
+    rows = languages.identify(docs.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "text"), learned)
+    return rows.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, vocabulary_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -80,6 +87,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_wrappers, op3_token_counts, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_page_wrappers, op2_language_id, op3_token_counts, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
