@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, languages, mixing, near_dup, order_minhash, page_wrappers, quality, token_counts, word_table
+from . import archives, languages, mixing, near_dup, order_minhash, page_wrappers, personal_data, quality, token_counts, word_table
 from .common import table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,6 +39,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = personal_data.find(docs, personal_data.fitted(docs))
+
+    def said(spans):
+        names = F.array(*map(F.lit, personal_data.KINDS))
+        return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
+
+    def count(kind: int):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    base = said(F.filter("found", lambda x: x["base"]))
+    return rows.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), said(F.col("found")).alias("spans"))
+
+
 def op5_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -87,6 +103,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_wrappers, op2_language_id, op3_token_counts, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_page_wrappers, op2_language_id, op3_token_counts, op4_personal_data, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
