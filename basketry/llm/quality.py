@@ -2,9 +2,10 @@
 
 Each rule looks at one statistic of a text and votes 1 (clean), -1 (junk) or 0 (abstains). Texts with equal votes are
 one pattern; patterns are counted before any shuffle and there are at most 3 ** rules of them, however many texts
-there are. The model has a share of clean texts and, per rule and class, the chance of each vote, independent
-within a class. Every expectation-maximisation step is one aggregation over the pattern table. The posterior chance
-that a text is clean is then a native expression over its votes.
+there are. The model has a share of clean texts and, per rule and class, the chance that a rule that votes at all votes junk, independent
+within a class; abstaining says nothing. Rules are taken to be no worse than chance, so the classes can't change places, and a few
+imagined votes keep every chance inside (0, 1). Every expectation-maximisation step is one aggregation over the pattern table. The posterior
+chance that a text is clean is then a native expression over its votes. The model is fitted on the texts that pass the base rules.
 
 Texts that fail the fixed base rules are out whatever the posterior is.
 
@@ -24,10 +25,13 @@ from . import common
 WINDOW = 3
 #: Bits of a packed hash-and-position that hold the position: texts of up to 2 ** 26 words.
 PLACE = 26
-ROUNDS = 15
+ROUNDS = 20
 THRESHOLD = 0.5
 # The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+NO_LETTERS = "".join(map(chr, range(32, 65))) + "\t\n\x0b\f\r[\\]^_`{|}~"
+HAS_LETTER = "[A-Za-z\\x{80}-\\x{10FFFF}]"
+STOPS = ".!?…。！？:;\"')»”"
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -66,8 +70,9 @@ def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
         covered.cast("long").alias("n_repeat_words"),
         F.size(ls).cast("long").alias("n_lines"),
         F.size(F.array_distinct(ws)).cast("long").alias("n_distinct"),
-        (length - F.char_length(F.translate(t, "0123456789", ""))).cast("long").alias("n_digits"),
-        F.aggregate(ws, F.lit(0), lambda a, w: F.greatest(a, F.char_length(w))).cast("long").alias("longest"),
+        F.char_length(F.translate(t, NO_LETTERS, "")).cast("long").alias("n_letters"),
+        F.size(F.filter(ws, lambda w: w.rlike(HAS_LETTER))).cast("long").alias("n_letter_words"),
+        F.size(F.filter(ls, lambda x: F.instr(F.lit(STOPS), F.right(F.rtrim(x), F.lit(1))) > 0)).cast("long").alias("n_stop_lines"),
     )
     return rows.select(*(rows[c] for c in kept), stat.alias(common.scratch(docs, "stat")[0]))
 
@@ -83,55 +88,58 @@ def rules(s: Column) -> list[Column]:
     def between(x: Column, good: Column, bad: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0).cast("tinyint")
 
-    symbol, lines, repeat, digit = per("n_symbols", "n_words"), per("n_dup_lines", "n_lines"), per("n_repeat_words", "n_words"), per("n_digits", "word_chars")
+    symbol, lines, repeat = per("n_symbols", "n_words"), per("n_dup_lines", "n_lines"), per("n_repeat_words", "n_words")
+    letters, spoken, stops = per("n_letters", "word_chars"), per("n_letter_words", "n_words"), per("n_stop_lines", "n_lines")
     mean, kinds = per("word_chars", "n_words"), per("n_distinct", "n_words") * F.sqrt(s["n_words"].cast("double"))
     return [
-        between(symbol, symbol <= 0.05, symbol > 0.3),
-        between(lines, lines <= 0.1, lines > 0.3),
-        between(repeat, repeat <= 0.15, repeat > 0.4),
-        between(digit, digit <= 0.05, digit > 0.25),
-        between(mean, (mean >= 3) & (mean <= 9), (mean < 2) | (mean > 15)),
+        between(symbol, symbol <= 0.02, symbol > 0.1),
+        between(letters, letters > 0.85, letters < 0.75),
+        between(spoken, spoken > 0.9, spoken < 0.8),
+        between(lines, lines <= 0.05, lines > 0.3),
+        between(repeat, repeat <= 0.1, repeat > 0.3),
+        between(mean, (mean >= 3.5) & (mean <= 7), (mean < 3) | (mean > 10)),
         between(kinds, kinds >= 5, kinds < 2.5),
-        between(s["longest"], s["longest"] <= 60, s["longest"] > 400),
-        between(s["n_words"], s["n_words"] >= 80, s["n_words"] < 50),
+        between(stops, stops >= 0.8, stops < 0.1),
     ]
 
 
 class Model:
-    """Share of clean texts and log chances of votes: chance[class][rule][vote + 1], class 1 clean and 0 junk."""
+    """Share of clean texts, and per rule the chance of a junk vote, if it votes, on clean and on junk texts."""
+
+    #: Where the fit starts: share of clean texts, chances of a junk vote on clean and junk texts; and imagined votes that hold it there.
+    CLEAN, FALSE, TRUE, HELD = 0.9, 0.02, 0.5, 20
 
     def __init__(self, count: int):
-        self.clean = 0.8
-        self.chance = [[[0.5, 0.35, 0.15]] * count, [[0.1, 0.2, 0.7]] * count]
+        self.clean = self.CLEAN
+        self.false, self.true = [self.FALSE] * count, [self.TRUE] * count
 
     def posterior(self, votes: Column) -> Column:
         """1 / (1 + exp(-odds)), the odds being a sum over rules."""
         odds = F.lit(math.log(self.clean) - math.log(1 - self.clean))
-        for i in range(len(self.chance[0])):
-            logs = [math.log(self.chance[1][i][v]) - math.log(self.chance[0][i][v]) for v in range(3)]
-            odds = odds + F.element_at(F.array(*map(F.lit, logs)), votes[i].cast("int") + 2)
+        for i, (f, t) in enumerate(zip(self.false, self.true)):
+            odds = odds + F.when(votes[i] == -1, math.log(f) - math.log(t)).when(votes[i] == 1, math.log(1 - f) - math.log(1 - t)).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
 def fit(patterns: DataFrame, count: int, rounds: int = ROUNDS) -> Model:
-    """Expectation-maximisation over (votes, n); expected counts are smoothed by one, so no chance is 0."""
+    """Expectation-maximisation over (votes, n)."""
     model = Model(count)
-    patterns = common.cut(patterns.coalesce(1))
+    patterns = common.cut(patterns)
     for _ in range(rounds):
         rows = patterns.withColumn("clean", model.posterior(F.col("votes"))).withColumn("n", F.col("n").cast("double"))
-        sums = [F.sum("n").alias("total"), F.sum(F.col("n") * F.col("clean")).alias("clean")]
+        good, bad = F.col("n") * F.col("clean"), F.col("n") * (1 - F.col("clean"))
+        sums = [F.sum("n").alias("total"), F.sum(good).alias("clean")]
         for i in range(count):
-            for v in range(3):
-                hit = F.when(F.col("votes")[i] == v - 1, F.col("n")).otherwise(0.0)
-                sums += [F.sum(hit * F.col("clean")).alias(f"g{i}{v}"), F.sum(hit * (1 - F.col("clean"))).alias(f"b{i}{v}")]
+            vote = F.col("votes")[i]
+            sums += [F.sum(F.when(when, part).otherwise(0.0)).alias(f"{name}{i}") for name, when, part in (("gn", vote == -1, good), ("gv", vote != 0, good), ("bn", vote == -1, bad), ("bv", vote != 0, bad))]
         got = rows.agg(*sums).first()
         if not got["total"]:
             break
-        before = model.clean
-        model.clean = (got["clean"] + 1) / (got["total"] + 2)
-        for cls, name in ((1, "g"), (0, "b")):
-            model.chance[cls] = [[(got[f"{name}{i}{v}"] + 1) / (sum(got[f"{name}{i}{x}"] for x in range(3)) + 3) for v in range(3)] for i in range(count)]
-        if abs(model.clean - before) < 1e-6:
+        before, held = model.clean, Model.HELD
+        model.clean = (got["clean"] + 10 * Model.CLEAN) / (got["total"] + 10)
+        model.false = [(got[f"gn{i}"] + Model.FALSE * held) / (got[f"gv{i}"] + held) for i in range(count)]
+        model.true = [max(f, (got[f"bn{i}"] + Model.TRUE * held) / (got[f"bv{i}"] + held)) for i, f in enumerate(model.false)]
+        if abs(model.clean - before) < 1e-7:
             break
     return model
 
@@ -140,7 +148,7 @@ def judged(stats: DataFrame, threshold: float = THRESHOLD, stat: str = "stat") -
     """Adds posterior, base_failed and kept to rows that have the struct `stat`."""
     votes, p, failed, kept = common.scratch(stats, "votes", "posterior", "base_failed", "kept")
     rows = stats.withColumn(votes, F.array(*rules(F.col(stat))))
-    patterns = rows.groupBy(F.col(votes).alias("votes")).agg(F.count(F.lit(1)).alias("n"))
+    patterns = rows.where(~base_failed(F.col(stat))).groupBy(F.col(votes).alias("votes")).agg(F.count(F.lit(1)).alias("n"))
     model = fit(patterns, len(rules(F.col(stat))))
     rows = rows.withColumn(p, model.posterior(F.col(votes))).withColumn(failed, base_failed(F.col(stat)))
     return rows.withColumn(kept, ~F.col(failed) & (F.col(p) >= threshold)).drop(votes)
