@@ -1,5 +1,31 @@
-"""Every query of the library by name, and the SQL that its result is held against."""
+"""Every query of the library by name, and the SQL that its result is held against. Names start with the ids of the operator inventory."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+FLAGSHIP = "p6_compare_prices"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers f(catalogue) under its own name, with the SQL of its result if there is one."""
+    from .views import Catalogue
+
+    def add(f: Callable[[Catalogue], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Catalogue(spark, sf_dir))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import queries_pricing  # noqa: E402, F401
