@@ -28,4 +28,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import queries_pricing  # noqa: E402, F401
+from . import queries_pricing, queries_relational  # noqa: E402, F401
