@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def clean_unit(unit: Column) -> Column:
 
 
 def _lookup(unit: Column, place: int) -> Column:
-    table = F.create_map(*(F.lit(y) for k, v in FORMS.items() for y in (k, v[place])))
+    table = F.from_json(F.lit(json.dumps({k: v[place] for k, v in FORMS.items()})), f"map<string,{('string', 'double')[place]}>")  # one constant, not a branch per form
     return F.try_element_at(table, unit)
 
 
