@@ -28,24 +28,38 @@ def _lookup(unit: Column, place: int) -> Column:
     return F.try_element_at(table, unit)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def measure(qty: Column, unit: Column, weighted: Column | None = None) -> Column:
     """struct(qty, unit, unparseable): grams, millilitres or pieces."""
     by_weight = F.lit(False) if weighted is None else F.coalesce(weighted, F.lit(False))
-    plain = clean_unit(unit)
-    inner_qty = F.regexp_extract(plain, r"^([\d.]+)(.+)$", 1).try_cast("double")
-    inner = clean_unit(F.regexp_extract(plain, r"^([\d.]+)(.+)$", 2))
+    missing = qty.isNull() | (qty <= 0) | F.isnan(qty.cast("double"))
 
     def made(q: Column, u: Column, bad: bool) -> Column:
         return F.struct(q.cast("double").alias("qty"), u.alias("unit"), F.lit(bad).alias("unparseable"))
 
-    missing = qty.isNull() | (qty <= 0) | F.isnan(qty.cast("double"))
-    return (
-        F.when(missing & by_weight, made(F.lit(1000.0), F.lit("g"), False))
-        .when(missing, made(F.lit(1.0), F.lit("unit"), True))
-        .when(_lookup(plain, 0).isNotNull(), made(qty * _lookup(plain, 1), _lookup(plain, 0), False))
-        .when((inner_qty > 0) & _lookup(inner, 0).isNotNull(), made(inner_qty * _lookup(inner, 1), _lookup(inner, 0), False))
-        .otherwise(made(qty, F.lit("unit"), True))
-    )
+    def of(x: Column) -> Column:
+        return (
+            F.when(missing & by_weight, made(F.lit(1000.0), F.lit("g"), False))
+            .when(missing, made(F.lit(1.0), F.lit("unit"), True))
+            .when(x["unit"].isNotNull(), made(qty * x["factor"], x["unit"], False))
+            .when((x["inner_qty"] > 0) & x["inner_unit"].isNotNull(), made(x["inner_qty"] * x["inner_factor"], x["inner_unit"], False))
+            .otherwise(made(qty, F.lit("unit"), True))
+        )
+
+    def looked_up(plain: Column) -> Column:
+        inner = clean_unit(F.regexp_extract(plain, r"^([\d.]+)(.+)$", 2))
+        return let(
+            F.struct(
+                _lookup(plain, 0).alias("unit"), _lookup(plain, 1).alias("factor"), F.regexp_extract(plain, r"^([\d.]+)(.+)$", 1).try_cast("double").alias("inner_qty"), _lookup(inner, 0).alias("inner_unit"), _lookup(inner, 1).alias("inner_factor")
+            ),
+            of,
+        )
+
+    return let(clean_unit(unit), looked_up)
 
 
 def pack_from_name(name: Column) -> Column:
@@ -69,37 +83,49 @@ def pack_count(name: Column, most: int = 1000) -> Column:
 
 def packs_to_buy(amount: Column, unit: Column, pack_qty: Column, size_qty: Column, size_unit: Column) -> Column:
     """struct(qty, mode): whole packs that hold the amount, pieces, or kilograms and litres."""
-    need, have = measure(amount, unit), measure(size_qty, size_unit)
-    known = ~have["unparseable"] & (have["unit"] == need["unit"]) & (have["qty"] > 1)
     made = lambda q, m: F.struct(q.cast("double").alias("qty"), F.lit(m).alias("mode"))
     asked = F.when(pack_qty > 0, pack_qty)
-    return (
-        F.when(amount.isNull() | (amount <= 0), made(F.coalesce(asked, F.lit(1.0)), "packs"))
-        .when(need["unparseable"], made(F.coalesce(asked, amount), "packs"))
-        .when(known, made(F.greatest(F.lit(1), F.ceil(need["qty"] / have["qty"])), "packs"))
-        .when(need["unit"] == "unit", made(need["qty"], "units"))
-        .otherwise(made(need["qty"] / 1000, "weighted"))
-    )
+
+    def of(x: Column) -> Column:
+        need, have = x["need"], x["have"]
+        known = ~have["unparseable"] & (have["unit"] == need["unit"]) & (have["qty"] > 1)
+        return (
+            F.when(amount.isNull() | (amount <= 0), made(F.coalesce(asked, F.lit(1.0)), "packs"))
+            .when(need["unparseable"], made(F.coalesce(asked, amount), "packs"))
+            .when(known, made(F.greatest(F.lit(1), F.ceil(need["qty"] / have["qty"])), "packs"))
+            .when(need["unit"] == "unit", made(need["qty"], "units"))
+            .otherwise(made(need["qty"] / 1000, "weighted"))
+        )
+
+    return let(F.struct(measure(amount, unit).alias("need"), measure(size_qty, size_unit).alias("have")), of)
 
 
 def composes(size_qty: Column, size_unit: Column, amount: Column, unit: Column, overshoot: float = OVERSHOOT) -> Column:
     """Whether whole packs reach the amount without much more than it."""
-    want, have = measure(amount, unit), measure(size_qty, size_unit)
-    fits = (F.ceil(want["qty"] / have["qty"]) * have["qty"] - want["qty"]) / want["qty"] <= overshoot
-    return F.coalesce(~want["unparseable"] & ~have["unparseable"] & want["unit"].isin("g", "ml") & (have["unit"] == want["unit"]) & (amount > 0) & fits, F.lit(False))
+
+    def of(x: Column) -> Column:
+        want, have = x["want"], x["have"]
+        fits = (F.ceil(want["qty"] / have["qty"]) * have["qty"] - want["qty"]) / want["qty"] <= overshoot
+        return F.coalesce(~want["unparseable"] & ~have["unparseable"] & want["unit"].isin("g", "ml") & (have["unit"] == want["unit"]) & (amount > 0) & fits, F.lit(False))
+
+    return let(F.struct(measure(amount, unit).alias("want"), measure(size_qty, size_unit).alias("have")), of)
 
 
 def compatible(qty_a: Column, unit_a: Column, qty_b: Column, unit_b: Column, tolerance: float = TOLERANCE) -> Column:
     """Why two packs can or can't stand for each other: same_unit, qty_tolerance, unit_mismatch, unparseable_mismatch or both_unparseable."""
-    a, b = measure(qty_a, unit_a), measure(qty_b, unit_b)
-    apart = (a["qty"] > 1) & (b["qty"] > 1) & (F.abs(a["qty"] - b["qty"]) / F.least(a["qty"], b["qty"]) > tolerance)
-    return (
-        F.when(a["unparseable"] & b["unparseable"], "both_unparseable")
-        .when(a["unparseable"] | b["unparseable"], "unparseable_mismatch")
-        .when(a["unit"] != b["unit"], "unit_mismatch")
-        .when(apart, "qty_tolerance")
-        .otherwise("same_unit")
-    )
+
+    def of(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        apart = (a["qty"] > 1) & (b["qty"] > 1) & (F.abs(a["qty"] - b["qty"]) / F.least(a["qty"], b["qty"]) > tolerance)
+        return (
+            F.when(a["unparseable"] & b["unparseable"], "both_unparseable")
+            .when(a["unparseable"] | b["unparseable"], "unparseable_mismatch")
+            .when(a["unit"] != b["unit"], "unit_mismatch")
+            .when(apart, "qty_tolerance")
+            .otherwise("same_unit")
+        )
+
+    return let(F.struct(measure(qty_a, unit_a).alias("a"), measure(qty_b, unit_b).alias("b")), of)
 
 
 def family_of_name(qty: Column, unit: Column, name: Column) -> Column:

@@ -89,7 +89,7 @@ def read_promotions(spark: SparkSession, path: str, root: str = "Root") -> DataF
     nested = F.flatten(F.transform("Groups.Group", lambda g: F.transform(g["PromotionItems"]["PromotionItem"], lambda i: i["ItemCode"])))
     none = F.array().cast("array<string>")
     codes = F.concat(F.coalesce("ItemCode", none), F.coalesce(F.transform("PromotionItems.Item", lambda i: i["ItemCode"]), none), F.coalesce(nested, none))
-    codes = F.array_sort(F.array_distinct(F.filter(F.transform(codes, F.trim), lambda c: (c != "") & ~c.rlike("^0+$"))))
+    codes = F.array_sort(F.array_distinct(F.filter(F.transform(codes, lambda c: F.trim(c)), lambda c: (c != "") & ~c.rlike("^0+$"))))
     start, end = promo_window(il_time(F.col("PromotionStartDate"), F.col("PromotionStartHour")), il_time(F.col("PromotionEndDate"), F.col("PromotionEndHour")))
     n = lambda c: tx.number(F.col(c))
     return rows.select(

@@ -61,6 +61,6 @@ def brand_of(label: Column) -> Column:
 def settlements(areas: DataFrame, zones: dict[str, list[str]], dropped: tuple[str, ...] = ()) -> DataFrame:
     """areas (service_id, label) as (service_id, settlement): named zones by their list, some regions not at all, else what commas and slashes part."""
     table = F.create_map(*(y for k, v in sorted(zones.items()) for y in (F.lit(k), F.array(*map(F.lit, v))))) if zones else None
-    split = F.filter(F.transform(F.split("label", r"[,/]"), F.trim), lambda x: x != "")
+    split = F.filter(F.transform(F.split("label", r"[,/]"), lambda x: F.trim(x)), lambda x: x != "")
     parts = split if table is None else F.coalesce(F.try_element_at(table, F.trim("label")), split)
     return areas.where(~F.trim("label").isin(*dropped) if dropped else F.lit(True)).select("service_id", F.explode(F.array_distinct(parts)).alias("settlement"))
