@@ -12,7 +12,7 @@ costs no more than its count of tasks. The wrappers go back to the pages by a jo
 
 Defined results: null or empty html has the empty text; a page whose url has no host belongs to the host ""; repeated rows are
 extracted each; other columns pass through; columns named text and n_chars are replaced; empty input gives empty output.
-A page that its wrapper doesn't match (none of those it was made from) is judged by its own token marks.
+A page that its wrapper doesn't match is judged by its own token marks.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +51,8 @@ UNIT, NAMED = 8, 40
 PARTS = 64
 #: From so many pages on, a text that never changes is part of the template.
 STEADY = 3
+#: Shapes of pages whose match a wrapper remembers.
+SHAPES = 2_000
 
 
 def tokens(html: str) -> list[tuple[str, str]]:
@@ -100,7 +101,7 @@ def tokens(html: str) -> list[tuple[str, str]]:
     return out
 
 
-# A wrapper is a list of items: a tag key; a text [key, pages, text hash or null]; {"+": items} and {"?": items}.
+# A wrapper is a list of items: a tag key; a text [key, pages, text hash or null], in a page also its places; {"+": items} and {"?": items}.
 
 
 def key_of(item) -> str:
@@ -119,7 +120,7 @@ def joined(a: list, b: list) -> list:
         if isinstance(x, str):
             out.append(x)
         elif isinstance(x, list):
-            out.append([x[0], x[1] + y[1], x[2] if x[2] == y[2] else None])
+            out.append([x[0], x[1] + y[1], x[2] if x[2] == y[2] else None, *(p + q for p, q in zip(x[3:], y[3:]))])
         else:
             mark = next(iter(x))
             out.append({mark: joined(x[mark], y[mark])})
@@ -161,6 +162,23 @@ def page_wrapper(page: list[tuple[str, str]]) -> list:
     return fold([k if k[0] == "<" else [k, 1, zlib.crc32(t.encode("utf-8", "replace"))] for k, t in page if k != " "])
 
 
+def placed(page: list[tuple[str, str]]) -> list:
+    """The folded page with the places of its texts."""
+    return fold([k if k[0] == "<" else [k, 1, None, [i]] for i, (k, _) in enumerate(page) if k != " "])
+
+
+def unrolled(items: list) -> list:
+    """Tags and texts in order, repeated groups going twice."""
+    out = []
+    for x in items:
+        if isinstance(x, dict):
+            mark, inner = next(iter(x.items()))
+            out += unrolled(inner) * (2 if mark == "+" else 1)
+        else:
+            out.append(x)
+    return out
+
+
 def _group(items: list, mark: str):
     """items as the inside of a group, and whether they were one already."""
     if len(items) == 1 and isinstance(items[0], dict) and mark in items[0]:
@@ -208,46 +226,88 @@ def merge(wrappers: list[list]) -> list:
 
 
 class Extractor:
-    """A wrapper as a regular expression, and which of its slots are the main text."""
+    """A wrapper as a program that matches token streams, and which of its slots are the main text.
+
+    All ways through the wrapper are followed at once, so the time is the stream's length times the wrapper's at most. Pages that fold to
+    the same shape are matched once.
+    """
 
     def __init__(self, wrapper: list):
-        self.signs: dict[str, str] = {}
+        self.code: list[tuple] = []
         self.slots: list[list] = []
-        self.pattern = regex.compile(self._of(wrapper))
+        self._compile(wrapper)
+        self.code.append(("end",))
         marked = [x[0] == "#a" for x in self.slots]
         steady = [x[2] is not None and x[1] >= STEADY for x in self.slots]
         free = [x[0] == "#" and not s for x, s in zip(self.slots, steady)]
         self.main = marked if any(marked) else free if any(free) else [x[0] == "#" for x in self.slots]
-        self.marked = any(marked)
+        self.known: dict[str, list[int] | None] = {}
 
-    def sign(self, key: str) -> str:
-        return self.signs.setdefault(key, chr(0xF0000 + len(self.signs)))
-
-    def _of(self, items: list) -> str:
-        out = []
+    def _compile(self, items: list) -> None:
         for x in items:
             if isinstance(x, str):
-                out.append(self.sign(x))
+                self.code.append(("token", x, None))
             elif isinstance(x, list):
+                self.code.append(("token", x[0], len(self.slots)))
                 self.slots.append(x)
-                out.append(f"(?P<s{len(self.slots) - 1}>{self.sign(x[0])})")
             else:
                 mark, inner = next(iter(x.items()))
-                out.append(f"(?:{self._of(inner)}){mark}")
-        return "".join(out)
+                at = len(self.code)
+                if mark == "?":
+                    self.code.append(("fork",))
+                    self._compile(inner)
+                    self.code[at] = ("fork", at + 1, len(self.code))
+                else:
+                    self._compile(inner)
+                    self.code.append(("fork", at, len(self.code) + 1))
+
+    def _ways(self, starts: list[tuple[int, tuple | None]]) -> dict[int, tuple | None]:
+        """Places in the program that are reached without a token, the preferred way to each."""
+        out: dict[int, tuple | None] = {}
+        stack = starts[::-1]
+        while stack:
+            at, said = stack.pop()
+            if at not in out:
+                out[at] = said
+                if self.code[at][0] == "fork":
+                    stack += [(self.code[at][2], said), (self.code[at][1], said)]
+        return out
+
+    def match(self, keys: list[str]) -> list[int] | None:
+        """The slot of each text of a token stream; None if the stream isn't one of the wrapper's."""
+        ways = self._ways([(0, None)])
+        for key in keys:
+            after = []
+            for at, said in ways.items():
+                step = self.code[at]
+                if step[0] == "token" and step[1] == key:
+                    after.append((at + 1, said if step[2] is None else (step[2], said)))
+            if not after:
+                return None
+            ways = self._ways(after)
+        if (end := len(self.code) - 1) not in ways:
+            return None
+        out, said = [], ways[end]
+        while said is not None:
+            out.append(said[0])
+            said = said[1]
+        return out[::-1]
 
     def chosen(self, page: list[tuple[str, str]]) -> set[int]:
         """Places of the tokens that are main text."""
-        places = [i for i, (k, _) in enumerate(page) if k != " "]
-        own = "".join(self.signs.get(page[i][0], "￿") for i in places)
-        try:
-            m = self.pattern.fullmatch(own, timeout=1)
-        except TimeoutError:
-            m = None
-        if m is None:
+        shape = placed(page)
+        stream = unrolled(shape)
+        key = " ".join(map(key_of, shape))
+        if key not in self.known:
+            if len(self.known) >= SHAPES:
+                self.known.clear()
+            self.known[key] = self.match([key_of(x) for x in stream])
+        slots = self.known[key]
+        if slots is None:
             wanted = "#a" if any(k == "#a" for k, _ in page) else "#"
             return {i for i, (k, _) in enumerate(page) if k == wanted}
-        return {places[at] for s, main in enumerate(self.main) if main for at in m.starts(f"s{s}")}
+        texts = [x for x in stream if isinstance(x, list)]
+        return {i for x, slot in zip(texts, slots) if self.main[slot] for i in x[3]}
 
 
 def blocks(page: list[tuple[str, str]], chosen: set[int]) -> str:
