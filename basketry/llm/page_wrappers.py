@@ -369,10 +369,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """pages with text and n_chars."""
     kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
-    host = common.scratch(pages, "w_host")[0]
+    host, known, wrapper = common.scratch(pages, "w_host", "w_known", "w_wrapper")
     rows = pages.select(*kept, host_of(F.col("url")).alias(host))
-    found = common.cut(wrappers(rows.select(F.col(host).alias("host"), "html")))
-    rows = rows.join(found, rows[host] == found["host"], "left")
+    found = common.cut(wrappers(rows.select(F.col(host).alias("host"), "html"))).select(F.col("host").alias(known), F.col("wrapper").alias(wrapper))
+    rows = rows.join(found, F.col(host) == F.col(known), "left")
 
     @F.pandas_udf("string")
     def main_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -383,5 +383,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 out.append(blocks(page, _extractor(wrapper).chosen(page)) if page else "")
             yield pd.Series(out, dtype=object)
 
-    rows = rows.select(*(rows[c] for c in kept), main_text(rows["html"], F.col("wrapper")).alias("text"))
+    rows = rows.select(*kept, main_text(F.col("html"), F.col(wrapper)).alias("text"))
     return rows.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -145,7 +145,7 @@ def fit(patterns: DataFrame, count: int, rounds: int = ROUNDS) -> Model:
 
 
 def judged(stats: DataFrame, threshold: float = THRESHOLD, stat: str = "stat") -> DataFrame:
-    """Adds posterior, base_failed and kept to rows that have the struct `stat`."""
+    """Adds posterior, base_failed and kept to rows that have the struct `stat`; these are stored rows, as `cut_statistics` gives them, else every use of a statistic computes it anew."""
     votes, p, failed, kept = common.scratch(stats, "votes", "posterior", "base_failed", "kept")
     rows = stats.withColumn(votes, F.array(*rules(F.col(stat))))
     patterns = rows.where(~base_failed(F.col(stat))).groupBy(F.col(votes).alias("votes")).agg(F.count(F.lit(1)).alias("n"))

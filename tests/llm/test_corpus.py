@@ -326,13 +326,13 @@ def brute_statistics(t):
 
 
 def test_quality_statistics(docs, rows, none):
-    got = by_row(quality.judged(quality.statistics(docs, keep=["doc_id", "text"])).select("doc_id", "text", *(F.col("stat")[x] for x in quality.NAMES), "base_failed", "kept").collect(), rows)
+    got = by_row(quality.judged(quality.cut_statistics(docs, ["doc_id", "text"])).select("doc_id", "text", *(F.col("stat")[x] for x in quality.NAMES), "base_failed", "kept").collect(), rows)
     for i, t, *_ in rows:
         s = brute_statistics(t)
         failed = s[0] < 50 or 100 * s[4] > 50 * s[0]
         match = [x for x in got[i] if x[0] == t and x[1:6] == s and x[6] == failed]
         assert match and not (failed and match[0][7])
-    assert quality.judged(quality.statistics(none)).count() == 0 and quality.filter_clean(none).count() == 0
+    assert quality.judged(quality.cut_statistics(none, ["doc_id"])).count() == 0 and quality.filter_clean(none).count() == 0
 
 
 def test_quality_learns_without_labels(spark):
