@@ -35,13 +35,13 @@ def listings(old: DataFrame, new: DataFrame) -> DataFrame:
 def store_prices(old: DataFrame, new: DataFrame) -> DataFrame:
     """(listing_id, store_id, price, source_ts, last_seen_at): an older observation never takes over, but every one advances last_seen_at."""
     rows = old.unionByName(new)
-    best = F.max_by(F.struct("price", "source_ts"), F.struct("source_ts", "arrival")).alias("b")
+    best = F.max_by(F.struct("price", "source_ts"), F.struct("source_ts", "arrival", "price")).alias("b")
     return rows.groupBy("listing_id", "store_id").agg(best, F.max("seen_at").alias("last_seen_at")).select("listing_id", "store_id", "b.price", "b.source_ts", "last_seen_at")
 
 
 def price_changes(observations: DataFrame) -> DataFrame:
     """History: in order of arrival, the observations that weren't late and whose price differs from the one kept before."""
-    by = Window.partitionBy("listing_id", "store_id").orderBy("arrival")
+    by = Window.partitionBy("listing_id", "store_id").orderBy("arrival", "price")
     so_far = F.max("source_ts").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = observations.withColumn("so_far", so_far).where(F.col("source_ts") >= F.col("so_far"))
     before = F.lag("price").over(by)

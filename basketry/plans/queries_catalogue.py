@@ -29,9 +29,9 @@ def k1_product_upsert(c: Catalogue):
     return got.join(newest, "identity").select("identity", "brand", "category", "newest")
 
 
-@query(oracle("SELECT listing_id, store_id, arrival, price FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, store_id ORDER BY arrival DESC) AS rn FROM price_point) WHERE rn = 1", "price_point"))
+@query(oracle("SELECT listing_id, store_id, arrival, price FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, store_id ORDER BY arrival DESC, price DESC) AS rn FROM price_point) WHERE rn = 1", "price_point"))
 def k2_batch_dedup(c: Catalogue):
-    return latest_by(c.price_point, ["listing_id", "store_id"], ["arrival"], ["arrival", "price"])
+    return latest_by(c.price_point, ["listing_id", "store_id"], ["arrival", "price"], ["arrival", "price"])
 
 
 @query(oracle("SELECT chain_id, CAST(product_id % 50 AS VARCHAR) AS item_code, arg_max(product_id, (product_id % 7) * 1000000 + product_id) % 5 AS pieces, max(product_id % 7) AS confidence FROM listing GROUP BY 1, 2", "listing"))
@@ -48,7 +48,7 @@ def k4_price_upsert(c: Catalogue):
     return merge.store_prices(rows.where(f"source_ts < timestamp '{SPLIT}'"), rows.where(f"source_ts >= timestamp '{SPLIT}'"))
 
 
-@query(oracle("SELECT listing_id, store_id, price, source_ts FROM (SELECT *, lag(price) OVER (PARTITION BY listing_id, store_id ORDER BY arrival) AS before FROM (SELECT * FROM (SELECT *, max(source_ts) OVER (PARTITION BY listing_id, store_id ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS so_far FROM price_point) WHERE source_ts >= so_far)) WHERE before IS NULL OR abs(price - before) > 0.0005e0", "price_point"))
+@query(oracle("SELECT listing_id, store_id, price, source_ts FROM (SELECT *, lag(price) OVER (PARTITION BY listing_id, store_id ORDER BY arrival, price) AS before FROM (SELECT * FROM (SELECT *, max(source_ts) OVER (PARTITION BY listing_id, store_id ORDER BY arrival, price ROWS UNBOUNDED PRECEDING) AS so_far FROM price_point) WHERE source_ts >= so_far)) WHERE before IS NULL OR abs(price - before) > 0.0005e0", "price_point"))
 def k5_price_changes(c: Catalogue):
     return merge.price_changes(_observed(c)).select("listing_id", "store_id", "price", "source_ts")
 

@@ -98,8 +98,8 @@ class Catalogue:
 
     @cached_property
     def store_price(self) -> DataFrame:
-        """The current price per listing and store: the newest observation, ties by arrival."""
-        return latest_by(self.price_point, ["listing_id", "store_id"], ["source_ts", "arrival"], ["product_id", "chain_id", "price", "source_ts"])
+        """The current price per listing and store: the newest observation, ties by arrival, then price."""
+        return latest_by(self.price_point, ["listing_id", "store_id"], ["source_ts", "arrival", "price"], ["product_id", "chain_id", "price", "source_ts"])
 
     @cached_property
     def promotion(self) -> DataFrame:
@@ -172,7 +172,7 @@ SQL = {
         FROM lineitem JOIN store ON l_suppkey = store_id""",
     "listing": "SELECT DISTINCT listing_id, product_id, chain_id, CAST(product_id AS VARCHAR) AS item_code FROM price_point",
     "store_price": """SELECT listing_id, store_id, product_id, chain_id, price, source_ts FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, store_id
-        ORDER BY source_ts DESC, arrival DESC) AS rn FROM price_point) WHERE rn = 1""",
+        ORDER BY source_ts DESC, arrival DESC, price DESC) AS rn FROM price_point) WHERE rn = 1""",
     "promotion": f"""SELECT o_orderkey AS promotion_id, o_custkey % 25 AS chain_id, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 100 + 1 END AS promo_store_id,
         'P' || CAST(o_orderkey AS VARCHAR) AS promo_code,
         CASE o_orderkey % 6 WHEN 0 THEN 'n_for_price' WHEN 1 THEN 'simple_discount' WHEN 2 THEN 'second_unit_pct' WHEN 3 THEN 'club_price' WHEN 4 THEN 'spend_threshold' ELSE 'other' END AS kind,
