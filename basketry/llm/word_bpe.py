@@ -16,7 +16,8 @@ WORD_END = "</w>"
 #: Chunks whose tokens a task remembers at most; beyond it starts again, so memory stays bounded.
 REMEMBER = 300_000
 
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: What Python splits at though it is no white space.
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
 
@@ -29,7 +30,7 @@ def byte_alphabet() -> list[str]:
 
 def chunks(text: str) -> list[str]:
     """The pieces of a text between white space, as Unicode defines it."""
-    return _CHUNK.findall(text) if _ODD_SPACE.search(text) else text.split()
+    return _CHUNK.findall(text) if any(x in text for x in ODD_SPACE) else text.split()
 
 
 class Vocabulary:
@@ -44,6 +45,7 @@ class Vocabulary:
         for piece, i in [*ids.items(), *self.special.items()]:
             self.pieces[i] = piece
         self.size = len(self.pieces)
+        self.width = "<u2" if self.size <= 1 << 16 else "<u4"
         letters = byte_alphabet()
         self.inner = np.array([ids[x] for x in letters], dtype=np.int64)
         self.last = np.array([ids[x + WORD_END] for x in letters], dtype=np.int64)

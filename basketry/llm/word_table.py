@@ -1,15 +1,17 @@
-"""BPE encoding and decoding through a table of distinct words.
+"""BPE encoding and decoding through distinct words.
 
-A text is cut at white space into words; what a word encodes to depends on the word alone. The words of all texts are counted
-(per task first, then by a shuffle of counts), and each distinct word is encoded once, in Spark, into a table (word, ids, decoded),
-where `decoded` comes from a join of the ids with the table of pieces. Ids go back to the texts by position:
+A text is cut at white space into words; what a word encodes to depends on the word alone, so each distinct word is encoded once
+and its ids go back to the texts by position:
 
-* The `hot` most frequent words (a fixed number, so their table has a size bound) go to all tasks. A text becomes a list of
-  places in that table, and frequent words, which would be hot keys of a join, are never shuffled.
-* Every other word goes as (text key, position, word) to a join with the rest of the word table, and its ids come back by key.
+* The `hot` most frequent words (a fixed number, so their table has a size bound) are encoded into a table (word, ids) that goes to all tasks.
+  A text becomes a list of places in that table. Frequent words, which would be hot keys of a join, are so joined without a shuffle.
+  Words that no task has seen twice aren't counted; which words are in the table changes no result.
+* Every other word goes as (text key, position, word) to the task that its hash names; there equal words lie next to each other, each
+  distinct one is encoded once, and the ids go back by the text's key and position.
 
-The text's list of places and the ids of its rare words meet in one join on the text's key, spread by doc_id and text, so
-that groups of copies don't meet in one task.
+The text's list of places and the ids of its rare words meet in one join on the text's key, which is spread by doc_id, so groups of
+copies don't meet in one task. Decoding joins ids with the pieces of the vocabulary, a table of fixed size: `decode` as a broadcast join
+of rows of ids, `encode` within its last step, on all ids of some texts at once.
 
 Defined results: null is the empty text with no ids, which decodes to the empty text; special strings inside a text become their one id;
 repeated rows are encoded each; other columns are kept; columns named like ours are replaced; empty input gives empty output.
@@ -23,23 +25,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .word_bpe import chunks, vocabulary
 
 #: Words in the table that all tasks hold, at most; words longer than LONGEST characters are never in it.
-HOT, LONGEST = 400_000, 64
+HOT, LONGEST = 1_500_000, 64
 #: Distinct words that a task counts before it hands the counts on.
-HELD = 400_000
-#: Words of texts put together at once.
-TOGETHER = 400_000
+HELD = 500_000
+#: Words of texts put together at once; characters of texts looked up at once.
+TOGETHER, LOOKED_UP = 400_000, 40_000_000
+#: Tasks that encode the frequent words.
+TASKS = 16
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts."""
+    """(word, n) over all texts, of words that some task has seen twice at least."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
@@ -48,14 +55,18 @@ def count_words(docs: DataFrame) -> DataFrame:
                 if text:
                     held.update(chunks(text))
                     if len(held) > HELD:
-                        yield pd.DataFrame(held.items(), columns=["word", "n"])
+                        yield _repeated(held)
                         held = Counter()
-        yield pd.DataFrame(held.items(), columns=["word", "n"])
+        yield _repeated(held)
 
     counts = docs.select("text").mapInPandas(partial, "word string, n long")
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _repeated(held: Counter) -> pd.DataFrame:
+    return pd.DataFrame([x for x in held.items() if x[1] > 1 and len(x[0]) <= LONGEST], columns=["word", "n"])
+
+
 def encoder(path: str):
     @F.pandas_udf("array<int>")
     def encode_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -86,15 +97,11 @@ def decode(rows: DataFrame, path: str, key: str, ids: str = "ids", out: str = "d
     return long.select(F.col("d_key").alias(key), F.transform("parts", lambda x: x["d_id"]).alias(ids), text.alias(out))
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, decoded) of distinct words, each of which is encoded once."""
-    return decode(words.select("word", encoder(path)("word").alias("ids")), path, "word")
-
-
 def text_key(docs: DataFrame) -> list[Column]:
-    """128 bits that tell rows apart; rows that agree in them have equal texts."""
-    text, number = common.text_or_empty("text"), F.col("doc_id")
-    return [F.xxhash64(number, text).alias("k1"), F.xxhash64(F.lit("second"), text, number).alias("k2")]
+    """What tells rows apart: doc_id, where one repeats also 32 bits of the text's hash, and without doc_id 96 bits of it. Rows that agree have equal texts."""
+    number, first, second = F.col("doc_id").try_cast("long"), F.xxhash64("text"), F.shiftright(F.xxhash64(F.lit("second"), "text"), 32)
+    repeated = not docs.select(number.alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return [F.coalesce(number, first).alias("k1"), (second if repeated else F.when(number.isNull(), second).otherwise(0)).alias("k2")]
 
 
 def _pack(codes: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
@@ -108,86 +115,123 @@ def _unpack(blob: bytes, expand: zstandard.ZstdDecompressor) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def _places(held) -> dict[str, int]:
-    return {w: i for i, w in enumerate(held.value[0])}
+def _words(held) -> pa.Array:
+    """The frequent words; a word's place in them stands for it."""
+    return pa.ipc.open_stream(held.value).read_all()["word"].combine_chunks()
+
+
+@functools.lru_cache(maxsize=1)
+def _entries(held) -> tuple[np.ndarray, np.ndarray]:
+    """Of the frequent words: where each one's ids end (0 first), and all ids."""
+    table = pa.ipc.open_stream(held.value).read_all()
+    ids = table["ids"].combine_chunks()
+    ends = np.zeros(1, np.int64) if not len(table) else np.asarray(ids.offsets, np.int64) - ids.offsets[0].as_py()
+    return ends, np.asarray(ids.flatten(), dtype="<u4")
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch whose texts have about LOOKED_UP characters together; a longer text is alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + LOOKED_UP, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _looked_up(texts: pa.Array, words: pa.Array) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
+    """The words of all texts in order, their places (len(words) for rare ones), and how many each text has."""
+    split = [pa.array(chunks(x) if x else [], pa.string()) for x in texts.to_pylist()]
+    flat = pa.chunked_array(split, pa.string())
+    places = pc.fill_null(pc.index_in(flat, value_set=words), len(words)) if len(words) else pa.chunked_array([np.zeros(len(flat), np.int32)])
+    return flat, places.to_numpy(), np.fromiter(map(len, split), np.int64, len(split))
+
+
+def encoded_by_word(rare: DataFrame, path: str) -> DataFrame:
+    """rare (k1, k2, place, word) with the ids of the word (binary) instead of it; each distinct word is encoded once."""
+
+    def encode_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab, last = vocabulary(path), (None, b"")
+        for batch in batches:
+            which, words = pd.factorize(batch["word"])
+            known = [last[1]] if len(words) and words[0] == last[0] else []
+            ids = known + [x.astype(vocab.width).tobytes() for x in vocab.encode_chunks(words[len(known) :].tolist())]
+            if len(words):
+                last = (words[-1], ids[-1])
+            yield pd.DataFrame({"k1": batch["k1"], "k2": batch["k2"], "place": batch["place"], "ids": np.array(ids, dtype=object)[which]})
+
+    return rare.repartition("word").sortWithinPartitions("word").mapInPandas(encode_sorted, "k1 long, k2 long, place int, ids binary")
 
 
 def encode(docs: DataFrame, path: str, keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """The kept columns (all, if none are named), and of each text ids (array<int>), ids_le (the same as little-endian unsigned 32-bit integers) and decoded."""
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("ids", "ids_le", "decoded")]
-    counts = common.cut(count_words(docs))
-    short = F.char_length("word") <= LONGEST
-    frequent = counts.where(short).orderBy(F.desc("n"), "word").limit(hot)
-    table = word_table(frequent, path).join(frequent, "word").toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
-    held = spark.sparkContext.broadcast(
-        (table["word"].tolist(), np.cumsum([0, *map(len, table["ids"])]), np.concatenate([np.zeros(0, "<u4"), *table["ids"]]).astype("<u4"), table["decoded"].tolist())
-    )
-    last = table.iloc[-1] if len(table) >= hot > 0 else None
-    if hot == 0:
-        rest = counts
-    elif last is None:
-        rest = counts.where(~short)
-    else:
-        rest = counts.where(~short | (F.col("n") < int(last["n"])) | ((F.col("n") == int(last["n"])) & (F.col("word") > last["word"])))
-    del table
-
-    def lookup(found: str):
-        @F.pandas_udf(found)
-        def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            places, squeeze = _places(held), zstandard.ZstdCompressor(level=1)
-            get = places.get
-            for texts in batches:
-                if found == "binary":
-                    yield pd.Series([_pack(np.fromiter((get(w, len(places)) for w in chunks(x or "")), np.uint32), squeeze) for x in texts], dtype=object)
-                else:
-                    yield pd.Series([[w for w in chunks(x or "") if w not in places] for x in texts], dtype=object)
-
-        return of_texts
-
-    text = common.text_or_empty("text")
-    rare = docs.select(*text_key(docs), F.posexplode(lookup("array<string>")(text)).alias("place", "word"))
-    rare = rare.join(word_table(rest, path), "word").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("place", "ids", "decoded"))).alias("rare"))
-    rows = docs.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(keep)), *text_key(docs), lookup("binary")(text).alias("places"))
-    rows = rows.join(rare, ["k1", "k2"], "left")
-    parts = [F.flatten(F.transform("rare", lambda x: x["ids"])), F.transform("rare", lambda x: F.size(x["ids"])), F.transform("rare", lambda x: x["decoded"])]
-
-    @F.pandas_udf("ids array<int>, ids_le binary, decoded string")
-    def together(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        words, ends, flat, texts = held.value
-        expand, n = zstandard.ZstdDecompressor(), len(words)
-
-        def of_group(group: list[tuple]) -> list[tuple]:
+    frequent = count_words(docs).orderBy(F.desc("n"), "word").limit(hot)
+    table = frequent.repartition(F.xxhash64("word") % TASKS).select("word", "n", encoder(path)("word").alias("ids")).toArrow()
+    table = table.sort_by([("n", "descending"), ("word", "ascending")]).drop_columns("n")  # small places for frequent words
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    held = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    del table, sink
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words(held)
+        for batch in (x for b in batches for x in _slices(b)):
+            flat, places, sizes = _looked_up(batch["text"], words)
+            missing = np.flatnonzero(places == len(words))
+            owner = np.repeat(np.arange(len(sizes)), sizes)[missing]
+            nth = np.arange(len(missing)) - np.searchsorted(owner, owner)  # among the rare words of its text
+            columns = [batch["k1"].take(pa.array(owner)), batch["k2"].take(pa.array(owner)), pa.array(nth.astype(np.int32)), flat.take(pa.array(missing)).combine_chunks()]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "place", "word"])
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, squeeze = _words(held), zstandard.ZstdCompressor(level=1)
+        for batch in (x for b in batches for x in _slices(b)):
+            _, places, sizes = _looked_up(batch["text"], words)
+            blobs = [_pack(x, squeeze) for x in np.split(places, np.cumsum(sizes)[:-1])]
+            kept = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(blobs, pa.binary())], [*(batch.schema.names[i] for i in kept), "places"])
+
+    keyed = [c.cast("long").alias(n) for c, n in zip(text_key(docs), ("k1", "k2"))]
+    rare = docs.select(*keyed, "text").mapInArrow(rare_words, "k1 long, k2 long, place int, word string")
+    rare = encoded_by_word(rare, path).groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "ids")).alias("rare"))
+    rows = docs.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(keep)), *keyed, "text")
+    blobs = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), T.StructField("places", T.BinaryType())])
+    rows = rows.mapInArrow(compact, blobs).join(rare, ["k1", "k2"], "left")
+    rows = rows.select(*(f"c_{i}" for i in range(len(keep))), "places", F.transform("rare", lambda x: x["place"]).alias("at"), F.transform("rare", lambda x: x["ids"]).alias("own"))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ends, flat), vocab = _entries(held), vocabulary(path)
+        expand, n = zstandard.ZstdDecompressor(), len(ends) - 1
+
+        def of_group(group: list[tuple], kept: pa.RecordBatch) -> pa.RecordBatch:
             codes = [x[0] for x in group]
             whole = np.concatenate(codes).astype(np.int64)
             missing = np.flatnonzero(whole == n)
             whole[missing] = n + np.arange(len(missing))
-            extra = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in group)]).astype(np.int64)
-            said = [y for x in group for y in x[3]]
-            table = np.concatenate([flat, *(np.asarray(x[1], "<u4") for x in group)])
-            starts = np.r_[ends, len(flat) + np.cumsum(extra)]  # of a word its own, then the end of the last
+            own = [y for x in group for y in x[1]]
+            table = np.concatenate([flat, np.frombuffer(b"".join(own), vocab.width).astype("<u4")])
+            starts = np.r_[ends, len(flat) + np.cumsum([len(x) for x in own], dtype=np.int64) // np.dtype(vocab.width).itemsize]
             first, sizes = starts[whole], starts[whole + 1] - starts[whole]
             ids = table[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
             stops = np.r_[0, np.cumsum(sizes)][np.cumsum([0, *map(len, codes)])]
-            out, at = [], 0
-            for i, own in enumerate(codes):
-                spoken = [texts[w] if w < n else said[w - n] for w in whole[at : at + len(own)].tolist()]
-                at += len(own)
-                own_ids = ids[stops[i] : stops[i + 1]]
-                out.append((own_ids.astype(np.int32), own_ids.tobytes(), " ".join(filter(None, spoken))))
-            return out
-
-        for blobs, *lists in batches:
-            out, group, size = [], [], 0
-            for blob, *found in zip(blobs, *lists):
+            said, spans = vocab.pieces[ids].tolist(), list(zip(stops[:-1].tolist(), stops[1:].tolist()))
+            columns = [pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([" ".join(said[a:b]) for a, b in spans], pa.string())]
+            return pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, "ids", "ids_le", "decoded"])
+
+        for batch in batches:
+            kept = batch.select([x for x in batch.schema.names if x.startswith("c_")])
+            group, size, at = [], 0, 0
+            for i, (blob, places, own) in enumerate(zip(batch["places"].to_pylist(), batch["at"].to_pylist(), batch["own"].to_pylist())):
                 codes = _unpack(blob, expand)
-                group.append((codes, *(x if x is not None else () for x in found)))
+                group.append((codes, () if places is None else [own[j] for j in np.unique(places, return_index=True)[1].tolist()]))
                 size += len(codes)
-                if size >= TOGETHER:
-                    out += of_group(group)
-                    group, size = [], 0
-            out += of_group(group) if group else []
-            yield pd.DataFrame(out, columns=["ids", "ids_le", "decoded"])
-
-    out = rows.withColumn("out", together("places", *parts))
-    return out.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(keep)), "out.ids", "out.ids_le", "out.decoded")
+                if size >= TOGETHER or i + 1 == len(batch):
+                    yield of_group(group, kept.slice(at, i + 1 - at))
+                    group, size, at = [], 0, i + 1
+
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    out = rows.mapInArrow(together, T.StructType([*rows.schema.fields[: len(keep)], *made]))
+    return out.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(keep)), "ids", "ids_le", "decoded")
