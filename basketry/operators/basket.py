@@ -47,15 +47,17 @@ def cheapest_candidate(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def missing_reason(lines: DataFrame, products: DataFrame, listings: DataFrame, prices: DataFrame, stores: DataFrame) -> DataFrame:
-    """(basket_id, product_id, store_id, reason) of every line that a store doesn't price."""
-    wanted = lines.select("basket_id", "product_id").join(F.broadcast(stores.select("store_id", "chain_id")), F.lit(True))
+    """(basket_id, product_id, store_id, reason) of every line that a store doesn't price. Reasons are found once per product and store."""
+    lines = lines.select("basket_id", F.col("product_id").alias("asked"))
+    wanted = lines.select(F.col("asked").alias("product_id")).distinct().join(F.broadcast(stores.select("store_id", "chain_id")), F.lit(True))
     known = products.select("product_id").distinct().withColumn("known", F.lit(True))
     carried = listings.select("product_id", "chain_id").distinct().withColumn("carried", F.lit(True))
     anywhere = prices.select("product_id").distinct().withColumn("anywhere", F.lit(True))
     here = prices.select("product_id", "store_id").distinct()
     rows = wanted.join(here, ["product_id", "store_id"], "left_anti").join(known, "product_id", "left").join(carried, ["product_id", "chain_id"], "left").join(anywhere, "product_id", "left")
     reason = F.when(F.col("known").isNull(), "product_not_found").when(F.col("anywhere").isNull(), "no_price_data").when(F.col("carried").isNull(), "not_carried_by_chain").otherwise("no_price_here")
-    return rows.select("basket_id", "product_id", "store_id", reason.alias("reason"))
+    rows = rows.select("product_id", "store_id", reason.alias("reason"))
+    return lines.join(rows, F.col("asked").eqNullSafe(F.col("product_id"))).select("basket_id", "product_id", "store_id", "reason")
 
 
 def totals(priced: DataFrame, lines: DataFrame) -> DataFrame:

@@ -6,21 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "l7_ranked_plans"
+FLAGSHIP = "l7_ranked_plans_whole"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers f(catalogue) under its own name, with the SQL of its result if there is one."""
+def query(sql: str | None = None, subset: bool = False):
+    """Registers f(catalogue) under its own name, with the SQL of its result if there is one.
+
+    With `subset` the SQL is of a stated subset of the ids; the query over all of them is then registered too, as NAME_whole.
+    """
     from .views import Catalogue
 
     def add(f: Callable[[Catalogue], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Catalogue(spark, sf_dir))
+        def register(name: str, whole: bool) -> None:
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                return f(Catalogue(spark, sf_dir, whole))
+
+            run.__name__, run.__doc__ = name, f.__doc__
+            QUERIES[name] = run
 
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
+        register(f.__name__, not subset)
+        if subset:
+            register(f"{f.__name__}_whole", True)
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql
         return f

@@ -41,8 +41,12 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Catalogue:
     """Views over one folder of driver tables; each is a plan, nothing is read before an action."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = True):
+        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
+
+    def stated(self, rows: DataFrame, condition: str) -> DataFrame:
+        """All rows; or those of the subset that a query's SQL states, for the form of the query that is held against it."""
+        return rows if self.whole else rows.where(condition)
 
     def raw(self, name: str) -> DataFrame:
         return tables(self.spark, self.sf_dir, name)
@@ -150,7 +154,7 @@ class Catalogue:
     @cached_property
     def basket_line(self) -> DataFrame:
         """Shopping lists: an order's lines, one per product, with small quantities."""
-        rows = self.raw("lineitem").where(F.col("l_orderkey") % 50 == 0)
+        rows = self.stated(self.raw("lineitem"), "l_orderkey % 50 = 0")
         return rows.groupBy(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id")).agg(F.max(F.col("l_quantity") % 4 + 1).alias("qty"))
 
 
