@@ -4,15 +4,16 @@ A page is a stream of tokens: tags, and texts marked by where they stand (in an
 A wrapper is a union-free regular expression over such tokens: tags, text slots, optional groups and repeated groups.
 Every page folds into a wrapper of its own (neighbouring equal runs become one repeated group). Wrappers of one host are
 aligned one by one: tags that agree are matched; a text that differs becomes a slot; what only one side has becomes an optional
-group, or one more turn of a repeated group. The host's wrapper then says which slots are the main text: those
-in articles, or where a host marks none, the slots outside furniture and links whose text differs from page to page.
+group, or one more turn of a repeated group. The host's wrapper then says which slots differ from page to page. A page is judged by
+the slots it passes: its articles are the main text if any of their slots differs, else its slots outside furniture and links that differ,
+with the links and steady words that stand in one block with these. Where a page has more of the latter than of the former, both are main text.
 
 Wrappers are merged inside each task first, then by (host, part of the tasks), then by host, so a host with a third of all pages
 costs no more than its count of tasks. The wrappers go back to the pages by a join on the host.
 
 Defined results: null or empty html has the empty text; a page whose url has no host belongs to the host ""; repeated rows are
 extracted each; other columns pass through; columns named text and n_chars are replaced; empty input gives empty output.
-A page that its wrapper doesn't match is judged by its own token marks.
+A page that its wrapper doesn't match is judged by its own token marks alone. Copies of a page's texts count once for what is steady.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ _PART = re.compile(r"[a-z]+")
 UNIT, NAMED = 8, 40
 #: Parts that the tasks' wrappers of one host are merged in first.
 PARTS = 64
-#: From so many pages on, a text that never changes is part of the template.
+#: From so many pages with different texts on, a text that never changes is part of the template.
 STEADY = 3
 #: Shapes of pages whose match a wrapper remembers.
 SHAPES = 2_000
@@ -101,7 +102,7 @@ def tokens(html: str) -> list[tuple[str, str]]:
     return out
 
 
-# A wrapper is a list of items: a tag key; a text [key, pages, text hash or null], in a page also its places; {"+": items} and {"?": items}.
+# A wrapper is a list of items: a tag key; a text [key, hashes of up to STEADY pages, text hash or null], in a page also its places; {"+": items} and {"?": items}.
 
 
 def key_of(item) -> str:
@@ -120,7 +121,7 @@ def joined(a: list, b: list) -> list:
         if isinstance(x, str):
             out.append(x)
         elif isinstance(x, list):
-            out.append([x[0], x[1] + y[1], x[2] if x[2] == y[2] else None, *(p + q for p, q in zip(x[3:], y[3:]))])
+            out.append([x[0], x[1] if x[1] == y[1] else sorted({*x[1], *y[1]})[:STEADY], x[2] if x[2] == y[2] else None, *(p + q for p, q in zip(x[3:], y[3:]))])
         else:
             mark = next(iter(x))
             out.append({mark: joined(x[mark], y[mark])})
@@ -159,12 +160,13 @@ def fold(items: list) -> list:
 
 
 def page_wrapper(page: list[tuple[str, str]]) -> list:
-    return fold([k if k[0] == "<" else [k, 1, zlib.crc32(t.encode("utf-8", "replace"))] for k, t in page if k != " "])
+    whole = [zlib.crc32("\n".join(t for k, t in page if k[0] == "#").encode("utf-8", "replace"))]
+    return fold([k if k[0] == "<" else [k, whole, zlib.crc32(t.encode("utf-8", "replace"))] for k, t in page if k != " "])
 
 
 def placed(page: list[tuple[str, str]]) -> list:
     """The folded page with the places of its texts."""
-    return fold([k if k[0] == "<" else [k, 1, None, [i]] for i, (k, _) in enumerate(page) if k != " "])
+    return fold([k if k[0] == "<" else [k, [], None, [i]] for i, (k, _) in enumerate(page) if k != " "])
 
 
 def unrolled(items: list) -> list:
@@ -226,7 +228,7 @@ def merge(wrappers: list[list]) -> list:
 
 
 class Extractor:
-    """A wrapper as a program that matches token streams, and which of its slots are the main text.
+    """A wrapper as a program that matches token streams, and which of its slots differ from page to page.
 
     All ways through the wrapper are followed at once, so the time is the stream's length times the wrapper's at most. Pages that fold to
     the same shape are matched once.
@@ -237,10 +239,13 @@ class Extractor:
         self.slots: list[list] = []
         self._compile(wrapper)
         self.code.append(("end",))
-        marked = [x[0] == "#a" for x in self.slots]
-        steady = [x[2] is not None and x[1] >= STEADY for x in self.slots]
-        free = [x[0] == "#" and not s for x, s in zip(self.slots, steady)]
-        self.main = marked if any(marked) else free if any(free) else [x[0] == "#" for x in self.slots]
+        pages: dict[int, set[int]] = {}
+        for x in self.slots:
+            if x[2] is not None:
+                pages.setdefault(x[2], set()).update(x[1])
+        self.steady = [x[2] is not None and len(pages[x[2]]) >= STEADY for x in self.slots]
+        #: If all of the host's texts outside articles, furniture and links are steady, they count as if they differed.
+        self.plain = not any(x[0] == "#" and not s for x, s in zip(self.slots, self.steady))
         self.known: dict[str, list[int] | None] = {}
 
     def _compile(self, items: list) -> None:
@@ -304,10 +309,37 @@ class Extractor:
             self.known[key] = self.match([key_of(x) for x in stream])
         slots = self.known[key]
         if slots is None:
-            wanted = "#a" if any(k == "#a" for k, _ in page) else "#"
-            return {i for i, (k, _) in enumerate(page) if k == wanted}
-        texts = [x for x in stream if isinstance(x, list)]
-        return {i for x, slot in zip(texts, slots) if self.main[slot] for i in x[3]}
+            differs = {i for i, (k, _) in enumerate(page) if k[0] == "#"}
+        else:
+            differs = set()
+            for x, slot in zip((x for x in stream if isinstance(x, list)), slots):
+                if not self.steady[slot] or x[0] == "#" and self.plain:
+                    differs.update(x[3])
+        return main_places(page, differs)
+
+
+def main_places(page: list[tuple[str, str]], differs: set[int]) -> set[int]:
+    """Places of the main text of a page, by its marks and by which of its texts differ from page to page."""
+    marked = {i for i, (k, _) in enumerate(page) if k == "#a"}
+    free = {i for i in differs if page[i][0] == "#"}
+    if marked & differs:
+        size = lambda places: sum(len(page[i][1].strip()) for i in places)
+        if not free or size(free) <= size(marked):
+            return marked
+    elif not free:
+        return marked
+    else:
+        marked = set()
+    linked, block, words = set(), [], False
+    for i, (key, text) in enumerate(page):
+        if key[0] == "<" and key[1:].lstrip("/").partition(".")[0] not in INLINE or key == "<br":
+            if words:
+                linked.update(block)
+            block, words = [], False
+        elif key in ("#", "#l"):
+            block.append(i)
+            words = words or i in free and any(map(str.isalnum, text))
+    return marked | free | linked.union(block if words else ())
 
 
 def blocks(page: list[tuple[str, str]], chosen: set[int]) -> str:

@@ -231,6 +231,23 @@ def test_wrapper_tells_template_from_content(spark):
     assert got[3] == "Text number 3\n\nMore 21"
 
 
+def test_host_with_marked_and_unmarked_pages(spark):
+    """Marks on some pages of a host don't empty its other pages; links among main words stay; copies of a page don't make it a template."""
+    frame = "<html><body><nav><a href=/>Home</a></nav><div>Same banner</div>{}<footer>foot</footer></body></html>"
+    rows = [(i, frame.format(f"<article><p>Marked {i}</p></article>")) for i in range(5)]
+    rows += [(10 + i, frame.format(f"<div><p>Plain {i} with <a href=x>linked words {i}</a> inside</p></div>")) for i in range(5)]
+    rows += [(20 + i, "<html><body><h2>Copied page</h2><table><tr><td>always alike</td></tr></table></body></html>") for i in range(5)]
+    rows += [(30 + i, frame.format(f"<div class='entry'>Welcome</div><section><p>Story {i}</p></section>")) for i in range(4)]
+    rows += [(40, frame.format("<div class='post-title'>Short</div><section><ul><li>" + "A long text that no name marks. " * 9 + "</ul></section>"))]
+    df = spark.createDataFrame([(i, f"http://{'mixed' if i < 20 else i // 10}.example.com/{i}", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_wrappers.extract(df).collect()}
+    assert [got[i] for i in (0, 4)] == ["Marked 0", "Marked 4"]
+    assert [got[10 + i] for i in (0, 4)] == [f"Plain {i} with linked words {i} inside" for i in (0, 4)]
+    assert got[20] == "Copied page\n\nalways alike"
+    assert got[31] == "Story 1"
+    assert "A long text" in got[40] and "Short" in got[40]
+
+
 def test_wrappers_match_what_they_come_from():
     rng = random.Random(5)
     pages = []
