@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 # Element names and the words that mark page furniture in class, id and role attributes.
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select", "button", "object")
+RAW = ("script", "style", "title", "textarea", "iframe")
+QUIET = ("noscript", "template", "svg", "select", "button", "object")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
 FURNITURE = frozenset("head nav header footer aside form menu dialog figure-nav".split())
@@ -43,6 +44,7 @@ BAD_NAMES = frozenset("ad ads advert adverts advertisement banner sponsor sponso
 GOOD_NAMES = frozenset("article content post entry story main maincontent".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?:/?[A-Za-z])[^>]*(?:>|\Z)", re.DOTALL)
+_QUIET_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?![^\s/>]).*?(?:</\1(?![^\s/>])|\Z)|<(/?)({'|'.join(QUIET)})(?![^\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
@@ -56,15 +58,36 @@ STEADY = 3
 SHAPES = 2_000
 
 
+def ended(html: str) -> set[int]:
+    """Places of the tags of QUIET elements that an end tag closes; a button, select or noscript can't stand in its like."""
+    opened: dict[str, list[int]] = {}
+    out = set()
+    for m in _QUIET_TAG.finditer(html):
+        if not (name := (m[3] or "").lower()) or m[4].endswith("/"):
+            continue
+        at = opened.setdefault(name, [])
+        if not m[2]:
+            if name in ("button", "select", "noscript"):
+                at.clear()
+            at.append(m.start())
+        elif at:
+            out.add(at.pop())
+    return out
+
+
 def tokens(html: str) -> list[tuple[str, str]]:
-    """(key, text): key is a tag such as "<div.ad" or "</div", or for texts "#a" in articles, "#b" in furniture, "#l" in links, "#"."""
+    """(key, text): key is a tag such as "<div.ad" or "</div", or for texts "#a" in articles, "#b" in furniture, "#l" in links, "#".
+
+    Closed QUIET elements are furniture that gives no tokens; self-closed ones and those that nothing closes hold nothing.
+    """
     out, stack, at = [], [], 0
-    bad = good = links = 0
+    bad = good = links = quiet = 0
+    closed = None
     end = len(html)
     while at < end:
         m = _TOKEN.search(html, at)
         stop = m.start() if m else end
-        if stop > at:
+        if stop > at and not quiet:
             text = html[at:stop]
             if not text.isspace():
                 out.append(("#b" if bad else "#a" if good else "#l" if links else "#", references.unescape(text)))
@@ -80,25 +103,35 @@ def tokens(html: str) -> list[tuple[str, str]]:
             close = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
             at = close.end() if close else end
             continue
+        if name in QUIET:
+            if not closing and not attributes.endswith("/"):
+                closed = ended(html) if closed is None else closed
+                if m.start() in closed:
+                    stack.append((name, True, False))
+                    bad, quiet = bad + 1, quiet + 1
+            if not closing or not any(x[0] == name for x in stack):
+                continue
         if name == "a":
             links = 0 if closing else 1
         if not closing:
             words = [x for _, *values in _ATTRIBUTE.findall(attributes) for x in values if x] if attributes else []
             marks = {p for x in words for p in _PART.findall(x.lower())}
             shown = "." + ".".join(sorted(marks))[:NAMED] if marks else ""
-            out.append((f"<{name}{shown}", ""))
+            if not quiet:
+                out.append((f"<{name}{shown}", ""))
             if name in CONTAINERS or marks and name not in VOID and name not in ("p", "li"):
                 state = (bool(name in FURNITURE or (marks & BAD_NAMES and name not in ("html", "body", "article", "main")) or _HIDDEN.search(attributes)), name in ARTICLE or bool(marks & GOOD_NAMES))
                 stack.append((name, *state))
                 bad, good = bad + state[0], good + state[1]
         else:
-            out.append((f"</{name}", ""))
             if any(x[0] == name for x in stack):
                 while True:
                     top, was_bad, was_good = stack.pop()
-                    bad, good = bad - was_bad, good - was_good
+                    bad, good, quiet = bad - was_bad, good - was_good, quiet - (top in QUIET)
                     if top == name:
                         break
+            if not quiet and name not in QUIET:
+                out.append((f"</{name}", ""))
     return out
 
 

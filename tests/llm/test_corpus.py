@@ -248,6 +248,21 @@ def test_host_with_marked_and_unmarked_pages(spark):
     assert "A long text" in got[40] and "Short" in got[40]
 
 
+@pytest.mark.parametrize("tag", ['<svg class="icon"/>', "<svg viewBox='0 0 1 1' />", "<button>", "<select>", "<object data=x>", "<noscript>", "<template>", "<svg>"])
+@pytest.mark.parametrize("later", ["", "<button>Send</button><svg><path/><title>i</title><g>i</g></svg>", "<select><option>x</select><noscript><p>off</p></noscript>"])
+def test_unclosed_elements_cut_no_text(tag, later):
+    """Self-closed or unclosed icons and controls lose nothing after them; closed ones hold no main text."""
+    if tag == "<svg>":
+        later = later.replace("svg>", "template>")
+    got = page_wrappers.tokens(f"<article><div>{tag}</div><p>Before</p>{tag}<p>After</p>{later}<p>Last</p></article><p>Outside</p>")
+    assert [(k, t) for k, t in got if k[0] == "#"] == [("#a", "Before"), ("#a", "After"), ("#a", "Last"), ("#", "Outside")]
+
+
+def test_stray_end_tag_ends_with_its_container():
+    got = page_wrappers.tokens("<div><button>Share</div><article><p>Whole text</p></article><div></button>end</div>")
+    assert [(k, t) for k, t in got if k[0] == "#"] == [("#a", "Whole text"), ("#", "end")]
+
+
 def test_wrappers_match_what_they_come_from():
     rng = random.Random(5)
     pages = []
