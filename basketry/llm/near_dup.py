@@ -15,7 +15,7 @@ Components come from alternating star contractions on the links, each stored in
 
 Defined results: null and blank texts have fingerprint 0 and link like any other; rows with a null doc_id count in the
 components, whose id is the smallest doc_id that is not null (null if there is none); repeated rows are kept; extra columns
-are ignored by `components` and pass through `one_of_each`.
+are ignored by `components` and pass through `one_of_each`, which keeps one row of every component, with or without doc_ids.
 """
 
 from __future__ import annotations
@@ -181,19 +181,30 @@ def stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def labelled(marked: DataFrame, most: int = MOST) -> DataFrame:
+    """(fp, first, label) of every fingerprint of marked (doc_id, fp): its smallest doc_id, and the label of its component."""
+    nodes = common.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    labels = stars(links(nodes, most))
+    return nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
 def components(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, fp (the fingerprint as a long) and component_id of every row."""
     marked = common.cut(docs.select("doc_id", fingerprints(common.text_or_empty("text")).alias("fp")))
-    nodes = common.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = stars(links(nodes, most))
-    named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    named = labelled(marked, most)
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     of_node = named.join(least, "label").select("fp", "component_id")
     return marked.join(of_node, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """The rows of docs whose doc_id is its component's, one row for each; rows without a doc_id all stay."""
-    kept = components(docs, most).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component: the one with the smallest doc_id, then the smallest hash of its text; rows without a doc_id come last."""
+    kept_id, kept_hash, own_hash = common.scratch(docs, "n_id", "n_kept", "n_hash")
+    text_hash = F.xxhash64(common.text_or_empty("text"))
+    marked = common.cut(docs.select("doc_id", fingerprints(common.text_or_empty("text")).alias("fp"), text_hash.alias("hash")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    first = marked.join(labelled(marked, most).select("fp", "label"), "fp").groupBy("label").agg(F.min(order).alias("k"))
+    first = first.select(F.col("k.doc_id").alias(kept_id), F.col("k.hash").alias(kept_hash))
+    rows = docs.withColumn(own_hash, text_hash)
+    stay = rows.join(first, rows["doc_id"].eqNullSafe(first[kept_id]) & (rows[own_hash] == first[kept_hash]), "left_semi")
+    return stay.dropDuplicates(["doc_id", own_hash]).drop(own_hash)

@@ -415,6 +415,17 @@ def test_components(docs, rows, none):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({c for c in labels if c is not None})
 
 
+def test_one_of_each_keeps_one_row_of_every_component(spark):
+    """A doc_id with different texts loses neither; a repeated doc_id doesn't bring back a copy; copies without ids leave one."""
+    rng = random.Random(3)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a), (2, c), (None, d), (None, d), (None, d), (None, a), (3, c)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = collections.Counter(map(tuple, near_dup.one_of_each(df).collect()))
+        assert got == collections.Counter([(1, a), (1, b), (2, c), (None, d)])
+
+
 def test_links_lose_no_component(spark):
     """Random fingerprints close to centres, in small and large files, against all pairs."""
     rng = random.Random(9)
