@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,19 +20,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: the one spark.checkpoint.dir names, or one of our own where it is unset."""
+    """The folder that all executors see, which spark.checkpoint.dir names.
+
+    Where that is unset, a session on one machine takes a folder of its own; on a cluster, whose executors would not see it, this raises an error.
+    """
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/basketry"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="basketry-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of actions that run inside go when the action ends, as nothing reads them after it."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and go on from there, so that a lost executor costs no recomputation of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -96,7 +96,7 @@ def test_decode_join(spark, path, tokenizer):
     texts = ["the cat sat", "", "Ωmega 12 <|endoftext|>"]
     ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     df = spark.createDataFrame([*zip(range(3), ids), (3, None)], "k long, ids array<int>")
-    got = {r["k"]: r["decoded"] for r in word_table.decode(df, path, "k").collect()}
+    got = {r["k"]: r["decoded"] for r in word_table.decode(df, path, ["k"]).collect()}
     assert got == {**{i: tokenizer.decode(x, skip_special_tokens=False) for i, x in enumerate(ids)}, 3: ""}
 
 
