@@ -5,11 +5,12 @@ The converter parses each header line by its version, takes the declared length
 a record id (a name-based UUID, so reruns agree), an ISO time, the record type, block and payload digests.
 
 Equal payloads of at least `LEAST` bytes are stored once: the record with the largest page id is the response and the others revisit it.
-Digests are counted by a shuffle of (digest, page id) alone, and only the digests that occur more than once
-are joined back, so payloads are shuffled only if that table is too large to broadcast.
+Digests are counted by a shuffle of (digest, page id) alone, and only the digests that occur more than once are joined back, under SALTS keys
+each, so a payload that a third of all pages share is spread; payloads are shuffled only if that table is too large to broadcast.
 
-Files are written by Spark's text writer, one row per file of about SEGMENT characters, compressed as one gzip member; they are read as
-binary files, so one file is what a task holds at a time. Both work wherever Spark's file systems do.
+Files are written by Spark's text writer, one row a record and one file a task, compressed by gzip at its fastest level; what ends a record in
+the format is the writer's line separator. They are read as binary files and unpacked record by record, so a task holds one packed file and
+one record at a time. Both work wherever Spark's file systems do.
 
 Defined results: null html is the empty payload; a null url is "about:blank", white space in urls is escaped; a null page_id stays null and counts as the
 smallest; rows that repeat both page_id and payload share one type; extra columns are ignored; empty input gives empty output.
@@ -20,9 +21,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +42,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_HEADER = "X-Page-Id"
 
 LEAST = 1000
-#: Characters of one archive file, about; a longer record has a file of its own. Bytes of records handed on together.
-SEGMENT, HANDED = 6_000_000, 4_000_000
+#: Characters of records handed on together; keys that a payload with copies is joined by.
+HANDED, SALTS = 4_000_000, 32
 #: When pages were taken, if nothing says so.
 TAKEN = "20240101000000"
 
@@ -51,21 +54,22 @@ def _escaped(url: str | None) -> str:
     return re.sub(r"[\s\x00-\x1f\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) if url else "about:blank"
 
 
-def _segments(records: Iterable[str], opening: str) -> Iterator[str]:
+def _handed(records: Iterable[str]) -> Iterator[pd.DataFrame]:
     held, size = [], 0
     for x in records:
         held.append(x)
         size += len(x)
-        if size >= SEGMENT:
-            yield opening + "".join(held)
+        if size >= HANDED:
+            yield pd.DataFrame({"value": held})
             held, size = [], 0
     if held:
-        yield opening + "".join(held)
+        yield pd.DataFrame({"value": held})
 
 
-def _write(files: DataFrame, path: str) -> str:
-    """One file per row of the column `value`; the writer ends each with a line feed."""
-    files.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+def _write(records: DataFrame, path: str, ending: str) -> str:
+    """One record per row of the column `value`; the writer ends each with `ending`."""
+    with common.shuffles_removed(records.sparkSession):
+        records.write.option("lineSep", ending).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
     return path
 
 
@@ -73,14 +77,14 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
-def _unzipped(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def _opened(content: bytes) -> BinaryIO:
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 20) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
 
 def arc_opening(version: int) -> str:
     block = f"{version} 0 basketry\n{' '.join(ARC_FIELDS[version])}\n\n"
     values = {"URL": "filedesc://pages.arc", "IP-address": "0.0.0.0", "Archive-date": TAKEN, "Content-type": "text/plain", "Result-code": "200", "Archive-length": str(len(block))}
-    return " ".join(values.get(x, "-") for x in ARC_FIELDS[version]) + "\n" + block + "\n"
+    return " ".join(values.get(x, "-") for x in ARC_FIELDS[version]) + "\n" + block
 
 
 def arc_record(version: int, page_id: int | None, url: str | None, html: str | None) -> str:
@@ -88,35 +92,32 @@ def arc_record(version: int, page_id: int | None, url: str | None, html: str | N
     named = "" if page_id is None else f"{ID_HEADER}: {page_id}\r\n"
     content = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{named}Content-Length: {len(body.encode())}\r\n\r\n{body}"
     values = {"URL": _escaped(url), "IP-address": "0.0.0.0", "Archive-date": TAKEN, "Content-type": "text/html", "Result-code": "200", "Archive-length": str(len(content.encode()))}
-    return " ".join(values.get(x, "-") for x in ARC_FIELDS[version]) + "\n" + content + "\n"
+    return " ".join(values.get(x, "-") for x in ARC_FIELDS[version]) + "\n" + content
 
 
 def write_arc(pages: DataFrame, path: str) -> str:
-    """The pages as ARC files; versions 1 and 2 take turns by file."""
+    """The pages as ARC files; versions 1 and 2 take turns by batch, each with a version block of its own."""
 
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[str]:
         version = 1
         for batch in batches:
-            records = (arc_record(version, None if pd.isna(i) else int(i), u, h) for i, u, h in zip(batch["page_id"], batch["url"], batch["html"]))
-            for value in _segments(records, arc_opening(version)):
-                yield pd.DataFrame({"value": [value]})
+            yield arc_opening(version)
+            for i, u, h in zip(batch["page_id"], batch["url"], batch["html"]):
+                yield arc_record(version, None if pd.isna(i) else int(i), u, h)
             version = 3 - version
 
-    return _write(pages.select(F.col("page_id").cast("string"), "url", "html").mapInPandas(files, "value string"), path)
+    rows = pages.select(F.col("page_id").cast("string"), "url", "html")
+    return _write(rows.mapInPandas(lambda batches: _handed(records(batches)), "value string"), path, "\n")
 
 
-def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, content) of each record after the version block; fields are named as the block's last line names them."""
-    at, fields = 0, ARC_FIELDS[1]
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
+def arc_records(data: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, content) of each record that is no version block; fields are named as the last version block's last line names them."""
+    fields = ARC_FIELDS[1]
+    while raw := data.readline():
+        line = raw.decode("utf-8", "replace").rstrip("\r\n")
+        if not line:
             continue
-        stop = data.index(b"\n", at)
-        line = data[at:stop].decode("utf-8", "replace").rstrip("\r")
-        length = int(line.rpartition(" ")[2])
-        content = data[stop + 1 : stop + 1 + length]
-        at = stop + 1 + length
+        content = data.read(int(line.rpartition(" ")[2]))
         if line.startswith("filedesc://"):
             version = int(content.split(b" ", 1)[0])
             fields = ARC_FIELDS.get(version) or content.split(b"\n")[1].decode().split()
@@ -143,7 +144,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
         for batch in batches:
             for content in batch["content"]:
                 rows, size = [], 0
-                for fields, body in arc_records(_unzipped(content)):
+                for fields, body in arc_records(_opened(content)):
                     head, payload, named = _http(body)
                     digest = hashlib.sha1(payload).hexdigest()
                     page = named.get(ID_HEADER.lower())
@@ -191,13 +192,13 @@ def warc_record(row) -> str:
     if revisit:
         head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:uuid:{row.refers_id}>", f"WARC-Refers-To-Target-URI: {row.refers_uri}", f"WARC-Refers-To-Date: {_iso(row.refers_taken)}"]
     head += [f"Content-Type: {'application/http;msgtype=response' if row.http else row.mime}", f"Content-Length: {len(raw)}"]
-    return "\r\n".join(head) + "\r\n\r\n" + block + "\r\n\r\n"
+    return "\r\n".join(head) + "\r\n\r\n" + block
 
 
 def warc_opening() -> str:
     block = "software: basketry\r\nformat: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
     name = uuid.uuid5(uuid.NAMESPACE_URL, block)
-    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {_iso(TAKEN)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n{block}\r\n\r\n"
+    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {_iso(TAKEN)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n{block}"
 
 
 def originals(records: DataFrame, least: int = LEAST) -> DataFrame:
@@ -207,32 +208,38 @@ def originals(records: DataFrame, least: int = LEAST) -> DataFrame:
     return groups.where("copies > 1").select("digest", "n", "best.*")
 
 
+def _salted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _under_salts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST) -> str:
     """ARC files to WARC files."""
     first = common.cut(originals(read_arc(spark, arc_path, payloads=False), least))
-    rows = read_arc(spark, arc_path).join(first, ["digest", "n"], "left")
+    rows = _salted(read_arc(spark, arc_path), "record_id").join(_under_salts(first), ["digest", "n", "salt"], "left")
     own = F.col("refers_page").eqNullSafe(F.col("page_id"))
     rows = rows.withColumns({c: F.when(~own, F.col(c)) for c in ("refers_id", "refers_uri", "refers_taken")})
-    rows = rows.withColumn("payload", F.when(F.col("refers_id").isNull(), F.col("payload"))).drop("refers_page", "page_id")
+    rows = rows.withColumn("payload", F.when(F.col("refers_id").isNull(), F.col("payload"))).drop("refers_page", "page_id", "salt")
 
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        records = (warc_record(x) for batch in batches for x in batch.itertuples())
-        for value in _segments(records, warc_opening()):
-            yield pd.DataFrame({"value": [value]})
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[str]:
+        yield warc_opening()
+        for batch in batches:
+            yield from map(warc_record, batch.itertuples())
 
-    return _write(rows.mapInPandas(files, "value string"), warc_path)
+    return _write(rows.mapInPandas(lambda batches: _handed(records(batches)), "value string"), warc_path, "\r\n\r\n")
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def warc_records(data: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields by lower-case name, block) of each record."""
-    at = data.find(b"WARC/")
-    while at >= 0:
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
+    while line := data.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        lines = iter(lambda: data.readline().decode("utf-8", "replace").strip(), "")
         fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines))
-        length = int(fields["content-length"])
-        yield fields, data[stop + 4 : stop + 4 + length]
-        at = data.find(b"WARC/", stop + 4 + length)
+        yield fields, data.read(int(fields["content-length"]))
 
 
 READ = "page_id long, record_id string, record_type string, uri string, taken string, payload string, n long, digest string, refers_id string"
@@ -245,7 +252,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         for batch in batches:
             for content in batch["content"]:
                 rows, size = [], 0
-                for fields, block in warc_records(_unzipped(content)):
+                for fields, block in warc_records(_opened(content)):
                     if (kind := fields["warc-type"]) not in ("response", "revisit"):
                         continue
                     _, payload, named = _http(block)
@@ -275,7 +282,11 @@ def archive(pages: DataFrame, least: int = LEAST) -> str:
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, as its archive has it."""
-    rows = read_warc(pages.sparkSession, archive(pages, least), payloads=False)
-    named = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_id")).agg(F.max("page_id").alias("refers_to"))
-    rows = rows.join(named, "refers_id", "left")
-    return rows.select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    rows = common.cut(read_warc(pages.sparkSession, archive(pages, least), payloads=False).drop("uri", "taken", "payload"))
+    said = [F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type"]
+    revisits = _salted(rows.where("record_type = 'revisit'").withColumnRenamed("refers_id", "named"), "record_id")
+    wanted = revisits.select("named").distinct()
+    named = rows.where("record_type = 'response'").join(wanted, F.col("record_id") == F.col("named"), "left_semi")
+    named = _under_salts(named.groupBy(F.col("record_id").alias("named")).agg(F.max("page_id").alias("refers_to")))
+    revisits = revisits.join(named, ["named", "salt"], "left").select("page_id", *said, "refers_to")
+    return rows.where("record_type = 'response'").select("page_id", *said, F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import itertools
 import random
 import re
@@ -296,8 +297,9 @@ def test_archives(spark):
 
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
-    data = (archives.arc_opening(version) + archives.arc_record(version, 3, "http://x/ y", "<p>ä</p>") + archives.arc_record(version, None, "http://z", "")).encode()
-    (a, body), (b, empty) = archives.arc_records(data)
+    records = [archives.arc_opening(version), archives.arc_record(version, 3, "http://x/ y", "<p>ä</p>"), archives.arc_record(version, None, "http://z", "")]
+    data = "".join(f"{x}\n" for x in records).encode()
+    (a, body), (b, empty) = archives.arc_records(io.BytesIO(data))
     assert list(a) == archives.ARC_FIELDS[version] and a["URL"] == "http://x/%20y" and int(a["Archive-length"]) == len(body)
     assert archives._http(body)[1] == "<p>ä</p>".encode() and archives._http(empty)[1] == b""
 
