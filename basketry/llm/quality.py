@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 3
-#: Bits of a packed hash-and-position that hold the position: texts of up to 2 ** 26 words.
-PLACE = 26
+#: Bits of a packed hash-and-position that hold the position: as many as an array can have.
+PLACE = 31
 ROUNDS = 20
 THRESHOLD = 0.5
 # The characters that count as symbols.
@@ -38,12 +38,13 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and the struct `stat`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and what rules need besides.
 
-    Words of repeated windows: windows' hashes are packed with their places into longs and sorted; a window is repeated
-    if its neighbour has the same hash (compared in full); the places are sorted again and each covers the words up
+    Words of repeated windows: the top bits of the windows' hashes are packed with their places into longs and sorted; a window is repeated
+    if its neighbour has the same hash (compared in full). In a text where different hashes share their top bits, whose places may
+    lie between each other's, (hash, place) are sorted in full instead. The places are sorted again and each covers the words up
     to the next one, at most the window's length.
     """
     kept = docs.columns if keep is None else keep
-    ws, hs, packed, places, t, ls = common.scratch(docs, "q_words", "q_hashes", "q_packed", "q_places", "q_text", "q_lines")
+    ws, hs, packed, whole, places, t, ls = common.scratch(docs, "q_words", "q_hashes", "q_packed", "q_whole", "q_places", "q_text", "q_lines")
     rows = docs.select(*(docs[c] for c in kept), common.text_or_empty(docs[text]).alias(t))
     rows = rows.withColumn(ws, common.words(F.col(t)))
     n = F.size(ws)
@@ -54,11 +55,16 @@ def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
     rows = rows.withColumn(packed, F.sort_array(F.transform(hs, pack)))
 
-    def same(x: Column, y: Column) -> Column:
-        return (x.bitwiseXOR(y) <= mask) & (x.bitwiseXOR(y) >= 0) & (F.get(F.col(hs), place(x)) == F.get(F.col(hs), place(y)))
-
-    repeated = F.filter(packed, lambda x, i: F.coalesce(same(x, F.get(F.col(packed), i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(F.col(packed), i + 1)), F.lit(False)))
-    rows = rows.withColumn(places, F.sort_array(F.transform(repeated, place)))
+    at = lambda i: F.get(F.col(packed), i)
+    alike = lambda x, y: (x.bitwiseXOR(y) <= mask) & (x.bitwiseXOR(y) >= 0)
+    same = lambda x, y: F.coalesce(alike(x, y) & (F.get(F.col(hs), place(x)) == F.get(F.col(hs), place(y))), F.lit(False))
+    mixed = F.size(F.filter(packed, lambda x, i: F.coalesce(alike(x, at(i + 1)) & (F.get(F.col(hs), place(x)) != F.get(F.col(hs), place(at(i + 1)))), F.lit(False)))) > 0
+    repeated = F.transform(F.filter(packed, lambda x, i: same(x, at(i - 1)) | same(x, at(i + 1))), place)
+    full = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.withColumn(whole, F.when(mixed, full))
+    equal = lambda x, i: F.coalesce(F.get(F.col(whole), i)["h"] == x["h"], F.lit(False))
+    exact = F.transform(F.filter(whole, lambda x, i: equal(x, i - 1) | equal(x, i + 1)), lambda x: x["i"])
+    rows = rows.withColumn(places, F.sort_array(F.when(F.col(whole).isNotNull(), exact).otherwise(repeated)))
     covered = F.aggregate(F.transform(places, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(places), i + 1), p + WINDOW) - p)), F.lit(0), lambda a, x: a + x)
     rows = rows.withColumn(ls, F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(common.GAP_CHARS)) != ""))
     length, bare = F.char_length(t), F.regexp_replace(t, common.GAP, "")
