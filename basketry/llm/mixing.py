@@ -5,7 +5,7 @@ same for every document of a source. Documents stand in a fixed order, the expec
 one random offset per source, and a document is taken once for each integer that the running sum passes at it.
 The order goes by size, so that any stretch of the line has about the mean size and the taken words come near the target.
 
-The line of a source is cut into buckets (size class, hash of doc_id). Counts per bucket are summed before the
+The line of a source is cut into buckets (size class, hash of doc_id and of what `tie` gives, so rows without ids are spread by their texts). Counts per bucket are summed before the
 shuffle and give each bucket's place, so even a source with a third of all rows is numbered by many tasks.
 
 Defined results: null text has size 0; null source is a source of its own and comes last; a source whose size is 0 has
@@ -64,11 +64,12 @@ def plan(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, most
         docs.withColumn(names["size"], size.cast("long"))
         .withColumn(key, F.struct(F.col("source").alias("source")))
         .withColumn(cls, F.floor(F.sqrt(n.cast("double"))).cast("long"))
-        .withColumn(digest, _hash32(ids))
-        .withColumn(salt, F.col(digest) % salts)
         .withColumn(order, F.lit(0) if tie is None else tie)
+        .withColumn(digest, _hash32(F.concat_ws(":", ids, F.col(order).cast("string"))))
+        .withColumn(salt, F.col(digest) % salts)
     )
     counts = rows.groupBy(F.col(key).alias("key"), F.col(cls).alias("cls"), F.col(salt).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("size"))
+    counts = common.cut(counts)  # of buckets, so the rows are counted once
     sizes = counts.groupBy("key").agg(F.sum("size").alias("source_size")).select(F.col("key.source").alias("source"), "source_size")
     targets = source_targets(sizes, weights, most).select(F.struct("source").alias("key"), "source_size", "target")
     along = Window.partitionBy("key").orderBy("cls", "salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)

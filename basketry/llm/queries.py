@@ -98,8 +98,8 @@ def op9_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
-    rows, names = mixing.plan(docs.withColumnRenamed("size", "n_words"), F.col("n_words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("n_words"), F.xxhash64("text").alias("h"))
+    rows, _ = mixing.plan(docs, F.col("n_words"), tie=F.col("h"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
