@@ -1,8 +1,7 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
 Each language has a raw-content dictionary made of texts that are labelled with it. A text in lower case, with one space for whatever
-is no letter, is cut into pieces of CHUNK characters, and every piece is compressed with every dictionary (short texts at a higher
-level, as there a byte decides); the language with the smallest total wins. The margin is the share by which
+is no letter, is cut into pieces of CHUNK characters, and every piece is compressed with every dictionary; the language with the smallest total wins. The margin is the share by which
 the best total is below the second; narrow margins are marked as rejected, and callers may drop those.
 
 Learning reads labelled rows only. Labels are counted per language, and about SAMPLE rows per language, those whose hash of doc_id
@@ -28,10 +27,10 @@ from pyspark.sql import functions as F
 from . import common
 
 UNKNOWN = "und"
-#: Rows a dictionary is made of, about; characters of each; bytes of a dictionary at most.
-SAMPLE, EXCERPT, DICTIONARY = 500, 500, 220_000
-#: Characters compressed at once; texts of up to SHORT characters take the higher one of zstandard's levels.
-CHUNK, SHORT, LEVEL, HIGHER = 4_096, 1_500, 4, 9
+#: Rows a dictionary is made of, about; characters of each. A dictionary has about SAMPLE * EXCERPT characters at most, in every language.
+SAMPLE, EXCERPT = 500, 500
+#: Characters compressed at once; zstandard's level.
+CHUNK, LEVEL = 4_096, 9
 #: Margin under which a prediction counts as rejected.
 NARROW = 0.01
 #: Margin at which the score is about two thirds.
@@ -49,7 +48,7 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT, limit: int = DICTIONARY) -> dict[str, bytes]:
+def learn(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> dict[str, bytes]:
     """The dictionary of each language, the most frequent first, from the rows of docs (doc_id, text, lang) that have a language."""
     rows = docs.where(F.col("lang").isNotNull() & (F.char_length("text") > 0))
     counts = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -63,7 +62,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT, limit:
     for x in sorted(chosen.collect(), key=lambda x: (x["lang"], x["draw"], x["part"])):
         parts.setdefault(x["lang"], []).append(x["part"])
     ordered = sorted(parts, key=lambda k: (-counts[k], k))
-    return {k: "".join(dict.fromkeys(map(normal, parts[k]))).encode()[-limit:] for k in ordered}
+    return {k: "".join(dict.fromkeys(map(normal, parts[k]))).encode() for k in ordered}
 
 
 def _sizes(text: str, coders: list[zstandard.ZstdCompressor]) -> np.ndarray:
@@ -71,7 +70,7 @@ def _sizes(text: str, coders: list[zstandard.ZstdCompressor]) -> np.ndarray:
     return np.array([sum(len(c.compress(x)) for x in pieces) for c in coders], dtype=np.float64)
 
 
-def _coders(dictionaries: dict[str, bytes], level: int) -> list[zstandard.ZstdCompressor]:
+def _coders(dictionaries: dict[str, bytes], level: int = LEVEL) -> list[zstandard.ZstdCompressor]:
     out = []
     for content in dictionaries.values():
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -85,15 +84,14 @@ def predictor(dictionaries: dict[str, bytes], narrow: float = NARROW, scale: flo
 
     @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        usual, higher = _coders(dictionaries, LEVEL), _coders(dictionaries, HIGHER)
+        coders = _coders(dictionaries)
         for texts in batches:
             out = []
             for text in texts:
                 if not text or not names or not _LETTER.search(text):
                     out.append((UNKNOWN, 0.0, 0.0, True))
                     continue
-                plain = normal(text)
-                sizes = _sizes(plain, higher if len(plain) <= SHORT else usual)
+                sizes = _sizes(normal(text), coders)
                 order = np.argsort(sizes, kind="stable")
                 margin = float(1 - sizes[order[0]] / sizes[order[1]]) if len(names) > 1 else 1.0
                 out.append((names[order[0]], float(1 - np.exp(-margin / scale)), margin, margin < narrow))

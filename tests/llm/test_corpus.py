@@ -1,16 +1,19 @@
 """The corpus operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import functools
 import hashlib
 import io
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from basketry.llm import archives, languages, mixing, near_dup, order_minhash, page_wrappers, personal_data, quality, queries, tagger, token_counts, word_bpe, word_table
@@ -134,6 +137,25 @@ def test_languages_without_labels(docs, none):
     assert languages.identify(none, one).count() == 0
 
 
+def test_languages_by_brute_force(spark):
+    """Every prediction and margin against all texts compressed one by one with dictionaries made here."""
+    rng = random.Random(8)
+    data = [(i, prose(rng, rng.randint(1, 900), {"aa": "abcdefg", "bb": "efghijk", "cc": "абвгде"}[k]) + rng.choice(["", " 12!", "\n"]), k) for i, k in enumerate(itertools.islice(itertools.cycle(["aa", "bb", "cc"]), 90))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    learned = languages.learn(docs)
+    excerpt = lambda t: t[max(0, (len(t) - 500) // 2) :][:500]
+    for k, content in learned.items():  # all rows are within the sample, each gives its middle
+        assert sorted(content.decode().split()) == sorted(x for _, t, own in data if own == k for x in re.sub(r"[\W\d_]+", " ", excerpt(t).lower()).split())
+    for r in languages.identify(docs, learned).collect():
+        plain = " " + re.sub(r"[\W\d_]+", " ", r["text"].lower()).strip() + " "
+        sizes = {}
+        for k, content in learned.items():
+            coder = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[k] = sum(len(coder.compress(plain[i : i + 4096].encode())) for i in range(0, len(plain), 4096))
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[r["lang_pred"]] == best and r["margin"] == pytest.approx(1 - best / second) and r["rejected"] == (r["margin"] < 0.01)
+
+
 # 4
 
 
@@ -315,6 +337,57 @@ def test_order_minhash(docs, rows, none):
     assert order_minhash.fingerprint(none, "text", "print").count() == 0
 
 
+def brute_order(text, k=5, bins=64):
+    """Order MinHash by its definition: numbered k-mers, two least of each bin, in the order of the text."""
+    h = lambda *xs: functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(x if isinstance(x, bytes) else struct.pack("<q" if isinstance(x, int) and x < 2**63 else "<Q", x), seed), xs, 42)
+    top = lambda x: (x - (1 << 64) if x >> 63 else x) >> 31
+    words = [h(w.encode()) for w in WORD.findall(text or "")]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    kmers = [h(*(words[i + j] for j in range(k))) for i in range(len(words) - k + 1)] if len(words) >= k else [h(",".join(str(signed(w)) for w in words).encode())]
+    seen, elements = collections.Counter(), []
+    for i, x in enumerate(kmers):
+        number, seen[top(x)] = seen[top(x)], seen[top(x)] + 1
+        e = xxhash.xxh64_intdigest(struct.pack("<i", number), xxhash.xxh64_intdigest(struct.pack("<q", top(x)), 42))
+        elements.append((top(e), i))
+    by_bin = collections.defaultdict(list)
+    for e, i in sorted(elements):
+        by_bin[e >> (33 - 6)].append((e, i))
+    least = [x for b in sorted(by_bin) for x in by_bin[b][:2]]
+    out = []
+    for at, (e, i) in enumerate(least):
+        if at and least[at - 1][0] >> 27 == e >> 27:
+            continue
+        pair = sorted([(i, e), least[(at + 1) % len(least)][::-1]])
+        tuple_hash = h(*(x for _, x in pair)) if pair[0] != pair[1] else h(e)
+        out.append((((e >> 27) & 63) << 58 | tuple_hash >> 6))
+    return out
+
+
+def test_order_minhash_by_brute_force(docs, rows):
+    got = order_minhash.fingerprint(docs, "text", "print").select("text", "print").collect()
+    assert {tuple(x % (1 << 64) for x in r["print"]) == tuple(brute_order(r["text"])) for r in got} == {True}
+
+
+def test_order_shows_in_short_texts(spark):
+    """Halves that change places leave all but a few k-mers alike; the ordered tuples differ also in texts of 50 to 100 words."""
+    rng = random.Random(12)
+    pairs = []
+    for n in (50, 80, 100):
+        for _ in range(12):
+            w = prose(rng, n).split(" ")
+            pairs.append((" ".join(w), " ".join(w[n // 2 :] + w[: n // 2])))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = order_minhash.fingerprint(order_minhash.fingerprint(df, "a", "fa"), "b", "fb")
+    near = [r[0] for r in df.select(order_minhash.likeness(F.col("fa"), F.col("fb"))).collect()]
+    assert sum(near) / len(near) < 0.65  # about 0.85 of the k-mers are alike
+
+
+def test_with_next_keeps_columns_that_clash(spark):
+    df = spark.createDataFrame([(i, f"t{i}", i) for i in range(20)], "doc_id long, text string, h_part long").withColumns({c: F.lit(1) for c in ("n_part", "n_guest", "N_DIGEST", "h_to")})
+    got = order_minhash.with_next(df, ["text"], parts=4).collect()
+    assert {(r["doc_id"], r["next_text"], r["h_part"], r["N_DIGEST"]) for r in got} == {(i, f"t{(i - 1) % 20}", i, 1) for i in range(20)}
+
+
 def test_order_counts(spark):
     rng = random.Random(2)
     words = prose(rng, 400).split(" ")
@@ -369,6 +442,55 @@ def test_quality_statistics(docs, rows, none):
     assert quality.judged(quality.cut_statistics(none, ["doc_id"])).count() == 0 and quality.filter_clean(none).count() == 0
 
 
+def test_repeated_windows_whose_hashes_collide(spark):
+    """Windows that share the top bits of their hashes, their places between each other's: a repeat isn't missed."""
+    rng = random.Random(2)
+    for a, b in ((151097, 643900), (348954, 1546136), (613774, 1991525)):
+        filler = [f"w{i}" for i in range(40)]
+        text = " ".join([f"p q {a}", *filler[:20], f"p q {b}", *filler[20:], f"p q {a}"])
+        s = brute_statistics(text)
+        got = quality.statistics(spark.createDataFrame([(text,)], "text string")).select("stat.*").first()
+        assert s[4] == 6 and tuple(got[x] for x in quality.NAMES) == s
+    found = []
+    old, quality.PLACE = quality.PLACE, 56  # few bits of the hashes left: every text has some that share them
+    try:
+        texts = [" ".join(str(rng.randint(0, 30)) for _ in range(rng.randint(0, 300))) for _ in range(40)]
+        found = quality.statistics(spark.createDataFrame([(t,) for t in texts], "text string")).select("text", "stat.*").collect()
+    finally:
+        quality.PLACE = old
+    assert len(found) == 40 and all(tuple(r[x] for x in quality.NAMES) == brute_statistics(r["text"]) for r in found)
+
+
+def test_quality_fit_by_brute_force(spark):
+    """Expectation-maximisation against the same in plain Python, text by text."""
+    rng = random.Random(14)
+    votes = []
+    for _ in range(400):
+        good = rng.random() < 0.8
+        votes.append([rng.choices([0, -1, 1], [3, 1 if good else 8, 9 if good else 2])[0] for _ in range(4)])
+    df = spark.createDataFrame([(v,) for v in votes], "votes array<int>")
+    model = quality.fit(df.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), 4)
+    clean, false, true = 0.9, [0.02] * 4, [0.5] * 4
+
+    def posterior(v):
+        a, b = clean, 1 - clean
+        for x, f, t in zip(v, false, true):
+            a, b = (a * f, b * t) if x == -1 else (a * (1 - f), b * (1 - t)) if x == 1 else (a, b)
+        return a / (a + b)
+
+    for _ in range(quality.ROUNDS):
+        p = [posterior(v) for v in votes]
+        before, clean = clean, (sum(p) + 9) / (len(votes) + 10)
+        rate = lambda weights, i, start: (sum(w for w, v in zip(weights, votes) if v[i] == -1) + start * 20) / (sum(w for w, v in zip(weights, votes) if v[i]) + 20)
+        false = [rate(p, i, 0.02) for i in range(4)]
+        true = [max(f, rate([1 - x for x in p], i, 0.5)) for i, f in enumerate(false)]
+        if abs(clean - before) < 1e-7:
+            break
+    assert model.clean == pytest.approx(clean) and model.false == pytest.approx(false) and model.true == pytest.approx(true)
+    got = df.select("votes", model.posterior(F.col("votes")).alias("p")).collect()
+    assert all(r["p"] == pytest.approx(posterior(r["votes"])) for r in got)
+
+
 def test_quality_learns_without_labels(spark):
     rng = random.Random(6)
     clean = [(i, prose(rng, 90, "abcdefghijklmnop") + ".") for i in range(60)]
