@@ -4,14 +4,16 @@ A text's fingerprint has 64 bits; a bit is set if it is set in over half of the
 Fingerprints link at `most` or fewer differing bits. Equal fingerprints are one node from the start, so exact copies cost
 one row, however many there are.
 
-Candidates: with the bits cut into m = 2 * most segments, two linked fingerprints agree in at least `most` whole segments,
-so each node is filed under every choice of `most` segments (20 files for 3 of 6). Files are pruned by the pigeonring
-principle: around the ring of segments there must be a start from which every chain of l consecutive segments differs in
-at most l * most / m bits; only pairs with such a chain reach the full Hamming check. Small files give their pairs
+Candidates: the bits are cut into m = 2 * most + 1 segments on a ring. By the pigeonring principle two linked fingerprints have a start
+from which every chain of l consecutive segments differs in at most l * most / m bits: its first two segments agree, and of the next two at most one differs, by one bit.
+So a node is filed under its segments (i, i + 1, i + 2) and (i, i + 1, i + 3) for every start i, 14 files for 3 bits, where a choice of 3 out of 6
+segments takes 20. Within a file the chain is extended from its start and a pair is dropped at the first sum over budget; what comes round the whole ring has
+passed the full Hamming check. A pair counts only in the file of its first such start, so each is met once. Small files give their pairs
 natively; large ones are cut into blocks, and each pair of blocks is one group that returns a spanning forest of its links
 instead of all pairs, so a large group of near copies gives few rows and loses no component.
 
-Components come from alternating star contractions on the links, each stored in the shared folder.
+Components come from alternating star contractions on the links, each stored in the shared folder. Copies beyond counting share one node; where
+rows meet their node again, a hot one is split by adaptive execution.
 
 Defined results: null and blank texts have fingerprint 0 and link like any other; rows with a null doc_id count in the
 components, whose id is the smallest doc_id that is not null (null if there is none); repeated rows are kept; extra columns
@@ -20,7 +22,6 @@ are ignored by `components` and pass through `one_of_each`, which keeps one row
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,46 +79,53 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def ring_passes(differing: Column, most: int = MOST) -> Column:
-    """Whether the ring of segment differences has a start from which every chain stays within its budget."""
-    masks = segments(2 * most)
-    m, parts = len(masks), [F.bit_count(differing.bitwiseAND(F.lit(signed(x)))) for x in masks]
-    starts = []
+def ring(most: int) -> list[int]:
+    """The segments; budgets of two links or more give chains whose first two segments agree."""
+    return segments(2 * max(most, 2) + 1)
+
+
+def files(most: int = MOST) -> list[int]:
+    """Masks of the files: by start, first that of (i, i + 1, i + 2), then of (i, i + 1, i + 3)."""
+    masks = ring(most)
+    m = len(masks)
+    return [masks[i] | masks[(i + 1) % m] | masks[(i + far) % m] for i in range(m) for far in (2, 3)]
+
+
+def chains(most: int = MOST) -> list[list[tuple[int, int]]]:
+    """Per start, (mask, budget) of its chains of 3 segments and longer; the last goes round the ring with the budget `most`."""
+    masks = ring(most)
+    m, t = len(masks), max(most, 2)
+    out = []
     for i in range(m):
-        chain, held = parts[i], parts[i] <= most // m
-        for n in range(2, m + 1):
-            chain = chain + parts[(i + n - 1) % m]
-            held = held & (chain <= n * most // m)
-        starts.append(held)
-    out = starts[0]
-    for x in starts[1:]:
-        out = out | x
+        sums = [sum(masks[(i + k) % m] for k in range(n)) for n in range(m + 1)]
+        out.append([(sums[n], n * t // m) for n in range(2, m)] + [(sums[m], most)])
     return out
 
 
-def ring_passes_array(differing: np.ndarray, most: int = MOST) -> np.ndarray:
-    masks = segments(2 * most)
-    m, parts = len(masks), [np.bitwise_count(differing & np.uint64(x)) for x in masks]
-    out = np.zeros(differing.shape, bool)
-    for i in range(m):
-        chain, held = parts[i], parts[i] <= most // m
-        for n in range(2, m + 1):
-            if not held.any():
-                break
-            chain = chain + parts[(i + n - 1) % m]
-            held = held & (chain <= n * most // m)
-        out |= held
+def held_by(differing: Column, most: int = MOST) -> Column:
+    """The first file whose chain the difference of two fingerprints stays within, null if it stays within none."""
+    bits = lambda mask: F.bit_count(differing.bitwiseAND(F.lit(signed(mask))))
+    out = F.lit(None).cast("int")
+    masks, m = ring(most), len(ring(most))
+    for i, chain in reversed(list(enumerate(chains(most)))):
+        holds = bits(chain[0][0]) <= chain[0][1]
+        for mask, budget in chain[1:]:
+            holds = holds & (bits(mask) <= budget)
+        out = F.when(holds, F.when(bits(masks[(i + 2) % m]) == 0, 2 * i).otherwise(2 * i + 1)).otherwise(out)
     return out
 
 
-def forest(nodes: np.ndarray, most: int = MOST) -> np.ndarray:
-    """Links (pairs of positions) of a spanning forest of the nodes that differ in at most `most` bits."""
-    n, strip = len(nodes), 256
+def forest(nodes: np.ndarray, start: int, most: int = MOST) -> np.ndarray:
+    """Links (pairs of positions) of a spanning forest of the nodes whose chains from `start` stay within their budgets."""
+    n, strip, chain = len(nodes), 256, chains(most)[start]
     linked = np.zeros((n, n), bool)
     for i in range(0, n, strip):
         differing = nodes[i : i + strip, None] ^ nodes[None, :]
-        likely = ring_passes_array(differing, most)
-        linked[i : i + strip] = likely & (np.bitwise_count(differing) <= most)
+        a, b = np.nonzero(np.bitwise_count(differing & np.uint64(chain[0][0])) <= chain[0][1])
+        for mask, budget in chain[1:]:
+            kept = np.bitwise_count(differing[a, b] & np.uint64(mask)) <= budget
+            a, b = a[kept], b[kept]
+        linked[i + a, b] = True
     left, out = np.ones(n, bool), []
     for root in range(n):
         if not left[root]:
@@ -133,26 +141,28 @@ def forest(nodes: np.ndarray, most: int = MOST) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def filed(nodes: DataFrame, most: int = MOST) -> DataFrame:
+    """(fp, pick, value, n): each node of nodes.fp in every file where it isn't alone; n is how many are there."""
+    masks = files(most)
+    rows = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(x))) for x in masks))).alias("pick", "value"))
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pick", "value"))).where("n > 1")
+
+
 def links(nodes: DataFrame, most: int = MOST) -> DataFrame:
     """(a, b) with a < b, distinct: links between the distinct values of nodes.fp that keep every component whole."""
-    masks = segments(2 * most)
-    picks = [sum(masks[i] for i in pick) for pick in itertools.combinations(range(2 * most), most)]
-    filed = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(x))) for x in picks))).alias("pick", "value"))
-    whole = Window.partitionBy("pick", "value")
-    filed = filed.withColumn("n", F.count(F.lit(1)).over(whole)).where("n > 1")
-    small = filed.where(F.col("n") <= SMALL).groupBy("pick", "value").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    rows = filed(nodes, most)
+    small = rows.where(F.col("n") <= SMALL).groupBy("pick", "value").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    differing = lambda p: p["a"].bitwiseXOR(p["b"])
-    pairs = F.filter(pairs, lambda p: ring_passes(differing(p), most) & (F.bit_count(differing(p)) <= most))
-    few = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    ranked = filed.where(F.col("n") > SMALL).withColumn("block", F.floor((F.row_number().over(whole.orderBy("fp")) - 1) / BLOCK).cast("int"))
+    few = small.select("pick", F.explode(pairs).alias("p")).where(held_by(F.col("p")["a"].bitwiseXOR(F.col("p")["b"]), most) == F.col("pick")).select("p.a", "p.b")
+    whole = Window.partitionBy("pick", "value")
+    ranked = rows.where(F.col("n") > SMALL).withColumn("block", F.floor((F.row_number().over(whole.orderBy("fp")) - 1) / BLOCK).cast("int"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     other = ranked.select("pick", "value", "fp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     other = other.select("pick", "value", "fp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def of_blocks(group: pd.DataFrame) -> pd.DataFrame:
         fps = np.sort(group["fp"].to_numpy())
-        pairs = fps[forest(fps.view("u8"), most)]
+        pairs = fps[forest(fps.view("u8"), int(group["pick"].iloc[0]) // 2, most)]
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
     many = other.groupBy("pick", "value", "lo", "hi").applyInPandas(of_blocks, "a long, b long")
