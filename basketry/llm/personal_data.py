@@ -1,13 +1,16 @@
 """Personal data: base patterns, and a character tagger that adds what they miss.
 
 Base spans are the leftmost non-overlapping matches of one pattern per kind that pass the kind's check; a match that fails is dropped.
-So a phone number that runs on into an address of four numbers is one failing match, and the base misses both. The tagger, a bidirectional LSTM
-with CRF transitions, was trained on labelled spans and reads characters in context: it marks where each of them begins and ends.
+So the base misses a phone number that runs on into an address of four numbers (one failing match), and whatever isn't written its way: addresses
+spelled out ("name at mail dot com") or with their points in brackets, phone numbers without a plus, card numbers in other groups,
+and secrets behind a name such as token or password, which are a kind of their own.
+The tagger, a bidirectional LSTM with CRF transitions, was trained on labelled spans and reads characters in context: it marks where each of
+them begins and ends.
 
-Windows of WINDOW characters, half overlapping, cover every stretch with a digit or an @ and CONTEXT characters around; a span of any kind
-has one of these. Windows of a batch are decoded together; where two windows cover a character, the one whose middle is nearer gives
-its tag, so each text has one sequence of tags. Runs of tags become spans if they pass their kind's check, aren't part of a longer number or word,
-and don't overlap a base span; base spans always stay.
+Windows of WINDOW characters, half overlapping, cover every stretch with a trigger (a digit, an @, a spelled-out at or dot) and CONTEXT characters around. Windows of a
+batch are decoded together; where two windows cover a character, the one whose middle is nearer gives its tag and how sure the model is of it, so each
+text has one sequence of tags. Runs of tags become spans if the model is sure of all their characters (SURE), if they aren't part of a longer number or word, if a light
+check of their kind holds (how many digits, Luhn's sum, parts up to 255, an at and a dot, letters and digits) and if they don't overlap a base span; base spans always stay.
 
 Training data: windows of a bounded number of rows (those with the least hash of doc_id among rows with a digit or @) labelled by their base spans, and windows
 made from fixed templates, whose places in the text are known. The model is small, and is sent to the tasks; texts are only mapped over.
@@ -30,12 +33,16 @@ from pyspark.sql import functions as F
 from . import common
 from .tagger import PAD, Tagger, classes
 
-KINDS = ("email", "ip", "card", "phone")
+#: The base has the first four kinds, the tagger all.
+KINDS = ("email", "ip", "card", "phone", "secret")
+SECRET = 4
 #: Tags: 0 outside, 1 + 2 * kind begins a span, 2 + 2 * kind goes on.
 TAGS = 1 + 2 * len(KINDS)
-WINDOW, CONTEXT = 64, 16
+WINDOW, CONTEXT = 64, 32
+#: Least chance, by the model, of each tag of a span that it adds.
+SURE = 0.5
 #: Rows whose windows are training data at most, windows of each, windows made from templates, times over all of these.
-ROWS, PER_ROW, MADE, EPOCHS = 200, 2, 1_000, 12
+ROWS, PER_ROW, MADE, EPOCHS = 200, 2, 1_800, 10
 #: Windows decoded together.
 BATCH = 2_048
 
@@ -45,9 +52,13 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _POINTS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
-_TRIGGER = re.compile(r"[0-9@]")
+# What makes a window, and light checks of what the tagger marks.
+_DIGIT = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])(?i:dot)(?![A-Za-z])|[\[({](?i:at|dot|\.)[\])}]|(?<![A-Za-z])(?i:at)\x20+[A-Za-z0-9-]+\.[A-Za-z]")
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+\s*(?:@|[\[({<]\s*(?:@|(?i:at))\s*[\])}>]|\s(?i:at)\s)\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[({<]\s*(?:\.|(?i:dot))\s*[\])}>]|\s(?i:dot)\s)\s*[A-Za-z0-9-]+)+")
+_IP = re.compile(r"[0-9]{1,3}(?:\s*(?:\.|[\[({]\s*(?:\.|(?i:dot))\s*[\])}]|\s(?i:dot)\s)\s*[0-9]{1,3}){3}")
+_NUMBER = re.compile(r"[+(]*[0-9][0-9()\s./\u00a0\u2010-\u2015-]*[0-9]")
+_OPAQUE = re.compile(r"[A-Za-z0-9_+/=.-]{12,}")
 
 Span = tuple[int, int, int]
 
@@ -83,7 +94,7 @@ def base_spans(text: str) -> list[Span]:
             if start < m.start():
                 out.append((0, start, m.end()))
                 end = m.end()
-    if not _TRIGGER.search(text):
+    if not _DIGIT.search(text):
         return out
     for m in _POINTS.finditer(text):
         parts, at = m[0].split("."), m.start()
@@ -98,18 +109,22 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _bounded(text: str, start: int, end: int, kind: int) -> bool:
-    """Whether a tagged run is a whole thing of its kind, not part of a longer number or word."""
-    run, before, after = text[start:end], text[start - 1 : start], text[end : end + 1]
-    if kind == 0:
-        return _EMAIL.fullmatch(run) is not None and before not in _LOCAL and not (after and (after in _LOCAL and after != "." or after == "@"))
-    if before.isalnum() or after.isalnum() or before in ("+", "."):
+def _plausible(text: str, start: int, end: int, kind: int) -> bool:
+    """Whether a tagged run is a whole thing of its kind, not part of a longer number or word, and looks like one."""
+    run, before, after = text[start:end], text[start - 1 : start] if start else "", text[end : end + 1]
+    if before.isalnum() or after.isalnum():
         return False
+    digits = _digits(run)
+    if kind == 0:
+        return _EMAIL.fullmatch(run) is not None and before not in _LOCAL and after not in ("@", "-", "_")
     if kind == 1:
-        return _IP.fullmatch(run) is not None and _ip(run) and re.match(r"\.[0-9]", text[end : end + 2]) is None
+        return _IP.fullmatch(run) is not None and all(int(x) <= 255 for x in re.findall("[0-9]+", run)) and re.match(r"\.[0-9]", text[end : end + 2]) is None and before not in ("+", ".")
     if kind == 2:
-        return _CARD.fullmatch(run) is not None and _card(run)
-    return _PHONE.fullmatch(run) is not None and _phone(run)
+        return _NUMBER.fullmatch(run) is not None and "+" not in run and _card(run)
+    if kind == 3:
+        parts = re.findall("[0-9]+", run)
+        return _NUMBER.fullmatch(run) is not None and 9 <= len(digits) <= 15 and (len(parts) > 1 or run[0] == "+") and before not in ("+", ".", "-")
+    return _OPAQUE.fullmatch(run) is not None and len(digits) >= 2 and any(x.isalpha() for x in run)
 
 
 def windows(text: str) -> list[int]:
@@ -153,10 +168,11 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Tagger) -> list
     def flush() -> None:
         nonlocal held, size
         if held:
-            tags = np.concatenate([model.decode(x) for x in np.array_split(np.concatenate([w for *_, w in held]), -(-size // BATCH))])
+            parts = [model.decode(x) for x in np.array_split(np.concatenate([w for *_, w in held]), -(-size // BATCH))]
+            tags, sure = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
             at = 0
             for i, own, _ in held:
-                out[i] = _reconciled(texts[i], base[i], own, tags[at : at + len(own)])
+                out[i] = _reconciled(texts[i], base[i], own, tags[at : at + len(own)], sure[at : at + len(own)])
                 at += len(own)
         held, size = [], 0
 
@@ -171,9 +187,9 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Tagger) -> list
     return out
 
 
-def _reconciled(text: str, base: list[Span], starts: list[int], tags: np.ndarray) -> list[Span]:
+def _reconciled(text: str, base: list[Span], starts: list[int], tags: np.ndarray, sure: np.ndarray) -> list[Span]:
     """One tag per character, from the window whose middle is nearest; then checked runs that don't overlap base spans."""
-    found: dict[int, tuple[int, int]] = {}
+    found: dict[int, tuple[int, float]] = {}
     for row in np.flatnonzero(tags.any(axis=1)).tolist():
         start = starts[row]
         for at in np.flatnonzero(tags[row]).tolist():
@@ -183,16 +199,17 @@ def _reconciled(text: str, base: list[Span], starts: list[int], tags: np.ndarray
                 if 0 <= other < len(starts) and starts[other] <= place < starts[other] + WINDOW and abs(2 * (place - starts[other]) - WINDOW + 1) < far:
                     break
             else:
-                found[place] = (far, int(tags[row][at]))
+                found[place] = (int(tags[row][at]), float(sure[row][at]))
     taken = sorted((a, b) for _, a, b in base)
     out, places = [], sorted(found)
     i = 0
     while i < len(places):
-        kind, j = (found[places[i]][1] - 1) // 2, i + 1
-        while j < len(places) and places[j] == places[j - 1] + 1 and found[places[j]][1] == 2 + 2 * kind:
+        kind, j = (found[places[i]][0] - 1) // 2, i + 1
+        while j < len(places) and places[j] == places[j - 1] + 1 and found[places[j]][0] == 2 + 2 * kind:
             j += 1
         start, end = places[i], places[j - 1] + 1
-        if found[places[i]][1] % 2 == 1 and end <= len(text) and _bounded(text, start, end, kind) and not any(a < end and start < b for a, b in taken):
+        begins, certain = found[places[i]][0] % 2 == 1, min(found[x][1] for x in places[i:j]) >= SURE
+        if begins and certain and end <= len(text) and _plausible(text, start, end, kind) and not any(a < end and start < b for a, b in taken):
             out.append((kind, start, end))
         i = j
     return out
@@ -213,39 +230,73 @@ def _tagged(length: int, spans: list[Span], start: int = 0) -> np.ndarray:
 
 
 def made(count: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
-    """Texts from templates with the spans they hold, alone, in rows of several kinds, and among numbers that are nothing."""
+    """Texts from templates with the spans they hold, alone, in rows of several kinds, and among numbers and words that are nothing."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüñ") for _ in range(rng.randint(1, 9)))
-    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    letters, digits, opaque = "abcdefghijklmnopqrstuvwxyzéüñ", "0123456789", "0123456789abcdef"
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    word = lambda: rng.choice(["at", "dot", "the", "a"]) if rng.random() < 0.08 else some(letters, rng.randint(1, 9))
+    name, number = lambda: some(letters[:26], rng.randint(2, 9)), lambda n: some(digits, n)
+
+    def either(*makers):
+        return rng.choice(makers)()
 
     def email() -> str:
-        return f"{rng.choice([word, lambda: number(2)])()}{rng.choice(['.', '_', '+', ''])}{number(rng.randint(0, 2))}x@{rng.choice(['mail', 'post', 'web'])}{number(rng.randint(0, 1))}.example.{rng.choice(['com', 'org', 'net'])}".encode("ascii", "ignore").decode()
+        local = either(name, lambda: f"{name()}.{name()}", lambda: f"{name()}{rng.choice('._+')}{number(rng.randint(1, 2))}", lambda: f"{number(2)}x")
+        host, end = either(name, lambda: f"mail{number(1)}.example", lambda: f"{name()}.example", lambda: f"{name()}-{name()}"), rng.choice(["com", "org", "net", "de", "co"])
+        at, dot = rng.choice([("@", "."), ("@", "."), (" at ", " dot "), (" at ", "."), ("[at]", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("@", "[.]"), ("(at)", "."), (" AT ", " DOT "), (" @ ", " . "), (" [AT] ", ".")])
+        return local + at + host.replace(".", dot) + dot + end
 
     def ip() -> str:
-        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        return rng.choice([".", ".", "[.]", "(.)", " . ", " dot ", "[dot]"]).join(str(rng.randint(0, 255)) for _ in range(4))
 
-    def card() -> str:
-        sep = rng.choice(["", "", " ", "-"])
-        digits = number(rng.choice([15, 15, 14, 12]))
-        whole = next(digits + str(d) for d in range(10) if sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(reversed([*map(int, digits), d]))) % 10 == 0)
-        return sep.join(whole[i : i + 4] for i in range(0, len(whole), 4))
+    def luhn(digits: str) -> int:
+        return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(reversed([*map(int, digits)]))) % 10
 
-    def phone() -> str:
-        return f"+{rng.randint(1, 99)} {rng.choice(['({})', '{}'])} {number(3)}-{number(4)}".format(number(3))
+    def card(right: bool = True) -> str:
+        head = number(rng.choice([15, 15, 15, 15, 14, 12]))
+        ends = [str(d) for d in range(10) if (luhn(head + str(d)) == 0) == right]
+        whole = head + rng.choice(ends)
+        return rng.choice(["", "", " ", "-", ".", "\u00a0"]).join(whole[i : i + 4] for i in range(0, len(whole), 4))
 
-    kinds, none = (email, ip, card, phone), (lambda: number(rng.choice([1, 2, 4, 16, 20])), lambda: f"{number(1)}.{number(1)}", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32)), lambda: f"({rng.choice(['19', '20'])}{number(2)})")
+    def phone() -> str:
+        a, b, c = number(3), number(3), number(4)
+        plus = lambda: f"+{rng.randint(1, 99)} {rng.choice([f'({a})', a])} {b}-{c}"
+        return either(plus, plus, lambda: f"({a}) {b}-{c}", lambda: f"{a}-{b}-{c}", lambda: f"{a}.{b}.{c}", lambda: f"{a} {b} {c}", lambda: f"0{number(2)} {b} {c}", lambda: f"00{rng.randint(1, 99)} {a} {b} {c}", lambda: f"0{number(3)}/{b}{c}", lambda: f"({a}) {b} {c}")
+
+    def secret() -> str:
+        return either(lambda: some(opaque, rng.choice([32, 40])), lambda: some(letters[:26] + letters[:26].upper() + digits, rng.randint(16, 28)) + number(2), lambda: some(opaque.upper(), 24))
+
+    def decoy() -> str:
+        year = f"{rng.choice(['19', '20'])}{number(2)}"
+        return either(
+            *[lambda n=n: number(n) for n in (1, 2, 4, 6, 8, 10, 12)],
+            lambda: card(False), lambda: card(False).replace(" ", ""), lambda: f"{number(1)}.{number(1)}", lambda: f"{number(1)}.{number(2)}.{number(1)}", lambda: some(opaque, 32), lambda: f"{year}-{number(2)}-{number(2)}", lambda: f"{number(2)}/{number(2)}/{year}",
+            lambda: f"978-{number(1)}-{number(2)}-{number(6)}-{number(1)}", lambda: f"{number(1)},{number(3)},{number(3)}.{number(2)}", lambda: f"({year})", lambda: f"@{name()}", lambda: f"{year}-{year}", lambda: f"{number(2)}:{number(2)}:{number(2)}",
+            lambda: f"at {name()} . {name()}", lambda: f"the dot {name()} at {name()}", lambda: f"{name()} at {name()}", lambda: f"{name()} at the dot", lambda: f"§ {number(3)} {number(2)}", lambda: f"{rng.randint(256, 999)}.{number(3)}.{number(3)}.{number(3)}", lambda: f"{number(3)}.{number(3)}.{number(3)}",
+        )
+
+    kinds = (email, ip, card, phone, secret)
+    leads = ("", "", "", "", "call ", "Tel: ", "mail ", "IP ", "from ", "(")
+    holds = ("token", "api_key", "password", "secret", "TOKEN", "key", "Authorization", "access_token")
     out = []
     for _ in range(count):
         text, spans = " ".join(word() for _ in range(rng.randint(0, 4))), []
         for _ in range(rng.choice([1, 2, 2, 3])):
             text += rng.choice([" ", " ", " ", " ", "\n", ", "]) if text else ""
-            k = rng.randint(0, 5)
-            if k < 4:
+            k = rng.choice((0, 0, 1, 1, 2, 3, 3, 4, 5, 5, 5))
+            if k == SECRET:
+                quote = rng.choice(['"', '"', "'", ""])
+                text += rng.choice(holds) + rng.choice([" = ", "=", ": ", ":"]) + quote
+                value = secret()
+                spans.append((k, len(text), len(text) + len(value)))
+                text += value + quote
+            elif k < 5:
+                text += rng.choice(leads)
                 value = kinds[k]()
                 spans.append((k, len(text), len(text) + len(value)))
-                text += value + rng.choice(["", "", "", ".", ",", "!!", "***"])
+                text += value + rng.choice(["", "", "", ".", ",", "!!", "***", f":{number(2)}" if k == 1 and value.count(" ") == 0 else ""])
             else:
-                text += rng.choice(none)()
+                text += decoy() + rng.choice(["", "", ".", ",", "!!", "###"])
         out.append((text + " " + " ".join(word() for _ in range(rng.randint(0, 4))), spans))
     return out
 
@@ -267,8 +318,9 @@ def labelled(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, list[Span]]]:
 
 
 def train(texts: list[tuple[str, list[Span]]], epochs: int = EPOCHS) -> Tagger:
-    x = np.stack([_filled(classes(t), 0) for t, _ in texts])
-    y = np.stack([_tagged(WINDOW, spans) for _, spans in texts])
+    cut = [(classes(t), spans, s) for t, spans in texts for s in (windows(t) or [0])]
+    x = np.stack([_filled(codes, s) for codes, _, s in cut])
+    y = np.stack([_tagged(WINDOW, spans, s) for _, spans, s in cut])
     y[x == PAD] = 0
     model = Tagger(TAGS)
     model.train(x, y, epochs)

@@ -52,7 +52,8 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
     base = said(F.filter("found", lambda x: x["base"]))
-    return rows.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), said(F.col("found")).alias("spans"))
+    four = F.filter("found", lambda x: x["kind"] < personal_data.SECRET)
+    return rows.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), said(four).alias("spans"), said(F.filter("found", lambda x: x["kind"] == personal_data.SECRET)).alias("secrets"))
 
 
 def op5_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """Weights by name: per direction the input table (one row of gate inputs per character class), recurrent weights; then output and transitions."""
 
-    def __init__(self, tags: int, hidden: int = 16, seed: int = 7):
+    def __init__(self, tags: int, hidden: int = 24, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.tags, self.hidden = tags, hidden
         self.w = {}
@@ -67,8 +67,8 @@ class Tagger:
         both = np.concatenate([ahead, back], axis=2)
         return both @ self.w["out"] + self.w["bias"], both, kept_ahead, kept_back
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tag sequences (batch, time), by Viterbi over all windows at once."""
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tag sequences (batch, time), by Viterbi over all windows at once, and the chance of each of their tags over all sequences."""
         scores = self.emissions(x)[0]
         length, n, tags = scores.shape
         best, came = self.w["start"] + scores[0], np.zeros((length, n, tags), np.int8)
@@ -76,23 +76,34 @@ class Tagger:
             ways = best[:, :, None] + self.w["trans"][None]
             came[t] = ways.argmax(axis=1)
             best = ways.max(axis=1) + scores[t]
-        out = np.zeros((n, length), np.int8)
+        out, sure = np.zeros((n, length), np.int8), np.ones((n, length), np.float32)
         out[:, -1] = best.argmax(axis=1)
         for t in range(length - 1, 0, -1):
             out[:, t - 1] = came[t][np.arange(n), out[:, t]]
-        return out
-
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log likelihood of the tags y under the CRF, and its gradient."""
-        scores, both, kept_ahead, kept_back = self.emissions(x)
-        length, n, tags = scores.shape
-        trans, rows = self.w["trans"], np.arange(n)
+        some = np.flatnonzero(out.any(axis=1))
+        if len(some):
+            a, b = self._sums(scores[:, some])
+            chances = np.exp(a + b - _logsum(a[-1], 1)[None, :, None])
+            sure[some] = np.take_along_axis(chances, out[some].T[:, :, None].astype(np.int64), axis=2)[:, :, 0].T
+        return out, sure
+
+    def _sums(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log sums over all ways to and from each tag."""
+        length, trans = len(scores), self.w["trans"]
         a, b = np.zeros_like(scores), np.zeros_like(scores)
         a[0] = self.w["start"] + scores[0]
         for t in range(1, length):
             a[t] = _logsum(a[t - 1][:, :, None] + trans[None], 1) + scores[t]
         for t in range(length - 2, -1, -1):
             b[t] = _logsum(trans[None] + (scores[t + 1] + b[t + 1])[:, None, :], 2)
+        return a, b
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean negative log likelihood of the tags y under the CRF, and its gradient."""
+        scores, both, kept_ahead, kept_back = self.emissions(x)
+        length, n, tags = scores.shape
+        trans, rows = self.w["trans"], np.arange(n)
+        a, b = self._sums(scores)
         total = _logsum(a[-1], 1)
         gold = self.w["start"][y[:, 0]] + scores[0][rows, y[:, 0]]
         d_scores = np.exp(a + b - total[None, :, None])
@@ -115,13 +126,13 @@ class Tagger:
                 h_all = d_h[t] + h_next
                 c_all = c_next + h_all * o * (1 - shown**2)
                 z = np.concatenate([c_all * c_in * i * (1 - i), c_all * before * f * (1 - f), h_all * shown * o * (1 - o), c_all * i * (1 - c_in**2)], axis=1)
-                np.add.at(g_in, x[:, t], z)
+                g_in += (x[:, t, None] == np.arange(CLASSES)).astype(np.float32).T @ z
                 g_rec += last.T @ z
                 h_next, c_next = z @ rec.T, c_all * f
             g[f"in_{d}"], g[f"rec_{d}"] = g_in, g_rec
         return float((total - gold).mean()), {k: v / n for k, v in g.items()}
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.02, seed: int = 11) -> list[float]:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.03, seed: int = 11) -> list[float]:
         """Adam over shuffled batches; returns the mean loss of each epoch."""
         rng, step, losses = np.random.default_rng(seed), 0, []
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
