@@ -5,11 +5,13 @@ A wrapper is a union-free regular expression over such tokens: tags, text slots,
 Every page folds into a wrapper of its own (neighbouring equal runs become one repeated group). Wrappers of one host are
 aligned one by one: tags that agree are matched; a text that differs becomes a slot; what only one side has becomes an optional
 group, or one more turn of a repeated group. The host's wrapper then says which slots differ from page to page. A page is judged by
-the slots it passes: its articles are the main text if any of their slots differs, else its slots outside furniture and links that differ,
-with the links and steady words that stand in one block with these. Where a page has more of the latter than of the former, both are main text.
+the slots it passes: of its articles and of what stands outside furniture and links, the slots that differ are main text and the steady ones are the template's,
+in an article too; where a page has more of the one kind than of the other, marks break the tie: articles go alone unless there is more outside them. Links and steady
+words that stand in one block with main text go with it. A page whose articles are all steady is judged by what differs outside them, else they are kept.
 
-Wrappers are merged inside each task first, then by (host, part of the tasks), then by host, so a host with a third of all pages
-costs no more than its count of tasks. The wrappers go back to the pages by a join on the host.
+Pages of one shape are joined inside each task first. Shapes then meet by (host, part of the shape's hash) in two rounds and last by host, so a host with a
+third of all pages costs no more than its count of shapes, and its wrapper doesn't depend on which rows lie in which task. The wrappers go
+back to the pages by a join on the host, where adaptive execution splits a hot one.
 
 Defined results: null or empty html has the empty text; a page whose url has no host belongs to the host ""; repeated rows are
 extracted each; other columns pass through; columns named text and n_chars are replaced; empty input gives empty output.
@@ -50,10 +52,10 @@ _HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidde
 _PART = re.compile(r"[a-z]+")
 #: Longest run of tokens tried as the unit of a repeated group; most characters of a tag's class that count.
 UNIT, NAMED = 8, 40
-#: Parts that the tasks' wrappers of one host are merged in first.
-PARTS = 64
-#: From so many pages with different texts on, a text that never changes is part of the template.
-STEADY = 3
+#: Parts that the shapes of one host are merged in, round by round; shapes that a task holds before it hands them on.
+PARTS, HELD = (4096, 64), 2_000
+#: From so many pages with different texts on, a text that never changes is part of the template; in an article it takes more.
+STEADY, INSIDE = 3, 5
 #: Shapes of pages whose match a wrapper remembers.
 SHAPES = 2_000
 
@@ -135,7 +137,7 @@ def tokens(html: str) -> list[tuple[str, str]]:
     return out
 
 
-# A wrapper is a list of items: a tag key; a text [key, hashes of up to STEADY pages, text hash or null], in a page also its places; {"+": items} and {"?": items}.
+# A wrapper is a list of items: a tag key; a text [key, hashes of up to INSIDE pages, text hash or null], in a page also its places; {"+": items} and {"?": items}.
 
 
 def key_of(item) -> str:
@@ -154,7 +156,7 @@ def joined(a: list, b: list) -> list:
         if isinstance(x, str):
             out.append(x)
         elif isinstance(x, list):
-            out.append([x[0], x[1] if x[1] == y[1] else sorted({*x[1], *y[1]})[:STEADY], x[2] if x[2] == y[2] else None, *(p + q for p, q in zip(x[3:], y[3:]))])
+            out.append([x[0], x[1] if x[1] == y[1] else sorted({*x[1], *y[1]})[:INSIDE], x[2] if x[2] == y[2] else None, *(p + q for p, q in zip(x[3:], y[3:]))])
         else:
             mark = next(iter(x))
             out.append({mark: joined(x[mark], y[mark])})
@@ -276,7 +278,7 @@ class Extractor:
         for x in self.slots:
             if x[2] is not None:
                 pages.setdefault(x[2], set()).update(x[1])
-        self.steady = [x[2] is not None and len(pages[x[2]]) >= STEADY for x in self.slots]
+        self.steady = [x[2] is not None and len(pages[x[2]]) >= (INSIDE if x[0] == "#a" else STEADY) for x in self.slots]
         #: If all of the host's texts outside articles, furniture and links are steady, they count as if they differed.
         self.plain = not any(x[0] == "#" and not s for x, s in zip(self.slots, self.steady))
         self.known: dict[str, list[int] | None] = {}
@@ -352,27 +354,30 @@ class Extractor:
 
 
 def main_places(page: list[tuple[str, str]], differs: set[int]) -> set[int]:
-    """Places of the main text of a page, by its marks and by which of its texts differ from page to page."""
+    """Places of the main text of a page, by which of its texts differ from page to page; its marks break ties."""
+    size = lambda places: sum(len(page[i][1].strip()) for i in places)
     marked = {i for i, (k, _) in enumerate(page) if k == "#a"}
     free = {i for i in differs if page[i][0] == "#"}
-    if marked & differs:
-        size = lambda places: sum(len(page[i][1].strip()) for i in places)
-        if not free or size(free) <= size(marked):
-            return marked
-    elif not free:
+    inside = marked & differs
+    if not free and not inside:
         return marked
-    else:
-        marked = set()
+    if size(free) <= size(inside):
+        free = set()
+    return free | inside | beside(page, free, ("#", "#l")) | beside(page, inside, ("#a",))
+
+
+def beside(page: list[tuple[str, str]], chosen: set[int], keys: tuple[str, ...]) -> set[int]:
+    """Places of the texts of some keys that stand in one block with chosen words."""
     linked, block, words = set(), [], False
     for i, (key, text) in enumerate(page):
         if key[0] == "<" and key[1:].lstrip("/").partition(".")[0] not in INLINE or key == "<br":
             if words:
                 linked.update(block)
             block, words = [], False
-        elif key in ("#", "#l"):
+        elif key in keys:
             block.append(i)
-            words = words or i in free and any(map(str.isalnum, text))
-    return marked | free | linked.union(block if words else ())
+            words = words or i in chosen and any(map(str.isalnum, text))
+    return linked.union(block if words else ())
 
 
 def blocks(page: list[tuple[str, str]], chosen: set[int]) -> str:
@@ -410,25 +415,30 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper): one row per host, the wrapper as JSON."""
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, dict[str, list]] = {}
+        held: dict[tuple[str, str], list] = {}
         for batch in batches:
             for host, html in zip(batch["host"], batch["html"]):
                 if html:
                     w = page_wrapper(tokens(html))
-                    mine, k = held.setdefault(host, {}), " ".join(map(key_of, w))
-                    mine[k] = joined(mine[k], w) if k in mine else w
-                    if len(mine) > 256:
-                        held[host] = {"": merge(list(mine.values()))}
-        rows = [(host, json.dumps(merge(list(x.values())))) for host, x in sorted(held.items())]
-        yield pd.DataFrame(rows, columns=["host", "wrapper"])
+                    k = (host, " ".join(map(key_of, w)))
+                    held[k] = joined(held[k], w) if k in held else w
+                    if len(held) >= HELD:
+                        yield _shapes(held)
+                        held = {}
+        yield _shapes(held)
 
     def merged(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(merge([json.loads(x) for x in sorted(group["wrapper"])]))]})
+        return pd.DataFrame({"host": [key[0]], "part": [int(group["part"].iloc[0])], "wrapper": [json.dumps(merge([json.loads(x) for x in sorted(group["wrapper"])]))]})
+
+    rows = pages.select("host", "html").mapInPandas(own, "host string, part int, wrapper string")
+    for parts in PARTS:
+        rows = rows.groupBy("host", F.pmod("part", F.lit(parts)).alias("in_part")).applyInPandas(merged, "host string, part int, wrapper string")
+    return rows.groupBy("host").applyInPandas(merged, "host string, part int, wrapper string").drop("part")
+
 
-    first = pages.select("host", "html").mapInPandas(own, "host string, wrapper string")
-    part = F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))
-    second = first.groupBy("host", part.alias("part")).applyInPandas(merged, "host string, wrapper string")
-    return second.groupBy("host").applyInPandas(merged, "host string, wrapper string")
+def _shapes(held: dict[tuple[str, str], list]) -> pd.DataFrame:
+    rows = [(host, zlib.crc32(shape.encode("utf-8", "replace")) >> 1, json.dumps(w)) for (host, shape), w in sorted(held.items())]
+    return pd.DataFrame(rows, columns=["host", "part", "wrapper"])
 
 
 def extract(pages: DataFrame) -> DataFrame:

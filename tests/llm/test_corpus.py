@@ -287,6 +287,46 @@ def test_host_with_marked_and_unmarked_pages(spark):
     assert "A long text" in got[40] and "Short" in got[40]
 
 
+def test_wrapper_decides_against_marks(spark):
+    """Steady blocks inside articles are the template's and differing text outside them is content: not what the marks alone would give."""
+    rng = random.Random(3)
+    body = "<html><body><nav>Home</nav><article><div>Share this story</div><h1>Title {0}</h1><p>{1}</p><p>Tail {0} <b>always</b></p><div>Thanks for reading</div></article><footer>x</footer></body></html>"
+    rows = [(i, "http://a.example.com/x", body.format(i, prose(rng, 30))) for i in range(6)]
+    teaser = "<html><body><article><p>Log in to read</p></article><section><p>{}</p></section></body></html>"
+    rows += [(10 + i, "http://b.example.com/x", teaser.format(prose(rng, 40))) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_wrappers.extract(df.repartition(3)).collect()}
+    again = {r["page_id"]: r["text"] for r in page_wrappers.extract(df.coalesce(1)).collect()}
+    assert got == again
+    for i, _, html in rows:
+        page = page_wrappers.tokens(html)
+        by_marks = page_wrappers.blocks(page, {j for j, (k, _) in enumerate(page) if k == "#a"})
+        assert got[i] != by_marks
+        if i < 10:
+            assert got[i] == "\n\n".join(x for x in by_marks.split("\n\n") if x not in ("Share this story", "Thanks for reading")) and got[i].endswith("always")
+        else:
+            assert got[i] == re.search("<section><p>(.*?)</p>", html)[1]
+
+
+def test_matching_by_brute_force():
+    """The extractor takes a stream of tags exactly if the wrapper, written as a regular expression, does."""
+    rng = random.Random(19)
+
+    def pattern(items):
+        parts = [re.escape(page_wrappers.key_of(x)) + ";" if isinstance(x, (str, list)) else f"(?:{pattern(next(iter(x.values())))}){next(iter(x))}" for x in items]
+        return "".join(parts)
+
+    def stream(n):
+        return [rng.choice(["<p", "</p", "#", "<b"]) for _ in range(n)]
+
+    for _ in range(150):
+        pages = [[(k, "t") for k in stream(rng.randint(0, 6))] for _ in range(rng.randint(1, 5))]
+        wrapper = page_wrappers.merge([page_wrappers.page_wrapper(p) for p in pages])
+        program, whole = page_wrappers.Extractor(wrapper), re.compile(pattern(wrapper))
+        for keys in [[k for k, _ in p] for p in pages] + [stream(rng.randint(0, 6)) for _ in range(20)]:
+            assert (program.match(keys) is not None) == (whole.fullmatch("".join(k + ";" for k in keys)) is not None)
+
+
 @pytest.mark.parametrize("tag", ['<svg class="icon"/>', "<svg viewBox='0 0 1 1' />", "<button>", "<select>", "<object data=x>", "<noscript>", "<template>", "<svg>"])
 @pytest.mark.parametrize("later", ["", "<button>Send</button><svg><path/><title>i</title><g>i</g></svg>", "<select><option>x</select><noscript><p>off</p></noscript>"])
 def test_unclosed_elements_cut_no_text(tag, later):
