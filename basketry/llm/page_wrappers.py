@@ -55,7 +55,7 @@ UNIT, NAMED = 8, 40
 #: Parts that the shapes of one host are merged in, round by round; shapes that a task holds before it hands them on.
 PARTS, HELD = (4096, 64), 2_000
 #: From so many pages with different texts on, a text that never changes is part of the template; in an article it takes more.
-STEADY, INSIDE = 3, 5
+STEADY, INSIDE = 3, 4
 #: Shapes of pages whose match a wrapper remembers.
 SHAPES = 2_000
 
