@@ -43,6 +43,8 @@ HELD = 300_000
 TOGETHER, LOOKED_UP = 400_000, 8_000_000
 #: Tasks that encode the frequent words.
 TASKS = 16
+#: Columns of the frequent words' table.
+TABLE = ["word", "ids", "said"]
 #: Second key of texts that have no rare words.
 NO_RARE = -(1 << 63)
 
@@ -124,7 +126,8 @@ def _unpack(blob: bytes, expand: zstandard.ZstdDecompressor) -> np.ndarray:
 
 def _column(held, name: str) -> pa.Array:
     """A column of the frequent words' table; a word's place in it stands for the word."""
-    return pa.ipc.open_stream(held.value).read_all()[name].combine_chunks()
+    options = pa.ipc.IpcReadOptions(included_fields=[TABLE.index(name)])
+    return pa.ipc.open_stream(held.value, options=options).read_all()[name].combine_chunks()
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,9 +191,9 @@ def _frequent(docs: DataFrame, path: str, hot: int):
         found = count_words(docs).orderBy(F.desc("n"), "word").limit(hot).repartition(TASKS, "word")
         words = found.select("word", "n", encoder(path)("word").alias("ids")).repartition(TASKS, "word")
         table = decode(words, path, ["word", "n"], out="said").toArrow()
-    table = table.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids", "said"])  # small places for frequent words
+    table = table.sort_by([("n", "descending"), ("word", "ascending")]).select(TABLE)  # small places for frequent words
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
