@@ -89,12 +89,17 @@ def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def kept_only(old: DataFrame, keep: DataFrame, key: str) -> DataFrame:
-    """old with active = whether its key is to be kept; an empty list is refused and changes nothing."""
+def kept_only(old: DataFrame, keep: DataFrame, key: str, scope: Column | None = None) -> DataFrame:
+    """old with active = whether its key is to be kept, for the rows in scope (all if none is given).
+
+    An empty list changes nothing, nor do rows outside the scope: both keep the active they have, true where old has none.
+    """
+    was = F.coalesce("active", F.lit(True)) if "active" in old.columns else F.lit(True)
     some = keep.agg((F.count(F.lit(1)) > 0).alias("some"))
     flags = keep.select(key).distinct().withColumn("listed", F.lit(True))
     rows = old.join(flags, key, "left").join(F.broadcast(some), F.lit(True))
-    return rows.select(*(c for c in old.columns if c != "active"), F.when(F.col("some"), F.col("listed").isNotNull()).otherwise(F.lit(True)).alias("active"))
+    judged = F.col("some") & (F.lit(True) if scope is None else F.coalesce(scope, F.lit(False)))
+    return rows.select(*(c for c in old.columns if c != "active"), F.when(judged, F.col("listed").isNotNull()).otherwise(was).alias("active"))
 
 
 def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:

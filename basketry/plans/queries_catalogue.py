@@ -85,9 +85,9 @@ def k7_k8_trusted_upsert(c: Catalogue):
     return merge.ranked_source(real, fixture, ["chain_id"], ["name"], F.col("trust"))
 
 
-@query(oracle("SELECT i.promotion_id, i.product_id, coalesce(a.listing_id, b.listing_id) AS listing_id FROM (SELECT promotion_id, product_id, chain_id FROM promotion_item JOIN promotion USING (promotion_id) WHERE promotion_id % 10 = 0) i LEFT JOIN listing a ON a.chain_id = i.chain_id AND a.item_code = '00' || CAST(i.product_id AS VARCHAR) LEFT JOIN listing b ON b.chain_id = i.chain_id AND b.item_code = CAST(i.product_id AS VARCHAR)", "promotion", "promotion_item", "listing"), subset=True)
+@query(oracle("SELECT i.promotion_id, i.product_id, coalesce(a.listing_id, b.listing_id) AS listing_id FROM (SELECT promotion_id, product_id, chain_id FROM promotion_item JOIN promotion USING (promotion_id)) i LEFT JOIN listing a ON a.chain_id = i.chain_id AND a.item_code = '00' || CAST(i.product_id AS VARCHAR) LEFT JOIN listing b ON b.chain_id = i.chain_id AND b.item_code = CAST(i.product_id AS VARCHAR)", "promotion", "promotion_item", "listing"))
 def k9_promotion_items(c: Catalogue):
-    items = c.promotion_item.join(c.stated(c.promotion, "promotion_id % 10 = 0").select("promotion_id", "chain_id"), "promotion_id")
+    items = c.promotion_item.join(c.promotion.select("promotion_id", "chain_id"), "promotion_id")
     items = items.select("promotion_id", "product_id", "chain_id", F.concat(F.lit("00"), F.col("product_id").cast("string")).alias("item_code"), F.col("product_id").cast("string").alias("item_code_norm"))
     return merge.promotion_items(items, c.listing).select("promotion_id", "product_id", "listing_id")
 
@@ -141,7 +141,7 @@ def k18_alias_seed(c: Catalogue):
     return rows.where(~(F.col("price") > F.col("m") * 1.5)).select("phrase", "product_id")
 
 
-@query()
+@query(oracle("SELECT listing_id, product_id, 0e0 AS similarity, 'name' AS reason, TRUE AS severe FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY listing_id) AS nth FROM listing WHERE listing_id % 10 = 0) JOIN (SELECT product_id, count(*) AS n FROM listing GROUP BY 1) USING (product_id) WHERE nth < n", "listing"))
 def q1_gtin_conflicts(c: Catalogue):
     """Listings whose names are unlike their product's: every tenth carries another product's name."""
     names = c.product.select("product_id", F.col("name").alias("product_name"), F.col("category").alias("product_class"))
@@ -181,7 +181,7 @@ def z3_centroid_backfill(c: Catalogue):
     return known.join(F.broadcast(centres), "city").select("store_id", F.coalesce("lat", "c_lat").alias("lat"))
 
 
-@query()
+@query(oracle("SELECT store_id, lat, lng FROM store WHERE store_id % 3 <> 0", "store"))
 def z5_unique_places(c: Catalogue):
     """Search hits of each store, some far apart: accepted if all are one place."""
     k = F.col("store_id")
@@ -231,7 +231,7 @@ def z19_z33_sources(c: Catalogue):
     return c.store.select("store_id", F.when(F.col("store_kind") == "online", "scraped").otherwise("feed").alias("price_source"), F.when(k % 2 == 0, "exact").when(k % 3 == 0, "city").otherwise("unknown").alias("accuracy"))
 
 
-@query(oracle("SELECT b.basket_id, b.product_id, CASE WHEN p.n IS NULL THEN 'unpriced' WHEN p.n < 5 THEN 'scarce' ELSE 'priced' END AS status FROM basket_line b LEFT JOIN (SELECT product_id, count(DISTINCT store_id) AS n FROM store_price GROUP BY 1) p USING (product_id)", "basket_line", "store_price"), subset=True)
+@query(oracle("SELECT b.basket_id, b.product_id, CASE WHEN p.n IS NULL THEN 'unpriced' WHEN p.n < 5 THEN 'scarce' ELSE 'priced' END AS status FROM basket_line b LEFT JOIN (SELECT product_id, count(DISTINCT store_id) AS n FROM store_price GROUP BY 1) p USING (product_id)", "basket_line", "store_price"))
 def z35_line_status(c: Catalogue):
     n = c.store_price.groupBy("product_id").agg(F.count_distinct("store_id").alias("n"))
     rows = c.basket_line.join(n, "product_id", "left")

@@ -11,15 +11,15 @@ from basketry.functions.money import agorot, unit_price
 from .registry import query
 from .views import NOW, Catalogue, now, oracle
 
-_WORDS = "list_filter(regexp_split_to_array(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
-_GRAMS = "list_distinct(flatten(list_transform(" + _WORDS + ", lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substr('  ' || w || ' ', i, 3)))))"
+WORDS = "list_filter(regexp_split_to_array(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+GRAMS = "list_distinct(flatten(list_transform(" + WORDS + ", lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-def _jaccard(a: str, b: str) -> str:
+def jaccard_sql(a: str, b: str) -> str:
     return f"len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))"
 
 
-@query(oracle(f"SELECT DISTINCT name, array_to_string({_WORDS.format('name')}, ' ') AS normal FROM product", "product"))
+@query(oracle(f"SELECT DISTINCT name, array_to_string({WORDS.format('name')}, ' ') AS normal FROM product", "product"))
 def t1_t2_normal_form(c: Catalogue):
     return c.product.select("name", F.concat_ws(" ", tx.tokens(F.col("name"))).alias("normal")).distinct()
 
@@ -40,10 +40,10 @@ def t6_tokens_satisfied(c: Catalogue):
     return rows.select("query", "name", tx.all_tokens_in(F.col("query"), F.col("name")).alias("satisfied"))
 
 
-@query(oracle(f"SELECT DISTINCT a.name, b.name AS other, floor(({_jaccard(_GRAMS.format('a.name'), _GRAMS.format('b.name'))}) * 1000000 + 0.5e0) AS ppm FROM product a JOIN product b ON a.brand = b.brand AND a.name < b.name WHERE a.product_id < 300 AND b.product_id < 300", "product"), subset=True)
+@query(oracle(f"SELECT DISTINCT a.name, b.name AS other, floor(({jaccard_sql(GRAMS.format('a.name'), GRAMS.format('b.name'))}) * 1000000 + 0.5e0) AS ppm FROM product a JOIN product b ON a.brand = b.brand AND a.name < b.name", "product"))
 def t7_trigram_similarity(c: Catalogue):
     """Similarity of the distinct names of one brand."""
-    a = c.stated(c.product, "product_id < 300").select("brand", "name").distinct()
+    a = c.product.select("brand", "name").distinct()
     pairs = a.join(a.withColumnRenamed("name", "other"), "brand").where("name < other").select("name", "other").distinct()
     return pairs.select("name", "other", F.floor(tx.similarity(F.col("name"), F.col("other")) * 1000000 + 0.5).cast("double").alias("ppm"))
 
@@ -101,7 +101,20 @@ def t18_store_kind(c: Catalogue):
     return c.raw("supplier").select(k.alias("store_id"), kind.alias("kind"))
 
 
-@query()
+_NAME_WORDS = "list_distinct(list_filter(regexp_split_to_array({0}, '[\\s,.\\-/|:+*×]+'), lambda w: length(w) >= 2))"
+_LETTER_PAIRS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+
+
+def _dice_sql(parts: str) -> str:
+    return f"len(list_intersect({parts.format('x')}, {parts.format('y')})) * 2 / (len({parts.format('x')}) + len({parts.format('y')}))"
+
+
+@query(oracle(
+    f"""SELECT name, other, CASE WHEN x = y THEN 1e0 ELSE greatest(words, pairs, CASE WHEN least(length(x), length(y)) >= 4 AND (contains(x, y) OR contains(y, x)) THEN least(length(x), length(y)) / greatest(length(x), length(y)) ELSE 0e0 END) END AS similarity
+        FROM (SELECT name, other, replace(x, ' ', '') AS x, replace(y, ' ', '') AS y, {_dice_sql(_NAME_WORDS)} AS words, {_dice_sql(_LETTER_PAIRS).replace('(x', "(replace(x, ' ', '')").replace('(y', "(replace(y, ' ', '')")} AS pairs
+        FROM (SELECT DISTINCT a.name, b.name AS other, lower(a.name) AS x, lower(b.name) AS y FROM product a JOIN product b ON a.brand = b.brand AND a.name <= b.name))""",
+    "product",
+))
 def t19_name_similarity(c: Catalogue):
     a = c.product.select("brand", "name").distinct()
     pairs = a.join(a.withColumnRenamed("name", "other"), "brand").where("name <= other")
@@ -120,7 +133,7 @@ def t21_head_anchored(c: Catalogue):
     return c.product.select("product_id", tx.head_anchored(F.lit("red thing"), F.col("name")).alias("anchored"))
 
 
-@query(oracle(f"SELECT product_id, left(sha256(array_to_string({_WORDS.format('name')}, ' ')), 32) AS hash FROM product", "product"))
+@query(oracle(f"SELECT product_id, left(sha256(array_to_string({WORDS.format('name')}, ' ')), 32) AS hash FROM product", "product"))
 def t24_content_hash(c: Catalogue):
     return c.product.select("product_id", tx.content_hash(F.col("name")).alias("hash"))
 
@@ -160,7 +173,7 @@ def m4_m5_pack_from_name(c: Catalogue):
     return rows.select("name", F.col("p.qty").alias("qty"), F.col("p.unit").alias("unit"), units.pack_count(F.col("name")).alias("pieces"))
 
 
-@query(oracle("SELECT basket_id, b.product_id, CASE WHEN size_unit = 'unit' AND size_qty > 1 THEN greatest(1, ceil(qty / size_qty)) WHEN size_unit = 'unit' THEN qty WHEN size_unit = 'g' AND size_qty > 1 THEN greatest(1, ceil(qty * 100 / size_qty)) WHEN size_unit = 'g' THEN qty * 100 / 1000 WHEN size_qty > 1 THEN greatest(1, ceil(qty * 100 / size_qty)) ELSE qty * 100 / 1000 END AS packs FROM basket_line b JOIN product USING (product_id)", "product", "basket_line"), subset=True)
+@query(oracle("SELECT basket_id, b.product_id, CASE WHEN size_unit = 'unit' AND size_qty > 1 THEN greatest(1, ceil(qty / size_qty)) WHEN size_unit = 'unit' THEN qty WHEN size_unit = 'g' AND size_qty > 1 THEN greatest(1, ceil(qty * 100 / size_qty)) WHEN size_unit = 'g' THEN qty * 100 / 1000 WHEN size_qty > 1 THEN greatest(1, ceil(qty * 100 / size_qty)) ELSE qty * 100 / 1000 END AS packs FROM basket_line b JOIN product USING (product_id)", "product", "basket_line"))
 def m6_packs_to_buy(c: Catalogue):
     """A line asks for pieces of what is counted, and for hundreds of grams or millilitres of the rest."""
     rows = c.basket_line.join(c.product.select("product_id", "size_qty", "size_unit"), "product_id")

@@ -26,7 +26,7 @@ COSTS = """SELECT basket_id, store_id, own / 100 AS total, priced_lines, floor((
     FROM (SELECT basket_id, store_id, sum(floor(line_total * 100 + 0.5e0)) AS own, sum(floor(median * 200 + 0.5e0)) AS own_half, count(*) AS priced_lines FROM lines JOIN reference USING (basket_id, product_id) GROUP BY 1, 2)
     JOIN (SELECT basket_id, sum(floor(median * 200 + 0.5e0)) AS all_half, count(*) AS all_lines FROM reference GROUP BY 1) USING (basket_id)"""
 EFFECTIVE = f"SELECT c.*, km, comparable_total + CASE WHEN imputed_lines > 0 THEN 20e0 + 5e0 * (imputed_lines - 1) ELSE 0e0 END + km * 3e0 AS effective FROM costs c JOIN (SELECT store_id, floor({KM} * 100 + 0.5e0) / 100 AS km FROM store) USING (store_id)"
-ORDERS = "SELECT basket_id * 1000 + store_id AS order_id, basket_id, store_id, service_type, service_pct, minimum_order, total AS subtotal, total, priced_lines, imputed_lines, comparable_total FROM costs JOIN service USING (store_id)"
+ORDERS = "SELECT basket_id * 1000000 + store_id AS order_id, basket_id, store_id, service_type, service_pct, minimum_order, total AS subtotal, total, priced_lines, imputed_lines, comparable_total FROM costs JOIN service USING (store_id)"
 FITS = "slot = 'standard' AND membership IS NULL AND coalesce(subtotal >= min_subtotal, TRUE) AND coalesce(subtotal < max_subtotal, TRUE)"
 FEES = f"SELECT o.*, f.fee AS delivery_fee FROM orders_in o LEFT JOIN (SELECT order_id, min(fee) AS fee FROM orders_in JOIN tariff USING (service_type) WHERE {FITS} GROUP BY 1) f USING (order_id)"
 SERVICE_FEE = "CASE WHEN service_pct IS NULL THEN 0e0 ELSE floor(least(30e0, greatest(1e0, subtotal * service_pct / 100)) * 100 + 0.5e0) / 100 END"
@@ -134,7 +134,7 @@ def p11_list_stores(c: Catalogue):
     return near.orderBy("km", "store_id").limit(500).select("store_id", "store_name", F.floor(F.col("km") * 1000 + 0.5).cast("long").alias("metres"))
 
 
-@query(oracle("SELECT basket_id, product_id, store_id, line_total FROM lines", "store_price", "basket_line", lines=LINES), subset=True)
+@query(oracle("SELECT basket_id, product_id, store_id, line_total FROM lines", "store_price", "basket_line", lines=LINES))
 def b1_price_baskets(c: Catalogue):
     """Every line of every basket at every store that has it."""
     return _priced(c).select("basket_id", "product_id", "store_id", "line_total")
@@ -155,27 +155,27 @@ def b1_candidate_fold(c: Catalogue):
 
 @query(oracle(
     """SELECT basket_id, product_id, store_id, CASE WHEN a.product_id IS NULL THEN 'no_price_data' WHEN l.product_id IS NULL THEN 'not_carried_by_chain' ELSE 'no_price_here' END AS reason
-        FROM (SELECT basket_id, b.product_id, s.store_id, s.chain_id FROM basket_line b CROSS JOIN (SELECT * FROM store WHERE store_kind = 'branch' AND store_id <= 20) s WHERE basket_id % 500 = 0) w
+        FROM (SELECT basket_id, b.product_id, s.store_id, s.chain_id FROM basket_line b CROSS JOIN (SELECT * FROM store WHERE store_kind = 'branch') s) w
         LEFT JOIN (SELECT DISTINCT product_id FROM store_price) a USING (product_id) LEFT JOIN (SELECT DISTINCT product_id, chain_id FROM listing) l USING (product_id, chain_id)
         WHERE NOT EXISTS (SELECT 1 FROM store_price p WHERE p.product_id = w.product_id AND p.store_id = w.store_id)""",
     "basket_line", "store", "listing", "store_price",
-), subset=True)
+))
 def b2_missing_reasons(c: Catalogue):
     """Why a branch lacks a line."""
-    return basket.missing_reason(c.stated(c.basket_line, "basket_id % 500 = 0"), c.product, c.listing, c.store_price, c.stated(c.store.where("store_kind = 'branch'"), "store_id <= 20"))
+    return basket.missing_reason(c.basket_line, c.product, c.listing, c.store_price, c.store.where("store_kind = 'branch'"))
 
 
-@query(oracle("SELECT basket_id, store_id, sum(floor(line_total * 100 + 0.5e0)) / 100 AS total, count(*) AS priced_lines, asked_lines, count(*) / asked_lines AS coverage FROM lines JOIN (SELECT basket_id, count(*) AS asked_lines FROM basket_line GROUP BY 1) USING (basket_id) GROUP BY basket_id, store_id, asked_lines", "store_price", "basket_line", lines=LINES), subset=True)
+@query(oracle("SELECT basket_id, store_id, sum(floor(line_total * 100 + 0.5e0)) / 100 AS total, count(*) AS priced_lines, asked_lines, count(*) / asked_lines AS coverage FROM lines JOIN (SELECT basket_id, count(*) AS asked_lines FROM basket_line GROUP BY 1) USING (basket_id) GROUP BY basket_id, store_id, asked_lines", "store_price", "basket_line", lines=LINES))
 def b4_basket_totals(c: Catalogue):
     return basket.totals(_priced(c), c.basket_line)
 
 
-@query(oracle("SELECT basket_id, product_id, store_id, line_total FROM lines JOIN reference USING (basket_id, product_id) WHERE NOT (median > 0 AND voters >= 3 AND line_total > median * 6)", "store_price", "basket_line", lines=LINES, reference=REFERENCE), subset=True)
+@query(oracle("SELECT basket_id, product_id, store_id, line_total FROM lines JOIN reference USING (basket_id, product_id) WHERE NOT (median > 0 AND voters >= 3 AND line_total > median * 6)", "store_price", "basket_line", lines=LINES, reference=REFERENCE))
 def b5_plausible_lines(c: Catalogue):
     return basket.plausible(_priced(c)).select("basket_id", "product_id", "store_id", "line_total")
 
 
-@query(oracle("SELECT * FROM costs", "store_price", "basket_line", **BASKETS), subset=True)
+@query(oracle("SELECT * FROM costs", "store_price", "basket_line", **BASKETS))
 def b6_comparable_costs(c: Catalogue):
     return basket.comparable(_priced(c))
 
@@ -184,22 +184,22 @@ def _costed(c: Catalogue):
     return basket.effective_cost(basket.comparable(_priced(c)), _ways(c))
 
 
-@query(oracle("SELECT basket_id, store_id, CAST(floor(effective * 100 + 0.5e0) AS BIGINT) AS cost FROM effective", "store", "store_price", "basket_line", **BASKETS, effective=EFFECTIVE), subset=True)
+@query(oracle("SELECT basket_id, store_id, CAST(floor(effective * 100 + 0.5e0) AS BIGINT) AS cost FROM effective", "store", "store_price", "basket_line", **BASKETS, effective=EFFECTIVE))
 def b7_effective_cost(c: Catalogue):
     return _costed(c).select("basket_id", "store_id", F.floor(F.col("effective") * 100 + 0.5).cast("long").alias("cost"))
 
 
-@query(oracle("SELECT basket_id, store_id, priced_lines, comparable_total FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY effective, priced_lines DESC, store_id) AS rn FROM (SELECT *, max(priced_lines) OVER (PARTITION BY basket_id) AS most FROM effective) WHERE priced_lines >= most - 1) WHERE rn = 1", "store", "store_price", "basket_line", **BASKETS, effective=EFFECTIVE), subset=True)
+@query(oracle("SELECT basket_id, store_id, priced_lines, comparable_total FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY effective, priced_lines DESC, store_id) AS rn FROM (SELECT *, max(priced_lines) OVER (PARTITION BY basket_id) AS most FROM effective) WHERE priced_lines >= most - 1) WHERE rn = 1", "store", "store_price", "basket_line", **BASKETS, effective=EFFECTIVE))
 def b8_best_store(c: Catalogue):
     return basket.best_single(_costed(c)).select("basket_id", "store_id", "priced_lines", "comparable_total")
 
 
-@query(oracle("SELECT basket_id, store_id, total FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY total, store_id) AS rn FROM costs JOIN (SELECT basket_id, count(*) AS asked_lines FROM basket_line GROUP BY 1) USING (basket_id) WHERE priced_lines = asked_lines) WHERE rn = 1", "store_price", "basket_line", **BASKETS), subset=True)
+@query(oracle("SELECT basket_id, store_id, total FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY total, store_id) AS rn FROM costs JOIN (SELECT basket_id, count(*) AS asked_lines FROM basket_line GROUP BY 1) USING (basket_id) WHERE priced_lines = asked_lines) WHERE rn = 1", "store_price", "basket_line", **BASKETS))
 def b9_cheapest_complete(c: Catalogue):
     return basket.cheapest_complete(basket.comparable(_priced(c)), c.basket_line.groupBy("basket_id").agg(F.count(F.lit(1)).alias("asked_lines")))
 
 
-@query(oracle("SELECT basket_id, store_id, km FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY km, comparable_total, store_id) AS rn FROM (SELECT *, max(priced_lines) OVER (PARTITION BY basket_id) AS most FROM effective) WHERE priced_lines >= most - 3) WHERE rn = 1", "store", "store_price", "basket_line", **BASKETS, effective=EFFECTIVE), subset=True)
+@query(oracle("SELECT basket_id, store_id, km FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY km, comparable_total, store_id) AS rn FROM (SELECT *, max(priced_lines) OVER (PARTITION BY basket_id) AS most FROM effective) WHERE priced_lines >= most - 3) WHERE rn = 1", "store", "store_price", "basket_line", **BASKETS, effective=EFFECTIVE))
 def b10_closest_useful(c: Catalogue):
     return basket.closest_useful(_costed(c)).select("basket_id", "store_id", "km")
 
@@ -216,24 +216,24 @@ def b11_multi_store(c: Catalogue):
         SELECT f.order_id, t.fee, t.min_subtotal, floor((t.min_subtotal - f.subtotal) * 100 + 0.5e0) / 100 AS gap, coalesce(t.min_subtotal > f.subtotal AND t.fee < f.delivery_fee, FALSE) AS ahead
         FROM fees f JOIN tariff t USING (service_type) WHERE slot = 'standard' AND membership IS NULL) GROUP BY 1) s USING (order_id)""",
     "tariff", "service", "store_price", "basket_line", **BASKETS, orders_in=ORDERS, fees=FEES,
-), subset=True)
+))
 def l1_delivery_fees(c: Catalogue):
     """The fee of each order by its band, and what more goods would save (also the next break and the free threshold)."""
-    orders = basket.comparable(_priced(c)).join(c.service, "store_id").select((F.col("basket_id") * (1_000_000 if c.whole else 1000) + F.col("store_id")).alias("order_id"), "service_type", F.col("total").alias("subtotal"))
+    orders = basket.comparable(_priced(c)).join(c.service, "store_id").select((F.col("basket_id") * 1_000_000 + F.col("store_id")).alias("order_id"), "service_type", F.col("total").alias("subtotal"))
     return delivery.applied(orders, c.tariff).select("order_id", F.floor(F.col("subtotal") * 100 + 0.5).cast("double").alias("agorot"), "delivery_fee", "next_fee", "next_gap", "worth_top_up", "free_from")
 
 
-@query(oracle("SELECT * FROM plans", "tariff", "service", "store_price", "basket_line", **DELIVERY), subset=True)
+@query(oracle("SELECT * FROM plans", "tariff", "service", "store_price", "basket_line", **DELIVERY))
 def l6_delivery_plans(c: Catalogue):
     return delivery.plans(basket.comparable(_priced(c)), c.service, c.tariff)
 
 
-@query(oracle(f"SELECT basket_id, store_id, cost, place FROM ({RANKED})", "tariff", "service", "store_price", "basket_line", **DELIVERY), subset=True)
+@query(oracle(f"SELECT basket_id, store_id, cost, place FROM ({RANKED})", "tariff", "service", "store_price", "basket_line", **DELIVERY))
 def l7_ranked_plans(c: Catalogue):
     return delivery.ranked(delivery.plans(basket.comparable(_priced(c)), c.service, c.tariff)).select("basket_id", "store_id", "cost", "place")
 
 
-@query(oracle(f"SELECT basket_id, store_id, delivered_total FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY priced_lines DESC, place) AS rn FROM ({RANKED})) WHERE rn = 1", "tariff", "service", "store_price", "basket_line", **DELIVERY), subset=True)
+@query(oracle(f"SELECT basket_id, store_id, delivered_total FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY priced_lines DESC, place) AS rn FROM ({RANKED})) WHERE rn = 1", "tariff", "service", "store_price", "basket_line", **DELIVERY))
 def l8_best_order(c: Catalogue):
     return delivery.best_order(delivery.ranked(delivery.plans(basket.comparable(_priced(c)), c.service, c.tariff))).select("basket_id", "store_id", "delivered_total")
 

@@ -8,6 +8,7 @@ from basketry.functions import text as tx
 from basketry.functions import vectors
 from basketry.operators import resolve, search
 
+from .queries_functions import GRAMS, WORDS, jaccard_sql
 from .registry import query
 from .views import Catalogue, oracle
 
@@ -15,7 +16,18 @@ ASKED = [(1, "red"), (2, "steel red"), (3, "7290000000042"), (4, "anodized"), (5
 # A small vocabulary over the driver's product words (term, priority, kind, key, value).
 VOCABULARY = [("red", 1, "attribute", "colour", "red"), ("blue", 1, "attribute", "colour", "blue"), ("steel", 2, "concept", "metal", ""), ("tin", 2, "concept", "metal", ""), ("brushed steel", 3, "attribute", "finish", "brushed"), ("small", 1, "penalty", "small", "")]
 Q_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") t(query_id, query)"
-_TOKENS = "list_filter(regexp_split_to_array(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_TOKENS = WORDS
+
+
+_HITS = f"SELECT query_id, query, product_id FROM product CROSS JOIN ({Q_SQL}) q WHERE gtin = query OR len(list_filter({_TOKENS.format('query')}, lambda x: NOT list_contains({_TOKENS.format('name')} || {_TOKENS.format('brand')}, x))) = 0"
+_LADDER = "CASE WHEN lower(name) = query THEN 1e0 WHEN lower(name) LIKE query || ' %' THEN 0.95e0 WHEN lower(name) LIKE '% ' || query OR lower(name) LIKE '% ' || query || ' %' THEN 0.88e0 WHEN lower(name) LIKE '%' || query || '%' THEN 0.78e0 ELSE 0e0 END"
+_ALIKE = jaccard_sql(GRAMS.format("query"), GRAMS.format("name"))
+_STOCKED = "SELECT product.*, coalesce(n, 0) AS store_count FROM product LEFT JOIN (SELECT product_id, count(DISTINCT store_id) AS n FROM store_price GROUP BY 1) USING (product_id)"
+_RANKED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, store_count DESC, name, product_id) AS rank FROM (SELECT query_id, query, product_id, name, store_count,
+    CASE WHEN gtin = query THEN 1e0 ELSE greatest({_LADDER}, least(0.86e0, {_ALIKE})) END AS score, CASE WHEN gtin = query THEN 'gtin' ELSE 'product' END AS matched_via FROM hits JOIN stocked USING (product_id))"""
+#: The twenty best by the lexical ladder, as common table expressions.
+_LEXICAL = {"hits": _HITS, "stocked": _STOCKED, "lexical": f"SELECT * FROM ({_RANKED}) WHERE rank <= 20"}
+_SAID = f"SELECT query_id, product_id, store_count, q, n, q = n AS exact_name, contains(' ' || array_to_string(n, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') AS exact_phrase, list_contains(n[1:2], q[1]) AS head_anchored, len(list_intersect(q, n)) AS shared_tokens, len(q) AS query_tokens, len(n) AS name_tokens FROM (SELECT query_id, product_id, store_count, {_TOKENS.format('query')} AS q, {_TOKENS.format('name')} AS n FROM hits JOIN stocked USING (product_id))"
 
 
 def _queries(c: Catalogue):
@@ -32,7 +44,7 @@ def r1_candidates(c: Catalogue):
     return search.candidates(_queries(c), c.product)
 
 
-@query()
+@query(oracle("SELECT query_id, product_id, score, matched_via, rank FROM lexical", "product", "store_price", **_LEXICAL))
 def r2_lexical_ranks(c: Catalogue):
     return search.lexical(_queries(c), _products(c)).select("query_id", "product_id", "score", "matched_via", "rank")
 
@@ -44,18 +56,23 @@ def r3_exact_probe(c: Catalogue):
     return pairs.select("query_id", "product_id", F.when(F.col("gtin") == F.col("query"), 1.0).otherwise(search.ladder(F.col("query"), F.col("name"))).alias("score"))
 
 
-@query()
+@query(oracle(f"SELECT query_id, product_id, exact_name, exact_phrase, head_anchored, shared_tokens, query_tokens, name_tokens, exact_phrase AND name_tokens <= query_tokens + 2 AS dominant FROM ({_SAID})", "product", "store_price", **_LEXICAL))
 def r4_r5_evidence(c: Catalogue):
     rows = search.candidates(_queries(c), c.product).join(_queries(c), "query_id").join(c.product.select("product_id", "name"), "product_id")
     return rows.select("query_id", "product_id", search.evidence(F.col("query"), F.col("name")).alias("e")).select("query_id", "product_id", "e.*")
 
 
-@query()
+@query(oracle(
+    f"""SELECT query_id, product_id, score, rank, 'lexical' AS stage FROM lexical WHERE rank <= 10 AND query_id IN (SELECT query_id FROM strong)
+        UNION ALL SELECT query_id, product_id, least(0.86e0, alike) AS score, row_number() OVER (PARTITION BY query_id ORDER BY least(0.86e0, alike) DESC, product_id) AS rank, 'fuzzy'
+        FROM (SELECT query_id, product_id, {_ALIKE} AS alike FROM product CROSS JOIN ({Q_SQL}) q WHERE query_id NOT IN (SELECT query_id FROM strong)) WHERE alike >= 0.4e0 QUALIFY rank <= 10""",
+    "product", "store_price", **_LEXICAL, strong="SELECT query_id FROM lexical WHERE rank = 1 AND score >= 0.88e0",
+))
 def r6_staged_search(c: Catalogue):
     return search.staged(_queries(c), _products(c))
 
 
-@query()
+@query(oracle("SELECT query_id, product_id, score, store_count FROM lexical WHERE store_count > 0", "product", "store_price", **_LEXICAL))
 def r7_stock_order(c: Catalogue):
     ranks = search.lexical(_queries(c), _products(c))
     return ranks.where("store_count > 0").select("query_id", "product_id", "score", "store_count")
@@ -75,7 +92,7 @@ def r11_gate(c: Catalogue):
     return rows.select("query_id", "name", "g.allowed", "g.tier", "g.penalty")
 
 
-@query()
+@query(oracle(f"SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY exact_name DESC, exact_phrase DESC, head_anchored DESC, shared_tokens DESC, name_tokens, store_count DESC, product_id) AS rank FROM ({_SAID}) QUALIFY rank <= 10", "product", "store_price", **_LEXICAL))
 def r12_r13_ranker(c: Catalogue):
     """Candidates by tier, evidence and stock: a struct as one sort key."""
     from basketry.operators.windows import first_per
@@ -86,7 +103,7 @@ def r12_r13_ranker(c: Catalogue):
     return first_per(rows, ["query_id"], order, 10, "rank").select("query_id", "product_id", "rank")
 
 
-@query()
+@query(oracle("SELECT query_id, product_id, CASE WHEN first >= 0.9e0 AND (second IS NULL OR first - second >= 0.15e0 OR first >= 1) THEN 'auto' ELSE 'confirm' END AS decision FROM (SELECT query_id, max(score) FILTER (WHERE rank = 1) AS first, max(score) FILTER (WHERE rank = 2) AS second, max(product_id) FILTER (WHERE rank = 1) AS product_id FROM lexical GROUP BY 1)", "product", "store_price", **_LEXICAL))
 def r14_decisions(c: Catalogue):
     return search.decisions(search.lexical(_queries(c), _products(c)))
 
@@ -98,7 +115,11 @@ def r15_line_risk(c: Catalogue):
     return resolve.line_risk(options, ["query_id"]).select("query_id", "risk")
 
 
-@query()
+@query(oracle(
+    f"""SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY similarity DESC, other_id) AS place, other_id, similarity FROM (SELECT a.product_id, b.product_id AS other_id, len(list_intersect(a.w, b.w)) * 2 / (len(a.w) + len(b.w)) AS similarity
+        FROM named a JOIN named b ON a.category = b.category AND a.size_unit = b.size_unit AND a.product_id <> b.product_id) WHERE similarity >= 0.5e0 QUALIFY place <= 5""",
+    "product", named=f"SELECT product_id, category, size_unit, list_distinct({_TOKENS.format('name')}) AS w FROM product",
+))
 def r17_equivalents(c: Catalogue):
     return resolve.equivalents(c.product)
 
@@ -123,7 +144,11 @@ def r20_intent_mode(c: Catalogue):
     return _queries(c).select("query_id", resolve.intent_mode(F.col("query"), F.contains("query", F.lit("steel")), F.lit(False)).alias("mode"))
 
 
-@query()
+@query(oracle(
+    """SELECT query_id, CASE WHEN best.n >= 3 AND best.n >= first.n * 3 THEN best.p ELSE first.p END AS product_id, best.n >= 3 AND best.n >= first.n * 3 AS upgraded
+        FROM (SELECT query_id, arg_min({'p': product_id, 'n': store_count}, rank) AS first, arg_max({'p': product_id, 'n': store_count}, store_count * 1000 - rank) AS best FROM lexical GROUP BY 1)""",
+    "product", "store_price", **_LEXICAL,
+))
 def b13_upgraded_primary(c: Catalogue):
     ranks = search.lexical(_queries(c), _products(c))
     return resolve.upgraded_primary(ranks, ["query_id"])

@@ -149,6 +149,9 @@ def test_keep_list_refuses_nothing(spark):
     some, none = spark.createDataFrame([(1,)], "slug long"), spark.createDataFrame([], "slug long")
     assert {tuple(r) for r in merge.kept_only(old, some, "slug").collect()} == {(1, True), (2, False)}
     assert {tuple(r) for r in merge.kept_only(old, none, "slug").collect()} == {(1, True), (2, True)}
+    idle = old.withColumn("active", F.col("slug") == 1).withColumn("feed", F.lit("b"))
+    assert {(r["slug"], r["active"]) for r in merge.kept_only(idle, none, "slug").collect()} == {(1, True), (2, False)}
+    assert {(r["slug"], r["active"]) for r in merge.kept_only(idle, some, "slug", F.col("feed") == "a").collect()} == {(1, True), (2, False)}
 
 
 def test_multi_store_plan(spark):

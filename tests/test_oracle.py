@@ -68,29 +68,6 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
     assert int(out.stdout.split()[0]) == len(QUERIES)
 
 
-#: What narrows the SQL's input to a stated subset, and the numbering of orders that is too narrow for all of them.
-NARROW = {
-    " WHERE l_orderkey % 50 = 0": "", " AND store_id <= 20": "", " s WHERE basket_id % 500 = 0": " s", " WHERE o_orderkey % 20 = 0": "", " WHERE promotion_id % 10 = 0": "",
-    " WHERE a.product_id < 300 AND b.product_id < 300": "", "basket_id * 1000 +": "basket_id * 1000000 +",
-}
-
-
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.endswith("_whole")))
-def test_whole_job(spark, sf, duck, name):
-    """The query over all ids against its SQL without the subset."""
-    sql = stated = ORACLE_SQL[name.removesuffix("_whole")]
-    for a, b in NARROW.items():
-        sql = sql.replace(a, b)
-    assert sql != stated
-    df = QUERIES[name](spark, sf)
-    columns = sorted(df.columns)
-    got = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
-    cursor = duck.execute(sql)
-    names = [d[0] for d in cursor.description]
-    want = [tuple(plain(row[names.index(c)]) for c in columns) for row in cursor.fetchall()]
-    assert ordered(got) == ordered(want)
-
-
 @pytest.mark.parametrize("name", ["b1_candidate_fold", "b11_multi_store"])
 def test_every_basket_is_served(spark, sf, duck, name):
     got = {r[0] for r in QUERIES[name](spark, sf).select("basket_id").distinct().collect()}
