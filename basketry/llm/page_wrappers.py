@@ -9,7 +9,7 @@ the slots it passes: of its articles and of what stands outside furniture and li
 in an article too; where a page has more of the one kind than of the other, marks break the tie: articles go alone unless there is more outside them. Links and steady
 words that stand in one block with main text go with it. A page whose articles are all steady is judged by what differs outside them, else they are kept.
 
-Pages of one shape are joined inside each task first. Shapes then meet by (host, part of the shape's hash) in two rounds and last by host, so a host with a
+Pages of one shape are joined inside each task first. Shapes then meet by (host, part of the shape's hash) and last by host, so a host with a
 third of all pages costs no more than its count of shapes, and its wrapper doesn't depend on which rows lie in which task. The wrappers go
 back to the pages by a join on the host, where adaptive execution splits a hot one.
 
@@ -52,8 +52,8 @@ _HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidde
 _PART = re.compile(r"[a-z]+")
 #: Longest run of tokens tried as the unit of a repeated group; most characters of a tag's class that count.
 UNIT, NAMED = 8, 40
-#: Parts that the shapes of one host are merged in, round by round; shapes that a task holds before it hands them on.
-PARTS, HELD = (4096, 64), 2_000
+#: Parts that the shapes of one host are merged in, by rounds; shapes that a task holds before it hands them on.
+PARTS, HELD = (64,), 2_000
 #: From so many pages with different texts on, a text that never changes is part of the template; in an article it takes more.
 STEADY, INSIDE = 3, 4
 #: Shapes of pages whose match a wrapper remembers.
