@@ -52,9 +52,44 @@ def fused(lists: list[tuple[DataFrame, float]], keys: list[str], rank: str = "ra
     return out.groupBy(*keys).agg(F.sum("part").alias("fused"))
 
 
+def _blocks(df: DataFrame, key: str) -> DataFrame:
+    """(ids, matrix): the rows of each Arrow batch as one row, their vectors scaled to length one. Rows without a vector are left out; all have the same length."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                m = np.stack([np.asarray(v, np.float64) for v in batch["vector"]])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    m /= np.sqrt((m**2).sum(axis=1))[:, None]
+                yield pd.DataFrame({"ids": [batch[key].tolist()], "matrix": [m.tobytes()]})
+
+    return df.where(F.col("vector").isNotNull()).select(key, "vector").mapInPandas(pack, f"ids array<{kind}>, matrix binary")
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, most: float) -> DataFrame:
-    """For each of a small stated set of queries (query_id, vector), the k nearest rows (id, vector) within `most`; an exact scan in one pass over rows."""
-    pairs = rows.join(F.broadcast(queries.select("query_id", F.col("vector").alias("query_vector"))), F.lit(True))
-    pairs = pairs.select("query_id", "id", cosine_distance(F.col("query_vector"), F.col("vector")).alias("distance")).where(F.col("distance") <= most)
+    """(query_id, id, distance, rank): for each query (query_id, vector) its k nearest rows (id, vector) within `most`, an exact scan; ties by id.
+
+    Both sides are cut into blocks and every block of rows meets every block of queries in one matrix product, so no pair is a row of its own: a block
+    passes on k rows a query. Spark broadcasts the queries' blocks if they are small enough, else the blocks of both sides meet task by task.
+    Distances are rounded to twelve digits, so that equal vectors tie wherever they stand in a block.
+    """
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (rows, "id"))}
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q_ids, q_matrix, ids, matrix in zip(batch["q_ids"], batch["q_matrix"], batch["ids"], batch["matrix"]):
+                q, r = (np.frombuffer(m).reshape(len(n), -1) for m, n in ((q_matrix, q_ids), (matrix, ids)))
+                distance = np.round(1.0 - q @ r.T, 12)
+                names = np.asarray(ids)
+                by_id = np.argsort(names, kind="stable")
+                for i, d in enumerate(distance):
+                    near = by_id[d[by_id] <= most]
+                    near = near[np.argsort(d[near], kind="stable")[:k]]
+                    if len(near):
+                        yield pd.DataFrame({"query_id": q_ids[i], "id": names[near], "distance": d[near]})
+
+    asked = _blocks(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    found = _blocks(rows, "id").join(asked, F.lit(True)).mapInPandas(best, f"query_id {types['query_id']}, id {types['id']}, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

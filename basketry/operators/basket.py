@@ -82,14 +82,17 @@ def plausible(priced: DataFrame) -> DataFrame:
 def comparable(priced: DataFrame) -> DataFrame:
     """(basket_id, store_id, total, priced_lines, imputed_total, imputed_lines, comparable_total).
 
-    What a store lacks is the basket's median sum less the medians of what it has, so no (store, missing line) pairs are made.
+    What a store lacks is the basket's median sum less the medians of what it has, so no (store, missing line) pairs are made. Medians are found once:
+    each is counted at the first store that prices its line (a product is one line of a basket), and a window over a basket's stores adds them up.
     """
-    rows = priced.join(reference_prices(priced), ["basket_id", "product_id"])
-    whole = reference_prices(priced).groupBy("basket_id").agg(F.sum(F.floor(F.col("median") * 200 + 0.5)).alias("all_half"), F.count(F.lit(1)).alias("all_lines"))
+    reference = priced.groupBy("basket_id", "product_id").agg(F.median("line_total").alias("median"), F.min("store_id").alias("first"))
+    rows = priced.join(reference, ["basket_id", "product_id"]).withColumn("half", F.floor(F.col("median") * 200 + 0.5)).withColumn("counts", F.col("store_id") == F.col("first"))
     per = rows.groupBy("basket_id", "store_id").agg(
-        F.sum(F.floor(F.col("line_total") * 100 + 0.5)).alias("own"), F.sum(F.floor(F.col("median") * 200 + 0.5)).alias("own_half"), F.count(F.lit(1)).alias("priced_lines")
-    )
-    per = per.join(whole, "basket_id")
+        F.sum(F.floor(F.col("line_total") * 100 + 0.5)).alias("own"), F.sum("half").alias("own_half"), F.count(F.lit(1)).alias("priced_lines"),
+        F.coalesce(F.sum(F.when(F.col("counts"), F.col("half"))), F.lit(0)).alias("first_half"), F.count_if("counts").alias("first_lines"),
+    )
+    whole = Window.partitionBy("basket_id")
+    per = per.withColumn("all_half", F.sum("first_half").over(whole)).withColumn("all_lines", F.sum("first_lines").over(whole))
     total, imputed = F.col("own") / 100, (F.col("all_half") - F.col("own_half")) / 200
     return per.select(
         "basket_id", "store_id", total.alias("total"), "priced_lines", agorot(imputed).alias("imputed_total"), (F.col("all_lines") - F.col("priced_lines")).alias("imputed_lines"), agorot(total + imputed).alias("comparable_total")

@@ -171,8 +171,9 @@ def j14_update_from_aggregate(c: Catalogue):
 
 @query(oracle("SELECT product_id, count(DISTINCT store_id) AS store_count, count(DISTINCT store_id) FILTER (WHERE store_kind = 'branch') AS branch_store_count FROM store_price JOIN store USING (store_id) GROUP BY 1", "store", "store_price"))
 def a1_store_counts(c: Catalogue):
-    rows = c.store_price.join(c.store.select("store_id", "store_kind"), "store_id").groupBy("product_id")
-    return rows.agg(F.count_distinct("store_id").alias("store_count"), F.count_distinct(F.when(F.col("store_kind") == "branch", F.col("store_id"))).alias("branch_store_count"))
+    """Stores per product: every pair that was ever priced has a current price, so distinct pairs do, and kinds join those."""
+    pairs = c.price_point.select("product_id", "store_id").distinct().join(c.store.select("store_id", "store_kind"), "store_id")
+    return pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("store_count"), F.count_if(F.col("store_kind") == "branch").alias("branch_store_count"))
 
 
 @query(oracle("SELECT product_id, count(DISTINCT store_id) AS stores, count(DISTINCT chain_id) AS chains, min(price) AS cheapest FROM store_price WHERE store_id <= 50 GROUP BY 1", "store_price"))

@@ -10,7 +10,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-ROUNDS = 1
+ROUNDS = 3
 QUERIES = [
     "p6_compare_prices", "p5_best_promotion", "p8_substitutes", "p9_price_history", "b1_price_baskets", "b6_comparable_costs", "b8_best_store", "b11_multi_store", "l7_ranked_plans", "r2_lexical_ranks", "r6_staged_search",
     "r17_equivalents", "v2_vector_search", "v3_rank_fusion", "k4_price_upsert", "k5_price_changes", "k6_reconcile", "a1_store_counts", "a14_median_by_class", "w1_top_per_chain", "a5_duplicates", "j1_star_join",
