@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.text import tokens
 from basketry.operators.windows import latest_by
 
 #: A price change below this is none.
@@ -121,3 +122,43 @@ def misses(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def newest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return latest_by(df, keys, order, [c for c in df.columns if c not in keys])
+
+
+def quarantined(listings: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """listings with the identity they belong to: their product's, or one of their own chain where they were merged by mistake.
+
+    listings (listing_id, product_id, chain_id, item_code), conflicts (listing_id). Nothing is deleted: a quarantined listing keeps its prices under the new identity.
+    """
+    flags = conflicts.select("listing_id").distinct().withColumn("wrong", F.lit(True))
+    rows = listings.join(flags, "listing_id", "left")
+    own = F.concat_ws(":", F.lit("chain"), F.col("chain_id").cast("string"), "item_code")
+    return rows.select(*listings.columns, F.when(F.col("wrong"), own).otherwise(F.concat_ws(":", F.lit("product"), F.col("product_id").cast("string"))).alias("identity"), F.coalesce("wrong", F.lit(False)).alias("quarantined"))
+
+
+def demoted(labels: DataFrame, label: str, cls: str, markers: tuple[str, ...], name: str = "name") -> DataFrame:
+    """labels without the class `cls` on rows whose name holds none of the few markers."""
+    marked = F.lit(False)
+    for m in markers:
+        marked = marked | F.coalesce(F.contains(name, F.lit(m)), F.lit(False))
+    return labels.withColumn(label, F.when((F.col(label) == cls) & ~marked, F.lit(None)).otherwise(F.col(label)))
+
+
+def kept_storefronts(known: DataFrame, feed: DataFrame, orderable: tuple[str, ...] = ("online", "pickup")) -> DataFrame:
+    """(store_id, chain_id, store_kind, origin): the feed's stores, and stores known to take orders that the feed dropped (restored) or calls something else (rescued)."""
+    was = known.where(F.col("store_kind").isin(*orderable)).select("store_id", F.col("chain_id").alias("known_chain"), F.col("store_kind").alias("known_kind"))
+    rows = feed.withColumn("seen", F.lit(True)).join(was, "store_id", "full")
+    origin = F.when(F.col("seen").isNull(), "restored").when(F.col("known_kind").isNotNull() & ~F.coalesce(F.col("store_kind").isin(*orderable), F.lit(False)), "rescued").otherwise("feed")
+    rows = rows.withColumn("origin", origin)
+    return rows.select("store_id", F.coalesce("chain_id", "known_chain").alias("chain_id"), F.when(F.col("origin") == "feed", F.col("store_kind")).otherwise(F.col("known_kind")).alias("store_kind"), "origin")
+
+
+def nothing_to_price(chains: DataFrame, stores: DataFrame, orderable: tuple[str, ...] = ("online", "pickup")) -> DataFrame:
+    """Chains without a storefront to price: they owe no rows, so a run without them is no failure."""
+    return chains.join(stores.where(F.col("store_kind").isin(*orderable)).select("chain_id").distinct(), "chain_id", "left_anti")
+
+
+def weighted_terms(products: DataFrame) -> DataFrame:
+    """(product_id, term, weight): the terms a product is found by, 1 from its name or code, 0.4 from its brand only."""
+    named = products.select("product_id", F.explode(F.array_union(tokens(F.col("name")), F.filter(F.array("gtin"), lambda x: x.isNotNull()))).alias("term"), F.lit(1.0).alias("weight"))
+    branded = products.select("product_id", F.explode(F.array_distinct(tokens(F.col("brand")))).alias("term"), F.lit(0.4).alias("weight"))
+    return named.unionByName(branded).groupBy("product_id", "term").agg(F.max("weight").alias("weight"))

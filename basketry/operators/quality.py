@@ -66,6 +66,18 @@ def run_status(rows: Column, files: Column, errors: Column) -> Column:
     return F.when((files == 0) & (errors > 0), "failed").when(rows == 0, "empty").when(errors / F.greatest(files, F.lit(1)) > 0.5, "failed").when(errors > 0, "degraded").otherwise("success")
 
 
+# What messages of failures that may pass by themselves hold.
+TRANSIENT = [
+    "client is closed", "connection terminated", "server sent fin", "econnreset", "epipe", "etimedout", "server closed the connection", "fetch failed", "operation was aborted", "timeouterror", "econnrefused", "ehostunreach",
+    "too many clients", "terminating connection", "timeout exceeded when trying to connect", "ftp pool acquire timeout",
+]
+
+
+def transient(message: Column) -> Column:
+    """Whether an error may pass by itself, so that a retry is worth it."""
+    return F.coalesce(F.lower(message).rlike("|".join(TRANSIENT)), F.lit(False))
+
+
 def empty_chains(expected: DataFrame, found: DataFrame) -> DataFrame:
     """(chain_id, reason) of chains that were expected and have no rows: not discovered, or discovered without any."""
     seen = found.groupBy("chain_id").agg(F.sum("rows").alias("rows"))
