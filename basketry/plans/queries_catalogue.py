@@ -263,3 +263,30 @@ def f16_f17_regional_files(c: Catalogue):
     names = near.select(F.explode(F.array(*(F.concat(F.lit(kind), F.lpad(F.col("chain_id").cast("string"), 13, "7"), F.lit("-"), F.lpad(F.col("store_id").cast("string"), 3, "0"), F.lit("-2024010"), F.lit(day), F.lit("-0300.gz")) for kind in ("PriceFull", "PromoFull") for day in ("1", "2")))).alias("path"))
     files = names.select("path", *feeds.file_facts(F.col("path")))
     return feeds.chosen_files(files, ("pricefull", "promofull"), 10)
+
+
+@query(oracle("SELECT CAST(product_id AS VARCHAR) AS item_code, name, brand, price, size_qty, size_unit, product_id % 5 = 0 AS is_weighted, CASE WHEN size_qty > 0 THEN CASE WHEN size_unit = 'unit' THEN price / size_qty ELSE price / size_qty * 100 END END AS unit_price FROM store_price JOIN product USING (product_id)", "product", "store_price"))
+def s2_price_files(c: Catalogue):
+    """Current prices written as price files and read back."""
+    text = lambda x: x.cast("string")
+    rows = c.store_price.select("product_id", F.col("price").cast("decimal(18,2)").alias("price")).join(c.product, "product_id")
+    path = feeds.landed(rows.select(text(F.col("product_id")).alias("ItemCode"), F.lit("0").alias("ItemType"), F.concat(F.lit("  "), "name").alias("ItemName"), F.col("brand").alias("ManufacturerName"), text(F.col("size_qty")).alias("Quantity"), F.upper("size_unit").alias("UnitQty"), text(F.col("price")).alias("ItemPrice"), F.when(F.col("product_id") % 5 == 0, "1").otherwise("0").alias("bIsWeighted")), "Item")
+    return feeds.read_prices(c.spark, path).select("item_code", "name", "brand", "price", "size_qty", "size_unit", "is_weighted", "unit_price")
+
+
+@query(oracle("SELECT lpad(CAST(store_id AS VARCHAR), CAST(greatest(3, length(CAST(store_id AS VARCHAR))) AS INTEGER), '0') AS store_code, store_name || CASE WHEN store_kind IN ('pickup', 'warehouse') THEN ' ' || store_kind ELSE '' END AS store_name, CASE WHEN store_id % 12 > 0 THEN city END AS city, lat, CASE WHEN store_kind IN ('online', 'pickup', 'warehouse') THEN store_kind ELSE 'branch' END AS store_kind FROM store", "store"))
+def s3_store_files(c: Catalogue):
+    """Stores written as a file of stores and read back; a zero stands for no city."""
+    kind = F.col("store_kind")
+    name = F.concat("store_name", F.when(kind.isin("pickup", "warehouse"), F.concat(F.lit(" "), kind)).otherwise(""))
+    rows = c.store.select(F.col("store_id").cast("string").alias("StoreId"), name.alias("StoreName"), F.when(F.col("store_id") % 12 > 0, F.col("city")).otherwise("0").alias("City"), F.col("lat").cast("string").alias("Latitude"), F.when(kind == "online", "2").otherwise("1").alias("StoreType"))
+    return feeds.read_stores(c.spark, feeds.landed(rows, "Store")).select("store_code", "store_name", "city", "lat", "store_kind")
+
+
+@query(oracle("SELECT promo_code, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY CAST(product_id AS VARCHAR)) AS items FROM promotion JOIN promotion_item USING (promotion_id) WHERE product_id <> 0 GROUP BY 1", "promotion", "promotion_item"))
+def s4_promotion_files(c: Catalogue):
+    """Promotions with their nested items written as promotion files and read back; a code of zeros is no item."""
+    items = c.promotion_item.groupBy("promotion_id").agg(F.collect_list(F.struct(F.col("product_id").cast("string").alias("ItemCode"))).alias("Item"))
+    rows = c.promotion.join(items, "promotion_id").select(F.col("promo_code").alias("PromotionId"), F.lit("sale").alias("PromotionDescription"), F.struct("Item").alias("PromotionItems"))
+    got = feeds.read_promotions(c.spark, feeds.landed(rows, "Promotion")).where(F.size("item_codes") > 0)
+    return got.select("promo_code", F.array_join("item_codes", ",").alias("items"))

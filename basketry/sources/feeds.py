@@ -1,13 +1,15 @@
 """Retail feeds: XML files of stores, prices and promotions, as DataFrames of plain records.
 
 Spark reads the XML itself, one row per element, with a schema of strings, so leading zeros stay; numbers are parsed after. What a file's
-header says (chain and store) is in its name too, and joins by the file.
+header says (chain and store) is in its name too, and joins by the file; one row a file grows with the feed, so Spark decides by its size how to join it.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -55,7 +57,7 @@ def header(spark: SparkSession, path: str, root: str = "Root") -> DataFrame:
 
 def read_prices(spark: SparkSession, path: str, root: str = "Root") -> DataFrame:
     """One row per priced item; rows without a code or a price go. Identity is the barcode where it is one."""
-    rows = _read(spark, path, "Item", _strings(ITEM)).join(F.broadcast(header(spark, path, root)), "file", "left")
+    rows = _read(spark, path, "Item", _strings(ITEM)).join(header(spark, path, root), "file", "left")
     price, weighted = tx.number(F.col("ItemPrice")), F.col("bIsWeighted") == "1"
     code, kind = F.trim("ItemCode"), F.col("ItemType").try_cast("int")
     size = units.measure(tx.number(F.col("Quantity")), F.col("UnitQty"), weighted)
@@ -70,7 +72,7 @@ def read_prices(spark: SparkSession, path: str, root: str = "Root") -> DataFrame
 
 def read_stores(spark: SparkSession, path: str, root: str = "Root") -> DataFrame:
     """One row per store; stores nest in several ways, but each is one element."""
-    rows = _read(spark, path, "Store", _strings(STORE)).join(F.broadcast(header(spark, path, root)).drop("store_code"), "file", "left")
+    rows = _read(spark, path, "Store", _strings(STORE)).join(header(spark, path, root).drop("store_code"), "file", "left")
     city = F.trim("City")
     return rows.where(F.col("StoreId").isNotNull()).select(
         "file", "chain_code", tx.store_code(F.col("StoreId")).alias("store_code"), tx.scrubbed(F.col("StoreName")).alias("store_name"), tx.scrubbed(F.col("Address")).alias("address"), F.when(~city.isin("", "0"), city).alias("city"),
@@ -85,7 +87,7 @@ _GROUPS = T.StructType([T.StructField("Group", T.ArrayType(T.StructType([T.Struc
 def read_promotions(spark: SparkSession, path: str, root: str = "Root") -> DataFrame:
     """One row per promotion with its item codes, wherever they nest, and its mechanic."""
     schema = _strings(PROMOTION, T.StructField("ItemCode", T.ArrayType(T.StringType())), T.StructField("PromotionItems", _ITEMS), T.StructField("Groups", _GROUPS))
-    rows = _read(spark, path, "Promotion", schema).join(F.broadcast(header(spark, path, root)), "file", "left")
+    rows = _read(spark, path, "Promotion", schema).join(header(spark, path, root), "file", "left")
     nested = F.flatten(F.transform("Groups.Group", lambda g: F.transform(g["PromotionItems"]["PromotionItem"], lambda i: i["ItemCode"])))
     none = F.array().cast("array<string>")
     codes = F.concat(F.coalesce("ItemCode", none), F.coalesce(F.transform("PromotionItems.Item", lambda i: i["ItemCode"]), none), F.coalesce(nested, none))
@@ -138,3 +140,14 @@ def chosen_files(files: DataFrame, kinds: tuple[str, ...], cap: int) -> DataFram
     rows = files.where(F.col("kind").isin(*kinds)).withColumn("nth", newest).where("nth = 1").drop("nth")
     place = F.dense_rank().over(Window.partitionBy("chain_code").orderBy("store_code"))
     return rows.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+
+
+def landed(df: DataFrame, tag: str) -> str:
+    """The path of df written as feed files, one element a row, in a new folder that all executors see (spark.checkpoint.dir; on one machine a folder of its own)."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{base or tempfile.mkdtemp(prefix='basketry-')}/feeds-{uuid.uuid4().hex}"
+    df.write.format("xml").option("rootTag", "Root").option("rowTag", tag).save(path)
+    return f"{path}/part-*"
