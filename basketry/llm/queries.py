@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, languages, mixing, near_dup, order_minhash, page_wrappers, personal_data, quality, token_counts, word_table
-from .common import table, text_or_empty
+from . import archives, conversation_repair, languages, mixing, near_dup, order_minhash, page_wrappers, personal_data, quality, token_counts, word_table
+from .common import cut, table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -104,6 +104,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_wrappers, op2_language_id, op3_token_counts, op4_personal_data, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = conversation_repair.damaged(given)
+    found = cut(conversation_repair.audits(turns))
+    told = conversation_repair.line_digests(conversation_repair.repair(turns, found))
+    ids = given.select(F.col("conv_id").alias("given_id")).distinct()
+    rows = ids.join(found, F.col("given_id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    rows = rows.join(told, F.col("given_id").eqNullSafe(F.col("conv_id")), "left").withColumn("conv_id", F.col("given_id"))
+    counts = [F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_page_wrappers, op2_language_id, op3_token_counts, op4_personal_data, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing, op11_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = {}
