@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, conversation_repair, languages, mixing, near_dup, order_minhash, page_wrappers, personal_data, quality, token_counts, word_table
+from . import archives, conversation_repair, languages, mixing, near_dup, order_minhash, page_wrappers, personal_data, prefix_trie, quality, token_counts, word_table
 from .common import cut, table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
@@ -116,6 +116,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_wrappers, op2_language_id, op3_token_counts, op4_personal_data, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing, op11_conversation_repair)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns_of(given)))
+
+
+QUERIES = {f.__name__: f for f in (op1_page_wrappers, op2_language_id, op3_token_counts, op4_personal_data, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing, op11_conversation_repair, op12_prefix_trie)}
 
 ORACLE_SQL: dict[str, str] = {}

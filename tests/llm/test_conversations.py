@@ -215,3 +215,68 @@ def test_repaired_turns_are_well_formed(spark, turns):
     for own in by.values():
         assert [r["place"] for r in own] == list(range(len(own)))
         assert re.fullmatch("(s?(ua)+)?", "".join(r["role"][:1] for r in own))
+
+
+def tries(rows):
+    """The trie's nodes by brute force: every prefix of every rebuilt conversation."""
+    own = collections.defaultdict(list)
+    for conv_id, turn, role, text in rows:
+        if conv_id is not None:
+            own[conv_id].append((turn, role or "", text or ""))
+    own = {c: [(r, t) for _, r, t in sorted(x, key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1], r[2])))] for c, x in own.items()}
+    made = {}
+    for c, x in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - (abs(c) % 100) * (1 if c >= 0 else -1)
+        made[c] = tuple(own.get(base, [])[:h] + x[h:])
+    members = collections.defaultdict(list)
+    for c, x in made.items():
+        for d in range(len(x) + 1):
+            members[x[:d]].append(c)
+    children = collections.defaultdict(list)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    out = []
+    below = {}
+    for p in sorted(members, key=len, reverse=True):
+        own_saved = (len(members[p]) - 1) * len(p[-1][1]) if p else 0
+        kids = children[p]
+        below[p] = (sum(below[k][0] for k in kids) or 1, own_saved + sum(below[k][1] for k in kids))
+        ends = ",".join(map(str, sorted(c for c in members[p] if len(made[c]) == len(p))))
+        out.append((min(members[p]), len(p), min(members[p[:-1]]) if p else None, len(members[p]), len(kids), *below[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def few_turns(rng, n):
+    """Conversations over few distinct turns, so that they share beginnings of any length, whole others as well."""
+    out = []
+    for c in range(n):
+        start = rng.choice([0, 0, 0, 1, 2])
+        out += [(c, None if i == 0 and rng.random() < 0.1 else i, ["user", "assistant"][i % 2], rng.choice(["a", "b", "ccc", None]) if i >= start else "x" * (i + 1)) for i in range(rng.choice([1, 2, 3, 6, 9]))]
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_trie_equals_all_prefixes(spark, turns, tmp_path_factory, parts):
+    rng = random.Random(parts)
+    rows = few_turns(rng, 230) + [(1000 + c, i, "user", "same" * 2) for c in range(120) for i in range(70)] + ([r for r in turns if r[0] not in (300, 301)] if parts == 7 else [])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = queries.op12_prefix_trie(spark, saved(spark, tmp_path_factory, rows))
+        assert got.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+        assert sorted(map(tuple, got.collect()), key=str) == tries(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_trie_of_none_and_of_the_turnless(spark, tmp_path_factory):
+    assert queries.op12_prefix_trie(spark, saved(spark, tmp_path_factory, [])).count() == 0
+    assert queries.op12_prefix_trie(spark, saved(spark, tmp_path_factory, [(None, 1, "user", "x")])).count() == 0
+    h5 = [c for c in range(1, 99) if zlib.crc32(str(c).encode()) % 6 == 5][:3]  # their base is absent, so nothing is left
+    rows = [(c, 0, "user", "x") for c in h5]
+    got = sorted(map(tuple, queries.op12_prefix_trie(spark, saved(spark, tmp_path_factory, rows)).collect()))
+    assert got == tries(rows) and len(got) == 1 and got[0][3] == 3
