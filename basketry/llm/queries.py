@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, conversation_repair, languages, mixing, near_dup, order_minhash, page_wrappers, personal_data, prefix_trie, quality, token_counts, word_table
+from . import archives, conversation_repair, languages, mixing, near_dup, order_minhash, page_wrappers, personal_data, prefix_trie, quality, substring_dedup, token_counts, word_table
 from .common import cut, table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
@@ -121,6 +121,23 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns_of(given)))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_wrappers, op2_language_id, op3_token_counts, op4_personal_data, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing, op11_conversation_repair, op12_prefix_trie)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op1_page_wrappers, op2_language_id, op3_token_counts, op4_personal_data, op5_warc_from_arc, op6_order_minhash, op7_word_bpe, op8_quality_rules, op9_simhash_near_dup, op10_mixing, op11_conversation_repair, op12_prefix_trie, op13_substring_dedup)}
+
+#: What SQL can say of the operators; the others are held to brute force in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op13_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS s FROM d, unnest(range(1, len(words) - 18)) t(i)),
+        later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+        gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM later, range(20) t(k) GROUP BY doc_id),
+        k AS (SELECT doc_id, len(words) AS n_words, words, coalesce(places, []) AS places FROM d LEFT JOIN gone USING (doc_id)),
+        w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, n_words + 1)) AS i FROM k),
+        p AS (SELECT doc_id, unnest(places) AS i, true AS goes FROM k),
+        left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w LEFT JOIN p USING (doc_id, i) WHERE goes IS NULL GROUP BY doc_id)
+        SELECT doc_id, n_words, CAST(len(places) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN left_ USING (doc_id)""",
+}
