@@ -13,8 +13,6 @@ from .registry import query
 from .views import Catalogue, oracle
 
 ASKED = [(1, "red"), (2, "steel red"), (3, "7290000000042"), (4, "anodized"), (5, "stel"), (6, "zzz")]
-# A small vocabulary over the driver's product words (term, priority, kind, key, value).
-VOCABULARY = [("red", 1, "attribute", "colour", "red"), ("blue", 1, "attribute", "colour", "blue"), ("steel", 2, "concept", "metal", ""), ("tin", 2, "concept", "metal", ""), ("brushed steel", 3, "attribute", "finish", "brushed"), ("small", 1, "penalty", "small", "")]
 Q_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") t(query_id, query)"
 _TOKENS = WORDS
 
@@ -78,20 +76,6 @@ def r7_stock_order(c: Catalogue):
     return ranks.where("store_count > 0").select("query_id", "product_id", "score", "store_count")
 
 
-@query()
-def r8_r9_profiles(c: Catalogue):
-    """Concepts, attributes and penalties of the distinct names."""
-    return resolve.profiles(c.product.select("name").distinct(), VOCABULARY).select("name", F.array_join("profile.concepts", ",").alias("concepts"), F.to_json("profile.attributes").alias("attributes"))
-
-
-@query()
-def r11_gate(c: Catalogue):
-    names = resolve.profiles(c.product.select("name").distinct(), VOCABULARY)
-    asked = resolve.profiles(c.spark.createDataFrame([(1, "red steel"), (2, "blue")], "query_id int, name string"), VOCABULARY).select("query_id", F.col("profile").alias("q"))
-    rows = names.join(F.broadcast(asked), F.lit(True)).withColumn("g", resolve.gate(F.col("q"), F.col("profile"), ("finish",)))
-    return rows.select("query_id", "name", "g.allowed", "g.tier", "g.penalty")
-
-
 @query(oracle(f"SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY exact_name DESC, exact_phrase DESC, head_anchored DESC, shared_tokens DESC, name_tokens, store_count DESC, product_id) AS rank FROM ({_SAID}) QUALIFY rank <= 10", "product", "store_price", **_LEXICAL))
 def r12_r13_ranker(c: Catalogue):
     """Candidates by tier, evidence and stock: a struct as one sort key."""
