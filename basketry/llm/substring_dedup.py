@@ -10,8 +10,9 @@ kept of the sum, ROWS * 2**CELLS bits, a fixed size, sent to all tasks. Pass 2 t
 exactly, by 128 bits: the hash of the anchor and that of the window. As the sketch only overestimates, no repeated window is lost; the more windows there are, the more
 single ones pass it as well, up to all of them, which costs more rows in pass 2 and changes no result.
 
-A run is the windows in a row that share an anchor. Runs that a task has met before it marks at once as repeated, and only the first of them goes into
-the exact grouping, so a passage that stands in a third of all documents gives a row a window and task there, not one a document.
+A run is the windows in a row that share an anchor. Equal runs are found first: within a task at once, then among tasks, so a passage that stands in a third of all
+documents gives a row a run and task there, not one a document. Of equal runs all but the first go. Windows are grouped one by one only where an anchor still has several different
+runs, as at the edges of passages.
 
 Defined results: null and blank texts have no words; rows with a null doc_id come before all others; rows of equal doc_id go by the hash of their text, and rows with equal doc_id and text are
 one document stated more than once, each judged alike; extra columns pass through `deduplicated`; empty input gives empty output.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,7 +217,9 @@ def sketch(texts: DataFrame, bits: int = CELLS) -> np.ndarray:
     parts = texts.select("text").mapInArrow(fill, "piece int, cells binary, counts binary")
     merged = parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, twice binary")
     out, width = np.zeros(ROWS << max(bits - 3, 0), np.uint8), 1 << (part_bits - 3)
-    for row in merged.toLocalIterator():
+    with common.shuffles_removed(texts.sparkSession):
+        rows = merged.collect()  # the sketch's fixed size
+    for row in rows:
         out[row["piece"] * width : (row["piece"] + 1) * width] = np.frombuffer(row["twice"], np.uint8)
     return out
 
@@ -230,7 +233,7 @@ def estimated_twice(sketched: np.ndarray, anchor: np.ndarray, bits: int) -> np.n
     return out
 
 
-RUNS = "doc_id long, th long, begin int, end int, anchor long, windows array<long>"
+RUNS = "doc_id long, th long, begin int, end int, anchor long, whole long, windows array<long>"
 
 
 def repeated_runs(docs: DataFrame, bits: int = CELLS) -> DataFrame:
@@ -260,17 +263,21 @@ def repeated_runs(docs: DataFrame, bits: int = CELLS) -> DataFrame:
             stops = np.cumsum(sizes)
             inside = np.repeat(runs.begin[keep] - (stops - sizes), sizes) + np.arange(stops[-1])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)), pa.int32()), pa.array(runs.windows[inside].view(np.int64)), mask=pa.array(~first))
-            columns = [pa.array([ids[t] for t in text], pa.int64()), pa.array([hashes[t] for t in text], pa.int64()), pa.array(place, pa.int32()), pa.array((runs.end - runs.offset)[keep], pa.int32()), pa.array(runs.anchor[keep].view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "begin", "end", "anchor", "windows"])
+            columns = [pa.array([ids[t] for t in text], pa.int64()), pa.array([hashes[t] for t in text], pa.int64()), pa.array(place, pa.int32()), pa.array((runs.end - runs.offset)[keep], pa.int32()), pa.array(runs.anchor[keep].view(np.int64)), pa.array(runs.whole[keep].view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "begin", "end", "anchor", "whole", "windows"])
 
     return docs.select("doc_id", "th", "text").mapInArrow(passed, RUNS)
 
 
 def covered(docs: DataFrame, bits: int = CELLS) -> DataFrame:
     """doc_id, th and spans: ranges [from, to) of words that go, of every document of docs (doc_id, th, text) that loses any."""
-    runs = common.cut(repeated_runs(docs, bits))
+    same_run = Window.partitionBy("anchor", "whole").orderBy("doc_id", "th", "begin")  # a few rows a task and run, as tasks tell their own repeats
+    runs = repeated_runs(docs, bits).withColumn("place", F.rank().over(same_run))
+    runs = common.cut(runs.select("doc_id", "th", "begin", "end", "anchor", F.when(F.col("place") == 1, F.col("windows")).alias("windows")))
     again = runs.where(F.col("windows").isNull()).select("doc_id", "th", "begin", "end")
-    each = runs.where(F.col("windows").isNotNull()).select("doc_id", "th", "begin", "anchor", F.posexplode("windows").alias("nth", "window"))
+    firsts = runs.where(F.col("windows").isNotNull())
+    many = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    each = firsts.join(many, "anchor").select("doc_id", "th", "begin", "anchor", F.posexplode("windows").alias("nth", "window"))
     each = each.select("doc_id", "th", (F.col("begin") + F.col("nth")).alias("begin"), "anchor", "window")
     first = each.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "th", "begin")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = first.select(F.col("anchor").alias("of"), F.col("window").alias("what"), "first")
