@@ -60,6 +60,50 @@ def in_ring(lng: Column, lat: Column, ring: Column) -> Column:
     return F.when(size > 2, count % 2 == 1).otherwise(False)
 
 
+#: An area is laid out on cells of the size 2 ** -level degrees at which its box is up to so many of them wide.
+CELLS_WIDE = 16
+
+
+def level_of(width: Column) -> Column:
+    """The finest level at which a width in degrees is at most CELLS_WIDE cells."""
+    return F.least(F.lit(20), F.greatest(F.lit(-4), F.floor(F.log2(F.lit(float(CELLS_WIDE)) / F.greatest(width, F.lit(1e-9)))))).cast("int")
+
+
+def cell_of(x: Column, level: Column) -> Column:
+    return F.floor(x * F.pow(F.lit(2.0), level)).cast("long")
+
+
+def box_cells(level: Column, west: Column, east: Column, south: Column, north: Column) -> Column:
+    """Array of (x, y) of the cells of a box, edges included."""
+    xs, ys = F.sequence(cell_of(west, level), cell_of(east, level)), F.sequence(cell_of(south, level), cell_of(north, level))
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def ring_cells(ring: Column, level: Column) -> Column:
+    """Array of (x, y, whole) of the cells that a ring, an array of structs (lng, lat), reaches; `whole` cells lie inside it altogether.
+
+    A cell that the box of no side touches lies on one side of the ring, so its middle tells which; all others need the exact test.
+    """
+    size = F.size(ring)
+    low = lambda k: F.array_min(F.transform(ring, lambda p: p[k]))
+    high = lambda k: F.array_max(F.transform(ring, lambda p: p[k]))
+    step = F.pow(F.lit(2.0), -level)
+    sides = F.transform(ring, lambda a, i: F.struct(a.alias("a"), F.get(ring, (i + 1) % size).alias("b")))
+
+    def touched(c: Column) -> Column:
+        west, south = c["x"] * step, c["y"] * step
+        return F.exists(
+            sides,
+            lambda s: (F.least(s["a"]["lng"], s["b"]["lng"]) <= west + step) & (F.greatest(s["a"]["lng"], s["b"]["lng"]) >= west) & (F.least(s["a"]["lat"], s["b"]["lat"]) <= south + step) & (F.greatest(s["a"]["lat"], s["b"]["lat"]) >= south),
+        )
+
+    def judged(c: Column) -> Column:
+        return F.struct(c["x"].alias("x"), c["y"].alias("y"), touched(c).alias("touched"), in_ring((c["x"] + 0.5) * step, (c["y"] + 0.5) * step, ring).alias("inside"))
+
+    cells = F.transform(box_cells(level, low("lng"), high("lng"), low("lat"), high("lat")), judged)
+    return F.transform(F.filter(cells, lambda c: c["touched"] | c["inside"]), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), (~c["touched"]).alias("whole")))
+
+
 def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
     a, b = f"sin(radians({lat2} - {lat1}) / 2)", f"sin(radians({lng2} - {lng1}) / 2)"
     return f"asin(sqrt(least(1e0, {a} * {a} + cos(radians({lat1})) * cos(radians({lat2})) * {b} * {b}))) * 12742e0"

@@ -1,73 +1,13 @@
-"""Meaning of product names: a vocabulary of terms as data, profiles, gates, equivalents."""
+"""What products may stand for each other and for a query: classes, equivalents, upgrades, intents, risks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import text as tx
 from basketry.operators.windows import first_per
 
-PROFILE = "concepts array<string>, attributes map<string,string>, penalties array<string>"
-
-
-def matched_terms(tokens: list[str], terms: dict[tuple[str, ...], tuple]) -> list[tuple]:
-    """Terms found in a token list, none overlapping another: higher priority first, then longer, then earlier."""
-    found = []
-    longest = max(map(len, terms), default=0)
-    for at in range(len(tokens)):
-        for n in range(1, min(longest, len(tokens) - at) + 1):
-            if hit := terms.get(tuple(tokens[at : at + n])):
-                found.append((-hit[0], -n, at, hit))
-    taken: set[int] = set()
-    out = []
-    for _, n, at, hit in sorted(found):
-        span = set(range(at, at - n))
-        if not span & taken:
-            taken |= span
-            out.append((at, hit))
-    return [hit for _, hit in sorted(out, key=lambda x: x[0])]
-
-
-def profiles(names: DataFrame, vocabulary: list[tuple[str, int, str, str, str]]) -> DataFrame:
-    """names (product_id, name) with concepts, attributes and penalties.
-
-    The vocabulary (term, priority, kind, key, value) is a curated list that goes to every task; kind is concept, attribute or penalty.
-    """
-    terms = {tuple(t.lower().split()): (p, kind, key, value) for t, p, kind, key, value in vocabulary}
-
-    @F.pandas_udf(PROFILE)
-    def profile(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for tokens in batch:
-                hits = matched_terms([] if tokens is None else list(tokens), terms)
-                rows.append((sorted({k for _, kind, k, _ in hits if kind == "concept"}), {k: v for _, kind, k, v in hits if kind == "attribute"}, sorted({k for _, kind, k, _ in hits if kind == "penalty"})))
-            yield pd.DataFrame(rows, columns=["concepts", "attributes", "penalties"])
-
-    return names.withColumn("profile", profile(tx.tokens(F.col("name"))))
-
-
-def gate(query: Column, product: Column, relaxable: tuple[str, ...] = ()) -> Column:
-    """struct(allowed, tier, conflicts, penalty) for two profiles.
-
-    Tier 1: all of the query's attributes agree; 2: those it lacks are unknown; 3: it differs only in ones that may be relaxed; 0: not allowed.
-    """
-    asked = F.map_entries(query["attributes"])
-    differ = F.filter(asked, lambda e: F.try_element_at(product["attributes"], e["key"]).isNotNull() & (F.try_element_at(product["attributes"], e["key"]) != e["value"]))
-    unknown = F.filter(asked, lambda e: F.try_element_at(product["attributes"], e["key"]).isNull())
-    soft = F.array(*map(F.lit, relaxable)).cast("array<string>")
-    conflicts = F.filter(F.transform(differ, lambda e: e["key"]), lambda k: ~F.array_contains(soft, k))
-    concepts = (F.size(query["concepts"]) == 0) | F.arrays_overlap(query["concepts"], product["concepts"])
-    extra = F.size(F.array_except(product["penalties"], query["penalties"]))
-    allowed = concepts & (F.size(conflicts) == 0)
-    tier = F.when(~allowed, 0).when(F.size(differ) > 0, 3).when(F.size(unknown) > 0, 2).otherwise(1)
-    return F.struct(allowed.alias("allowed"), tier.alias("tier"), F.array_sort(conflicts).alias("conflicts"), extra.alias("penalty"))
-
-
 def class_relation(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """How far two class paths agree: same, same_l2, same_l1, different; unknown if either has none. A missing class is never a conflict."""
     return (
@@ -88,20 +28,39 @@ def dominant_class(members: DataFrame, keys: list[str], cls: str, share: float =
     return rows.select(*keys, F.when(F.col("n") >= F.col("total") * share, F.col(cls)).alias("dominant"), "n", "total")
 
 
-def equivalents(products: DataFrame, class_key: str = "category", least: float = 0.5, limit: int = 5) -> DataFrame:
-    """(product_id, other_id, similarity): products of the same class and unit whose names share enough words, best first.
+def similar_sets(sets: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """(keys, id, other, similarity): pairs of distinct ids of sets (keys, id, words) under the same keys whose Dice similarity is `least` or more, each pair once, id < other.
 
-    Distinct names stand for their products, and names meet on shared words, each within its class and unit; words that are in most names of a
-    class still cost only pairs of distinct names.
+    Prefix filtering: words are put in order from the rarest (under the keys) on. Two sets that similar share ceil(least / (2 - least) * size) words of the one at least, so
+    they share one among the first size - that + 1 of each: only these words are joined, not the frequent ones, and only sets whose sizes allow the similarity. A pair counts at the first
+    of its shared leading words, so it is tested once.
+    """
+    each = sets.select(*keys, "id", F.explode(F.array_distinct("words")).alias("word"))
+    counts = each.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(counts, [*keys, "word"]).groupBy(*keys, "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("w"))
+    size, share = F.size("w"), least / (2 - least)
+    lead = F.slice("w", F.lit(1), (size - F.ceil(size * share - 1e-9) + 1).cast("int"))
+    rows = ordered.select(*keys, "id", "w", lead.alias("lead")).select("*", F.explode("lead").alias("word"))
+    other = rows.select(*keys, "word", F.col("id").alias("other"), F.col("w").alias("other_w"), F.col("lead").alias("other_lead"))
+    sizes = F.least(F.size("w"), F.size("other_w")) >= F.greatest(F.size("w"), F.size("other_w")) * share - 1e-9
+    pairs = rows.join(other, [*keys, "word"]).where((F.col("id") < F.col("other")) & sizes & (F.col("word") == F.get(F.array_intersect("lead", "other_lead"), F.lit(0))))
+    dice = F.size(F.array_intersect("w", "other_w")) * 2 / (F.size("w") + F.size("other_w"))
+    return pairs.select(*keys, "id", "other", dice.alias("similarity")).where(F.col("similarity") >= least)
+
+
+def equivalents(products: DataFrame, class_key: str = "category", least: float = 0.5, limit: int = 5, text: str = "name") -> DataFrame:
+    """(product_id, place, other_id, similarity): products of the same class and unit whose texts share enough words, best first.
+
+    Distinct texts stand for their products; similar ones are found by `similar_sets`, and only each text's first few products are paired.
     """
-    named = products.select(class_key, "size_unit", "name").distinct().withColumn("w", F.array_distinct(tx.tokens(F.col("name"))))
-    words = named.select(class_key, "size_unit", "name", F.size("w").alias("size"), F.explode("w").alias("word"))
-    other = words.select(class_key, "size_unit", F.col("name").alias("other_name"), F.col("size").alias("other_size"), "word")
-    shared = words.join(other, [class_key, "size_unit", "word"]).groupBy(class_key, "size_unit", "name", "other_name", "size", "other_size").agg(F.count(F.lit(1)).alias("both"))
-    dice = F.col("both") * 2 / (F.col("size") + F.col("other_size"))
-    close = shared.withColumn("similarity", dice).where(F.col("similarity") >= least)
-    top = first_per(products.select(class_key, "size_unit", F.col("name").alias("other_name"), F.col("product_id").alias("other_id")), [class_key, "size_unit", "other_name"], [F.col("other_id")], limit + 1)
-    pairs = close.join(top, [class_key, "size_unit", "other_name"]).join(products.select("product_id", class_key, "size_unit", "name"), [class_key, "size_unit", "name"])
+    keys = [class_key, "size_unit"]
+    texts = products.select(*keys, F.col(text).alias("id")).distinct()
+    close = similar_sets(texts.withColumn("words", tx.tokens(F.col("id"))), keys, least)
+    turned = close.select(*keys, F.col("other").alias("id"), F.col("id").alias("other"), "similarity")
+    own = texts.where(F.size(tx.tokens(F.col("id"))) > 0).select(*keys, "id", F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
+    both = close.unionByName(turned).unionByName(own)
+    top = first_per(products.select(*keys, F.col(text).alias("other"), F.col("product_id").alias("other_id")), [*keys, "other"], [F.col("other_id")], limit + 1)
+    pairs = both.join(top, [*keys, "other"]).join(products.select("product_id", *keys, F.col(text).alias("id")), [*keys, "id"])
     return first_per(pairs.where(F.col("product_id") != F.col("other_id")), ["product_id"], [F.desc("similarity"), F.col("other_id")], limit, "place").select("product_id", "place", "other_id", "similarity")
 
 

@@ -242,13 +242,12 @@ def g5_centroids(c: Catalogue):
     return c.store.groupBy("city").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
 
 
-@query(oracle("SELECT store_id, lat > 30 AND lat < 32 AND lng > 34.5e0 AND lng < 35.5e0 AS inside FROM store WHERE lat NOT IN (30, 32) AND lng NOT IN (34.5e0, 35.5e0)", "store"))
+@query(oracle("SELECT store_id, lat >= 30 AND lat < 32 AND lng >= 34.5e0 AND lng < 35.5e0 AS inside FROM store", "store"))
 def f14_point_in_ring(c: Catalogue):
-    """Stores against a stated square, without those on its edge."""
+    """Stores against a stated square; its south and west edges are inside, the others outside, as rays go."""
     corners = [(34.5, 30.0), (35.5, 30.0), (35.5, 32.0), (34.5, 32.0)]
     ring = F.array(*(F.struct(F.lit(x).alias("lng"), F.lit(y).alias("lat")) for x, y in corners))
-    rows = c.store.where(~F.col("lat").isin(30.0, 32.0) & ~F.col("lng").isin(34.5, 35.5))
-    return rows.select("store_id", geo.in_ring(F.col("lng"), F.col("lat"), ring).alias("inside"))
+    return c.store.select("store_id", geo.in_ring(F.col("lng"), F.col("lat"), ring).alias("inside"))
 
 
 @query()

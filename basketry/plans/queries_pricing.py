@@ -260,6 +260,30 @@ def f15_coverage(c: Catalogue):
     return delivery.coverage(rules, places)
 
 
+_POINTS = "SELECT c_custkey AS place_id, CASE WHEN c_custkey % 11 > 0 THEN 29.5e0 + (c_custkey % 370) * 0.01e0 END AS y, CASE WHEN c_custkey % 11 > 0 THEN 34.2e0 + (c_custkey % 170) * 0.01e0 END AS x FROM customer"
+_AREAS = "SELECT store_id AS service_id, CASE WHEN store_id % 13 = 0 THEN 'national' WHEN store_id % 4 = 1 THEN 'radius' ELSE 'polygon' END AS scope, lat, lng, 5e0 * (1 + store_id % 6) AS radius_km, 0.3e0 + (store_id % 5) * 0.13e0 AS r FROM service JOIN (SELECT store_id, lat, lng FROM store) USING (store_id) WHERE store_id % 9 <> 0"
+_SIDES = "[{'ax': lng - r, 'ay': lat, 'bx': lng, 'by': lat - r}, {'ax': lng, 'ay': lat - r, 'bx': lng + r, 'by': lat}, {'ax': lng + r, 'ay': lat, 'bx': lng, 'by': lat + r}, {'ax': lng, 'ay': lat + r, 'bx': lng - r, 'by': lat}]"
+_INSIDE = f"len(list_filter({_SIDES}, lambda s: (s.by > y) <> (s.ay > y) AND x < (s.ax - s.bx) * (y - s.by) / CASE WHEN s.ay <> s.by THEN s.ay - s.by END + s.bx)) % 2 = 1"
+
+
+@query(oracle(
+    f"""SELECT place_id, s.store_id AS service_id, coalesce(hit, FALSE) AS serves, CASE WHEN hit THEN scope END AS scope, CASE WHEN scope IS NULL THEN 'coverage_unknown' WHEN hit THEN NULL WHEN x IS NULL THEN 'address_too_vague' ELSE 'outside' END AS reason FROM (
+        SELECT p.*, s.store_id, a.scope, coalesce(CASE a.scope WHEN 'national' THEN TRUE WHEN 'radius' THEN {haversine_sql('y', 'x', 'lat', 'lng')} <= radius_km WHEN 'polygon' THEN {_INSIDE} END, FALSE) AS hit FROM points p CROSS JOIN service s LEFT JOIN areas a ON a.service_id = s.store_id) s""",
+    "store", "service", points=_POINTS, areas=_AREAS,
+))
+def f15_polygon_coverage(c: Catalogue):
+    """Every customer's point against every delivery service: rings of four corners, circles, the whole country, or no rule; some customers have no point."""
+    k = F.col("c_custkey")
+    places = c.raw("customer").select(k.alias("place_id"), F.lit(None).cast("string").alias("place_city"), F.when(k % 11 > 0, F.lit(29.5) + (k % 370) * 0.01).alias("place_lat"), F.when(k % 11 > 0, F.lit(34.2) + (k % 170) * 0.01).alias("place_lng"))
+    i, r = F.col("store_id"), F.lit(0.3) + (F.col("store_id") % 5) * 0.13
+    corners = [(F.col("lng") - r, F.col("lat")), (F.col("lng"), F.col("lat") - r), (F.col("lng") + r, F.col("lat")), (F.col("lng"), F.col("lat") + r)]
+    ring = F.array(*(F.struct(x.alias("lng"), y.alias("lat")) for x, y in corners))
+    scope = F.when(i % 13 == 0, "national").when(i % 4 == 1, "radius").otherwise("polygon")
+    rules = c.service.join(c.store.select("store_id", "lat", "lng"), "store_id").where(i % 9 != 0)
+    rules = rules.select(i.alias("service_id"), scope.alias("scope"), F.lit(None).cast("string").alias("city"), "lat", "lng", (F.lit(5.0) * (i % 6 + 1)).alias("radius_km"), ring.alias("ring"), F.lit(1).alias("confidence"))
+    return delivery.coverage(rules, places, c.service.select(i.alias("service_id")))
+
+
 @query(oracle("SELECT store_id, CAST(floor(acos(least(1e0, greatest(-1e0, cos(radians(32e0)) * cos(radians(lat)) * cos(radians(lng) - radians(34.8e0)) + sin(radians(32e0)) * sin(radians(lat))))) * 6371e0 * 10 + 0.5e0) AS BIGINT) AS hectometres FROM store", "store"))
 def g2_great_circle(c: Catalogue):
     km = great_circle_km(F.lit(ORIGIN[0]), F.lit(ORIGIN[1]), F.col("lat"), F.col("lng"))

@@ -108,6 +108,19 @@ def r17_equivalents(c: Catalogue):
     return resolve.equivalents(c.product)
 
 
+@query(oracle(
+    f"""SELECT a.category, a.size_unit, a.label AS label, b.label AS other, len(list_intersect(a.w, b.w)) * 2 / (len(a.w) + len(b.w)) AS similarity FROM labels_ a JOIN labels_ b ON a.category = b.category AND a.size_unit = b.size_unit AND a.label < b.label
+        WHERE len(list_intersect(a.w, b.w)) * 2 / (len(a.w) + len(b.w)) >= 0.75e0""",
+    "product", labels_=f"SELECT DISTINCT category, size_unit, name || ' ' || brand || ' ' || CAST(CAST(size_qty AS INTEGER) % 10 AS VARCHAR) AS label, list_distinct({_TOKENS.format("name || ' ' || brand || ' ' || CAST(CAST(size_qty AS INTEGER) % 10 AS VARCHAR)")}) AS w FROM product",
+))
+def r17_similar_labels(c: Catalogue):
+    """Labels of one class and unit (name, brand, last digit of the size) that share three quarters of their words: the set-similarity join alone."""
+    label = F.concat_ws(" ", "name", "brand", (F.col("size_qty").cast("int") % 10).cast("string")).alias("id")
+    rows = c.product.select("category", "size_unit", label).distinct()
+    found = resolve.similar_sets(rows.withColumn("words", tx.tokens(F.col("id"))), ["category", "size_unit"], 0.75)
+    return found.select("category", "size_unit", F.col("id").alias("label"), "other", "similarity")
+
+
 @query(oracle("SELECT category, chain_id, count(*) AS stores FROM (SELECT DISTINCT category, chain_id, store_id FROM store_price JOIN product USING (product_id)) GROUP BY 1, 2", "product", "store_price"))
 def r18_class_coverage(c: Catalogue):
     rows = c.store_price.join(c.product.select("product_id", "category"), "product_id")
