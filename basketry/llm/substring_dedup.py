@@ -237,7 +237,7 @@ RUNS = "doc_id long, th long, begin int, end int, anchor long, whole long, windo
 
 
 def repeated_runs(docs: DataFrame, bits: int = CELLS) -> DataFrame:
-    """Runs of docs (doc_id, th, text) that the sketch doesn't rule out. Those without `windows` were met before by the same task, in an earlier document or place."""
+    """Runs of docs (doc_id, th, text) that the sketch doesn't rule out. Those without windows, anchor and whole were met before by the same task, in an earlier document or place."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch(docs, bits))
 
@@ -263,7 +263,7 @@ def repeated_runs(docs: DataFrame, bits: int = CELLS) -> DataFrame:
             stops = np.cumsum(sizes)
             inside = np.repeat(runs.begin[keep] - (stops - sizes), sizes) + np.arange(stops[-1])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)), pa.int32()), pa.array(runs.windows[inside].view(np.int64)), mask=pa.array(~first))
-            columns = [pa.array([ids[t] for t in text], pa.int64()), pa.array([hashes[t] for t in text], pa.int64()), pa.array(place, pa.int32()), pa.array((runs.end - runs.offset)[keep], pa.int32()), pa.array(runs.anchor[keep].view(np.int64)), pa.array(runs.whole[keep].view(np.int64)), lists]
+            columns = [pa.array([ids[t] for t in text], pa.int64()), pa.array([hashes[t] for t in text], pa.int64()), pa.array(place, pa.int32()), pa.array((runs.end - runs.offset)[keep], pa.int32()), *(pa.array(x[keep].view(np.int64), mask=~first) for x in (runs.anchor, runs.whole)), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "begin", "end", "anchor", "whole", "windows"])
 
     return docs.select("doc_id", "th", "text").mapInArrow(passed, RUNS)
@@ -271,8 +271,9 @@ def repeated_runs(docs: DataFrame, bits: int = CELLS) -> DataFrame:
 
 def covered(docs: DataFrame, bits: int = CELLS) -> DataFrame:
     """doc_id, th and spans: ranges [from, to) of words that go, of every document of docs (doc_id, th, text) that loses any."""
-    same_run = Window.partitionBy("anchor", "whole").orderBy("doc_id", "th", "begin")  # a few rows a task and run, as tasks tell their own repeats
-    runs = repeated_runs(docs, bits).withColumn("place", F.rank().over(same_run))
+    salt = F.when(F.col("windows").isNull(), F.pmod(F.hash("doc_id", "begin"), F.lit(4096)))  # what is known as repeated already has no key and only passes by
+    same_run = Window.partitionBy("anchor", "whole", "salt").orderBy("doc_id", "th", "begin")  # a few rows a task and run
+    runs = repeated_runs(docs, bits).withColumn("salt", salt).withColumn("place", F.rank().over(same_run))
     runs = common.cut(runs.select("doc_id", "th", "begin", "end", "anchor", F.when(F.col("place") == 1, F.col("windows")).alias("windows")))
     again = runs.where(F.col("windows").isNull()).select("doc_id", "th", "begin", "end")
     firsts = runs.where(F.col("windows").isNotNull())
