@@ -52,6 +52,17 @@ def fused(lists: list[tuple[DataFrame, float]], keys: list[str], rank: str = "ra
     return out.groupBy(*keys).agg(F.sum("part").alias("fused"))
 
 
+#: Rows of queries that meet a block of rows in one matrix product.
+QUERY_ROWS = 256
+
+
+def _scaled(vectors: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        m /= np.sqrt((m**2).sum(axis=1))[:, None]
+    return m
+
+
 def _blocks(df: DataFrame, key: str) -> DataFrame:
     """(ids, matrix): the rows of each Arrow batch as one row, their vectors scaled to length one. Rows without a vector are left out; all have the same length."""
     kind = df.schema[key].dataType.simpleString()
@@ -59,14 +70,35 @@ def _blocks(df: DataFrame, key: str) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                m = np.stack([np.asarray(v, np.float64) for v in batch["vector"]])
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    m /= np.sqrt((m**2).sum(axis=1))[:, None]
-                yield pd.DataFrame({"ids": [batch[key].tolist()], "matrix": [m.tobytes()]})
+                yield pd.DataFrame({"ids": [batch[key].tolist()], "matrix": [_scaled(batch["vector"]).tobytes()]})
 
     return df.where(F.col("vector").isNotNull()).select(key, "vector").mapInPandas(pack, f"ids array<{kind}>, matrix binary")
 
 
+def _best_of_blocks(k: int, most: float):
+    """The k nearest rows within `most` of every query of a pair of blocks (q_ids, q_matrix, ids, matrix), QUERY_ROWS queries at a time."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q_ids, q_matrix, ids, matrix in zip(batch["q_ids"], batch["q_matrix"], batch["ids"], batch["matrix"]):
+                q, r = (np.frombuffer(m).reshape(len(n), -1) for m, n in ((q_matrix, q_ids), (matrix, ids)))
+                names = np.asarray(ids)
+                by_id = np.argsort(names, kind="stable")
+                for at in range(0, len(q), QUERY_ROWS):
+                    for i, d in enumerate(np.round(1.0 - q[at : at + QUERY_ROWS] @ r.T, 12), at):
+                        near = by_id[d[by_id] <= most]
+                        near = near[np.argsort(d[near], kind="stable")[:k]]
+                        if len(near):
+                            yield pd.DataFrame({"query_id": q_ids[i], "id": names[near], "distance": d[near]})
+
+    return best
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, most: float) -> DataFrame:
     """(query_id, id, distance, rank): for each query (query_id, vector) its k nearest rows (id, vector) within `most`, an exact scan; ties by id.
 
@@ -75,21 +107,57 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, most: float) -> DataFra
     Distances are rounded to twelve digits, so that equal vectors tie wherever they stand in a block.
     """
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (rows, "id"))}
+    asked = _blocks(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    found = _blocks(rows, "id").join(asked, F.lit(True)).mapInPandas(_best_of_blocks(k, most), f"query_id {types['query_id']}, id {types['id']}, distance double")
+    return _first_k(found, k)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+#: Rows that the centroids of an index are fitted on, at most, and rounds of the fit.
+FITTED, ROUNDS = 20_000, 12
+
+
+def centroids(rows: DataFrame, lists: int, fitted: int = FITTED, rounds: int = ROUNDS) -> np.ndarray:
+    """Spherical k-means over a bounded sample of rows.vector (those with the least hashes of their vectors); one centroid a list."""
+    kept = rows.where(F.col("vector").isNotNull()).select("vector").orderBy(F.xxhash64(F.to_json(F.struct("vector")))).limit(fitted).toPandas()
+    if not len(kept):
+        return np.zeros((0, 0))
+    m = np.nan_to_num(_scaled(kept["vector"]))
+    at = m[np.linspace(0, len(m) - 1, min(lists, len(m))).astype(int)].copy()
+    for _ in range(rounds):
+        own = np.argmax(m @ at.T, axis=1)
+        sums = np.zeros_like(at)
+        np.add.at(sums, own, m)
+        size = np.sqrt((sums**2).sum(axis=1))
+        at[size > 0] = sums[size > 0] / size[size > 0][:, None]
+    return at
+
+
+def _listed(df: DataFrame, key: str, at: np.ndarray, probes: int) -> DataFrame:
+    """(list, ids, matrix): the rows of each Arrow batch by list, each in the `probes` lists whose centroids are nearest."""
+    kind = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(at)  # lists x dimensions: parameters, not data
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for q_ids, q_matrix, ids, matrix in zip(batch["q_ids"], batch["q_matrix"], batch["ids"], batch["matrix"]):
-                q, r = (np.frombuffer(m).reshape(len(n), -1) for m, n in ((q_matrix, q_ids), (matrix, ids)))
-                distance = np.round(1.0 - q @ r.T, 12)
-                names = np.asarray(ids)
-                by_id = np.argsort(names, kind="stable")
-                for i, d in enumerate(distance):
-                    near = by_id[d[by_id] <= most]
-                    near = near[np.argsort(d[near], kind="stable")[:k]]
-                    if len(near):
-                        yield pd.DataFrame({"query_id": q_ids[i], "id": names[near], "distance": d[near]})
+            if not len(batch):
+                continue
+            m, ids = _scaled(batch["vector"]), batch[key].to_numpy()
+            near = np.argsort(-np.nan_to_num(m @ shared.value.T), axis=1, kind="stable")[:, :probes]
+            for number in np.unique(near):
+                rows = np.flatnonzero((near == number).any(axis=1))
+                yield pd.DataFrame({"list": [int(number)], "ids": [ids[rows].tolist()], "matrix": [m[rows].tobytes()]})
 
-    asked = _blocks(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    found = _blocks(rows, "id").join(asked, F.lit(True)).mapInPandas(best, f"query_id {types['query_id']}, id {types['id']}, distance double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return df.where(F.col("vector").isNotNull()).select(key, "vector").mapInPandas(pack, f"list int, ids array<{kind}>, matrix binary")
+
+
+def nearest_indexed(queries: DataFrame, rows: DataFrame, k: int, most: float, lists: int = 64, probes: int = 32) -> DataFrame:
+    """As `nearest`, by inverted lists: every row is in the list of its nearest centroid, and a query is held against the rows of `probes` lists only.
+
+    Lists and queries meet in an equi join on the list, block by block; a list that holds many rows has many blocks. Fewer probes cost recall: at the defaults it is 0.9 or more on
+    the test tables, `nearest` is the exact way.
+    """
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (rows, "id"))}
+    at = centroids(rows, lists)
+    asked = _listed(queries, "query_id", at, probes).select("list", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    found = _listed(rows, "id", at, 1).join(asked, "list").mapInPandas(_best_of_blocks(k, most), f"query_id {types['query_id']}, id {types['id']}, distance double")
+    return _first_k(found, k)

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -22,6 +20,7 @@ from basketry.functions import promo, units
 from basketry.functions import text as tx
 from basketry.functions.dates import il_time, promo_window
 from basketry.functions.money import unit_price
+from basketry.sources.storage import fresh_path
 
 ITEM = ("ItemCode", "ItemType", "ItemName", "ManufacturerName", "Quantity", "UnitQty", "ItemPrice", "AllowDiscount", "bIsWeighted", "PriceUpdateDate")
 STORE = ("StoreId", "StoreName", "Address", "City", "ZipCode", "Latitude", "Longitude", "StoreType")
@@ -144,10 +143,6 @@ def chosen_files(files: DataFrame, kinds: tuple[str, ...], cap: int) -> DataFram
 
 def landed(df: DataFrame, tag: str) -> str:
     """The path of df written as feed files, one element a row, in a new folder that all executors see (spark.checkpoint.dir; on one machine a folder of its own)."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{base or tempfile.mkdtemp(prefix='basketry-')}/feeds-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "feeds")
     df.write.format("xml").option("rootTag", "Root").option("rowTag", tag).save(path)
     return f"{path}/part-*"
