@@ -250,21 +250,6 @@ def s7_s9_page_facts(c: Catalogue):
     return c.raw("pages").select("page_id", F.regexp_extract("url", r"^\w+://([^/]+)", 1).alias("chain_code"))
 
 
-@query()
-def s12_marketplace_items(c: Catalogue):
-    """Items in JSON objects within HTML; the driver's pages hold few or none."""
-    return marketplace.read_items(c.raw("pages"))
-
-
-@query()
-def f16_f17_regional_files(c: Catalogue):
-    """Files of stores in the region, the newest of each kind, up to ten stores a chain."""
-    near = within(c.store, ORIGIN, 100.0).select("store_id", "chain_id")
-    names = near.select(F.explode(F.array(*(F.concat(F.lit(kind), F.lpad(F.col("chain_id").cast("string"), 13, "7"), F.lit("-"), F.lpad(F.col("store_id").cast("string"), 3, "0"), F.lit("-2024010"), F.lit(day), F.lit("-0300.gz")) for kind in ("PriceFull", "PromoFull") for day in ("1", "2")))).alias("path"))
-    files = names.select("path", *feeds.file_facts(F.col("path")))
-    return feeds.chosen_files(files, ("pricefull", "promofull"), 10)
-
-
 @query(oracle("SELECT CAST(product_id AS VARCHAR) AS item_code, name, brand, price, size_qty, size_unit, product_id % 5 = 0 AS is_weighted, CASE WHEN size_qty > 0 THEN CASE WHEN size_unit = 'unit' THEN price / size_qty ELSE price / size_qty * 100 END END AS unit_price FROM store_price JOIN product USING (product_id)", "product", "store_price"))
 def s2_price_files(c: Catalogue):
     """Current prices written as price files and read back."""

@@ -56,7 +56,11 @@ def header(spark: SparkSession, path: str, root: str = "Root") -> DataFrame:
 
 def read_prices(spark: SparkSession, path: str, root: str = "Root") -> DataFrame:
     """One row per priced item; rows without a code or a price go. Identity is the barcode where it is one."""
-    rows = _read(spark, path, "Item", _strings(ITEM)).join(header(spark, path, root), "file", "left")
+    return priced(_read(spark, path, "Item", _strings(ITEM)).join(header(spark, path, root), "file", "left"))
+
+
+def priced(rows: DataFrame) -> DataFrame:
+    """The same of raw elements (file, chain_code, store_code and the fields of ITEM)."""
     price, weighted = tx.number(F.col("ItemPrice")), F.col("bIsWeighted") == "1"
     code, kind = F.trim("ItemCode"), F.col("ItemType").try_cast("int")
     size = units.measure(tx.number(F.col("Quantity")), F.col("UnitQty"), weighted)
@@ -71,7 +75,11 @@ def read_prices(spark: SparkSession, path: str, root: str = "Root") -> DataFrame
 
 def read_stores(spark: SparkSession, path: str, root: str = "Root") -> DataFrame:
     """One row per store; stores nest in several ways, but each is one element."""
-    rows = _read(spark, path, "Store", _strings(STORE)).join(header(spark, path, root).drop("store_code"), "file", "left")
+    return placed(_read(spark, path, "Store", _strings(STORE)).join(header(spark, path, root).drop("store_code"), "file", "left"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """The same of raw elements (file, chain_code and the fields of STORE)."""
     city = F.trim("City")
     return rows.where(F.col("StoreId").isNotNull()).select(
         "file", "chain_code", tx.store_code(F.col("StoreId")).alias("store_code"), tx.scrubbed(F.col("StoreName")).alias("store_name"), tx.scrubbed(F.col("Address")).alias("address"), F.when(~city.isin("", "0"), city).alias("city"),
@@ -90,7 +98,12 @@ def read_promotions(spark: SparkSession, path: str, root: str = "Root") -> DataF
     nested = F.flatten(F.transform("Groups.Group", lambda g: F.transform(g["PromotionItems"]["PromotionItem"], lambda i: i["ItemCode"])))
     none = F.array().cast("array<string>")
     codes = F.concat(F.coalesce("ItemCode", none), F.coalesce(F.transform("PromotionItems.Item", lambda i: i["ItemCode"]), none), F.coalesce(nested, none))
-    codes = F.array_sort(F.array_distinct(F.filter(F.transform(codes, lambda c: F.trim(c)), lambda c: (c != "") & ~c.rlike("^0+$"))))
+    return promoted(rows.withColumn("codes", codes))
+
+
+def promoted(rows: DataFrame) -> DataFrame:
+    """The same of raw elements (file, chain_code, store_code, codes and the fields of PROMOTION)."""
+    codes = F.array_sort(F.array_distinct(F.filter(F.transform("codes", lambda c: F.trim(c)), lambda c: (c != "") & ~c.rlike("^0+$"))))
     start, end = promo_window(il_time(F.col("PromotionStartDate"), F.col("PromotionStartHour")), il_time(F.col("PromotionEndDate"), F.col("PromotionEndHour")))
     n = lambda c: tx.number(F.col(c))
     return rows.select(
