@@ -12,8 +12,8 @@ batch are decoded together; where two windows cover a character, the one whose m
 text has one sequence of tags. Runs of tags become spans if the model is sure of all their characters (SURE), if they aren't part of a longer number or word, if a light
 check of their kind holds (how many digits, Luhn's sum, parts up to 255, an at and a dot, letters and digits) and if they don't overlap a base span; base spans always stay.
 
-Training data: windows of a bounded number of rows (those with the least hash of doc_id among rows with a digit or @) labelled by their base spans, and windows
-made from fixed templates, whose places in the text are known. The model is small, and is sent to the tasks; texts are only mapped over.
+Training data: windows of a bounded number of rows (those with the least hash of doc_id among rows with a digit or @) labelled by their base spans, except for words with a digit or an @, or about an at
+or dot, that the base leaves out (it can't tell a secret from nothing, so those are left open in the loss), and windows made from fixed templates, whose places in the text are known. The model is small, and is sent to the tasks; texts are only mapped over.
 
 Defined results: null is the empty text without spans; spans are in code points, end exclusive; repeated rows are read each; other columns
 pass through; columns named like ours are replaced; empty input gives empty output, the model then being made from templates alone.
@@ -42,7 +42,7 @@ WINDOW, CONTEXT = 64, 32
 #: Least chance, by the model, of each tag of a span that it adds.
 SURE = 0.5
 #: Rows whose windows are training data at most, windows of each, windows made from templates, times over all of these.
-ROWS, PER_ROW, MADE, EPOCHS = 200, 2, 1_800, 10
+ROWS, PER_ROW, MADE, EPOCHS = 200, 2, 2_600, 13
 #: Windows decoded together.
 BATCH = 2_048
 
@@ -54,6 +54,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # What makes a window, and light checks of what the tagger marks.
 _DIGIT = re.compile(r"[0-9@]")
+_OPEN = re.compile(r"\S*[0-9@]\S*|\S+\s+[\[({<]?(?i:at|dot)[\])}>]?\s+\S+|\S*[\[({](?i:at|dot|\.)[\])}]\S*")
 _TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])(?i:dot)(?![A-Za-z])|[\[({](?i:at|dot|\.)[\])}]|(?<![A-Za-z])(?i:at)\x20+[A-Za-z0-9-]+\.[A-Za-z]")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+\s*(?:@|[\[({<]\s*(?:@|(?i:at))\s*[\])}>]|\s(?i:at)\s)\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[({<]\s*(?:\.|(?i:dot))\s*[\])}>]|\s(?i:dot)\s)\s*[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]{1,3}(?:\s*(?:\.|[\[({]\s*(?:\.|(?i:dot))\s*[\])}]|\s(?i:dot)\s)\s*[0-9]{1,3}){3}")
@@ -123,7 +124,7 @@ def _plausible(text: str, start: int, end: int, kind: int) -> bool:
         return _NUMBER.fullmatch(run) is not None and "+" not in run and _card(run)
     if kind == 3:
         parts = re.findall("[0-9]+", run)
-        return _NUMBER.fullmatch(run) is not None and 9 <= len(digits) <= 15 and (len(parts) > 1 or run[0] == "+") and before not in ("+", ".", "-")
+        return _NUMBER.fullmatch(run) is not None and 9 <= len(digits) <= 15 and (len(parts) > 1 or run[0] == "+") and [*map(len, parts)] != [3, 2, 4] and before not in ("+", ".", "-")
     return _OPAQUE.fullmatch(run) is not None and len(digits) >= 2 and any(x.isalpha() for x in run)
 
 
@@ -261,7 +262,7 @@ def made(count: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
     def phone() -> str:
         a, b, c = number(3), number(3), number(4)
         plus = lambda: f"+{rng.randint(1, 99)} {rng.choice([f'({a})', a])} {b}-{c}"
-        return either(plus, plus, lambda: f"({a}) {b}-{c}", lambda: f"{a}-{b}-{c}", lambda: f"{a}.{b}.{c}", lambda: f"{a} {b} {c}", lambda: f"0{number(2)} {b} {c}", lambda: f"00{rng.randint(1, 99)} {a} {b} {c}", lambda: f"0{number(3)}/{b}{c}", lambda: f"({a}) {b} {c}")
+        return either(plus, plus, lambda: f"({a}) {b}-{c}", lambda: f"{a}-{b}-{c}", lambda: f"{a}.{b}.{c}", lambda: f"{a} {b} {c}", lambda: f"0{number(2)} {b} {c}", lambda: f"00{rng.randint(1, 99)} {a} {b} {c}", lambda: f"0{number(3)}/{b}{c}", lambda: f"0{number(4)} {number(6)}", lambda: f"00{rng.randint(10, 99)} {a} {number(7)}", lambda: f"({a}) {b} {c}")
 
     def secret() -> str:
         return either(lambda: some(opaque, rng.choice([32, 40])), lambda: some(letters[:26] + letters[:26].upper() + digits, rng.randint(16, 28)) + number(2), lambda: some(opaque.upper(), 24))
@@ -301,8 +302,14 @@ def made(count: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def labelled(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, list[Span]]]:
-    """Stretches of a bounded number of rows with their base spans."""
+def unjudged(text: str) -> list[tuple[int, int]]:
+    """Words with a digit or an @, or about a spelled-out at or dot, that no base span touches: the base not finding them doesn't make them nothing, so they are no training data."""
+    base = [(a, b) for _, a, b in base_spans(text)]
+    return [m.span() for m in _OPEN.finditer(text) if not any(a < m.end() and m.start() < b for a, b in base)]
+
+
+def labelled(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, list[Span], list[Span]]]:
+    """Stretches of a bounded number of rows with their base spans, and where the base can't say what is there."""
     chosen = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", F.lit("tagger")).alias("h"), "doc_id", "text")
 
     @F.pandas_udf("array<string>")
@@ -314,16 +321,21 @@ def labelled(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, list[Span]]]:
     if near is None:
         return []
     got = chosen.where(F.col("h") <= near).select("h", stretches("text").alias("parts")).orderBy("h", "parts").limit(rows).collect()
-    return [(x, base_spans(x)) for row in got for x in row["parts"]]
-
-
-def train(texts: list[tuple[str, list[Span]]], epochs: int = EPOCHS) -> Tagger:
-    cut = [(classes(t), spans, s) for t, spans in texts for s in (windows(t) or [0])]
-    x = np.stack([_filled(codes, s) for codes, _, s in cut])
-    y = np.stack([_tagged(WINDOW, spans, s) for _, spans, s in cut])
-    y[x == PAD] = 0
+    return [(x, base_spans(x), unjudged(x)) for row in got for x in row["parts"]]
+
+
+def train(texts: list[tuple], epochs: int = EPOCHS) -> Tagger:
+    """The model of texts (text, spans) or (text, spans, where nothing is known)."""
+    cut = [(classes(t), spans, open_[0] if open_ else [], s) for t, spans, *open_ in texts for s in (windows(t) or [0])]
+    x = np.stack([_filled(codes, s) for codes, _, _, s in cut])
+    y = np.stack([_tagged(WINDOW, spans, s) for _, spans, _, s in cut])
+    known = np.ones(x.shape, bool)
+    for row, (_, _, open_, s) in zip(known, cut):
+        for a, b in open_:
+            row[max(a - s, 0) : max(b - s, 0)] = False
+    y[x == PAD], known[x == PAD] = 0, True
     model = Tagger(TAGS)
-    model.train(x, y, epochs)
+    model.train(x, y, epochs, known=known)
     return model
 
 

@@ -6,6 +6,8 @@ import numpy as np
 
 #: Character classes: ASCII as it is, other letters, other characters, padding.
 LETTER, OTHER, PAD, CLASSES = 128, 129, 130, 131
+#: What takes a tag out of all sequences.
+BARRED = np.float32(1e4)
 
 
 def classes(text: str) -> np.ndarray:
@@ -98,25 +100,38 @@ class Tagger:
             b[t] = _logsum(trans[None] + (scores[t + 1] + b[t + 1])[:, None, :], 2)
         return a, b
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log likelihood of the tags y under the CRF, and its gradient."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, known: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean negative log likelihood of the tags y under the CRF, and its gradient.
+
+        Where `known` is false a tag says nothing: the likelihood is then that of all sequences that agree with the known tags.
+        """
         scores, both, kept_ahead, kept_back = self.emissions(x)
         length, n, tags = scores.shape
         trans, rows = self.w["trans"], np.arange(n)
         a, b = self._sums(scores)
         total = _logsum(a[-1], 1)
-        gold = self.w["start"][y[:, 0]] + scores[0][rows, y[:, 0]]
         d_scores = np.exp(a + b - total[None, :, None])
-        d_trans = np.zeros_like(trans)
+        d_trans, d_start = np.zeros_like(trans), d_scores[0].sum(axis=0)
         for t in range(1, length):
-            gold = gold + trans[y[:, t - 1], y[:, t]] + scores[t][rows, y[:, t]]
-            pair = a[t - 1][:, :, None] + trans[None] + (scores[t] + b[t])[:, None, :] - total[:, None, None]
-            d_trans += np.exp(pair).sum(axis=0)
-            np.add.at(d_trans, (y[:, t - 1], y[:, t]), -1)
-        g = {"start": d_scores[0].sum(axis=0)}
-        np.add.at(g["start"], y[:, 0], -1)
-        d_scores[np.arange(length)[:, None], rows[None], y.T] -= 1
-        g |= {"trans": d_trans, "bias": d_scores.sum(axis=(0, 1)), "out": both.reshape(-1, both.shape[2]).T @ d_scores.reshape(-1, tags)}
+            d_trans += np.exp(a[t - 1][:, :, None] + trans[None] + (scores[t] + b[t])[:, None, :] - total[:, None, None]).sum(axis=0)
+        if known is None or known.all():
+            gold = self.w["start"][y[:, 0]] + scores[0][rows, y[:, 0]]
+            for t in range(1, length):
+                gold = gold + trans[y[:, t - 1], y[:, t]] + scores[t][rows, y[:, t]]
+                np.add.at(d_trans, (y[:, t - 1], y[:, t]), -1)
+            np.add.at(d_start, y[:, 0], -1)
+            d_scores[np.arange(length)[:, None], rows[None], y.T] -= 1
+        else:
+            others = known.T[:, :, None] & (np.arange(tags)[None, None] != y.T[:, :, None])
+            held = np.where(others, scores - BARRED, scores).astype(scores.dtype)
+            a, b = self._sums(held)
+            gold = _logsum(a[-1], 1)
+            agreeing = np.exp(a + b - gold[None, :, None])
+            d_start = d_start - agreeing[0].sum(axis=0)
+            for t in range(1, length):
+                d_trans -= np.exp(a[t - 1][:, :, None] + trans[None] + (held[t] + b[t])[:, None, :] - gold[:, None, None]).sum(axis=0)
+            d_scores = d_scores - agreeing
+        g = {"start": d_start, "trans": d_trans, "bias": d_scores.sum(axis=(0, 1)), "out": both.reshape(-1, both.shape[2]).T @ d_scores.reshape(-1, tags)}
         d_both = d_scores @ self.w["out"].T
         size = self.hidden
         for d, kept, d_h in (("f", kept_ahead, d_both[:, :, :size]), ("b", kept_back, d_both[:, :, size:])):
@@ -132,15 +147,15 @@ class Tagger:
             g[f"in_{d}"], g[f"rec_{d}"] = g_in, g_rec
         return float((total - gold).mean()), {k: v / n for k, v in g.items()}
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.03, seed: int = 11) -> list[float]:
-        """Adam over shuffled batches; returns the mean loss of each epoch."""
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.03, seed: int = 11, known: np.ndarray | None = None) -> list[float]:
+        """Adam over shuffled batches; returns the mean loss of each epoch. `known` as in `gradient`."""
         rng, step, losses = np.random.default_rng(seed), 0, []
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         for epoch in range(epochs):
             order, lost = rng.permutation(len(x)), []
             for at in range(0, len(x), batch):
                 part = order[at : at + batch]
-                loss, g = self.gradient(x[part], y[part])
+                loss, g = self.gradient(x[part], y[part], None if known is None else known[part])
                 step += 1
                 lost.append(loss)
                 scale = min(1.0, 5.0 / (1e-9 + float(np.sqrt(sum((v**2).sum() for v in g.values())))))

@@ -197,6 +197,29 @@ def test_gradient():
         assert g[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-3, rel=0.05, abs=1e-3), name
 
 
+def test_gradient_of_partly_known_tags():
+    model = tagger.Tagger(3, hidden=4)
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    rng = np.random.default_rng(1)
+    x, y, known = rng.integers(32, 60, (3, 6)), rng.integers(0, 3, (3, 6)), rng.random((3, 6)) < 0.5
+    known[2] = False
+    loss, g = model.gradient(x, y, known)
+    for name in model.w:
+        at = tuple(rng.integers(0, n) for n in model.w[name].shape) if name[:2] != "in" else (x[0, 2], 3)
+        old, losses = model.w[name][at], []
+        for step in (1e-3, -1e-3):
+            model.w[name][at] = old + step
+            losses.append(model.gradient(x, y, known)[0])
+        model.w[name][at] = old
+        assert g[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-3, rel=0.05, abs=1e-3), name
+    scores = model.emissions(x)[0]
+    likely = []
+    for i in range(3):  # by all sequences
+        ways = {w: np.exp(model.w["start"][w[0]] + sum(scores[t, i, w[t]] for t in range(6)) + sum(model.w["trans"][w[t], w[t + 1]] for t in range(5))) for w in itertools.product(range(3), repeat=6)}
+        likely.append(sum(v for w, v in ways.items() if all(w[t] == y[i, t] for t in range(6) if known[i, t])) / sum(ways.values()))
+    assert loss == pytest.approx(-np.log(likely).mean(), rel=1e-5)
+
+
 @pytest.fixture(scope="module")
 def model(docs):
     return personal_data.fitted(docs)
@@ -228,6 +251,26 @@ def test_tagger_adds_spans_on_the_documents(spark, sf, model):
         assert not any(s["start"] < b["end"] and b["start"] < s["end"] for s in r["found"] if not s["base"] for b in base)
 
 
+# Written by hand, not by the templates: (kind, text) that the base misses, and what is none of these.
+BY_HAND = [("email", "jane.doe (at) example.org"), ("email", "bob [at] mail [dot] com"), ("email", "x_y AT z DOT co"), ("email", "jo @ ex . com"), ("email", "sam (at) foo-bar (dot) org"), ("card", "4111\u00a01111\u00a01111\u00a01111"), ("card", "5500.0000.0000.0004"), ("ip", "10[.]0[.]0[.]1"), ("ip", "192 . 168 . 0 . 1"), ("ip", "8 dot 8 dot 8 dot 8")]
+BY_HAND += [("phone", x) for x in ("(212) 555-0199", "0171/2345678", "07700 900123", "555.867.5309", "030 12345678", "212-555-0199", "0800 123 4567", "(030) 123 4567")]
+NOTHING = ["ssn 123-45-6789", "built 2024-01-02 at noon", "page 12 of 340", "isbn 978-3-16-148410-0", "version 1.2.3"]
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_tagger_finds_planted_secrets_and_hand_written_spans(spark, folder):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "text")
+    model = personal_data.fitted(docs)
+    told = lambda texts: personal_data.added_spans(texts, [personal_data.base_spans(t) for t in texts], model)
+    texts = [r["text"] for r in docs.where("text RLIKE 'token = \"[0-9a-f]{40}\"'").collect()]
+    planted = [{(m.start() + 9, m.end() - 1) for m in re.finditer('token = "[0-9a-f]{40}"', t)} for t in texts]
+    found = [{(a, b) for k, a, b in spans if k == personal_data.SECRET} for spans in told(texts)]
+    assert sum(len(p & f) for p, f in zip(planted, found)) >= 0.9 * sum(map(len, planted))
+    texts = [f"please write to {x} about it" for _, x in BY_HAND]
+    right = sum(any((personal_data.KINDS[k], t[a:b]) == want for k, a, b in spans) for want, t, spans in zip(BY_HAND, texts, told(texts)))
+    assert right >= 0.75 * len(BY_HAND) and not any(told(NOTHING))
+
+
 def test_windows_cover_triggers():
     for text in ("", "x" * 500, "1", "x" * 100 + "@" + "y" * 300 + "7" * 200):
         covered = {i for s in personal_data.windows(text) for i in range(s, s + personal_data.WINDOW)}
