@@ -6,8 +6,7 @@ Every page folds into a wrapper of its own (neighbouring equal runs become one r
 aligned one by one: tags that agree are matched; a text that differs becomes a slot; what only one side has becomes an optional
 group, or one more turn of a repeated group. The host's wrapper then says which slots differ from page to page. A page is judged by
 the slots it passes: of its articles and of what stands outside furniture and links, the slots that differ are main text and the steady ones are the template's,
-in an article too; where a page has more of the one kind than of the other, marks break the tie: articles go alone unless there is more outside them. Links and steady
-words that stand in one block with main text go with it. A page whose articles are all steady is judged by what differs outside them, else they are kept.
+in an article too, each by its own slot. Links and steady words that stand in one block with main text go with it. A page where nothing of this differs keeps its articles.
 
 Pages of one shape are joined inside each task first. Shapes then meet by (host, part of the shape's hash) and last by host, so a host with a
 third of all pages costs no more than its count of shapes, and its wrapper doesn't depend on which rows lie in which task. The wrappers go
@@ -43,6 +42,7 @@ FURNITURE = frozenset("head nav header footer aside form menu dialog figure-nav"
 ARTICLE = frozenset(("article", "main"))
 CONTAINERS = frozenset("html head body nav header footer aside form menu dialog article main section div ul ol dl table details".split())
 BAD_NAMES = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice gdpr popup modal newsletter subscribe signup sidebar side related recommended share sharing social comment comments replies reply respond disqus breadcrumb breadcrumbs menu nav navbar navigation header footer masthead pagination pager toolbar widget navigation search login hidden".split())
+NEUTRAL_NAMES = frozenset("list box bar block section area wrap wrapper container inner outer slot unit panel links posts buttons site page top bottom left right item items icon icons label group row col".split())
 GOOD_NAMES = frozenset("article content post entry story main maincontent".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?:/?[A-Za-z])[^>]*(?:>|\Z)", re.DOTALL)
@@ -77,6 +77,18 @@ def ended(html: str) -> set[int]:
     return out
 
 
+def names_furniture(names: list[str], inside: bool) -> bool:
+    """Whether class, id or role names mark furniture: a word of the list, alone or as part of a name.
+
+    Within an article only names that say nothing else count ("ad", "share-buttons", but not "side-effects" or "search-methods").
+    """
+    for name in names:
+        parts = set(_PART.findall(name))
+        if parts & BAD_NAMES and (not inside or parts <= BAD_NAMES | NEUTRAL_NAMES):
+            return True
+    return False
+
+
 def tokens(html: str) -> list[tuple[str, str]]:
     """(key, text): key is a tag such as "<div.ad" or "</div", or for texts "#a" in articles, "#b" in furniture, "#l" in links, "#".
 
@@ -117,12 +129,13 @@ def tokens(html: str) -> list[tuple[str, str]]:
             links = 0 if closing else 1
         if not closing:
             words = [x for _, *values in _ATTRIBUTE.findall(attributes) for x in values if x] if attributes else []
-            marks = {p for x in words for p in _PART.findall(x.lower())}
+            names = [n for x in words for n in x.lower().split()]
+            marks = {p for n in names for p in _PART.findall(n)}
             shown = "." + ".".join(sorted(marks))[:NAMED] if marks else ""
             if not quiet:
                 out.append((f"<{name}{shown}", ""))
             if name in CONTAINERS or marks and name not in VOID and name not in ("p", "li"):
-                state = (bool(name in FURNITURE or (marks & BAD_NAMES and name not in ("html", "body", "article", "main")) or _HIDDEN.search(attributes)), name in ARTICLE or bool(marks & GOOD_NAMES))
+                state = (bool(name in FURNITURE or (name not in ("html", "body", "article", "main") and names_furniture(names, good > 0)) or _HIDDEN.search(attributes)), name in ARTICLE or bool(marks & GOOD_NAMES))
                 stack.append((name, *state))
                 bad, good = bad + state[0], good + state[1]
         else:
@@ -354,15 +367,12 @@ class Extractor:
 
 
 def main_places(page: list[tuple[str, str]], differs: set[int]) -> set[int]:
-    """Places of the main text of a page, by which of its texts differ from page to page; its marks break ties."""
-    size = lambda places: sum(len(page[i][1].strip()) for i in places)
+    """Places of the main text of a page: of its articles and of what stands outside furniture and links, the texts that differ from page to page, each by its own slot; its articles where none does."""
     marked = {i for i, (k, _) in enumerate(page) if k == "#a"}
     free = {i for i in differs if page[i][0] == "#"}
     inside = marked & differs
     if not free and not inside:
         return marked
-    if size(free) <= size(inside):
-        free = set()
     return free | inside | beside(page, free, ("#", "#l")) | beside(page, inside, ("#a",))
 
 

@@ -271,6 +271,23 @@ def test_tagger_finds_planted_secrets_and_hand_written_spans(spark, folder):
     assert right >= 0.75 * len(BY_HAND) and not any(told(NOTHING))
 
 
+def test_articles_keep_sections_whose_names_hold_a_bad_part(spark):
+    """Names count whole inside an article, comments and share buttons still go, and a second varying text isn't given up for a longer first."""
+    rng = random.Random(31)
+    rows, want = [], {}
+    for i in range(8):
+        a, b, c, d = (prose(rng, 30, "klmnop") for _ in range(4))
+        inside = f'<section class="side-effects"><p>{b}</p></section><section class="search-methods"><p>{c}</p></section><div class="share-your-story"><p>{d}</p></div><div class="share-buttons"><p>{a} tweet</p></div><section class="comments"><p>{d} reply</p></section>'
+        rows.append((i, f"http://h.example/{i}", f'<html><body><div class="site-menu-left"><p>{d}</p></div><article><p>{a}</p>{inside}</article></body></html>'))
+        want[i] = "\n\n".join((a, b, c, d))
+    for i in range(8, 16):
+        a, b = prose(rng, 60, "klmnop"), prose(rng, 9, "qrstuv")
+        rows.append((i, f"http://g.example/{i}", f"<html><body><div class=entry><p>{a}</p></div><div><p>{b}</p></div><footer>{i} rights</footer></body></html>"))
+        want[i] = f"{a}\n\n{b}"
+    got = page_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_windows_cover_triggers():
     for text in ("", "x" * 500, "1", "x" * 100 + "@" + "y" * 300 + "7" * 200):
         covered = {i for s in personal_data.windows(text) for i in range(s, s + personal_data.WINDOW)}
