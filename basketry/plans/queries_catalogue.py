@@ -207,22 +207,31 @@ def z10_known_stores(c: Catalogue):
     return seen.where(F.col("t") >= now() - F.expr("INTERVAL 30 DAYS")).select("store_id")
 
 
-@query("SELECT * FROM (VALUES (1, 'north town'), (1, 'north city'), (2, 'haifa'), (2, 'acre'), (3, 'lod')) t(service_id, settlement)")
+@query(oracle(
+    """SELECT DISTINCT service_id, settlement FROM (SELECT store_id AS service_id, unnest(CASE store_id % 4 WHEN 0 THEN ['north town', 'north city'] WHEN 1 THEN [city, 'city_' || CAST((store_id + 1) % 12 AS VARCHAR)] WHEN 2 THEN [city] END) AS settlement FROM store WHERE store_id % 4 < 3)""", "store"
+))
 def z12_delivery_areas(c: Catalogue):
-    areas = c.spark.createDataFrame([(1, "North"), (2, "haifa, acre"), (3, "lod/lod"), (4, "abroad")], "service_id int, label string")
-    return marketplace.settlements(areas, {"North": ["north town", "north city"]}, ("abroad",))
+    """Areas of every store as a service labels them: a named zone, towns parted by a comma, one town twice by a slash, or a region that counts for nothing."""
+    k = F.col("store_id") % 4
+    other = F.concat(F.lit("city_"), ((F.col("store_id") + 1) % 12).cast("string"))
+    label = F.when(k == 0, " North ").when(k == 1, F.concat("city", F.lit(", "), other)).when(k == 2, F.concat("city", F.lit("/"), "city")).otherwise("abroad")
+    return marketplace.settlements(c.store.select(F.col("store_id").alias("service_id"), label.alias("label")), {"North": ["north town", "north city"]}, ("abroad",))
 
 
-@query("SELECT * FROM (VALUES ('12.50 ILS', 12.5e0, 'Cola'), ('x', NULL, 'Milk')) t(raw, value, brand)")
+@query(oracle("SELECT product_id, CASE WHEN product_id % 4 < 3 THEN size_qty + 0.5e0 END AS value, CASE WHEN product_id % 3 = 0 THEN brand ELSE name END AS brand FROM product", "product"))
 def z13_z14_parsed_strings(c: Catalogue):
-    rows = c.spark.createDataFrame([("12.50 ILS", "Cola | Market"), ("x", "Milk")], "raw string, label string")
-    return rows.select("raw", marketplace.first_number(F.col("raw")).alias("value"), marketplace.brand_of(F.col("label")).alias("brand"))
+    """Prices and labels of every product as marketplaces write them: a number among words, or none; the brand before a mark, or no mark."""
+    k, z = F.col("product_id"), F.concat(F.col("size_qty").cast("int").cast("string"), F.lit(".5"))
+    raw = F.when(k % 4 == 0, F.concat(F.lit("₪"), z)).when(k % 4 == 1, F.concat(z, F.lit(" ILS"))).when(k % 4 == 2, F.concat(F.lit("from "), z, F.lit(" to 900"))).otherwise("on request")
+    label = F.when(k % 3 == 0, F.concat("brand", F.lit(" | "), "name")).when(k % 3 == 1, F.concat("name", F.lit(" - Market"))).otherwise(F.col("name"))
+    return c.product.select("product_id", marketplace.first_number(raw).alias("value"), marketplace.brand_of(label).alias("brand"))
 
 
-@query("SELECT strftime(DATE '2024-03-05' - CAST(i AS INTEGER), '%Y%m%d') AS day FROM range(0, 14) t(i)")
+@query("SELECT strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Jerusalem', '%Y%m%d') AS day, count(*) AS events FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 14")
 def z16_day_keys(c: Catalogue):
-    days = F.explode(F.sequence(F.lit(0), F.lit(13)))
-    return c.spark.range(1).select(days.alias("i")).select(F.date_format(F.date_sub(F.lit("2024-03-05").cast("date"), F.col("i")), "yyyyMMdd").alias("day"))
+    """The newest fourteen days, by the calendar of the shops, that have events."""
+    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Jerusalem")
+    return c.raw("events").groupBy(F.date_format(local, "yyyyMMdd").alias("day")).agg(F.count(F.lit(1)).alias("events")).orderBy(F.desc("day")).limit(14)
 
 
 @query(oracle("SELECT store_id, CASE WHEN store_kind = 'online' THEN 'scraped' ELSE 'feed' END AS price_source, CASE WHEN store_id % 2 = 0 THEN 'exact' WHEN store_id % 3 = 0 THEN 'city' ELSE 'unknown' END AS accuracy FROM store", "store"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import dates, geo, promo, units, vectors
@@ -24,20 +25,48 @@ def t1_t2_normal_form(c: Catalogue):
     return c.product.select("name", F.concat_ws(" ", tx.tokens(F.col("name"))).alias("normal")).distinct()
 
 
-_HEBREW = [("עגבניות",), ("מלפפונים",), ("לחם",), ("חלבה",), ("פיתות",), ("טייסטרס",), ("קורנפלייקס",), ("שומן",)]
+# Letters that stand for the product words' own, so that the Hebrew rules meet as many words as the table has, and the endings put on them.
+_LATIN, _LETTERS = "abcdefghijklmnopqrstuvwxyz", "אבגדהוזחטיכלמנסעפצקרשתםןיו"
+_ENDS = ["", "ות", "ים", "ה", "ת"]
 
 
-@query()
+def _hebrew(word: Column) -> Column:
+    return F.translate(word, _LATIN, _LETTERS)
+
+
+def _ended(c: Catalogue) -> DataFrame:
+    """(token): the words of all names in Hebrew letters, with the ending that the product's id picks."""
+    ends = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("product_id") % 5 + 1).cast("int"))
+    return c.product.select(F.explode(tx.tokens(F.col("name"))).alias("w"), ends.alias("e")).select(F.concat(_hebrew(F.col("w")), F.col("e")).alias("token")).distinct()
+
+
+_TOKEN_ROWS = f"SELECT DISTINCT translate(w, '{_LATIN}', '{_LETTERS}') || {_ENDS}[product_id % 5 + 1] AS token FROM (SELECT product_id, unnest({WORDS.format('name')}) AS w FROM product)"
+_STEMS = """SELECT *, CASE WHEN length(s) >= 5 AND length(regexp_replace(s, '[יו]', '', 'g')) >= 3 THEN regexp_replace(s, '[יו]', '', 'g') ELSE s END AS key FROM (SELECT *, CASE WHEN u LIKE '%ות' AND length(u) >= 4 THEN left(u, length(u) - 2) WHEN u LIKE '%ימ' AND length(u) >= 4 THEN left(u, length(u) - 2)
+    WHEN u LIKE '%ה' AND length(u) >= 4 THEN left(u, length(u) - 1) WHEN u LIKE '%ת' AND length(u) >= 4 THEN left(u, length(u) - 1) ELSE u END AS s FROM (SELECT *, translate(token, 'ךםןףץ', 'כמנפצ') AS u FROM {0}))"""
+
+
+@query(oracle(
+    """SELECT token, s AS stem, key, CASE WHEN u LIKE '%ימ' AND length(u) >= 4 THEN left(s, length(s) - 1) || translate(right(s, 1), 'כמנפצ', 'ךםןףץ') WHEN u LIKE '%ות' AND length(u) >= 4 THEN s || 'ה,' || s || 'ת' ELSE '' END AS singulars FROM stems""",
+    "product", tokens=_TOKEN_ROWS, stems=_STEMS.format("tokens"),
+))
 def t3_t5_morphology(c: Catalogue):
-    """Stems, folded spellings and singular forms of stated words."""
-    rows = c.spark.createDataFrame(_HEBREW, "token string")
-    return rows.select("token", tx.stem(F.col("token")).alias("stem"), tx.match_key(F.col("token")).alias("key"), F.concat_ws(",", tx.singulars(F.col("token"))).alias("singulars"))
+    """Stems, folded spellings and singular forms of the table's words in Hebrew letters with Hebrew endings."""
+    return _ended(c).select("token", tx.stem(F.col("token")).alias("stem"), tx.match_key(F.col("token")).alias("key"), F.concat_ws(",", tx.singulars(F.col("token"))).alias("singulars"))
 
 
-@query()
+@query(oracle(
+    "SELECT product_id, bool_and(list_contains(keys, key)) AS satisfied FROM (SELECT product_id, q.key, n.keys FROM asked JOIN stems q USING (token) JOIN (SELECT product_id, list(key) AS keys FROM said JOIN stems USING (token) GROUP BY 1) n USING (product_id)) GROUP BY 1",
+    "product",
+    said=f"SELECT product_id, unnest(list_transform({WORDS.format('name')}, lambda w: translate(w, '{_LATIN}', '{_LETTERS}'))) AS token FROM product",
+    asked=f"SELECT product_id, token || {_ENDS}[product_id % 5 + 1] AS token FROM said WHERE product_id % 7 > 0 UNION ALL SELECT product_id, 'חלב' FROM product WHERE product_id % 7 = 0",
+    every="SELECT token FROM said UNION SELECT token FROM asked", stems=_STEMS.format("every"),
+))
 def t6_tokens_satisfied(c: Catalogue):
-    rows = c.spark.createDataFrame([("עגבניות שרי", "עגבניה שרי מארז"), ("חלב תנובה", "חלב 3% תנובה"), ("חלב", "גבינה")], "query string, name string")
-    return rows.select("query", "name", tx.all_tokens_in(F.col("query"), F.col("name")).alias("satisfied"))
+    """Whether each name answers a query: its own words with other endings, or, for every seventh product, another word."""
+    ends = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("product_id") % 5 + 1).cast("int"))
+    words = F.transform(tx.tokens(F.col("name")), _hebrew)
+    asked = F.when(F.col("product_id") % 7 == 0, "חלב").otherwise(F.array_join(F.transform(words, lambda w: F.concat(w, ends)), " "))
+    return c.product.select("product_id", tx.all_tokens_in(asked, F.array_join(words, " ")).alias("satisfied"))
 
 
 @query(oracle(f"SELECT DISTINCT a.name, b.name AS other, floor(({jaccard_sql(GRAMS.format('a.name'), GRAMS.format('b.name'))}) * 1000000 + 0.5e0) AS ppm FROM product a JOIN product b ON a.brand = b.brand AND a.name < b.name", "product"))
@@ -165,12 +194,18 @@ def m3_unit_price(c: Catalogue):
     return rows.select("listing_id", "store_id", (F.floor(price * 10000 + 0.5) / 10000).alias("unit_price"))
 
 
-@query()
+@query(oracle(
+    """SELECT product_id, CASE k WHEN 0 THEN z WHEN 1 THEN 6 * z WHEN 2 THEN (z + 0.5e0) * 1000 WHEN 3 THEN z * 1000 WHEN 4 THEN 12 END AS qty, CASE k WHEN 0 THEN 'ml' WHEN 1 THEN 'g' WHEN 2 THEN 'ml' WHEN 3 THEN 'g' WHEN 4 THEN 'unit' END AS unit, CASE WHEN k = 4 THEN 12 END AS pieces
+        FROM (SELECT product_id, product_id % 6 AS k, CAST(size_qty AS INTEGER) AS z FROM product)""", "product"))
 def m4_m5_pack_from_name(c: Catalogue):
-    """Pack sizes and counts of stated names."""
-    names = ["שמן זית 1.5 ליטר", "6 x 330 ml cola", "חלב 3% 1 ליטר", "ביצים 12 יחידות", "קמח 500 גרם", "soap 4 pack", "water", "יוגורט 8×150 גרם"]
-    rows = c.spark.createDataFrame([(x,) for x in names], "name string").withColumn("p", units.pack_from_name(F.col("name")))
-    return rows.select("name", F.col("p.qty").alias("qty"), F.col("p.unit").alias("unit"), units.pack_count(F.col("name")).alias("pieces"))
+    """Pack sizes and counts that names state, put to every name by its id: a quantity, a pack of quantities, a fraction, a Hebrew unit, pieces, or nothing."""
+    k, z = F.col("product_id") % 6, F.col("size_qty").cast("int").cast("string")
+    said = (
+        F.when(k == 0, F.concat("name", F.lit(" "), z, F.lit(" ml"))).when(k == 1, F.concat(F.lit("6 x "), z, F.lit("גרם "), "name")).when(k == 2, F.concat("name", F.lit(" "), z, F.lit(".5 ליטר")))
+        .when(k == 3, F.concat(z, F.lit("Kg "), "name")).when(k == 4, F.concat("name", F.lit(" 12 יחידות"))).otherwise(F.col("name"))
+    )
+    rows = c.product.select("product_id", said.alias("said")).withColumn("p", units.pack_from_name(F.col("said")))
+    return rows.select("product_id", F.col("p.qty").alias("qty"), F.col("p.unit").alias("unit"), units.pack_count(F.col("said")).alias("pieces"))
 
 
 @query(oracle("SELECT basket_id, b.product_id, CASE WHEN size_unit = 'unit' AND size_qty > 1 THEN greatest(1, ceil(qty / size_qty)) WHEN size_unit = 'unit' THEN qty WHEN size_unit = 'g' AND size_qty > 1 THEN greatest(1, ceil(qty * 100 / size_qty)) WHEN size_unit = 'g' THEN qty * 100 / 1000 WHEN size_qty > 1 THEN greatest(1, ceil(qty * 100 / size_qty)) ELSE qty * 100 / 1000 END AS packs FROM basket_line b JOIN product USING (product_id)", "product", "basket_line"))
@@ -207,16 +242,26 @@ def m13_rounding(c: Catalogue):
     return c.raw("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_partkey", "l_suppkey", money.alias("money"))
 
 
-@query("SELECT * FROM (VALUES ('1,234.50', 1234.5e0), ('32,08', 32.08e0), ('1,234,567', 1234567e0), (' 7 ', 7e0), ('x', NULL), ('', NULL)) t(raw, value)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN floor(o_totalprice * 100 + 0.5e0) / 100 END AS value FROM orders")
 def m14_locale_numbers(c: Catalogue):
-    rows = c.spark.createDataFrame([(x,) for x in ("1,234.50", "32,08", "1,234,567", " 7 ", "x", "")], "raw string")
-    return rows.select("raw", tx.number(F.col("raw")).alias("value"))
+    """Totals written with grouped thousands, with a decimal comma, plainly and spaced, and with a word before."""
+    k, x = F.col("o_orderkey") % 5, agorot(F.col("o_totalprice")).cast("decimal(18,2)")
+    plain = x.cast("string")
+    raw = F.when(k == 0, F.format_number(x, 2)).when(k == 1, F.replace(plain, F.lit("."), F.lit(","))).when(k == 2, F.concat(F.lit("  "), plain, F.lit(" "))).when(k == 3, plain).otherwise(F.concat(F.lit("about "), plain))
+    return c.raw("orders").select("o_orderkey", tx.number(raw).alias("value"))
 
 
-@query("SELECT * FROM (VALUES ('2024-01-15', '10:30', TIMESTAMP '2024-01-15 08:30:00'), ('15/07/2024', NULL, TIMESTAMP '2024-07-14 21:00:00'), ('2024/07/15 12:00:05', '', TIMESTAMP '2024-07-15 09:00:05'), ('soon', NULL, NULL)) t(day, hour, instant)")
+@query(
+    """SELECT o_orderkey, CASE k WHEN 0 THEN day + INTERVAL (h) HOUR + INTERVAL 30 MINUTE WHEN 1 THEN day WHEN 2 THEN day + INTERVAL (h) HOUR + INTERVAL 5 SECOND END AT TIME ZONE 'Asia/Jerusalem' AT TIME ZONE 'UTC' AS instant
+        FROM (SELECT o_orderkey, o_orderkey % 4 AS k, CAST(10 + o_orderkey % 10 AS INTEGER) AS h, date_trunc('day', o_orderdate + INTERVAL 22 YEAR) AS day FROM orders)"""
+)
 def d1_wall_clock(c: Catalogue):
-    rows = c.spark.createDataFrame([("2024-01-15", "10:30"), ("15/07/2024", None), ("2024/07/15 12:00:05", ""), ("soon", None)], "day string, hour string")
-    return rows.select("day", "hour", dates.il_time(F.col("day"), F.col("hour")).cast("timestamp_ntz").alias("instant"))
+    """Order days, moved to recent years, as wall clock times in the formats that feeds use, read as instants."""
+    k, day = F.col("o_orderkey") % 4, F.col("o_orderdate") + F.expr("INTERVAL 22 YEARS")
+    h = (F.col("o_orderkey") % 10 + 10).cast("string")
+    date = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "dd/MM/yyyy")).when(k == 2, F.concat(F.date_format(day, "yyyy/MM/dd"), F.lit(" "), h, F.lit(":00:05"))).otherwise("soon")
+    hour = F.when(k == 0, F.concat(h, F.lit(":30"))).when(k == 2, "")
+    return c.raw("orders").select("o_orderkey", dates.il_time(date, hour).cast("timestamp_ntz").alias("instant"))
 
 
 @query(f"SELECT o_orderkey, CAST(floor(epoch(TIMESTAMP '{NOW}' - o_orderdate) / 86400) AS BIGINT) AS days, floor(epoch(TIMESTAMP '{NOW}' - o_orderdate) / 86400) > 30 AS stale FROM orders")
@@ -281,15 +326,22 @@ def x1_json_round_trip(c: Catalogue):
     return rows.select("event_id", F.from_json("j", "event_type string, user_id long, value double").alias("o")).select("event_id", "o.*")
 
 
-_PROMOS = [
-    ("2 ב-30", None, None, None, None, None), ("3 for 20", None, None, None, None, None), ("מחיר מועדון", None, None, 9.9, None, "7"), ("1+1", None, None, None, None, None), ("השני ב-50%", None, None, None, None, None),
-    ("בקנייה מעל 100", None, None, None, 100.0, None), ("deal", None, 15.0, None, None, None), ("deal", 3.0, None, 5.0, None, None), ("deal", None, None, 4.0, None, None), ("deal", None, None, None, None, "0"), (None, None, None, None, None, None), ("קופון קוטג", None, 5.0, None, None, None),
-]
+@query(
+    """SELECT promotion_id, CASE k WHEN 0 THEN 'n_for_price' WHEN 1 THEN 'n_for_price' WHEN 2 THEN 'club_price' WHEN 3 THEN 'second_unit_pct' WHEN 4 THEN 'second_unit_pct' WHEN 5 THEN 'spend_threshold' WHEN 6 THEN 'simple_discount' WHEN 7 THEN 'simple_discount' WHEN 8 THEN 'other' ELSE 'simple_discount' END AS kind,
+        CASE WHEN k IN (0, 1) THEN n END AS n, CASE WHEN k IN (0, 1) THEN p WHEN k = 2 THEN p END AS price, CASE k WHEN 3 THEN 100 WHEN 4 THEN r END AS percent, CASE WHEN k IN (5, 6) THEN r WHEN k = 9 THEN r END AS rate, CASE k WHEN 7 THEN p END AS discounted_price, CASE WHEN k IN (0, 1) THEN n WHEN k = 7 THEN 3 END AS min_qty, k = 9 AS coupon
+        FROM (SELECT o_orderkey AS promotion_id, o_orderkey % 10 AS k, CAST(o_orderkey % 4 + 2 AS DOUBLE) AS n, CAST(o_orderkey % 50 + 10 AS DOUBLE) AS p, CAST(o_orderkey % 40 + 5 AS DOUBLE) AS r FROM orders)"""
+)
+def p1_p2_mechanics(c: Catalogue):
+    """Feed fields of every promotion, worded by its id, and the mechanic that the rules read from them."""
+    k, o = F.col("o_orderkey") % 10, F.col("o_orderkey")
+    n, p, r = (o % 4 + 2).cast("string"), (o % 50 + 10).cast("double"), (o % 40 + 5).cast("double")
+    whole, share, no = (o % 50 + 10).cast("string"), (o % 40 + 5).cast("string"), F.lit(None).cast("double")
+    text = (
+        F.when(k == 0, F.concat(n, F.lit(" ב-"), whole)).when(k == 1, F.concat(n, F.lit(" for "), whole)).when(k == 2, "מחיר מועדון").when(k == 3, "1+1").when(k == 4, F.concat(F.lit("השני ב-"), share, F.lit("%"))).when(k == 5, F.concat(F.lit("בקנייה מעל "), whole))
+        .when(k == 8, F.lit(None).cast("string")).when(k == 9, "קופון קוטג").otherwise("deal")
+    )
+    m = promo.mechanic(text, F.when(k == 7, 3.0), F.when(k.isin(5, 6, 9), r), F.when(k.isin(2, 7), p), F.when(k == 5, p), F.when(k == 2, "7").when(k == 8, "0"))
+    rows = c.raw("orders").select(o.alias("promotion_id"), m.alias("m"), promo.requires_coupon(text).alias("coupon"))
+    return rows.select("promotion_id", *(F.col(f"m.{x}").alias(x) for x in ("kind", "n", "price", "percent", "rate", "discounted_price", "min_qty")), "coupon")
 
 
-@query()
-def p1_p2_mechanics(c: Catalogue):
-    """Mechanics of stated feed fields, and whether a coupon is needed."""
-    rows = c.spark.createDataFrame(_PROMOS, "description string, min_qty double, rate double, price double, spend double, club string")
-    m = promo.mechanic(F.col("description"), F.col("min_qty"), F.col("rate"), F.col("price"), F.col("spend"), F.col("club"))
-    return rows.select("description", "min_qty", "rate", "price", m.alias("m"), promo.requires_coupon(F.col("description")).alias("coupon")).select("description", "min_qty", F.col("m.kind").alias("kind"), F.col("m.n").alias("n"), F.col("m.percent").alias("percent"), "coupon")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketry.functions import text as tx
-from basketry.functions import vectors
+from basketry.functions import units, vectors
 from basketry.operators import resolve, search
 
 from .queries_functions import GRAMS, WORDS, jaccard_sql
@@ -136,9 +136,14 @@ def r19_class_relation(c: Catalogue):
     return pairs.select("a", "b", "ua", "ub", resolve.class_relation((F.col("a"), F.col("ua"), none), (F.col("b"), F.col("ub"), none)).alias("relation"))
 
 
-@query(oracle(f"SELECT query_id, CASE WHEN regexp_matches(query, '^\\s*[0-9]{{8,14}}\\s*$') THEN 'exact' WHEN query LIKE '%steel%' THEN 'brand_family' ELSE 'commodity' END AS mode FROM ({Q_SQL})"))
+@query(oracle("SELECT product_id, CASE product_id % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'commodity' WHEN 2 THEN 'brand_family' ELSE 'exact' END AS mode FROM product", "product"))
 def r20_intent_mode(c: Catalogue):
-    return _queries(c).select("query_id", resolve.intent_mode(F.col("query"), F.contains("query", F.lit("steel")), F.lit(False)).alias("mode"))
+    """Every product asked for by its code, by its name, by brand and name, or by brand, name and pack."""
+    k = F.col("product_id") % 4
+    text = F.when(k == 0, F.concat(F.lit(" "), "gtin")).when(k == 1, F.col("name")).when(k == 2, F.concat_ws(" ", "brand", "name")).otherwise(F.concat_ws(" ", "brand", "name", F.concat(F.col("size_qty").cast("int").cast("string"), F.lit(" ml"))))
+    rows = c.product.select("product_id", "brand", text.alias("text"))
+    pack = units.pack_from_name(F.col("text")).isNotNull()
+    return rows.select("product_id", resolve.intent_mode(F.col("text"), F.contains("text", F.col("brand")), pack).alias("mode"))
 
 
 @query(oracle(
