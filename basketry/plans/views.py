@@ -194,6 +194,9 @@ SQL = {
 }
 NEEDS = {"price_point": ["store"], "listing": ["store", "price_point"], "store_price": ["store", "price_point"], "service": ["store"]}
 
+#: Tables of the SQL that several others read: made once, whatever the planner would do.
+ONCE = {"store_price", "basket_line", "lines", "reference", "costs", "orders_in", "fees", "plans"}
+
 
 def oracle(select: str, *views: str, **more: str) -> str:
     """SQL with the named views, then the further ones given by keyword, as common table expressions before the select."""
@@ -202,5 +205,5 @@ def oracle(select: str, *views: str, **more: str) -> str:
         for x in (*NEEDS.get(v, ()), v):
             if x not in names:
                 names.append(x)
-    parts = [f"{n} AS ({SQL[n]})" for n in names] + [f"{n} AS ({s})" for n, s in more.items()]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({s})" for n, s in [*((n, SQL[n]) for n in names), *more.items()]]
     return f"WITH {', '.join(parts)} {select}" if parts else select
