@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import text as tx
-from basketry.functions.vectors import fused, nearest
+from basketry.functions.vectors import fused
 from basketry.operators.windows import first_per
 
 #: Scores of the ladder: equal, leading word, whole word, substring; caps of similarity for names, listings; an alias.
@@ -107,7 +107,18 @@ def decisions(ranks: DataFrame, least: float = 0.9, gap: float = 0.15) -> DataFr
     return best.select("query_id", "product_id", F.when(F.col("first").isNull(), "unresolved").when(sure, "auto").otherwise("confirm").alias("decision"))
 
 
-vector_nearest = nearest
+def best_ranked(candidates: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Allowed candidates of each query in the order of a careful choice, with rank.
+
+    candidates has tier, penalty, e (as `evidence` gives it), agreeing (attributes of the query that it has), covered (of the query's core words), pack_excess, lexical_score, distance (of vectors),
+    local (sold here), name, product_id. Keys in order: tier, penalized or not, whole name, whole phrase, agreeing, covered, pack excess, lexical score (none last), distance (none last),
+    local, shorter name, id. Candidates of tier 0 are conflicts and go.
+    """
+    order = [
+        F.col("tier"), F.col("penalty") > 0, F.desc(F.col("e")["exact_name"]), F.desc(F.col("e")["exact_phrase"]), F.desc("agreeing"), F.desc("covered"), F.col("pack_excess"),
+        F.desc_nulls_last("lexical_score"), F.asc_nulls_last("distance"), F.desc(F.coalesce("local", F.lit(False))), F.char_length("name"), F.col("product_id"),
+    ]
+    return first_per(candidates.where("tier > 0"), keys, order, limit if limit is not None else 2**31 - 1, "rank")
 
 
 def diversified(peers: DataFrame, group: str, limit: int) -> DataFrame:

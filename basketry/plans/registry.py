@@ -28,4 +28,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import queries_catalogue, queries_functions, queries_lines, queries_pricing, queries_relational, queries_search, queries_sources, queries_streams, queries_vocabulary  # noqa: E402, F401
+from . import queries_catalogue, queries_functions, queries_guards, queries_lines, queries_pricing, queries_relational, queries_search, queries_sources, queries_streams, queries_vocabulary  # noqa: E402, F401
