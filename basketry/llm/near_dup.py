@@ -6,9 +6,10 @@ one row, however many there are.
 
 Candidates: the bits are cut into m = 2 * most + 1 segments on a ring. By the pigeonring principle two linked fingerprints have a start
 from which every chain of l consecutive segments differs in at most l * most / m bits: its first two segments agree, and of the next two at most one differs, by one bit.
-So a node is filed under its segments (i, i + 1, i + 2) and (i, i + 1, i + 3) for every start i, 14 files for 3 bits, where a choice of 3 out of 6
-segments takes 20. Within a file the chain is extended from its start and a pair is dropped at the first sum over budget; what comes round the whole ring has
-passed the full Hamming check. A pair counts only in the file of its first such start, so each is met once. Small files give their pairs
+The bits of segments i + 2 and i + 3 fall into GROUPS groups, of which at most one then differs: a node is filed for every start i and every group under segments i and i + 1 and all
+groups but that one, 42 files of 33 or 34 bits for 3 bits. Each more bit halves the strangers that meet: random fingerprints meet fewer than in the 20 files of 32 bits that a choice of 3 out of 6
+segments takes, and a twentieth of those that files of three whole segments (27 bits) would bring together. Within a file the chain is extended from its start and a pair is dropped at the first sum over budget; what comes round the whole ring has
+passed the full Hamming check. A pair counts only in the first file of its first such start, so each is met once. Small files give their pairs
 natively; large ones are cut into blocks, and each pair of blocks is one group that returns a spanning forest of its links
 instead of all pairs, so a large group of near copies gives few rows and loses no component.
 
@@ -35,6 +36,8 @@ from . import common
 SHINGLE = 3
 SEED = 42
 MOST = 3
+#: Groups that the bits with one link's budget are cut into for the files.
+GROUPS = 6
 #: Files of up to so many nodes give their pairs in one array, larger ones go by blocks of BLOCK nodes.
 SMALL, BLOCK = 12, 2048
 #: Shingle hashes held as bits at once.
@@ -84,11 +87,22 @@ def ring(most: int) -> list[int]:
     return segments(2 * max(most, 2) + 1)
 
 
+def groups(mask: int, count: int = GROUPS) -> list[int]:
+    """The bits of a mask in groups of neighbours, as evenly as possible."""
+    bits = [1 << i for i in range(64) if mask >> i & 1]
+    ends = [len(bits) * i // count for i in range(count + 1)]
+    return [sum(bits[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 def files(most: int = MOST) -> list[int]:
-    """Masks of the files: by start, first that of (i, i + 1, i + 2), then of (i, i + 1, i + 3)."""
+    """Masks of the files: by start i, then by the group of segments i + 2 and i + 3 that is left out."""
     masks = ring(most)
     m = len(masks)
-    return [masks[i] | masks[(i + 1) % m] | masks[(i + far) % m] for i in range(m) for far in (2, 3)]
+    out = []
+    for i in range(m):
+        ahead = masks[(i + 2) % m] | masks[(i + 3) % m]
+        out += [masks[i] | masks[(i + 1) % m] | (ahead ^ g) for g in groups(ahead)]
+    return out
 
 
 def chains(most: int = MOST) -> list[list[tuple[int, int]]]:
@@ -106,12 +120,13 @@ def held_by(differing: Column, most: int = MOST) -> Column:
     """The first file whose chain the difference of two fingerprints stays within, null if it stays within none."""
     bits = lambda mask: F.bit_count(differing.bitwiseAND(F.lit(signed(mask))))
     out = F.lit(None).cast("int")
-    masks, m = ring(most), len(ring(most))
+    masks = files(most)
     for i, chain in reversed(list(enumerate(chains(most)))):
         holds = bits(chain[0][0]) <= chain[0][1]
         for mask, budget in chain[1:]:
             holds = holds & (bits(mask) <= budget)
-        out = F.when(holds, F.when(bits(masks[(i + 2) % m]) == 0, 2 * i).otherwise(2 * i + 1)).otherwise(out)
+        first = F.coalesce(*(F.when(bits(masks[GROUPS * i + g]) == 0, GROUPS * i + g) for g in range(GROUPS)))
+        out = F.when(holds, first).otherwise(out)
     return out
 
 
@@ -162,7 +177,7 @@ def links(nodes: DataFrame, most: int = MOST) -> DataFrame:
 
     def of_blocks(group: pd.DataFrame) -> pd.DataFrame:
         fps = np.sort(group["fp"].to_numpy())
-        pairs = fps[forest(fps.view("u8"), int(group["pick"].iloc[0]) // 2, most)]
+        pairs = fps[forest(fps.view("u8"), int(group["pick"].iloc[0]) // GROUPS, most)]
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
     many = other.groupBy("pick", "value", "lo", "hi").applyInPandas(of_blocks, "a long, b long")
