@@ -71,15 +71,47 @@ def lexical(queries: DataFrame, products: DataFrame, aliases: DataFrame | None =
     return first_per(rows, ["query_id"], [F.desc("score"), F.desc("store_count"), F.col("name"), F.col("product_id")], limit, "rank")
 
 
-def staged(queries: DataFrame, products: DataFrame, strong: float = WORD, limit: int = 10) -> DataFrame:
-    """Each query's results from the first stage that is strong enough: lexical if its best score is, else fuzzy, each with its stage."""
-    first = lexical(queries, products, limit=limit).select("query_id", "product_id", "score", "rank")
-    strong_ones = first.where((F.col("rank") == 1) & (F.col("score") >= strong)).select("query_id")
+def exact_probe(queries: DataFrame, products: DataFrame) -> DataFrame:
+    """(query_id, product_id, score) of products whose code is the query or whose name holds it as it is, by the ladder.
+
+    A name that holds a query holds its first three letters (all of a shorter one): distinct names meet queries on those in an equi join and are then tested, so no query is held against all names.
+    """
+    q = queries.withColumn("low", F.lower("query")).where("low <> ''").withColumn("piece", F.left("low", F.lit(3)))
+    sizes = q.agg(F.array_sort(F.collect_set(F.char_length("piece"))).alias("n")).scalar()
+    names = products.select("name").distinct().withColumn("lower_name", F.lower("name")).where("lower_name <> ''")
+    sized = names.select("name", "lower_name", F.explode(sizes).alias("n")).where(F.char_length("lower_name") >= F.col("n"))
+    parts = F.transform(F.sequence(F.lit(1), F.char_length("lower_name") - F.col("n") + 1), lambda i: F.substring("lower_name", i, F.col("n")))
+    pieces = sized.select("name", "lower_name", F.explode(F.array_distinct(parts)).alias("piece"))
+    by_name = q.join(pieces, "piece").where(F.contains("lower_name", F.col("low"))).select("query_id", "name", ladder(F.col("query"), F.col("name")).alias("score"))
+    by_name = by_name.join(products.select("product_id", "name"), "name").select("query_id", "product_id", "score")
+    by_code = queries.join(products.select("product_id", "gtin"), F.col("query") == F.col("gtin")).select("query_id", "product_id", F.lit(EXACT).alias("score"))
+    return by_name.unionByName(by_code).groupBy("query_id", "product_id").agg(F.max("score").alias("score"))
+
+
+def staged(queries: DataFrame, products: DataFrame, near: DataFrame | None = None, strong: float = WORD, limit: int = 10) -> DataFrame:
+    """Each query's results from the first stage that is sure enough, with the stage's name.
+
+    exact: a code or whole name is the query; lexical: the best score by words is `strong`; else fuzzy, by trigrams; with `near` (query_id, id: a name, rank; by vectors) else hybrid: fuzzy
+    and vector ranks fused. Every stage gives at most `limit` rows a query; they meet once per query, where the first sure stage is picked, so no stage is planned twice.
+    """
+    columns = ["query_id", "product_id", "score", "rank"]
+    exact = exact_probe(queries, products).join(products.select("product_id", "name", "store_count"), "product_id")
+    exact = first_per(exact, ["query_id"], [F.desc("score"), F.desc("store_count"), F.col("name"), F.col("product_id")], limit, "rank")
+    words = lexical(queries, products, limit=limit)
     fuzzy = similar(queries, products).withColumn("score", F.least(F.lit(SIMILAR), F.col("similarity")))
-    fuzzy = first_per(fuzzy, ["query_id"], [F.desc("score"), F.col("product_id")], limit, "rank").select("query_id", "product_id", "score", "rank")
-    a = first.join(strong_ones, "query_id", "left_semi").withColumn("stage", F.lit("lexical"))
-    b = fuzzy.join(strong_ones, "query_id", "left_anti").withColumn("stage", F.lit("fuzzy"))
-    return a.unionByName(b)
+    last, name = first_per(fuzzy, ["query_id"], [F.desc("score"), F.col("product_id")], limit, "rank"), "fuzzy"
+    if near is not None:
+        names = products.groupBy("name").agg(F.min("product_id").alias("product_id"))
+        by_vector = near.join(names, F.col("id") == F.col("name")).select("query_id", "product_id", "rank")
+        last, name = hybrid(last.select("query_id", "product_id", "rank"), by_vector, limit=limit).withColumn("score", F.col("fused")), "hybrid"
+    stages = ["exact", "lexical", name]
+    rows = [x.select(*columns, F.lit(i).alias("at")) for i, x in enumerate((exact, words, last))]
+    rows = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    of_query, first = Window.partitionBy("query_id"), F.col("rank") == 1
+    sure = F.max((F.col("at") == 0) & first & (F.col("score") >= EXACT)).over(of_query)
+    good = F.max((F.col("at") == 1) & first & (F.col("score") >= strong)).over(of_query)
+    picked = rows.withColumn("pick", F.when(sure, 0).when(good, 1).otherwise(2)).where(F.col("at") == F.col("pick"))
+    return picked.select(*columns, F.get(F.array(*map(F.lit, stages)), F.col("at")).alias("stage"))
 
 
 def evidence(query: Column, name: Column) -> Column:

@@ -11,7 +11,7 @@ from basketry.operators.windows import first_per
 
 from .queries_functions import WORDS
 from .queries_pricing import DELIVERY
-from .queries_search import _LEXICAL, ASKED, _products, _queries
+from .queries_search import _LEXICAL, Q_SQL, _products, _queries
 from .registry import query
 from .views import Catalogue, oracle
 
@@ -172,7 +172,7 @@ def z32_dominant_class(c: Catalogue):
 _POLICY = """SELECT q.query_id, q.query, CASE WHEN n IS NULL THEN 'no_safe_match' WHEN classes > 1 THEN 'ambiguous_class' WHEN chosen.n = 0 THEN 'no_local_price' ELSE 'selected' END AS outcome, CASE WHEN n > 0 AND classes = 1 THEN chosen.p END AS product_id, coalesce(moved AND classes = 1, FALSE) AS upgraded, n
     FROM asked q LEFT JOIN (SELECT *, CASE WHEN moved THEN best ELSE first END AS chosen, CASE WHEN moved THEN best.n ELSE first.n END AS n FROM (SELECT *, best.n >= 3 AND best.n >= first.n * 3 AS moved FROM (
     SELECT query_id, count(DISTINCT category) AS classes, arg_min({'p': product_id, 'n': store_count}, rank) AS first, arg_max({'p': product_id, 'n': store_count}, store_count * 1000 - rank) AS best FROM ranked GROUP BY 1))) USING (query_id)"""
-_POLICIES = _SAFE | {"inside": _INSIDE, "ranked": f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_FAST}) AS rank FROM inside", "asked": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") t(query_id, query)", "policy": _POLICY}
+_POLICIES = _SAFE | {"inside": _INSIDE, "ranked": f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_FAST}) AS rank FROM inside", "asked": Q_SQL, "policy": _POLICY}
 
 
 def _policy(c: Catalogue):
@@ -188,13 +188,13 @@ def r21_fast_policy(c: Catalogue):
 @query(oracle(
     """SELECT i.item_id, coalesce(a.product_id, b.product_id, p.product_id) AS product_id, CASE WHEN a.product_id IS NOT NULL THEN 'id' WHEN b.product_id IS NOT NULL THEN 'gtin' WHEN p.product_id IS NOT NULL THEN 'query' ELSE 'unresolved' END AS via
         FROM items i LEFT JOIN product a ON a.product_id = i.product_id LEFT JOIN product b ON b.gtin = i.gtin LEFT JOIN policy p ON p.query = i.query""",
-    "product", "store_price", **_POLICIES, items="SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5000 END AS product_id, CASE WHEN o_orderkey % 3 = 1 THEN CAST(7290000000000 + o_orderkey % 5000 AS VARCHAR) END AS gtin, CASE WHEN o_orderkey % 3 = 2 THEN query END AS query FROM orders JOIN asked ON query_id = o_orderkey % 6 + 1",
+    "product", "store_price", **_POLICIES, items="SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5000 END AS product_id, CASE WHEN o_orderkey % 3 = 1 THEN CAST(7290000000000 + o_orderkey % 5000 AS VARCHAR) END AS gtin, CASE WHEN o_orderkey % 3 = 2 THEN p.name END AS query FROM orders JOIN product p ON p.product_id = o_orderkey % 200",
 ))
 def r22_batch_resolve(c: Catalogue):
     """A table of list items, by id, by code and by text, resolved in one job; each distinct text is searched once."""
     k = F.col("o_orderkey")
     texts = _queries(c)
-    items = c.raw("orders").join(texts, F.col("query_id") == k % 6 + 1).select(k.alias("item_id"), F.when(k % 3 == 0, k % 5000).alias("product_id"), F.when(k % 3 == 1, (F.lit(7290000000000) + k % 5000).cast("string")).alias("gtin"), F.when(k % 3 == 2, F.col("query")).alias("query"))
+    items = c.raw("orders").join(c.product, F.col("product_id") == k % 200).select(k.alias("item_id"), F.when(k % 3 == 0, k % 5000).alias("product_id"), F.when(k % 3 == 1, (F.lit(7290000000000) + k % 5000).cast("string")).alias("gtin"), F.when(k % 3 == 2, F.col("name")).alias("query"))
     answers = _policy(c).join(texts, "query_id").select("query", F.col("product_id").alias("answer"))
     return lines.resolved(items, c.product, answers)
 

@@ -12,8 +12,9 @@ from .queries_functions import GRAMS, WORDS, jaccard_sql
 from .registry import query
 from .views import Catalogue, oracle
 
-ASKED = [(1, "red"), (2, "steel red"), (3, "7290000000042"), (4, "anodized"), (5, "stel"), (6, "zzz")]
-Q_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") t(query_id, query)"
+#: What is asked for, from the table's own rows by their ids: names, first words, codes, and names without their second letter.
+Q_SQL = """SELECT min(product_id) AS query_id, name AS query FROM product WHERE product_id % 20 = 0 GROUP BY 2 UNION ALL SELECT 1000000 + min(product_id), split_part(name, ' ', 1) FROM product WHERE product_id % 100 = 0 GROUP BY 2
+    UNION ALL SELECT 2000000 + product_id, gtin FROM product WHERE product_id % 200 = 0 UNION ALL SELECT 3000000 + min(product_id), left(name, 1) || substr(name, 3) FROM product WHERE product_id % 140 = 0 GROUP BY 2"""
 _TOKENS = WORDS
 
 
@@ -29,7 +30,12 @@ _SAID = f"SELECT query_id, product_id, store_count, q, n, q = n AS exact_name, c
 
 
 def _queries(c: Catalogue):
-    return c.spark.createDataFrame(ASKED, "query_id int, query string")
+    p, k = c.product, F.col("product_id")
+
+    def asked(every: int, text, base: int):
+        return p.where(k % every == 0).groupBy(text.alias("query")).agg((F.min(k) + base).alias("query_id")).select("query_id", "query")
+
+    return asked(20, F.col("name"), 0).unionByName(asked(100, F.split_part("name", F.lit(" "), F.lit(1)), 1_000_000)).unionByName(asked(200, F.col("gtin"), 2_000_000)).unionByName(asked(140, F.concat(F.left("name", F.lit(1)), F.expr("substr(name, 3)")), 3_000_000))
 
 
 def _products(c: Catalogue):
@@ -49,9 +55,8 @@ def r2_lexical_ranks(c: Catalogue):
 
 @query(oracle(f"SELECT query_id, product_id, CASE WHEN gtin = query OR lower(name) = query THEN 1e0 WHEN lower(name) LIKE query || ' %' THEN 0.95e0 WHEN lower(name) LIKE '% ' || query OR lower(name) LIKE '% ' || query || ' %' THEN 0.88e0 ELSE 0.78e0 END AS score FROM product CROSS JOIN ({Q_SQL}) q WHERE gtin = query OR lower(name) LIKE '%' || query || '%'", "product"))
 def r3_exact_probe(c: Catalogue):
-    """Names that hold a query as it is: the few queries are broadcast and every product is looked at once."""
-    pairs = c.product.join(F.broadcast(_queries(c)), (F.col("gtin") == F.col("query")) | F.contains(F.lower("name"), F.col("query")))
-    return pairs.select("query_id", "product_id", F.when(F.col("gtin") == F.col("query"), 1.0).otherwise(search.ladder(F.col("query"), F.col("name"))).alias("score"))
+    """Names that hold a query as it is, by the pieces of the names that a query begins with, and codes that are one."""
+    return search.exact_probe(_queries(c), c.product)
 
 
 @query(oracle(f"SELECT query_id, product_id, exact_name, exact_phrase, head_anchored, shared_tokens, query_tokens, name_tokens, exact_phrase AND name_tokens <= query_tokens + 2 AS dominant FROM ({_SAID})", "product", "store_price", **_LEXICAL))
@@ -60,16 +65,28 @@ def r4_r5_evidence(c: Catalogue):
     return rows.select("query_id", "product_id", search.evidence(F.col("query"), F.col("name")).alias("e")).select("query_id", "product_id", "e.*")
 
 
+_EXACT = f"SELECT query_id, product_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, store_count DESC, name, product_id) AS rank FROM (SELECT query_id, product_id, name, CASE WHEN gtin = query OR lower(name) = query THEN 1e0 WHEN lower(name) LIKE query || ' %' THEN 0.95e0 WHEN lower(name) LIKE '% ' || query OR lower(name) LIKE '% ' || query || ' %' THEN 0.88e0 ELSE 0.78e0 END AS score FROM product CROSS JOIN ({Q_SQL}) q WHERE gtin = query OR lower(name) LIKE '%' || query || '%') JOIN stocked USING (product_id, name)"
+
+
 @query(oracle(
-    f"""SELECT query_id, product_id, score, rank, 'lexical' AS stage FROM lexical WHERE rank <= 10 AND query_id IN (SELECT query_id FROM strong)
+    f"""SELECT query_id, product_id, score, rank, 'exact' AS stage FROM exact WHERE rank <= 10 AND query_id IN (SELECT query_id FROM sure)
+        UNION ALL SELECT query_id, product_id, score, rank, 'lexical' AS stage FROM lexical WHERE rank <= 10 AND query_id IN (SELECT query_id FROM strong) AND query_id NOT IN (SELECT query_id FROM sure)
         UNION ALL SELECT query_id, product_id, least(0.86e0, alike) AS score, row_number() OVER (PARTITION BY query_id ORDER BY least(0.86e0, alike) DESC, product_id) AS rank, 'fuzzy'
-        FROM (SELECT query_id, product_id, {_ALIKE} AS alike FROM product CROSS JOIN ({Q_SQL}) q WHERE query_id NOT IN (SELECT query_id FROM strong)) WHERE alike >= 0.4e0 QUALIFY rank <= 10""",
-    "product", "store_price", **_LEXICAL, strong="SELECT query_id FROM lexical WHERE rank = 1 AND score >= 0.88e0",
+        FROM (SELECT query_id, product_id, {_ALIKE} AS alike FROM product CROSS JOIN ({Q_SQL}) q WHERE query_id NOT IN (SELECT query_id FROM strong) AND query_id NOT IN (SELECT query_id FROM sure)) WHERE alike >= 0.4e0 QUALIFY rank <= 10""",
+    "product", "store_price", **_LEXICAL, strong="SELECT query_id FROM lexical WHERE rank = 1 AND score >= 0.88e0", exact=_EXACT, sure="SELECT query_id FROM exact WHERE rank = 1 AND score >= 1",
 ))
 def r6_staged_search(c: Catalogue):
     return search.staged(_queries(c), _products(c))
 
 
+@query()
+def r6_hybrid_search(c: Catalogue):
+    """The same with vectors: queries that are neither exact nor strong by words are answered by their fuzzy and vector ranks fused."""
+    names = c.product.select("name").distinct().select(F.col("name").alias("id"), vectors.hashed_embedding(tx.embed_input(F.col("name"))).alias("vector"))
+    asked = _queries(c).select("query_id", vectors.hashed_embedding(tx.embed_input(F.col("query"))).alias("vector"))
+    return search.staged(_queries(c), _products(c), near=vectors.nearest(asked, names, 10, vectors.NEAR))
+
+
 @query(oracle("SELECT query_id, product_id, score, store_count FROM lexical WHERE store_count > 0", "product", "store_price", **_LEXICAL))
 def r7_stock_order(c: Catalogue):
     ranks = search.lexical(_queries(c), _products(c))
@@ -94,7 +111,7 @@ def r14_decisions(c: Catalogue):
 
 @query(oracle(f"SELECT query_id, CASE WHEN n = 0 THEN 'opaque' WHEN classes > 1 THEN 'cross_class' WHEN brands = 1 THEN 'brand_pinned' ELSE 'commodity' END AS risk FROM (SELECT q.query_id, count(product_id) AS n, count(DISTINCT category) AS classes, count(DISTINCT brand) AS brands FROM ({Q_SQL}) q LEFT JOIN (SELECT query_id AS qid, p.* FROM product p CROSS JOIN ({Q_SQL}) x WHERE gtin = query OR lower(name) LIKE '%' || query || '%') c ON c.qid = q.query_id GROUP BY 1)", "product"))
 def r15_line_risk(c: Catalogue):
-    hits = c.product.join(F.broadcast(_queries(c)), (F.col("gtin") == F.col("query")) | F.contains(F.lower("name"), F.col("query")))
+    hits = search.exact_probe(_queries(c), c.product).join(c.product.select("product_id", "category", "brand"), "product_id")
     options = _queries(c).select("query_id").join(hits.select("query_id", "product_id", "category", "brand"), "query_id", "left")
     return resolve.line_risk(options, ["query_id"]).select("query_id", "risk")
 
