@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,40 +130,65 @@ def closest_useful(costed: DataFrame, preference: str = "closest") -> DataFrame:
 PLAN = "basket_id long, product_id long, store_id long, line_total double, stops int"
 
 
+def stores_of_basket(products: np.ndarray, stores: np.ndarray, totals: np.ndarray, km: np.ndarray, per_km: float, saving: float, stops: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(products, store of each, line total of each, stops) of one basket, given a row per product and store that prices it."""
+    products, row = np.unique(products, return_inverse=True)
+    stores, column = np.unique(stores, return_inverse=True)
+    cost = np.full((len(products), len(stores)), np.inf)
+    np.minimum.at(cost, (row, column), totals)
+    way = np.zeros(len(stores))
+    way[column] = np.nan_to_num(km, nan=UNKNOWN_KM) * per_km * 2
+    has = np.isfinite(cost)
+    chosen: list[int] = []
+    free, left = np.ones(len(stores), bool), has.any(axis=1)
+    while left.any():
+        new = has[left].sum(axis=0) * free
+        added = np.where(has[left], cost[left], 0).sum(axis=0) + (way if chosen else 0)
+        near = np.flatnonzero(new == new.max())
+        best = int(near[np.argmin(np.round(added[near], 6))])
+        chosen.append(best)
+        free[best] = False
+        left &= ~has[:, best]
+    while len(chosen) < stops and free.any():
+        now = cost[:, chosen].min(axis=1)
+        gain = (now[:, None] - np.minimum(now[:, None], cost)).sum(axis=0)
+        net = np.where(free & (gain >= saving), gain - way, -np.inf)
+        if net.max() <= 0:
+            break
+        chosen.append(int(net.argmax()))
+        free[chosen[-1]] = False
+    part = cost[:, chosen]
+    return products, stores[np.array(chosen)[part.argmin(axis=1)]], part.min(axis=1), len(chosen)
+
+
 def multi_store(priced: DataFrame, ways: DataFrame, per_km: float = 0.0, saving: float = SAVING, stops: int = STOPS) -> DataFrame:
     """Per basket a plan over several stores: the fewest that cover all lines, then stops that save more than they cost.
 
-    Each choice depends on the ones before, so a basket is one group; its size is its lines times the stores in reach.
+    Each choice depends on the ones before, so a basket is planned in one piece; its size is its lines times the stores in reach. Rows are shuffled by basket and sorted, and baskets are
+    planned as they pass, many to an Arrow batch; one that runs on into the next batch waits for it. Rows without a basket or product are left out.
     """
-
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        products, row = np.unique(group["product_id"].to_numpy(), return_inverse=True)
-        stores, column = np.unique(group["store_id"].to_numpy(), return_inverse=True)
-        cost = np.full((len(products), len(stores)), np.inf)
-        np.minimum.at(cost, (row, column), group["line_total"].to_numpy())
-        way = np.zeros(len(stores))
-        way[column] = np.nan_to_num(group["km"].to_numpy(), nan=UNKNOWN_KM) * per_km * 2
-        chosen: list[int] = []
-        free = np.ones(len(stores), bool)
-        left = np.isfinite(cost).any(axis=1)
-        while left.any():
-            open_lines = cost[left]
-            new = np.isfinite(open_lines).sum(axis=0) * free
-            added = np.where(np.isfinite(open_lines), open_lines, 0).sum(axis=0) + (way if chosen else 0)
-            best = min(np.flatnonzero(new == new.max()), key=lambda s: (round(float(added[s]), 6), s))
-            chosen.append(int(best))
-            free[best] = False
-            left &= ~np.isfinite(cost[:, best])
-        while len(chosen) < stops and free.any():
-            now = cost[:, chosen].min(axis=1)
-            gain = (now[:, None] - np.minimum(now[:, None], cost)).sum(axis=0)
-            net = np.where(free & (gain >= saving), gain - way, -np.inf)
-            if net.max() <= 0:
-                break
-            chosen.append(int(net.argmax()))
-            free[chosen[-1]] = False
-        part = cost[:, chosen]
-        return pd.DataFrame({"basket_id": group["basket_id"].iloc[0], "product_id": products, "store_id": stores[np.array(chosen)[part.argmin(axis=1)]], "line_total": part.min(axis=1), "stops": len(chosen)})
-
-    rows = priced.join(F.broadcast(ways.select("store_id", "km")), "store_id").select("basket_id", "product_id", "store_id", "line_total", "km")
-    return rows.groupBy("basket_id").applyInPandas(plan, PLAN)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2
+
+        def planned(columns: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for a, b in zip(edges[:-1], edges[1:]):
+                lines, stores, totals, n = stores_of_basket(*(c[a:b] for c in columns[1:]), per_km, saving, stops)
+                for into, x in zip(out, (np.full(len(lines), columns[0][a]), lines, stores, totals, np.full(len(lines), n, np.int32))):
+                    into.append(x)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, types)], names=["basket_id", "product_id", "store_id", "line_total", "stops"])
+
+        for batch in batches:
+            held = [np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(held)]
+            edges = np.concatenate(([0], np.flatnonzero(held[0][1:] != held[0][:-1]) + 1))
+            if len(edges) > 1:
+                yield planned(held, edges)
+                held = [x[edges[-1] :] for x in held]
+        if len(held[0]):
+            yield planned(held, np.array([0, len(held[0])]))
+
+    rows = priced.where("basket_id IS NOT NULL AND product_id IS NOT NULL").join(ways.select("store_id", "km"), "store_id")
+    rows = rows.select(F.col("basket_id").cast("long"), F.col("product_id").cast("long"), F.col("store_id").cast("long"), F.col("line_total").cast("double"), F.col("km").cast("double"))
+    return rows.repartition("basket_id").sortWithinPartitions("basket_id").mapInArrow(plan, PLAN)

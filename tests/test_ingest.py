@@ -178,3 +178,41 @@ def test_file_facts(spark):
     df = spark.createDataFrame([("PriceFull7290027600007-7-20240115-0300.gz",)], "p string")
     r = df.select(*feeds.file_facts(F.col("p"))).first()
     assert tuple(r) == ("pricefull", "7290027600007", "007", "202401150300")
+
+
+def test_multi_store_plans_equal_plain_choices(spark):
+    """Every basket against the same rule told in plain loops, with baskets that run over batches."""
+    rng = random.Random(12)
+    ways = [(s, None if s == 3 else float(s)) for s in range(9)]
+    rows = [(b, p, s, round(rng.uniform(1, 30), 2)) for b in range(60) for p in rng.sample(range(40), rng.randint(1, 12)) for s in rng.sample(range(9), rng.randint(1, 9))] + [(None, 1, 1, 1.0)]
+    want = {}
+    for b in range(60):
+        cost = {(p, s): t for bb, p, s, t in rows if bb == b}
+        lines, stores = sorted({p for p, _ in cost}), sorted({s for _, s in cost})
+        km = {s: (50.0 if k is None else k) * 0.5 * 2 for s, k in ways}
+        chosen, left = [], set(lines)
+        while left:
+            free = [s for s in stores if s not in chosen]
+            new = {s: sum((p, s) in cost for p in left) for s in free}
+            top = [s for s in free if new[s] == max(new.values())]
+            s = min(top, key=lambda s: (round(sum(cost.get((p, s), 0) for p in left) + (km[s] if chosen else 0), 6), s))
+            chosen.append(s)
+            left -= {p for p in left if (p, s) in cost}
+        while len(chosen) < basket.STOPS:
+            now = {p: min(cost[p, s] for s in chosen if (p, s) in cost) for p in lines}
+            gain = {s: sum(max(0, now[p] - cost.get((p, s), 1e9)) for p in lines) for s in stores if s not in chosen}
+            nets = {s: g - km[s] for s, g in gain.items() if g >= basket.SAVING}
+            if not nets or max(nets.values()) <= 0:
+                break
+            chosen.append(max(nets, key=lambda s: (nets[s], -s)))
+        want[b] = {(p, round(min(cost[p, s] for s in chosen if (p, s) in cost), 6)) for p in lines}, len(chosen)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = basket.multi_store(spark.createDataFrame(rows, "basket_id long, product_id long, store_id long, line_total double"), spark.createDataFrame(ways, "store_id long, km double"), 0.5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    by = {}
+    for r in got:
+        by.setdefault(r["basket_id"], [set(), r["stops"]])[0].add((r["product_id"], round(r["line_total"], 6)))
+    assert {b: (lines, n) for b, (lines, n) in by.items()} == want
