@@ -127,6 +127,29 @@ def closest_useful(costed: DataFrame, preference: str = "closest") -> DataFrame:
     return first_per(rows, ["basket_id"], [ranking_km(F.col("km"), F.col("accuracy")), F.col("comparable_total"), F.col("store_id")]).drop("most")
 
 
+def single_plan(best: DataFrame, asked: DataFrame) -> DataFrame:
+    """What a basket is told of its best store: totals, how much of the list they are for, the way.
+
+    best (basket_id, store_id, total, comparable_total, priced_lines, imputed_lines, km, accuracy) as `best_single` gives it, asked (basket_id, asked_lines). scope is full
+    where all lines that were asked for are priced, else partial; a basket that no store prices has a row without a store.
+    """
+    rows = asked.join(best, "basket_id", "left")
+    ratio = F.coalesce(F.col("priced_lines"), F.lit(0)) / F.col("asked_lines")
+    return rows.select(
+        "basket_id", "store_id", agorot(F.col("total")).alias("total"), "comparable_total", F.when(F.col("store_id").isNotNull(), F.when(F.col("priced_lines") >= F.col("asked_lines"), "full").otherwise("partial")).alias("scope"),
+        F.coalesce("priced_lines", F.lit(0).cast("long")).alias("priced_lines"), (F.col("asked_lines") - F.coalesce("priced_lines", F.lit(0))).alias("missing_lines"), ratio.alias("coverage"), "km", "accuracy",
+    )
+
+
+def multi_plan(lines: DataFrame, ways: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same of a plan over several stores (rows as `multi_store` gives them): total, stops, the farthest of them, lines and what is missing."""
+    stops = lines.groupBy("basket_id", "store_id").agg(F.sum(F.floor(F.col("line_total") * 100 + 0.5)).alias("agorot"), F.count(F.lit(1)).alias("n"))
+    stops = stops.join(ways.select("store_id", "km"), "store_id", "left")
+    told = stops.groupBy("basket_id").agg((F.sum("agorot") / 100).alias("total"), F.count(F.lit(1)).alias("store_count"), F.max("km").alias("max_km"), F.sum("n").alias("priced_lines"), F.array_sort(F.collect_list(F.struct("store_id", (F.col("agorot") / 100).alias("total"), F.col("n").alias("lines")))).alias("stops"))
+    rows = asked.join(told, "basket_id", "left")
+    return rows.select("basket_id", "total", "store_count", "max_km", F.coalesce("priced_lines", F.lit(0).cast("long")).alias("priced_lines"), (F.col("asked_lines") - F.coalesce("priced_lines", F.lit(0))).alias("missing_lines"), "stops")
+
+
 PLAN = "basket_id long, product_id long, store_id long, line_total double, stops int"
 
 

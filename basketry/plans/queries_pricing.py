@@ -194,6 +194,25 @@ def b8_best_store(c: Catalogue):
     return basket.best_single(_costed(c)).select("basket_id", "store_id", "priced_lines", "comparable_total")
 
 
+@query(oracle(
+    """SELECT basket_id, store_id, floor(total * 100 + 0.5e0) / 100 AS total, comparable_total, CASE WHEN store_id IS NOT NULL THEN CASE WHEN priced_lines >= asked_lines THEN 'full' ELSE 'partial' END END AS scope, coalesce(priced_lines, 0) AS priced_lines, asked_lines - coalesce(priced_lines, 0) AS missing_lines,
+        coalesce(priced_lines, 0) / asked_lines AS coverage, km FROM (SELECT basket_id, count(*) AS asked_lines FROM basket_line GROUP BY 1) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY effective, priced_lines DESC, store_id) AS rn
+        FROM (SELECT *, max(priced_lines) OVER (PARTITION BY basket_id) AS most FROM effective) WHERE priced_lines >= most - 1 QUALIFY rn = 1) USING (basket_id)""",
+    "store", "store_price", "basket_line", **BASKETS, effective=EFFECTIVE,
+))
+def z34_single_plans(c: Catalogue):
+    """Every basket's best store as a plan: totals and their scope, lines priced and missing, the way."""
+    asked = c.basket_line.groupBy("basket_id").agg(F.count(F.lit(1)).alias("asked_lines"))
+    return basket.single_plan(basket.best_single(_costed(c)), asked).drop("accuracy")
+
+
+@query()
+def z34_multi_plans(c: Catalogue):
+    """Every basket's plan over several stores in one row."""
+    asked = c.basket_line.groupBy("basket_id").agg(F.count(F.lit(1)).alias("asked_lines"))
+    return basket.multi_plan(basket.multi_store(_priced(c), _ways(c), per_km=0.5), _ways(c), asked)
+
+
 @query(oracle("SELECT basket_id, store_id, total FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY total, store_id) AS rn FROM costs JOIN (SELECT basket_id, count(*) AS asked_lines FROM basket_line GROUP BY 1) USING (basket_id) WHERE priced_lines = asked_lines) WHERE rn = 1", "store_price", "basket_line", **BASKETS))
 def b9_cheapest_complete(c: Catalogue):
     return basket.cheapest_complete(basket.comparable(_priced(c)), c.basket_line.groupBy("basket_id").agg(F.count(F.lit(1)).alias("asked_lines")))
@@ -266,11 +285,11 @@ _SIDES = "[{'ax': lng - r, 'ay': lat, 'bx': lng, 'by': lat - r}, {'ax': lng, 'ay
 _INSIDE = f"len(list_filter({_SIDES}, lambda s: (s.by > y) <> (s.ay > y) AND x < (s.ax - s.bx) * (y - s.by) / CASE WHEN s.ay <> s.by THEN s.ay - s.by END + s.bx)) % 2 = 1"
 
 
-@query(oracle(
-    f"""SELECT place_id, s.store_id AS service_id, coalesce(hit, FALSE) AS serves, CASE WHEN hit THEN scope END AS scope, CASE WHEN scope IS NULL THEN 'coverage_unknown' WHEN hit THEN NULL WHEN x IS NULL THEN 'address_too_vague' ELSE 'outside' END AS reason FROM (
-        SELECT p.*, s.store_id, a.scope, coalesce(CASE a.scope WHEN 'national' THEN TRUE WHEN 'radius' THEN {haversine_sql('y', 'x', 'lat', 'lng')} <= radius_km WHEN 'polygon' THEN {_INSIDE} END, FALSE) AS hit FROM points p CROSS JOIN service s LEFT JOIN areas a ON a.service_id = s.store_id) s""",
-    "store", "service", points=_POINTS, areas=_AREAS,
-))
+_VERDICTS = f"""SELECT place_id, s.store_id AS service_id, coalesce(hit, FALSE) AS serves, CASE WHEN hit THEN scope END AS scope, CASE WHEN scope IS NULL THEN 'coverage_unknown' WHEN hit THEN NULL WHEN x IS NULL THEN 'address_too_vague' ELSE 'outside' END AS reason FROM (
+        SELECT p.*, s.store_id, a.scope, coalesce(CASE a.scope WHEN 'national' THEN TRUE WHEN 'radius' THEN {haversine_sql('y', 'x', 'lat', 'lng')} <= radius_km WHEN 'polygon' THEN {_INSIDE} END, FALSE) AS hit FROM points p CROSS JOIN service s LEFT JOIN areas a ON a.service_id = s.store_id) s"""
+
+
+@query(oracle(_VERDICTS, "store", "service", points=_POINTS, areas=_AREAS))
 def f15_polygon_coverage(c: Catalogue):
     """Every customer's point against every delivery service: rings of four corners, circles, the whole country, or no rule; some customers have no point."""
     k = F.col("c_custkey")
@@ -284,6 +303,16 @@ def f15_polygon_coverage(c: Catalogue):
     return delivery.coverage(rules, places, c.service.select(i.alias("service_id")))
 
 
+@query(oracle(
+    """SELECT *, CASE WHEN serving > 0 THEN NULL WHEN vague > 0 THEN 'address_too_vague' WHEN outside > 0 THEN 'outside_service_area' ELSE 'coverage_unknown' END AS refusal FROM (SELECT place_id, count(*) FILTER (WHERE serves) AS serving, count(*) FILTER (WHERE reason = 'outside') AS outside,
+        count(*) FILTER (WHERE reason = 'address_too_vague') AS vague, count(*) FILTER (WHERE reason = 'coverage_unknown') AS unknown FROM verdicts WHERE service_id % 13 > 0 GROUP BY 1)""",
+    "store", "service", points=_POINTS, areas=_AREAS, verdicts=_VERDICTS,
+))
+def z36_coverage_report(c: Catalogue):
+    """What each customer is told of the services that don't deliver everywhere: how many serve, why the others don't, and a refusal where none does."""
+    return delivery.coverage_report(f15_polygon_coverage(c).where("service_id % 13 > 0"))
+
+
 @query(oracle("SELECT store_id, CAST(floor(acos(least(1e0, greatest(-1e0, cos(radians(32e0)) * cos(radians(lat)) * cos(radians(lng) - radians(34.8e0)) + sin(radians(32e0)) * sin(radians(lat))))) * 6371e0 * 10 + 0.5e0) AS BIGINT) AS hectometres FROM store", "store"))
 def g2_great_circle(c: Catalogue):
     km = great_circle_km(F.lit(ORIGIN[0]), F.lit(ORIGIN[1]), F.col("lat"), F.col("lng"))

@@ -216,3 +216,13 @@ def test_multi_store_plans_equal_plain_choices(spark):
     for r in got:
         by.setdefault(r["basket_id"], [set(), r["stops"]])[0].add((r["product_id"], round(r["line_total"], 6)))
     assert {b: (lines, n) for b, (lines, n) in by.items()} == want
+
+
+def test_plan_of_several_stores_in_one_row(spark):
+    lines = spark.createDataFrame([(1, 10, 7, 2.5, 2), (1, 11, 7, 1.25, 2), (1, 12, 8, 4.0, 2)], basket.PLAN)
+    ways = spark.createDataFrame([(7, 3.0), (8, None)], "store_id long, km double")
+    asked = spark.createDataFrame([(1, 4), (2, 3)], "basket_id long, asked_lines long")
+    got = {r["basket_id"]: r for r in basket.multi_plan(lines, ways, asked).collect()}
+    assert (got[1]["total"], got[1]["store_count"], got[1]["max_km"], got[1]["priced_lines"], got[1]["missing_lines"]) == (7.75, 2, 3.0, 3, 1)
+    assert [tuple(s) for s in got[1]["stops"]] == [(7, 3.75, 2), (8, 4.0, 1)]
+    assert (got[2]["total"], got[2]["priced_lines"], got[2]["missing_lines"], got[2]["stops"]) == (None, 0, 3, None)
