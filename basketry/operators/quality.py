@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.geo import haversine_km, valid_place
-from basketry.functions.text import name_similarity
+from basketry.functions.text import URL_ONLY, name_similarity, scrubbed, tokens
 from basketry.operators.windows import first_per
 
 
@@ -102,3 +102,51 @@ def unique_hits(hits: DataFrame, least_km: float = 0.15) -> DataFrame:
     rows = hits.join(anchor, "store_id").withColumn("off", haversine_km(F.col("lat"), F.col("lng"), F.col("a_lat"), F.col("a_lng")))
     got = rows.groupBy("store_id").agg(F.max("off").alias("spread"), F.min(F.struct("lat", "lng")).alias("p"))
     return got.where(F.col("spread") < least_km).select("store_id", "p.lat", "p.lng")
+
+
+def fixed_stores(stores: DataFrame) -> DataFrame:
+    """stores (address, city, store_kind) with what feeds get wrong put right: entities and line ends in addresses, zeros for cities; an address that is only a link is none, and its store online."""
+    link = F.coalesce(F.col("address").rlike(URL_ONLY), F.lit(False))
+    city = F.trim("city")
+    fixed = {"address": F.when(~link, scrubbed(F.col("address"))), "city": F.when(~city.isin("", "0"), city), "store_kind": F.when(link, "online").otherwise(F.coalesce("store_kind", F.lit("branch")))}
+    return stores.select(*(fixed[c].alias(c) if c in fixed else F.col(c) for c in stores.columns))
+
+
+def repaired_class(name: Column, cls: Column, rules: list[tuple[str, str]]) -> Column:
+    """The class of the first rule (pattern, class) that the name matches, else the one it has."""
+    return F.coalesce(*(F.when(name.rlike(pattern), to) for pattern, to in rules), cls) if rules else cls
+
+
+def label_precision(rows: DataFrame, label: str, name: str, words: list[str]) -> DataFrame:
+    """Per label how many rows have it, of how many the name has one of the words, and the share."""
+    named = F.arrays_overlap(tokens(F.col(name)), F.array(*map(F.lit, words)).cast("array<string>"))
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("total"), F.count_if(named).alias("named"))
+    return counts.withColumn("precision", F.col("named") / F.col("total"))
+
+
+def price_source(store_kind: Column, scraped: Column) -> Column:
+    """Where a store's prices come from: a marketplace's page, an online shop's feed, or the shelf's feed."""
+    return F.when(F.coalesce(scraped, F.lit(False)), "scraped").when(store_kind == "online", "online_feed").otherwise("feed")
+
+
+def place_accuracy(geo_source: Column, lat: Column, lng: Column) -> Column:
+    """How sure a store's place is: exact for a feed's own or an address's, city for a town's centre, unknown without one."""
+    placed = valid_place(lat, lng)
+    return F.when(placed & geo_source.isin("feed", "address", "poi"), "exact").when(placed & (geo_source == "city_centroid"), "city").otherwise("unknown")
+
+
+def usage_by_minute(usage: DataFrame) -> DataFrame:
+    """(api_key_id, minute, calls, slowest) of calls (api_key_id, created_at, latency_ms): what is recorded of them."""
+    minute = F.date_trunc("minute", "created_at").alias("minute")
+    return usage.groupBy("api_key_id", minute).agg(F.count(F.lit(1)).alias("calls"), F.max("latency_ms").alias("slowest"))
+
+
+def rate_limits(keys: DataFrame, minutes: DataFrame, by_role: dict[str, int], default: int) -> DataFrame:
+    """(api_key_id, per_minute, most_calls, minutes_over): each key's own limit, else its role's, else the default, and how its recorded minutes stand to it.
+
+    keys (api_key_id, role, own_limit); a key without calls has none over.
+    """
+    roles = F.create_map(*(F.lit(x) for kv in by_role.items() for x in kv)) if by_role else F.create_map().cast("map<string,int>")
+    limit = F.coalesce(F.when(F.col("own_limit") > 0, F.col("own_limit")), F.try_element_at(roles, F.col("role")), F.lit(default)).cast("long")
+    rows = keys.select("api_key_id", limit.alias("per_minute")).join(minutes, "api_key_id", "left")
+    return rows.groupBy("api_key_id", "per_minute").agg(F.coalesce(F.max("calls"), F.lit(0).cast("long")).alias("most_calls"), F.count_if(F.col("calls") > F.col("per_minute")).alias("minutes_over"))

@@ -122,13 +122,13 @@ def k14_miss_counters(c: Catalogue):
     return got.orderBy(F.desc("hits"), "kind", "term").limit(25)
 
 
-@query(oracle("SELECT store_id, store_name || '' AS address, CASE WHEN store_id % 12 = 0 THEN NULL ELSE city END AS city, CASE WHEN store_id % 5 = 0 THEN 'online' ELSE coalesce(store_kind, 'branch') END AS kind FROM store", "store"))
+@query(oracle("SELECT store_id, CASE WHEN store_id % 5 > 0 THEN store_name || ' 1 & co' END AS address, CASE WHEN store_id % 12 > 0 THEN city END AS city, CASE WHEN store_id % 5 = 0 THEN 'online' ELSE coalesce(store_kind, 'branch') END AS kind FROM store", "store"))
 def k17_data_fixes(c: Catalogue):
-    """Entities in addresses, zero cities, addresses that are only a link."""
+    """Stores with entities in their addresses, zeros for cities, and addresses that are only a link, put right."""
     k = F.col("store_id")
-    rows = c.store.withColumn("raw_city", F.when(k % 12 == 0, "0").otherwise(F.col("city"))).withColumn("link", F.when(k % 5 == 0, "https://x.example.com").otherwise("1 Road"))
-    kind = F.when(F.col("link").rlike(tx.URL_ONLY), "online").otherwise(F.coalesce("store_kind", F.lit("branch")))
-    return rows.select("store_id", tx.scrubbed(F.concat("store_name", F.lit("&#x0D;"))).alias("address"), F.when(F.col("raw_city") != "0", F.col("raw_city")).alias("city"), kind.alias("kind"))
+    address = F.when(k % 5 == 0, "https://x.example.com").otherwise(F.concat("store_name", F.lit("&#x0D; 1 &amp;  co")))
+    rows = c.store.select("store_id", address.alias("address"), F.when(k % 12 == 0, " 0").otherwise(F.col("city")).alias("city"), "store_kind")
+    return quality.fixed_stores(rows).withColumnRenamed("store_kind", "kind")
 
 
 @query(oracle("SELECT phrase, product_id FROM (SELECT p.product_id, p.category, pr.price FROM product p JOIN (SELECT product_id, min(price) AS price FROM store_price GROUP BY 1) pr USING (product_id)) x JOIN (SELECT category, median(price) AS m FROM (SELECT product_id, min(price) AS price FROM store_price GROUP BY 1) JOIN product USING (product_id) GROUP BY 1 HAVING count(*) >= 5) USING (category) JOIN (VALUES ('ECONOMY', 'cheap'), ('ECONOMY', 'budget'), ('PROMO', 'deal')) f(category, phrase) USING (category) WHERE NOT price > m * 1.5e0", "product", "store_price"))
@@ -195,10 +195,10 @@ def z6_mark_coverage(c: Catalogue):
     return c.store.join(served, "store_id", "left").select("store_id", (F.coalesce("in_coverage", F.lit(False)) | F.col("served").isNotNull()).alias("in_coverage"))
 
 
-@query(oracle("SELECT product_id, CASE WHEN regexp_matches(name, '^(red|blue)') THEN 'colour' WHEN regexp_matches(name, 'steel') THEN 'metal' ELSE category END AS class FROM product", "product"))
+@query(oracle("SELECT product_id, CASE WHEN regexp_matches(name, '^(red|blue) ') THEN 'colour' WHEN regexp_matches(name, '(bolt|ring)$') THEN 'metal' WHEN regexp_matches(name, 'old') THEN 'aged' ELSE category END AS class FROM product", "product"))
 def z8_class_repair(c: Catalogue):
-    fixed = F.when(F.col("name").rlike("^(red|blue)"), "colour").when(F.col("name").rlike("steel"), "metal").otherwise(F.col("category"))
-    return c.product.select("product_id", fixed.alias("class"))
+    rules = [("^(red|blue) ", "colour"), ("(bolt|ring)$", "metal"), ("old", "aged")]
+    return c.product.select("product_id", quality.repaired_class(F.col("name"), F.col("category"), rules).alias("class"))
 
 
 @query(oracle(f"SELECT store_id FROM (SELECT store_id, max(source_ts) AS t FROM store_price GROUP BY 1) WHERE t >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY", "store_price"))
@@ -234,10 +234,12 @@ def z16_day_keys(c: Catalogue):
     return c.raw("events").groupBy(F.date_format(local, "yyyyMMdd").alias("day")).agg(F.count(F.lit(1)).alias("events")).orderBy(F.desc("day")).limit(14)
 
 
-@query(oracle("SELECT store_id, CASE WHEN store_kind = 'online' THEN 'scraped' ELSE 'feed' END AS price_source, CASE WHEN store_id % 2 = 0 THEN 'exact' WHEN store_id % 3 = 0 THEN 'city' ELSE 'unknown' END AS accuracy FROM store", "store"))
+@query(oracle("SELECT store_id, CASE WHEN store_id % 7 = 0 THEN 'scraped' WHEN store_kind = 'online' THEN 'online_feed' ELSE 'feed' END AS price_source, CASE WHEN store_id % 4 = 3 OR lat < 29 OR lat > 34 THEN 'unknown' WHEN store_id % 4 = 2 THEN 'city' ELSE 'exact' END AS accuracy FROM store", "store"))
 def z19_z33_sources(c: Catalogue):
+    """Where each store's prices come from and how sure its place is."""
     k = F.col("store_id")
-    return c.store.select("store_id", F.when(F.col("store_kind") == "online", "scraped").otherwise("feed").alias("price_source"), F.when(k % 2 == 0, "exact").when(k % 3 == 0, "city").otherwise("unknown").alias("accuracy"))
+    geo = F.when(k % 4 == 0, "feed").when(k % 4 == 1, "address").when(k % 4 == 2, "city_centroid")
+    return c.store.select("store_id", quality.price_source(F.col("store_kind"), F.when(k % 7 == 0, True)).alias("price_source"), quality.place_accuracy(geo, F.col("lat"), F.col("lng")).alias("accuracy"))
 
 
 @query(oracle("SELECT b.basket_id, b.product_id, CASE WHEN p.n IS NULL THEN 'unpriced' WHEN p.n < 5 THEN 'scarce' ELSE 'priced' END AS status FROM basket_line b LEFT JOIN (SELECT product_id, count(DISTINCT store_id) AS n FROM store_price GROUP BY 1) p USING (product_id)", "basket_line", "store_price"))
@@ -247,10 +249,28 @@ def z35_line_status(c: Catalogue):
     return rows.select("basket_id", "product_id", F.when(F.col("n").isNull(), "unpriced").when(F.col("n") < 5, "scarce").otherwise("priced").alias("status"))
 
 
-@query(oracle("SELECT api_key_id, CASE WHEN api_key_id % 10 = 0 THEN 600 WHEN count(*) > 20 THEN 30 ELSE 60 END AS per_minute FROM usage GROUP BY 1", "usage"))
+@query(oracle(
+    """SELECT api_key_id, per_minute, max(calls) AS most_calls, count(*) FILTER (WHERE calls > per_minute) AS minutes_over FROM (SELECT api_key_id, CASE WHEN api_key_id % 10 = 0 THEN 600 WHEN api_key_id % 3 = 0 THEN 1 ELSE 60 END AS per_minute, date_trunc('minute', created_at) AS minute, count(*) AS calls FROM usage GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    "usage",
+))
 def z40_rate_limits(c: Catalogue):
-    rows = c.usage.groupBy("api_key_id").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("api_key_id", F.when(F.col("api_key_id") % 10 == 0, 600).when(F.col("n") > 20, 30).otherwise(60).alias("per_minute"))
+    """The limit of each key (its own, its role's or the usual one), and how the minutes recorded of its calls stand to it."""
+    k = F.col("api_key_id")
+    keys = c.usage.select(k).distinct().select(k, F.when(k % 3 == 0, "trial").otherwise("user").alias("role"), F.when(k % 10 == 0, 600).alias("own_limit"))
+    return quality.rate_limits(keys, quality.usage_by_minute(c.usage), {"trial": 1}, 60)
+
+
+@query(oracle(
+    "SELECT store_id, lower(kind) AS kind, lpad(CAST(7290000000000 + chain_id AS VARCHAR), 13, '0') AS chain_code, lpad(CAST(store_id AS VARCHAR), CAST(greatest(3, length(CAST(store_id AS VARCHAR))) AS INTEGER), '0') AS store_code, CASE WHEN store_id % 2 = 0 THEN '202401150300' ELSE '20240115' END AS stamp FROM store CROSS JOIN (SELECT unnest(['PriceFull', 'Price', 'PromoFull', 'Promo', 'Stores']) AS kind)",
+    "store",
+))
+def s7_file_facts(c: Catalogue):
+    """What the names of every store's files say, with and without a time, in folders and packed."""
+    text = lambda x: x.cast("string")
+    kinds = F.array(*map(F.lit, ("PriceFull", "Price", "PromoFull", "Promo", "Stores")))
+    stamp = F.when(F.col("store_id") % 2 == 0, "-20240115-0300.gz").otherwise("-20240115.xml")
+    names = c.store.select("store_id", F.explode(kinds).alias("k"), "chain_id", stamp.alias("s")).select("store_id", F.concat(F.lit("/in/"), "k", text(F.lit(7290000000000) + F.col("chain_id")), F.lit("-"), F.lpad(text(F.col("store_id")), 4, "0"), "s").alias("path"))
+    return names.select("store_id", *feeds.file_facts(F.col("path")))
 
 
 @query(oracle("SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS chain_code FROM pages"))

@@ -281,9 +281,9 @@ def a22_empty_chains(c: Catalogue):
     return quality.empty_chains(c.chain.select("chain_id"), found)
 
 
-@query(oracle("SELECT category, count(*) AS total, count(*) FILTER (WHERE name LIKE '%red%') AS named FROM product GROUP BY 1", "product"))
+@query(oracle("SELECT category, count(*) AS total, count(*) FILTER (WHERE name LIKE 'red %' OR name LIKE '% ring') AS named, count(*) FILTER (WHERE name LIKE 'red %' OR name LIKE '% ring') / count(*) AS precision FROM product GROUP BY 1", "product"))
 def a23_label_precision(c: Catalogue):
-    return c.product.groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("name").contains("red")).alias("named"))
+    return quality.label_precision(c.product, "category", "name", ["red", "ring"])
 
 
 # Windows, order, limits.
