@@ -22,11 +22,14 @@ COLUMNS = {
     8: {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     9: {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     10: {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    11: {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
+    12: {"conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint", "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string"},
+    13: {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
 }
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -35,6 +38,10 @@ def test_whole_table(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     types = dict(df.dtypes)
     assert {c: types.get(c) for c in COLUMNS[number]} == COLUMNS[number]
+    if number in (11, 12):  # a row a conversation; the conversations that end at the nodes are all there are
+        ids = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
+        assert ids == (df.count() if number == 11 else df.where("depth = 0").first()["n_convs"])
+        return
     table = "pages" if number in (1, 5) else "documents"
     assert df.count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
 
