@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.geo import haversine_km, valid_place
-from basketry.operators.windows import first_per
 
 # Words that begin a street's name, and the letters that may be written on them.
 STREETS = ("רחוב", "רח", "שדרות", "שדרת", "שדרה", "שד")
 GLUED = "[בהלמושכ]?"
 #: A hit farther from its town's centre than this is another town's.
 FAR_KM = 15.0
+#: A longer list of names isn't sent to the tasks.
+MOST_NAMES = 200_000
 
 
 def place_key(text: Column) -> Column:
@@ -26,13 +27,18 @@ def _tokens(key: Column) -> Column:
     return F.regexp_extract_all(key, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"), F.lit(0))
 
 
+def _met(rows: DataFrame, known: DataFrame, on: str) -> DataFrame:
+    """rows joined with a list of names: sent to the tasks if it has at most MOST_NAMES (counted first), else by a merge join. Never the rows: what was exploded is estimated by what it was made of."""
+    return rows.join(F.broadcast(known) if known.limit(MOST_NAMES + 1).count() <= MOST_NAMES else known.hint("merge"), on)
+
+
 def town_of_text(texts: DataFrame, names: DataFrame, streets: tuple[str, ...] = STREETS, longest: int = 4) -> DataFrame:
     """(text_id, town) of the longest name (alias, town, kind) in each text (text_id, text); ties by alias. kind is town or quarter.
 
-    Runs of up to `longest` words (a hyphen counts as one) meet the names in an equi join. A town behind a street word, or a street word that is a town but
-    leads another word, is the street: it counts only where the text has no other town and no quarter.
+    Runs of up to `longest` words (a hyphen counts as one) meet the names in an equi join; a text's hits are then judged in its row. A town behind a street word, or a street word
+    that is a town but leads another word, is the street: it counts only where the text has no other town and no quarter.
     """
-    words = texts.select("text_id", _tokens(place_key(F.col("text"))).alias("w"))
+    words = texts.repartition("text_id").select("text_id", _tokens(place_key(F.col("text"))).alias("w"))
     starts = words.select("text_id", "w", F.posexplode("w").alias("at", "first"))
     runs = starts.select("text_id", "w", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("at")))).alias("n"))
     street = f"^{GLUED}({'|'.join(streets)})$"
@@ -42,16 +48,22 @@ def town_of_text(texts: DataFrame, names: DataFrame, streets: tuple[str, ...] =
     own = F.coalesce(F.get("w", F.col("at")).isin(*streets) & (F.col("n") == 1) & after.rlike(r"^\p{L}"), F.lit(False))
     runs = runs.select("text_id", "at", "n", F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("n"))).alias("run"), (led | own).alias("street"))
     known = names.select(F.concat_ws(" ", _tokens(place_key(F.col("alias")))).alias("run"), "alias", "town", "kind")
-    hits = runs.join(known, "run").withColumn("end", F.col("at") + F.col("n"))
+    hits = _met(runs, known, "run").withColumn("end", F.col("at") + F.col("n"))
     found = hits.groupBy("text_id", "run").agg(
-        F.min("town").alias("town"), F.min("kind").alias("kind"), F.min("street").alias("street"), F.min("alias").alias("alias"), F.max("n").alias("n"), F.min(F.struct("at", "end")).alias("span")
-    )
-    inside = hits.where("street").select("text_id", F.col("at").alias("from"), F.col("end").alias("to"), F.col("n").alias("whole"))
-    nested = found.join(inside, "text_id").where((F.col("whole") > F.col("n")) & (F.col("span.at") >= F.col("from")) & (F.col("span.end") <= F.col("to"))).select("text_id", "run").distinct()
-    found = found.join(nested, ["text_id", "run"], "left_anti")
-    tier = F.when((F.col("kind") == "town") & ~F.col("street"), 0).when(F.col("kind") == "quarter", 1).otherwise(2)
-    best = first_per(found.withColumn("tier", tier), ["text_id"], [F.col("tier"), F.desc(F.char_length("run")), F.col("alias")])
-    return best.select("text_id", "town")
+        F.min("town").alias("town"), F.min("kind").alias("kind"), F.min("street").alias("street"), F.min("alias").alias("alias"), F.max("n").alias("n"), F.min(F.struct("at", "end")).alias("span"),
+        F.collect_set(F.when(F.col("street"), F.struct("at", "end"))).alias("led"),
+    )
+    by_text = found.groupBy("text_id").agg(F.flatten(F.collect_list("led")).alias("led"), F.collect_list(F.struct("run", "town", "kind", "street", "alias", "n", "span")).alias("found"))
+
+    def nested(x: Column) -> Column:
+        return F.exists("led", lambda s: (s["end"] - s["at"] > x["n"]) & (x["span"]["at"] >= s["at"]) & (x["span"]["end"] <= s["end"]))
+
+    def keyed(x: Column) -> Column:
+        tier = F.when((x["kind"] == "town") & ~x["street"], 0).when(x["kind"] == "quarter", 1).otherwise(2)
+        return F.struct(tier.alias("tier"), (-F.char_length(x["run"])).alias("length"), x["alias"].alias("alias"), x["town"].alias("town"))
+
+    best = by_text.select("text_id", F.array_min(F.transform(F.filter("found", lambda x: ~nested(x)), keyed)).alias("b"))
+    return best.where("b IS NOT NULL").select("text_id", "b.town")
 
 
 def town_of_store_name(stores: DataFrame, names: DataFrame, noise: tuple[str, ...] = (), short: DataFrame | None = None) -> DataFrame:
@@ -60,13 +72,14 @@ def town_of_store_name(stores: DataFrame, names: DataFrame, noise: tuple[str, ..
     Words of `noise` and numbers are left out first; a part without a town may be a short form (short, town).
     """
     clean = F.filter(F.split(F.col("part"), r"\s+"), lambda t: ~place_key(t).rlike(r"^\d*$") & ~place_key(t).isin(*noise, ""))
-    parts = stores.where(~F.coalesce(F.trim("name").rlike(r"(?i)^store\s*\d+$"), F.lit(True))).select("store_id", F.posexplode(F.array_append(F.filter(F.transform(F.split("name", r"[-–—,@()|/]+"), F.trim), lambda p: p != ""), F.col("name"))).alias("at", "part"))
+    parts = stores.repartition("store_id").where(~F.coalesce(F.trim("name").rlike(r"(?i)^store\s*\d+$"), F.lit(True))).select("store_id", F.posexplode(F.array_append(F.filter(F.transform(F.split("name", r"[-–—,@()|/]+"), F.trim), lambda p: p != ""), F.col("name"))).alias("at", "part"))
     tries = parts.select("store_id", "at", F.explode(F.array(F.struct(F.lit(0).alias("raw"), F.concat_ws(" ", clean).alias("text")), F.struct(F.lit(1).alias("raw"), F.col("part").alias("text")))).alias("t")).select("store_id", "at", "t.*").where("text <> ''")
-    texts = tries.select(F.col("text").alias("text_id"), "text").distinct()
-    hits = tries.join(town_of_text(texts, names), F.col("text") == F.col("text_id")).select("store_id", "at", "raw", F.lit(0).alias("abbreviated"), "town")
+    # A try is a text of its own, so that what is found needs no join back to the stores.
+    hits = town_of_text(tries.select(F.struct("store_id", "at", "raw").alias("text_id"), "text"), names).select("text_id.*", F.lit(0).alias("abbreviated"), "town")
     if short is not None:
         said = tries.select("store_id", "at", "raw", F.explode(F.array_union(F.transform(F.split("text", r"\s+"), place_key), F.array(place_key(F.col("text"))))).alias("short"))
-        hits = hits.unionByName(said.join(short.select(place_key(F.col("short")).alias("short"), "town"), "short").select("store_id", "at", "raw", F.lit(1).alias("abbreviated"), "town"))
+        forms = _met(said, short.select(place_key(F.col("short")).alias("short"), "town"), "short")
+        hits = hits.unionByName(forms.select("store_id", "at", "raw", F.lit(1).alias("abbreviated"), "town"))
     return hits.groupBy("store_id").agg(F.min(F.struct("at", "raw", "abbreviated", "town")).alias("b")).select("store_id", "b.town")
 
 
