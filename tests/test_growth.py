@@ -6,6 +6,7 @@ import pytest
 
 from basketry.operators import places, search
 from basketry.plans.registry import QUERIES
+from basketry.sources import feeds
 
 
 def sent(df):
@@ -51,3 +52,12 @@ def test_a_line_is_shuffled_once_and_not_per_store(spark, sf, name):
     """After the rows are made per store, nothing deals them out by basket and store again."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(basket_id#\d+L?, (product_id#\d+L?, )?store_id#\d+L?", plan)
+
+
+def test_a_landed_feed_has_files_of_bounded_size(spark, monkeypatch):
+    """A file is read by one task and its header as one row, so files must not grow with the feed."""
+    monkeypatch.setattr(feeds, "FILE_ROWS", 10)
+    rows = spark.range(95).coalesce(1).selectExpr("string(id) AS ItemCode", "'0' AS ItemType", "'4,5' AS Quantity", "'2kg' AS UnitQty", "'3.5' AS ItemPrice")
+    got = feeds.read_prices(spark, feeds.landed(rows, "Item"))
+    assert got.select("file").distinct().count() == 10
+    assert {tuple(r) for r in got.select("size_qty", "size_unit", "price").collect()} == {(2000.0, "g", 3.5)} and got.count() == 95
