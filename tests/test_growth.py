@@ -3,9 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from basketry.operators import places, search
+from basketry.operators import basket, places, search
 from basketry.plans.registry import QUERIES
+from basketry.plans.views import Catalogue
 from basketry.sources import feeds
 
 
@@ -61,3 +63,30 @@ def test_a_landed_feed_has_files_of_bounded_size(spark, monkeypatch):
     got = feeds.read_prices(spark, feeds.landed(rows, "Item"))
     assert got.select("file").distinct().count() == 10
     assert {tuple(r) for r in got.select("size_qty", "size_unit", "price").collect()} == {(2000.0, "g", 3.5)} and got.count() == 95
+
+
+def test_requests_with_the_same_answer_share_a_list(spark):
+    stores = spark.createDataFrame([(1, "lod", 31.9, 34.9), (2, "lod", 31.9, 34.9), (3, "haifa", 32.8, 35.0)], "store_id long, city string, lat double, lng double")
+    asked = [(i, None, 31.9, 34.9) for i in range(4)] + [(4, "Lod east", None, None), (5, "lod", None, None), (6, None, None, None), (7, None, None, None), (8, "far", None, None), (9, None, 30.0, 34.1)]
+    requests = spark.createDataFrame([(*x, 15.0) for x in asked], "request_id int, city string, lat double, lng double, radius_km double")
+    told, lists = places.located_by_list(requests, stores)
+    assert sorted(tuple(x["stores"]) for x in lists.collect()) == [(1, 2), (1, 2), (1, 2, 3), (3,)]
+    assert {x["request_id"]: x["stores"] for x in places.located(requests, stores).collect()} == {**{i: [1, 2] for i in range(6)}, 6: [1, 2, 3], 7: [1, 2, 3], 8: [], 9: []}
+    assert told.count() == 10
+
+
+def test_pairs_of_codes_are_not_shuffled(spark, sf):
+    assert not re.search(r"hashpartitioning\(listing_id#\d+L?, promotion_id#\d+L?", QUERIES["j5_either_code"](spark, sf)._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("name", ["b11_multi_store", "z34_multi_plans"])
+def test_plans_over_several_stores_shuffle_lines_with_arrays(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"MapInArrow plan\(basket_id#\d+L?, product_id#\d+L?, stores#\d+", plan)
+
+
+def test_lines_with_arrays_are_planned_as_rows(spark, sf):
+    c = Catalogue(spark, sf)
+    lines, ways = c.basket_line.where("basket_id % 5 = 0"), c.store.select("store_id", (F.col("store_id") % 30).cast("double").alias("km"), F.lit("exact").alias("accuracy"))
+    rows = [sorted(map(tuple, basket.multi_store(x, ways, 0.5).collect())) for x in (basket.price_lines(lines, c.store_price), basket.offered(lines, c.store_price, ways))]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
