@@ -102,11 +102,17 @@ def upgraded(stores: DataFrame, hits: DataFrame, centres: DataFrame, far_km: flo
 
 
 def located(requests: DataFrame, stores: DataFrame) -> DataFrame:
-    """Which stores a request is about, and what had to be given up for it.
+    """`located_by_list` with the stores of each request's list in its row, as an array of ids."""
+    told, lists = located_by_list(requests, stores)
+    return told.join(lists, "list", "left").select("request_id", "scope", "city_used", F.coalesce("stores", F.array().cast("array<bigint>")).alias("stores"), "fallback", "distance_reliable", "warning")
+
+
+def located_by_list(requests: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which stores a request is about, and what had to be given up for it: requests that name a list of stores, and the lists (list, stores), each made once for all that share it.
 
     requests (request_id, city, lat, lng, radius_km), stores (store_id, city, lat, lng). A point asks for the stores within the radius; a point and a city for those of them in the city,
     and for the city's stores where none of these has a place. A city without stores is shortened word by word from its end until one has some: every shorter form meets the
-    cities in one equi join and the longest that has stores counts. Returns request_id, scope (near, city or all), city_used, stores (array of ids), fallback,
+    cities in one equi join and the longest that has stores counts. Requests have request_id, scope (near, city or all), city_used, list (one that isn't among the lists is empty), fallback,
     distance_reliable, warning.
     """
     from basketry.functions.geo import DEGREE_KM, SLACK, box_cells, cell_of, level_of
@@ -114,29 +120,31 @@ def located(requests: DataFrame, stores: DataFrame) -> DataFrame:
     has_point = F.col("lat").isNotNull() & F.col("lng").isNotNull()
     words = F.filter(F.split(place_key(F.col("city")), " "), lambda w: w != "")
     asked = requests.withColumn("near", has_point).withColumn("words", words).withColumn("named", F.size("words") > 0)
+    # Requests with the same point, radius and city share a spot; one without a point has a name of its own, so that they don't meet in one task.
+    spot = F.concat_ws("|", F.lit("near"), F.col("lat").cast("string"), F.col("lng").cast("string"), F.coalesce(F.col("radius_km").cast("string"), F.lit("")), F.array_join("words", " "))
+    alone = F.concat(F.lit("#"), F.col("request_id").cast("string"))
+    asked = asked.withColumn("spot", F.when(F.col("near"), spot).otherwise(alone))
     shops = stores.select("store_id", place_key(F.col("city")).alias("town"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), valid_place(F.col("lat"), F.col("lng")).alias("placed"))
 
     ladder = asked.where("named").select("request_id", "near", F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: F.concat_ws(" ", F.slice("words", F.lit(1), n)))).alias("form"), F.size("words").alias("whole"))
     ladder = ladder.withColumn("n", F.size(F.split("form", " "))).where(~F.col("near") | (F.col("n") == F.col("whole")))
     towns = shops.groupBy("town").agg(F.array_sort(F.collect_list("store_id")).alias("in_town"), F.max("placed").alias("any_placed"))
-    by_city = ladder.join(towns, F.col("form") == F.col("town")).groupBy("request_id").agg(F.max_by(F.struct("form", "in_town", "any_placed", (F.col("n") < F.col("whole")).alias("shorter")), "n").alias("c"))
+    by_city = ladder.join(towns.drop("in_town"), F.col("form") == F.col("town")).groupBy("request_id").agg(F.max_by(F.struct("form", "any_placed", (F.col("n") < F.col("whole")).alias("shorter")), "n").alias("c"))
 
     tall = F.col("radius_km") * SLACK / DEGREE_KM
     wide = tall / F.greatest(F.lit(0.02), F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + tall))))
-    circles = asked.where("near").withColumn("level", level_of(F.greatest(tall, wide) * 2))
+    circles = asked.where("near").dropDuplicates(["spot"]).withColumn("level", level_of(F.greatest(tall, wide) * 2))
     levels = circles.agg(F.array_sort(F.collect_set("level")).alias("l")).scalar()
-    cells = circles.select("request_id", "lat", "lng", "radius_km", "named", F.concat_ws(" ", "words").alias("want"), "level", F.explode(box_cells(F.col("level"), F.col("lng") - wide, F.col("lng") + wide, F.col("lat") - tall, F.col("lat") + tall)).alias("c")).select("*", "c.x", "c.y").drop("c")
-    points = shops.where("placed").select("*", F.explode(levels).alias("level"))
+    cells = circles.select("spot", "lat", "lng", "radius_km", "named", F.concat_ws(" ", "words").alias("want"), "level", F.explode(box_cells(F.col("level"), F.col("lng") - wide, F.col("lng") + wide, F.col("lat") - tall, F.col("lat") + tall)).alias("c")).select("*", "c.x", "c.y").drop("c")
+    points = shops.where("placed").groupBy("s_lat", "s_lng", "town").agg(F.collect_list("store_id").alias("ids")).select("*", F.explode(levels).alias("level"))
     points = points.withColumn("x", cell_of(F.col("s_lng"), F.col("level"))).withColumn("y", cell_of(F.col("s_lat"), F.col("level")))
     close = cells.join(points, ["level", "x", "y"]).where(haversine_km(F.col("lat"), F.col("lng"), F.col("s_lat"), F.col("s_lng")) <= F.col("radius_km"))
     close = close.where(~F.col("named") | (F.col("want") == F.col("town")))
-    by_point = close.groupBy("request_id").agg(F.array_sort(F.collect_set("store_id")).alias("in_reach"))
+    by_point = close.groupBy("spot").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("stores"))
 
     any_placed = shops.agg(F.coalesce(F.max("placed"), F.lit(False)).alias("p")).scalar()
-    every = shops.agg(F.array_sort(F.collect_list("store_id")).alias("ids")).scalar()
-    none = F.array().cast("array<bigint>")
-    rows = asked.join(by_point, "request_id", "left").join(by_city, "request_id", "left")
-    reached, in_city = F.col("in_reach").isNotNull(), F.col("c").isNotNull()
+    rows = asked.join(by_point.select("spot", F.lit(True).alias("reached")), "spot", "left").join(by_city, "request_id", "left")
+    reached, in_city = F.col("reached").isNotNull(), F.col("c").isNotNull()
     to_city = F.col("near") & ~reached & F.col("named") & in_city & ~F.coalesce(F.col("c.any_placed"), F.lit(False))
     warning = (
         F.when(to_city, "matching city branches lack coordinates; city used")
@@ -145,8 +153,10 @@ def located(requests: DataFrame, stores: DataFrame) -> DataFrame:
         .when(~F.col("near") & F.col("named") & ~in_city, F.concat(F.lit("no stores matched city "), F.concat_ws(" ", "words")))
         .when(~F.col("near") & F.col("c.shorter"), F.concat(F.lit("no stores matched "), F.concat_ws(" ", "words"), F.lit("; using "), F.col("c.form")))
     )
-    ids = F.when(F.col("near") & reached, F.col("in_reach")).when(to_city | (~F.col("near") & in_city), F.col("c.in_town")).when(F.col("near") | F.col("named"), none).otherwise(every)
-    return rows.select(
-        "request_id", F.when(F.col("near") & ~to_city, "near").when(F.col("named"), "city").otherwise("all").alias("scope"), F.when(to_city | (~F.col("near") & in_city), F.col("c.form")).alias("city_used"), F.coalesce(ids, none).alias("stores"),
+    listed = F.when(F.col("near") & reached, F.col("spot")).when(to_city | (~F.col("near") & in_city), F.concat(F.lit("town|"), "c.form")).when(F.col("near") | F.col("named"), alone).otherwise("all")
+    told = rows.select(
+        "request_id", F.when(F.col("near") & ~to_city, "near").when(F.col("named"), "city").otherwise("all").alias("scope"), F.when(to_city | (~F.col("near") & in_city), F.col("c.form")).alias("city_used"), listed.alias("list"),
         (to_city | F.coalesce(~F.col("near") & F.col("c.shorter"), F.lit(False))).alias("fallback"), (F.col("near") & ~to_city).alias("distance_reliable"), warning.alias("warning"),
     )
+    lists = by_point.select(F.col("spot").alias("list"), "stores").unionByName(towns.select(F.concat(F.lit("town|"), "town").alias("list"), F.col("in_town").alias("stores")))
+    return told, lists.unionByName(shops.agg(F.array_sort(F.collect_list("store_id")).alias("stores")).select(F.lit("all").alias("list"), "stores"))
