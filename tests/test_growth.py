@@ -90,3 +90,19 @@ def test_lines_with_arrays_are_planned_as_rows(spark, sf):
     lines, ways = c.basket_line.where("basket_id % 5 = 0"), c.store.select("store_id", (F.col("store_id") % 30).cast("double").alias("km"), F.lit("exact").alias("accuracy"))
     rows = [sorted(map(tuple, basket.multi_store(x, ways, 0.5).collect())) for x in (basket.price_lines(lines, c.store_price), basket.offered(lines, c.store_price, ways))]
     assert rows[0] == rows[1] and len(rows[0]) > 100
+
+
+def test_reasons_move_in_arrays_of_their_product(spark, sf):
+    plan = QUERIES["b2_missing_reasons"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(product_id#\d+L?, (store_id|chain_id)#\d+L?", plan.split("Generate explode(stores")[1])
+
+
+def test_reasons_of_missing_lines(spark):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    lines = table([(1, 10), (1, 11), (2, 10), (2, 99), (3, None)], "basket_id long, product_id long")
+    got = basket.missing_reason(
+        lines, table([(10,), (11,)], "product_id long"), table([(10, 5)], "product_id long, chain_id long"), table([(10, 1), (10, 1)], "product_id long, store_id long"), table([(1, 5), (2, 5), (3, 6), (4, None)], "store_id long, chain_id long")
+    )
+    whole = lambda b, p, why: {(b, p, s, why) for s in (1, 2, 3, 4)}
+    own = {(b, 10, *x) for b in (1, 2) for x in ((2, "no_price_here"), (3, "not_carried_by_chain"), (4, "not_carried_by_chain"))}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, own | whole(1, 11, "no_price_data") | whole(2, 99, "product_not_found") | whole(3, None, "product_not_found")))
