@@ -52,48 +52,96 @@ def fused(lists: list[tuple[DataFrame, float]], keys: list[str], rank: str = "ra
     return out.groupBy(*keys).agg(F.sum("part").alias("fused"))
 
 
-#: Rows of queries that meet a block of rows in one matrix product.
-QUERY_ROWS = 256
+#: Rows of queries that meet rows in one matrix product, rows of one such product, rows packed into one record, and rows of a group of queries.
+QUERY_ROWS, BLOCK_ROWS, PIECE_ROWS, ASKED_ROWS = 256, 8_192, 2_048, 16_384
 
 
 def _scaled(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+    return _unit(np.stack([np.asarray(v, np.float64) for v in vectors]))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
-        m /= np.sqrt((m**2).sum(axis=1))[:, None]
-    return m
+        return m / np.sqrt((m**2).sum(axis=1))[:, None]
+
+
+def _kind(df: DataFrame) -> type:
+    """The numpy type that vectors are packed in: their own, so that single precision moves at its own size."""
+    return np.float32 if df.schema["vector"].dataType.elementType.simpleString() == "float" else np.float64
 
 
 def _blocks(df: DataFrame, key: str) -> DataFrame:
-    """(ids, matrix): the rows of each Arrow batch as one row, their vectors scaled to length one. Rows without a vector are left out; all have the same length."""
-    kind = df.schema[key].dataType.simpleString()
+    """(ids, matrix): up to PIECE_ROWS rows as one. Rows without a vector are left out; all have the same length."""
+    kind, number = df.schema[key].dataType.simpleString(), _kind(df)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"ids": [batch[key].tolist()], "matrix": [_scaled(batch["vector"]).tobytes()]})
+            for at in range(0, len(batch), PIECE_ROWS):
+                part = batch[at : at + PIECE_ROWS]
+                yield pd.DataFrame({"ids": [part[key].tolist()], "matrix": [np.stack([np.asarray(v, number) for v in part["vector"]]).tobytes()]})
 
     return df.where(F.col("vector").isNotNull()).select(key, "vector").mapInPandas(pack, f"ids array<{kind}>, matrix binary")
 
 
-def _best_of_blocks(k: int, most: float):
-    """The k nearest rows within `most` of every query of a pair of blocks (q_ids, q_matrix, ids, matrix), QUERY_ROWS queries at a time."""
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q_ids, q_matrix, ids, matrix in zip(batch["q_ids"], batch["q_matrix"], batch["ids"], batch["matrix"]):
-                q, r = (np.frombuffer(m).reshape(len(n), -1) for m, n in ((q_matrix, q_ids), (matrix, ids)))
-                names = np.asarray(ids)
-                by_id = np.argsort(names, kind="stable")
-                for at in range(0, len(q), QUERY_ROWS):
-                    for i, d in enumerate(np.round(1.0 - q[at : at + QUERY_ROWS] @ r.T, 12), at):
-                        near = by_id[d[by_id] <= most]
-                        near = near[np.argsort(d[near], kind="stable")[:k]]
-                        if len(near):
-                            yield pd.DataFrame({"query_id": q_ids[i], "id": names[near], "distance": d[near]})
+def _unpacked(ids: pd.Series, matrices: pd.Series, number: type) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the vectors, scaled to length one, of packed rows; those of length zero are near to nothing and go."""
+    names = np.concatenate([np.asarray(x) for x in ids])
+    m = _unit(np.concatenate([np.frombuffer(x, number).reshape(len(n), -1) for n, x in zip(ids, matrices)]).astype(np.float64))
+    sound = np.isfinite(m).all(axis=1)
+    return names[sound], m[sound]
+
+
+def _first_of_each(q: np.ndarray, r: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of r, distance) of the k nearest rows of r within `most` for each of q; ties by the place in r."""
+    alike = q @ r.T
+    least = np.full(len(q), 1.0 - most) if len(r) <= k else np.maximum(np.partition(alike, len(r) - k, axis=1)[:, len(r) - k], 1.0 - most)
+    # What the rounding may make equal to the last that counts is kept and told apart after it.
+    at, to = np.nonzero(alike >= least[:, None] - 4e-12)
+    d = np.round(1.0 - alike[at, to], 12)
+    near = d <= most
+    at, to, d = at[near], to[near], d[near]
+    order = np.lexsort((to, d, at))
+    at, to, d = at[order], to[order], d[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[first], to[first], d[first]
+
+
+def _best_of_groups(k: int, most: float, asked_in: type, rows_in: type):
+    """The k nearest rows within `most` of every query of a group of packed queries and one of packed rows, QUERY_ROWS by BLOCK_ROWS at a time."""
+
+    def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asked) and len(rows):
+            (q_ids, q), (ids, r) = _unpacked(asked["ids"], asked["matrix"], asked_in), _unpacked(rows["ids"], rows["matrix"], rows_in)
+            by_id = np.argsort(ids, kind="stable")
+            ids, r = ids[by_id], r[by_id]
+            for i in range(0, len(q), QUERY_ROWS):
+                for j in range(0, len(r), BLOCK_ROWS):
+                    at, to, d = _first_of_each(q[i : i + QUERY_ROWS], r[j : j + BLOCK_ROWS], k, most)
+                    found.append(pd.DataFrame({"query_id": q_ids[i + at], "id": ids[j + to], "distance": d}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "distance": []})
 
     return best
 
 
+def _groups(df: DataFrame, rows: int, share: float = 1.0) -> Column:
+    """How many groups of about so many rows a share of df makes."""
+    return df.where(F.col("vector").isNotNull()).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * share / rows)).cast("int").alias("n")).scalar()
+
+
+def _met(asked: DataFrame, rows: DataFrame, keys: list[str], groups: tuple[Column, Column], best, schema: str) -> DataFrame:
+    """`best` of every group of packed queries and every group of packed rows under the same keys.
+
+    Packed rows are dealt out by their hash and come to each group of the other side. A task is handed one pair of groups at a time, so its memory is bounded by their size and not by how many pairs it meets.
+    """
+    own = lambda n: F.pmod(F.xxhash64("ids"), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = asked.withColumn("asked_in", own(groups[0])).withColumn("rows_in", all_of(groups[1]))
+    b = rows.withColumn("rows_in", own(groups[1])).withColumn("asked_in", all_of(groups[0]))
+    pair = [*keys, "asked_in", "rows_in"]
+    return a.groupBy(*pair).cogroup(b.groupBy(*pair)).applyInPandas(best, schema)
+
+
 def _first_k(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -102,14 +150,13 @@ def _first_k(found: DataFrame, k: int) -> DataFrame:
 def nearest(queries: DataFrame, rows: DataFrame, k: int, most: float) -> DataFrame:
     """(query_id, id, distance, rank): for each query (query_id, vector) its k nearest rows (id, vector) within `most`, an exact scan; ties by id.
 
-    Both sides are cut into blocks and every block of rows meets every block of queries in one matrix product, so no pair is a row of its own: a block
-    passes on k rows a query. Spark broadcasts the queries' blocks if they are small enough, else the blocks of both sides meet task by task.
-    Distances are rounded to twelve digits, so that equal vectors tie wherever they stand in a block.
+    Both sides are packed and dealt into groups of bounded size, and every group of rows meets every group of queries in matrix products, so no pair is a row of its own: a group
+    passes on k rows a query. Distances are rounded to twelve digits, so that equal vectors tie wherever they stand.
     """
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (rows, "id"))}
-    asked = _blocks(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    found = _blocks(rows, "id").join(asked, F.lit(True)).mapInPandas(_best_of_blocks(k, most), f"query_id {types['query_id']}, id {types['id']}, distance double")
-    return _first_k(found, k)
+    groups = _groups(queries, ASKED_ROWS), _groups(rows, BLOCK_ROWS)
+    best = _best_of_groups(k, most, _kind(queries), _kind(rows))
+    return _first_k(_met(_blocks(queries, "query_id"), _blocks(rows, "id"), [], groups, best, f"query_id {types['query_id']}, id {types['id']}, distance double"), k)
 
 
 #: Rows that the centroids of an index are fitted on, at most, and rounds of the fit.
@@ -134,18 +181,17 @@ def centroids(rows: DataFrame, lists: int, fitted: int = FITTED, rounds: int = R
 
 def _listed(df: DataFrame, key: str, at: np.ndarray, probes: int) -> DataFrame:
     """(list, ids, matrix): the rows of each Arrow batch by list, each in the `probes` lists whose centroids are nearest."""
-    kind = df.schema[key].dataType.simpleString()
+    kind, number = df.schema[key].dataType.simpleString(), _kind(df)
     shared = df.sparkSession.sparkContext.broadcast(at)  # lists x dimensions: parameters, not data
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            m, ids = _scaled(batch["vector"]), batch[key].to_numpy()
-            near = np.argsort(-np.nan_to_num(m @ shared.value.T), axis=1, kind="stable")[:, :probes]
-            for number in np.unique(near):
-                rows = np.flatnonzero((near == number).any(axis=1))
-                yield pd.DataFrame({"list": [int(number)], "ids": [ids[rows].tolist()], "matrix": [m[rows].tobytes()]})
+            m, ids = np.stack([np.asarray(v, number) for v in batch["vector"]]), batch[key].to_numpy()
+            near = np.argsort(-np.nan_to_num(_unit(m.astype(np.float64)) @ shared.value.T), axis=1, kind="stable")[:, :probes]
+            parts = [(int(x), np.flatnonzero((near == x).any(axis=1))) for x in np.unique(near)]
+            yield pd.DataFrame({"list": [x for x, _ in parts], "ids": [ids[at].tolist() for _, at in parts], "matrix": [m[at].tobytes() for _, at in parts]})
 
     return df.where(F.col("vector").isNotNull()).select(key, "vector").mapInPandas(pack, f"list int, ids array<{kind}>, matrix binary")
 
@@ -153,11 +199,11 @@ def _listed(df: DataFrame, key: str, at: np.ndarray, probes: int) -> DataFrame:
 def nearest_indexed(queries: DataFrame, rows: DataFrame, k: int, most: float, lists: int = 64, probes: int = 32) -> DataFrame:
     """As `nearest`, by inverted lists: every row is in the list of its nearest centroid, and a query is held against the rows of `probes` lists only.
 
-    Lists and queries meet in an equi join on the list, block by block; a list that holds many rows has many blocks. Fewer probes cost recall: at the defaults it is 0.9 or more on
+    Rows and queries are packed by list and meet there, group by group as in `nearest`; a list that holds many rows has many groups. Fewer probes cost recall: at the defaults it is 0.9 or more on
     the test tables, `nearest` is the exact way.
     """
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (rows, "id"))}
     at = centroids(rows, lists)
-    asked = _listed(queries, "query_id", at, probes).select("list", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    found = _listed(rows, "id", at, 1).join(asked, "list").mapInPandas(_best_of_blocks(k, most), f"query_id {types['query_id']}, id {types['id']}, distance double")
-    return _first_k(found, k)
+    groups = _groups(queries, ASKED_ROWS, min(1.0, probes / lists)), _groups(rows, BLOCK_ROWS, 1 / lists)
+    best = _best_of_groups(k, most, _kind(queries), _kind(rows))
+    return _first_k(_met(_listed(queries, "query_id", at, probes), _listed(rows, "id", at, 1), ["list"], groups, best, f"query_id {types['query_id']}, id {types['id']}, distance double"), k)

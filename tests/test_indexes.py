@@ -153,3 +153,26 @@ def test_indexed_search_compares_fewer_pairs(spark):
     assert asked.join(lists, "list").count() < 0.5 * 800 * 40
     whole = {tuple(r)[:2] for r in vectors.nearest_indexed(rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), rows, 3, 2.0, 16, 16).collect()}
     assert whole == {tuple(r)[:2] for r in vectors.nearest(rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), rows, 3, 2.0).collect()}
+
+
+@pytest.mark.parametrize("name", ["v2_vector_search", "v2_indexed_search", "v3_rank_fusion", "r6_hybrid_search"])
+def test_a_task_is_handed_one_pair_of_groups_at_a_time(spark, sf, name):
+    """Joined blocks went to Python ten thousand pairs a batch, each with both matrices."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "q_matrix" not in plan
+
+
+def test_groups_of_vectors_equal_brute_force_with_ties(spark, monkeypatch):
+    import numpy as np
+
+    for size in ("QUERY_ROWS", "BLOCK_ROWS", "PIECE_ROWS", "ASKED_ROWS"):
+        monkeypatch.setattr(vectors, size, 7)
+    rng = np.random.default_rng(6)
+    own = rng.normal(size=(30, 4))
+    m = {i: own[rng.integers(30)] * rng.uniform(1, 2) for i in range(150)} | {200: own[0] * 0}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in m.items()] + [(300, None)], "id long, vector array<double>")
+    asked = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    near = lambda a, b: round(1 - float(a @ b) / float(np.sqrt((a @ a) * (b @ b))), 12)
+    want = {(q, i, n + 1) for q in range(0, 150, 20) for n, (d, i) in enumerate(sorted((near(m[q], m[i]), i) for i in range(150) if near(m[q], m[i]) <= 0.9)[:6])}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in vectors.nearest(asked, rows, 6, 0.9).collect()} == want
+    assert {(r["query_id"], r["id"], r["rank"]) for r in vectors.nearest_indexed(asked, rows, 6, 0.9, 5, 5).collect()} == want
