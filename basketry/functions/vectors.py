@@ -71,16 +71,20 @@ def _kind(df: DataFrame) -> type:
 
 
 def _blocks(df: DataFrame, key: str) -> DataFrame:
-    """(ids, matrix): up to PIECE_ROWS rows as one. Rows without a vector are left out; all have the same length."""
+    """(ids, matrix): up to PIECE_ROWS rows as one. Rows without a vector are left out; all have the same length.
+
+    They are left out here, not by a filter: Spark moves a filter on a computed vector below the grouping of its text, and then computes it for every row of the table.
+    """
     kind, number = df.schema[key].dataType.simpleString(), _kind(df)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[batch["vector"].notna()]
             for at in range(0, len(batch), PIECE_ROWS):
                 part = batch[at : at + PIECE_ROWS]
                 yield pd.DataFrame({"ids": [part[key].tolist()], "matrix": [np.stack([np.asarray(v, number) for v in part["vector"]]).tobytes()]})
 
-    return df.where(F.col("vector").isNotNull()).select(key, "vector").mapInPandas(pack, f"ids array<{kind}>, matrix binary")
+    return df.select(key, "vector").mapInPandas(pack, f"ids array<{kind}>, matrix binary")
 
 
 def _unpacked(ids: pd.Series, matrices: pd.Series, number: type) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +129,8 @@ def _best_of_groups(k: int, most: float, asked_in: type, rows_in: type):
 
 
 def _groups(df: DataFrame, rows: int, share: float = 1.0) -> Column:
-    """How many groups of about so many rows a share of df makes."""
-    return df.where(F.col("vector").isNotNull()).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * share / rows)).cast("int").alias("n")).scalar()
+    """How many groups of at most about so many rows a share of df makes."""
+    return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * share / rows)).cast("int").alias("n")).scalar()
 
 
 def _met(asked: DataFrame, rows: DataFrame, keys: list[str], groups: tuple[Column, Column], best, schema: str) -> DataFrame:
@@ -186,6 +190,7 @@ def _listed(df: DataFrame, key: str, at: np.ndarray, probes: int) -> DataFrame:
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[batch["vector"].notna()]
             if not len(batch):
                 continue
             m, ids = np.stack([np.asarray(v, number) for v in batch["vector"]]), batch[key].to_numpy()
@@ -193,7 +198,7 @@ def _listed(df: DataFrame, key: str, at: np.ndarray, probes: int) -> DataFrame:
             parts = [(int(x), np.flatnonzero((near == x).any(axis=1))) for x in np.unique(near)]
             yield pd.DataFrame({"list": [x for x, _ in parts], "ids": [ids[at].tolist() for _, at in parts], "matrix": [m[at].tobytes() for _, at in parts]})
 
-    return df.where(F.col("vector").isNotNull()).select(key, "vector").mapInPandas(pack, f"list int, ids array<{kind}>, matrix binary")
+    return df.select(key, "vector").mapInPandas(pack, f"list int, ids array<{kind}>, matrix binary")
 
 
 def nearest_indexed(queries: DataFrame, rows: DataFrame, k: int, most: float, lists: int = 64, probes: int = 32) -> DataFrame:

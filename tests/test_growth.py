@@ -106,3 +106,10 @@ def test_reasons_of_missing_lines(spark):
     whole = lambda b, p, why: {(b, p, s, why) for s in (1, 2, 3, 4)}
     own = {(b, 10, *x) for b in (1, 2) for x in ((2, "no_price_here"), (3, "not_carried_by_chain"), (4, "not_carried_by_chain"))}
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, own | whole(1, 11, "no_price_data") | whole(2, 99, "product_not_found") | whole(3, None, "product_not_found")))
+
+
+def test_words_of_products_are_told_apart_after_dealing_out(spark, sf):
+    plan = QUERIES["r1_candidates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    for part in plan.split("RepartitionByExpression [product_id")[1:]:
+        assert "words" not in part.split("Relation")[0].split("\n", 1)[1]

@@ -162,6 +162,17 @@ def test_a_task_is_handed_one_pair_of_groups_at_a_time(spark, sf, name):
     assert "FlatMapCoGroupsInPandas" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "q_matrix" not in plan
 
 
+@pytest.mark.parametrize("name", ["v3_rank_fusion", "r6_hybrid_search"])
+def test_names_are_embedded_once_each(spark, sf, name):
+    """The filter on vectors went below the distinct names, and the embedding with it, once a product."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    for i, x in enumerate(plan):
+        if "embed(" in x and "ArrowEvalPython" in x:
+            end = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            assert any("Aggregate" in y for y in plan[i:end])
+
+
 def test_groups_of_vectors_equal_brute_force_with_ties(spark, monkeypatch):
     import numpy as np
 
