@@ -39,7 +39,8 @@ def _queries(c: Catalogue):
 
 
 def _products(c: Catalogue):
-    counts = c.store_price.groupBy("product_id").agg(F.count_distinct("store_id").alias("store_count"))
+    # A product has a current price where it was ever seen, so which is the newest needn't be found.
+    counts = c.price_point.groupBy("product_id").agg(F.count_distinct("store_id").alias("store_count"))
     return c.product.join(counts, "product_id", "left").withColumn("store_count", F.coalesce("store_count", F.lit(0)))
 
 

@@ -108,6 +108,11 @@ def test_reasons_of_missing_lines(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, own | whole(1, 11, "no_price_data") | whole(2, 99, "product_not_found") | whole(3, None, "product_not_found")))
 
 
+@pytest.mark.parametrize("name", ["r7_stock_order", "r12_r13_ranker", "t22_guarded_words"])
+def test_stores_are_counted_without_finding_the_newest_price(spark, sf, name):
+    assert "max_by" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_words_of_products_are_told_apart_after_dealing_out(spark, sf):
     plan = QUERIES["r1_candidates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
