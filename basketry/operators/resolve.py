@@ -59,9 +59,15 @@ def equivalents(products: DataFrame, class_key: str = "category", least: float =
     turned = close.select(*keys, F.col("other").alias("id"), F.col("id").alias("other"), "similarity")
     own = texts.where(F.size(tx.tokens(F.col("id"))) > 0).select(*keys, "id", F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
     both = close.unionByName(turned).unionByName(own)
-    top = first_per(products.select(*keys, F.col(text).alias("other"), F.col("product_id").alias("other_id")), [*keys, "other"], [F.col("other_id")], limit + 1)
-    pairs = both.join(top, [*keys, "other"]).join(products.select("product_id", *keys, F.col(text).alias("id")), [*keys, "id"])
-    return first_per(pairs.where(F.col("product_id") != F.col("other_id")), ["product_id"], [F.desc("similarity"), F.col("other_id")], limit, "place").select("product_id", "place", "other_id", "similarity")
+    # One small file is one task: its rows are dealt out before they are put in order.
+    dealt = products.select("product_id", *keys, F.col(text).alias("id")).repartition("product_id")
+    top = first_per(dealt.select(*keys, F.col("id").alias("other"), F.col("product_id").alias("other_id")), [*keys, "other"], [F.col("other_id")], limit + 1)
+    # A text's best are found once: one more than asked for, as a product isn't its own equivalent.
+    best = first_per(both.join(top, [*keys, "other"]), [*keys, "id"], [F.desc("similarity"), F.col("other_id")], limit + 1, "at")
+    listed = best.groupBy(*keys, "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "other_id", "similarity"))), lambda x: F.struct(x["other_id"].alias("other_id"), x["similarity"].alias("similarity"))).alias("best"))
+    others = F.slice(F.filter("best", lambda x: x["other_id"] != F.col("product_id")), 1, limit)
+    rows = dealt.join(listed, [*keys, "id"]).select("product_id", F.posexplode(others).alias("n", "o"))
+    return rows.select("product_id", (F.col("n") + 1).cast("long").alias("place"), "o.other_id", "o.similarity")
 
 
 def upgraded_primary(candidates: DataFrame, keys: list[str], stores: int = 3, times: float = 3.0) -> DataFrame:

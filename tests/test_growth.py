@@ -118,3 +118,17 @@ def test_words_of_products_are_told_apart_after_dealing_out(spark, sf):
     assert "RepartitionByExpression" in plan
     for part in plan.split("RepartitionByExpression [product_id")[1:]:
         assert "words" not in part.split("Relation")[0].split("\n", 1)[1]
+
+
+def test_equivalents_are_ranked_per_text_not_per_product(spark, sf):
+    plan = QUERIES["r17_equivalents"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Window \[[^\n]*\], \[product_id#", plan)
+
+
+def test_equivalents_leave_out_the_product_itself(spark):
+    from basketry.operators import resolve
+
+    products = [(i, "red ring", "a", "g") for i in (9, 3, 5)] + [(4, "red bolt", "a", "g"), (6, "red ring", "b", "g"), (7, None, "a", "g"), (8, "!", "a", "g")]
+    got = resolve.equivalents(spark.createDataFrame(products, "product_id long, name string, category string, size_unit string"), limit=2)
+    want = {(3, 1, 5, 1.0), (3, 2, 9, 1.0), (5, 1, 3, 1.0), (5, 2, 9, 1.0), (9, 1, 3, 1.0), (9, 2, 5, 1.0), (4, 1, 3, 0.5), (4, 2, 5, 0.5)}
+    assert set(map(tuple, got.collect())) == want
