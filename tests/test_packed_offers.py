@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions import offers
-from basketry.operators import basket, delivery
+from basketry.operators import basket, delivery, lines
 from basketry.plans.registry import QUERIES
 from basketry.plans.views import Catalogue
 
@@ -39,6 +39,19 @@ def test_a_store_of_a_line_takes_about_five_bytes(spark, sf):
     assert sizes[0] - sizes[1] * offers.HEAD <= 5 * pairs
 
 
+def test_tiers_are_chosen_and_added_up_as_by_rows(spark):
+    asked, prices, _ = _random(spark)
+    candidates = spark.createDataFrame([(p, p, 0) for p in range(30)] + [(p, p // 5 * 5, 1) for p in range(30) if p % 5] + [(p, 29, 2) for p in range(25)], "product_id long, candidate_id long, tier int")
+    want = asked.join(lines.tiered_units(candidates, prices), "product_id").withColumn("a", F.floor(F.floor(F.col("unit") * F.col("qty") * 100 + 0.5) / 100 * 100 + 0.5))
+    want = want.groupBy("basket_id", "store_id").agg(F.sum("a").alias("agorot"), F.count(F.lit(1)).alias("lines"), F.count_if(F.col("tier") == 0).alias("strict"))
+    assert rows(lines.tiered_totals(asked, candidates, prices)) == rows(want) != []
+
+
+def test_lines_with_tiers_move_in_bytes(spark, sf):
+    plan = QUERIES["b3_tiered_totals"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(arrays_zip" not in plan and "hashpartitioning(product_id#" in plan and "hashpartitioning(candidate_id#" not in plan.split("Generate")[0]
+
+
 @pytest.mark.parametrize("name", ["b4_basket_totals", "b8_best_store", "b11_multi_store", "l7_ranked_plans"])
 def test_lines_and_prices_are_dealt_out_by_product_once(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
