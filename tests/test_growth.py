@@ -132,3 +132,17 @@ def test_equivalents_leave_out_the_product_itself(spark):
     got = resolve.equivalents(spark.createDataFrame(products, "product_id long, name string, category string, size_unit string"), limit=2)
     want = {(3, 1, 5, 1.0), (3, 2, 9, 1.0), (5, 1, 3, 1.0), (5, 2, 9, 1.0), (9, 1, 3, 1.0), (9, 2, 5, 1.0), (4, 1, 3, 0.5), (4, 2, 5, 0.5)}
     assert set(map(tuple, got.collect())) == want
+
+
+def test_lists_of_lacking_stores_are_not_shuffled(spark, sf):
+    """After a product's stores are judged nothing is joined or dealt out."""
+    plan = QUERIES["b2_missing_reasons"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Join", plan.split("array_except")[0].split("== Initial Plan ==")[0])
+
+
+def test_a_product_of_many_baskets_has_all_its_reasons(spark, monkeypatch):
+    monkeypatch.setattr(basket, "AT_ONCE", 3)
+    of = lambda rows, *names: spark.createDataFrame(rows, ", ".join(f"{x} long" for x in names))
+    lines = of([(b, 1) for b in range(10)] + [(None, 1)], "basket_id", "product_id")
+    got = basket.missing_reason(lines, of([(1,)], "product_id"), of([(1, 5)], "product_id", "chain_id"), of([(1, 2)], "product_id", "store_id"), of([(1, 5), (2, 5), (3, 6)], "store_id", "chain_id"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((b, 1, s, why)) for b in [*range(10), None] for s, why in ((1, "no_price_here"), (3, "not_carried_by_chain")))
