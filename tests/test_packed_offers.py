@@ -91,3 +91,21 @@ def test_plans_in_a_basket_s_row_are_those_of_rows(spark, monkeypatch):
     assert rows(delivery.placed(baskets, services, tariffs, best=True)) == rows(delivery.best_order(want).select(columns)) != []
     monkeypatch.setattr(basket, "MOST_STORES", 5)
     assert rows(delivery.placed(baskets, services, tariffs)) == rows(want.select(columns))
+
+
+def test_a_choice_per_product_and_quantity_is_the_fold_of_candidates(spark, monkeypatch):
+    """Against the fold over rows, with unknown sizes and quantities, and products without a class or a store; no row a candidate and store is grouped."""
+    monkeypatch.setattr(basket, "AT_ONCE", 3)
+    asked, prices, _ = _random(spark)
+    own = spark.createDataFrame([(p, f"c{p % 4}" if p % 7 else None, None if p % 5 == 0 else float(p % 6 + 1)) for p in range(28)], "product_id long, class string, size double")
+    peers = own.where("class IS NOT NULL AND product_id < 14").select("class", F.col("product_id").alias("peer_id"), F.col("size").alias("peer_size"))
+    got = basket.candidate_offers(asked, own, peers, prices)
+    options = own.select("product_id", F.col("product_id").alias("candidate_id"), "size", F.lit(0).alias("candidate_rank")).unionByName(
+        own.join(peers, "class").where("peer_id <> product_id").select("product_id", F.col("peer_id").alias("candidate_id"), F.col("peer_size").alias("size"), F.col("peer_id").cast("int").alias("candidate_rank"))
+    )
+    each = asked.where("qty IS NOT NULL").join(options, "product_id").join(prices.select(F.col("product_id").alias("candidate_id"), "store_id", "price"), "candidate_id")
+    each = each.select("basket_id", "product_id", "store_id", "candidate_rank", "candidate_id", (F.col("price") / F.col("size")).alias("unit_price"), (F.col("price") * F.col("qty")).alias("line_total"))
+    want = basket.cheapest_candidate(each, ["basket_id", "product_id", "store_id"])
+    assert rows(got) == rows(want.select(got.columns)) != []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("Aggregate" in x and "candidate_rank" in x for x in plan.split("\n")) and "ArrowEvalPython [best(" in plan
