@@ -1,6 +1,6 @@
 """Feed files as a data source: spark.read.format("retail_feed").load(folder).
 
-A file's name says its kind, chain, store and stamp (for a folder of parts, the folder's name). Filters on these leave files unread. Files are packed into partitions up to PACKED bytes;
+A file's name says its kind, chain, store and stamp (for a folder of parts, the folder's name). Filters on these leave files unread. Files are packed into partitions up to PACKED bytes of text;
 each is decoded and parsed as it is read, once, header and elements together, so no file is held whole.
 """
 
@@ -24,6 +24,8 @@ from basketry.sources import feeds
 SCHEMA = "file string, kind string, chain_code string, store_code string, stamp string, tag string, fields map<string,string>, item_codes array<string>"
 TAGS = {"Item": "price", "Product": "price", "Store": "store", "Promotion": "promotion"}
 PACKED = 32 << 20
+#: Bytes of text in a byte of a compressed feed, about.
+EXPANDED = 10
 CHUNK = 1 << 16
 
 
@@ -130,6 +132,7 @@ class FeedReader(DataSourceReader):
         packs, size = [Files([])], 0
         for path, n in self._listed():
             own = facts(path)
+            n *= EXPANDED if path.endswith((".gz", ".zip")) else 1
             if all(own.get(k) in values for k, values in self.kept):
                 if packs[-1].paths and size + n > PACKED:
                     packs.append(Files([]))

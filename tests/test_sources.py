@@ -86,3 +86,15 @@ def test_venues(spark):
     assert [(r["service_id"], r["fee"], r["is_floor"]) for r in tariffs.collect()] == [(1, 15.0, True)]
     (rule,) = rules.collect()
     assert rule["service_id"] == 1 and [(p["lng"], p["lat"]) for p in rule["ring"]] == [(34.0, 31.0), (35.0, 31.0), (35.0, 32.0)]
+
+
+def test_feeds_are_written_compressed_and_packed_by_their_text(spark, sf, tmp_path, monkeypatch):
+    from basketry.plans import queries_sources
+    from basketry.plans.registry import QUERIES
+
+    monkeypatch.setattr(queries_sources, "fresh_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert QUERIES["s1_s6_feed_source"](spark, sf).count() > 0
+    files = [x for x in (tmp_path / "feeds").rglob("part-*")]
+    assert files and all(x.name.endswith(".gz") for x in files)
+    monkeypatch.setattr(feed_source, "PACKED", 25 * max(x.stat().st_size for x in files))
+    assert max(len(p.paths) for p in feed_source.FeedReader(f"file://{tmp_path}/feeds").partitions()) < 2 + 3 * max(x.stat().st_size for x in files) / min(x.stat().st_size for x in files)
